@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, mixing, packing, quality, tokens, topk
+from . import htmltext, langid, linededup, mixing, packing, pii, quality, tokens, topk
 from .common import read
 
 
@@ -29,15 +29,23 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mix, op4_line_dedup, op5_best_fit_packing, op8_html_text, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mix, op4_line_dedup, op5_best_fit_packing, op6_language_id, op8_html_text, op9_personal_data, op10_exact_top_k)}
 
 ORACLE_SQL = {
     "op4_line_dedup": """
