@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, linededup, mixing, packing, pii, quality, tokens, topk
+from . import htmltext, langid, linededup, mixing, neardup, packing, pii, quality, tokens, topk
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("key")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mix, op4_line_dedup, op5_best_fit_packing, op6_language_id, op8_html_text, op9_personal_data, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mix, op4_line_dedup, op5_best_fit_packing, op6_language_id, op7_near_duplicates, op8_html_text, op9_personal_data, op10_exact_top_k)}
 
 ORACLE_SQL = {
     "op4_line_dedup": """
