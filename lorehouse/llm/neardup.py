@@ -236,3 +236,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classes = texts.groupBy("label").agg(F.min("least").alias("class_id"))
     named = texts.select("key", "label").join(classes, "label").join(degree, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return rows.join(named, "key").select("doc_id", "class_id", "n_links", "key")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class of near-duplicates: that of the least doc_id, and of rows that share it the least by its columns in order.
+
+    Null doc_ids come after all others; of a class that has no other its least text
+    by digest stays.
+    """
+    labels, _ = links(docs, similarity)
+    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    texts = cut(keyed.groupBy("_key").agg(F.min("doc_id").alias("_least")).join(labels.withColumnRenamed("key", "_key"), "_key", "left").withColumn("label", F.coalesce("label", "_key")))
+    order = F.struct(F.col("_least").isNull().alias("none"), F.col("_least").alias("id"), F.col("_key").alias("text"))
+    chosen = texts.groupBy("label").agg(F.min(order).alias("c")).select(F.col("c.id").alias("_id"), F.col("c.text").alias("_key"))
+    kept = keyed.join(chosen, "_key").where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    rest = [c for c in docs.columns if c != "text"]
+    return kept.groupBy("_key").agg(F.first("text").alias("text"), F.min(F.struct(*rest)).alias("_row")).select(*["text" if c == "text" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
