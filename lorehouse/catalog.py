@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import corpus  # noqa: F401  (registers its queries)
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "hybrid_retrieval"
+FLAGSHIP = "corpus_health"
