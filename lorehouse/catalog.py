@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import corpus  # noqa: F401  (registers its queries)
+from .plans import corpus, texts  # noqa: F401  (they register their queries)
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "corpus_health"

@@ -77,7 +77,7 @@ def effective_date(slug: Column, filename: Column, fields: dict[str, Column], up
     """struct(date, source): the first date in 1990 to a year from now, from fields event_date, date, published in order and the file name, which leads for daily notes and meetings; else the update or creation."""
 
     def ok(c: Column) -> Column:
-        day = F.try_to_date(F.substring(F.trim(c), 1, 10), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.substring(F.trim(c), 1, 10), F.lit("yyyy-MM-dd")))
+        day = F.to_date(F.try_to_timestamp(F.substring(F.trim(c), 1, 10), F.lit("yyyy-MM-dd")))
         return F.when((day >= F.lit("1990-01-01").cast("date")) & (day <= F.date_add(now, 365)), day)
 
     name = ok(F.nullif(F.regexp_extract(filename, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
