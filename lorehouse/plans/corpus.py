@@ -10,7 +10,11 @@ from ..operators import storage as S
 from .registry import query
 from .views import NOW, Views
 
-DAY = F.lit(NOW).cast("date")
+
+
+def _day():
+    return F.lit(NOW).cast("date")
+
 #: A corpus of languages and sources stands in for the directories of the default rules.
 FACTORS = {"en/": 1.4, "en/src1/": 0.8, "de/": 1.2, "de/src5/": 0.5, "fr/": 1.0}
 DECAY = {"en/": (14, 1.5), "en/src1/": (0, 0.0), "de/": (60, 1.0), "fr/": (365, 0.3)}
@@ -66,14 +70,15 @@ def _dated(v: Views):
     return v.pages().select("page_id", "slug", at.alias("deleted_at"))
 
 
-_NOW = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+def _now():
+    return F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
 
 
 @query("pages", """select page_id, case when page_id % 10 = 3 then null when deleted then cast(updated_on as timestamp) when page_id % 17 = 0 then timestamp '2024-01-20' end as deleted_at
 from pages where (page_id % 10 = 3 or not deleted or cast(updated_on as timestamp) > timestamp '2024-01-20' - interval 72 hours)""")
 def soft_delete_restore_purge(v: Views):
-    p = S.soft_delete(_dated(v), F.col("page_id") % 17 == 0, _NOW)
-    return S.purge(S.restore(p, F.col("page_id") % 10 == 3), 72, _NOW).select("page_id", "deleted_at")
+    p = S.soft_delete(_dated(v), F.col("page_id") % 17 == 0, _now())
+    return S.purge(S.restore(p, F.col("page_id") % 10 == 3), 72, _now()).select("page_id", "deleted_at")
 
 
 @query("pages", """select page_id, title, timestamp '2024-01-02' as snapshot_at from pages where page_id % 7 = 0""")
@@ -121,7 +126,7 @@ def list_pages(v: Views):
 from pages where not deleted and not (slug like 'es/%')""")
 def page_factors(v: Views):
     p = v.pages().where(C.visible(F.col("deleted")) & ~C.hard_excluded(F.col("slug"), ("es/",)))
-    return p.select("page_id", C.source_factor(F.col("slug"), FACTORS).alias("factor"), C.source_tier(F.col("slug"), FACTORS).alias("tier"), C.recency(F.col("slug"), F.col("updated_on"), DAY, DECAY).alias("recency"))
+    return p.select("page_id", C.source_factor(F.col("slug"), FACTORS).alias("factor"), C.source_tier(F.col("slug"), FACTORS).alias("tier"), C.recency(F.col("slug"), F.col("updated_on"), _day(), DECAY).alias("recency"))
 
 
 @query("facts", f"""select fact_id, round(case when expired then 0.0 else least(1, greatest(0, confidence * exp(-(epoch(timestamp '{NOW}') - epoch(valid_from)) / 86400.0 /
@@ -138,7 +143,7 @@ def effective_dates(v: Views):
     fields = {"event_date": F.when(k == 0, "2023-05-06").when(k == 1, "1875-01-01"), "date": F.when(k == 2, "soon"), "published": F.when(k == 1, " 2022-02-03 ")}
     slug = F.when(k == 3, F.concat(F.lit("daily/"), F.col("slug"))).otherwise(F.col("slug"))
     name = F.when(k == 3, "2021-01-09-notes.md").otherwise("notes.md")
-    e = C.effective_date(slug, name, fields, F.col("updated_on"), F.col("updated_on"), DAY)
+    e = C.effective_date(slug, name, fields, F.col("updated_on"), F.col("updated_on"), _day())
     return v.pages().select("page_id", e.alias("e")).select("page_id", "e.date", "e.source")
 
 
@@ -291,7 +296,7 @@ def forecast(v: Views):
  count(*) filter (where not expired and date_diff('day', cast(valid_from as date), date '{NOW}') <= 1) as today, count(*) filter (where not expired and date_diff('day', cast(valid_from as date), date '{NOW}') <= 7) as week,
  count(distinct entity_slug) as entities from facts""")
 def facts_health(v: Views):
-    return A.facts_health(v.facts(), DAY)
+    return A.facts_health(v.facts(), _day())
 
 
 @query("facts", "select entity_slug, count(*) as n from facts where not expired group by 1 order by n desc, entity_slug limit 5")
@@ -357,7 +362,7 @@ union all select 'chunk_without_page', count(*) from chunks where page_id not in
 union all select 'zero_weight_with_takes', count(*) from w where emotional_weight = 0 and page_id in (select page_id from takes where active)
 union all select 'date_in_future', count(*) filter (where updated_on > date '2024-02-01' + 365) from pages union all select 'untyped', count(*) filter (where type is null) from pages""")
 def quality_checks(v: Views):
-    return A.quality_checks(v.pages(), v.chunks(), v.takes(), A.emotional_weight(v.pages(), v.tags(), v.takes(), "src3"), DAY)
+    return A.quality_checks(v.pages(), v.chunks(), v.takes(), A.emotional_weight(v.pages(), v.tags(), v.takes(), "src3"), _day())
 
 
 @query("takes", f"""select holder, count(*) as n from takes where active and resolved_quality = 'partial' and weight >= 0.7 group by 1""")

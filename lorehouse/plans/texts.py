@@ -10,7 +10,11 @@ from ..operators import text as T
 from .registry import query
 from .views import NOW, Views
 
-DAY = F.lit(NOW).cast("date")
+
+
+def _day():
+    return F.lit(NOW).cast("date")
+
 
 
 def _lines(v: Views):
@@ -197,7 +201,7 @@ RUBRICS = {"concept": {"length": 2.0, "lines": 1.0, "recency": 1.0}, "note": {"l
  least(len(regexp_extract_all(compiled_truth, '\[[^\]]+\]')) / 3.0, 1.0) as c from pages where type is not null)
 select page_id, round(case type when 'concept' then (2 * len + len(list_distinct(l)) / greatest(len(l), 1) + rec) / 4 else (len + t + c + rec) / 4 end + 1e-9, 3) as score from d""")
 def completeness_score(v: Views):
-    return T.completeness(v.pages(), RUBRICS, DAY)
+    return T.completeness(v.pages(), RUBRICS, _day())
 
 
 @query("pages chunks", r"""select chunk_id, md5(coalesce('[' || trim(regexp_replace(title, '[\s<>]+', ' ', 'g')) || '] ' || trim(regexp_replace(regexp_extract(compiled_truth, '^([^.!?\n]*[.!?]?)', 1), '[\s<>]+', ' ', 'g')) || chr(10), '') || chunk_text) as h from chunks left join pages using (page_id)""")
