@@ -133,8 +133,8 @@ def repeat_queries(queries: DataFrame, answered: DataFrame, now: Column, sim: fl
 def duplicate_fact_candidates(facts: DataFrame, k: int = 5) -> DataFrame:
     """(fact_id, other_id, rank): for each active fact the k most recent active ones of its entity before it. A window over the entity's order replaces the self-join."""
     w = Window.partitionBy("entity_slug").orderBy("valid_from", "fact_id")
-    recent = F.reverse(F.collect_list("fact_id").over(w.rowsBetween(-k, -1)))
-    return facts.where(~F.col("expired")).select("fact_id", F.posexplode(recent).alias("rank", "other_id")).withColumn("rank", F.col("rank") + 1)
+    recent = facts.where(~F.col("expired")).select("fact_id", F.reverse(F.collect_list("fact_id").over(w.rowsBetween(-k, -1))).alias("recent"))
+    return recent.select("fact_id", F.posexplode("recent").alias("rank", "other_id")).withColumn("rank", F.col("rank") + 1)
 
 
 def as_of_facts(facts: DataFrame, at: Column) -> DataFrame:
