@@ -199,13 +199,13 @@ def supersession_chain(v: Views):
     return W.chain_validity(v.facts())
 
 
-@query("", """with t as (select l_orderkey as page_id, cast(l_linenumber as bigint) as row_num, l_returnflag as claim, true as active from lineitem), c as (select page_id, row_num as old_row, claim || '!' as claim from t where page_id % 7 = 0 and row_num <= 2),
+@query("", """with t as (select user_id as page_id, event_id as row_num, event_type as claim, true as active from events), c as (select page_id, row_num as old_row, claim || '!' as claim from t where page_id % 7 = 0 and row_num % 10 = 3),
 m as (select page_id, max(row_num) as top from t group by 1)
 select page_id, row_num, claim, not exists (select 1 from c where c.page_id = t.page_id and c.old_row = t.row_num) as active from t
 union all select page_id, top + row_number() over (partition by page_id order by old_row), claim, true from c join m using (page_id)""")
 def supersede_takes(v: Views):
-    t = v.raw("lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("long").alias("row_num"), F.col("l_returnflag").alias("claim"), F.lit(True).alias("active"))
-    c = t.where((F.col("page_id") % 7 == 0) & (F.col("row_num") <= 2)).select("page_id", F.col("row_num").alias("old_row"), F.concat("claim", F.lit("!")).alias("claim"))
+    t = v.raw("events").select(F.col("user_id").cast("long").alias("page_id"), F.col("event_id").cast("long").alias("row_num"), F.col("event_type").alias("claim"), F.lit(True).alias("active"))
+    c = t.where((F.col("page_id") % 7 == 0) & (F.col("row_num") % 10 == 3)).select("page_id", F.col("row_num").alias("old_row"), F.concat("claim", F.lit("!")).alias("claim"))
     return W.supersede_takes(t, c)
 
 

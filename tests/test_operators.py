@@ -1,0 +1,98 @@
+"""Operators on small cases with known answers."""
+
+from pyspark.sql import functions as F
+
+from lorehouse.functions import columns as C
+from lorehouse.operators import fusion, graph, joins, sequences, storage, text
+from lorehouse.sources import corpus
+
+
+def test_recency_and_longest_prefix(spark):
+    df = spark.createDataFrame([("daily/a", "2024-01-01"), ("concepts/b", "2024-01-01"), ("media/x/c", None), ("zz", "2024-01-15")], "slug string, d string")
+    got = df.select(C.recency(F.col("slug"), F.to_date("d"), F.lit("2024-01-15").cast("date")).alias("r"), C.source_factor(F.col("slug")).alias("f")).collect()
+    assert [round(r["r"], 6) for r in got] == [0.75, 0.0, 0.0, 0.5]
+    assert [r["f"] for r in got] == [0.8, 1.3, 0.7, 1.0]
+
+
+def test_wilson(spark):
+    r = spark.range(1).select(C.wilson(F.lit(0), F.lit(10)).alias("a"), C.wilson(F.lit(5), F.lit(10)).alias("b"), C.wilson(F.lit(10), F.lit(10)).alias("c")).first()
+    assert r["a"]["low"] == 0.0 and r["c"]["high"] == 1.0
+    assert abs(r["b"]["low"] - 0.236593) < 1e-5 and abs(r["b"]["high"] - 0.763407) < 1e-5
+
+
+def test_word_count_of_cjk(spark):
+    df = spark.createDataFrame([("two words",), ("漢字かな",), ("",)], "t string")
+    assert [r[0] for r in df.select(C.word_count(F.col("t"))).collect()] == [2, 4, 0]
+
+
+def test_redact(spark):
+    t = "mail a.b@c.org call (555) 123-4567 card 4111 1111 1111 1111 not 4111 1111 1111 1112 ssn 123-45-6789 password=hunter2 https://u:p@h/x"
+    got = spark.createDataFrame([(t,)], "t string").select(text.redact(F.col("t"))).first()[0]
+    assert got == "mail [EMAIL] call [PHONE] card [CARD] not 4111 1111 1111 1112 ssn [SSN] password=[REDACTED] https://[REDACTED]@h/x"
+
+
+def test_chunk_text_sizes():
+    words = " ".join(f"w{i}." for i in range(1000))
+    chunks = text.chunk_text(words, 100, 10)
+    assert all(len(c.split()) <= 160 for c in chunks)
+    assert chunks[1].split()[:10] == chunks[0].split()[-10:]
+    assert [w for k, c in enumerate(chunks) for w in c.split()[10 * (k > 0) :]] == words.split()
+    assert text.chunk_text("", 100, 10) == [] and max(map(len, text.chunk_text("x" * 20_000, 100, 10))) <= 6000
+
+
+def test_knn_ties_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "QUERY_BLOCK", 2)
+    q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "query_id long, v array<double>")
+    x = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None)], "id long, v array<double>")
+    got = joins.vector_knn(q, x, 2).where("query_id = 0").orderBy("rank").collect()
+    assert [(r["id"], r["sim"]) for r in got] == [(1, 1.0), (2, 1.0)]
+    assert joins.vector_knn(q, x, 2).count() == 10
+
+
+def test_as_of_join(spark):
+    l = spark.createDataFrame([("a", 1), ("a", 5), ("b", 5)], "k string, t int")
+    r = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y")], "k string, t int, v string")
+    assert sorted((x["k"], x["t"], x["v"]) for x in joins.as_of_join(l, r, "k", "t", "t", "v").collect()) == [("a", 1, None), ("a", 5, "y"), ("b", 5, None)]
+
+
+def test_cycles_end(spark):
+    e = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x")], "src string, dst string, lt string")
+    s = spark.createDataFrame([("a",)], "node string")
+    assert sorted((r["node"], r["depth"]) for r in graph.traverse(e, s, 5).collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    assert {r["depth"] for r in graph.impact_walk(e, s, 4).collect()} == {0, 1, 2}
+
+
+def test_upsert_keeps_sticky_columns(spark):
+    old = spark.createDataFrame([("s", "a", "h1", "old", "p")], "source_id string, slug string, content_hash string, title string, origin string")
+    new = spark.createDataFrame([("s", "a", "h2", "new", None), ("s", "b", "h3", "b", "q")], old.schema)
+    got = {r["slug"]: (r["title"], r["origin"], r["change"]) for r in storage.upsert_pages(old, new, sticky=("origin",)).collect()}
+    assert got == {"a": ("new", "p", "update"), "b": ("b", "q", "insert")}
+
+
+def test_clusters_by_leader(spark):
+    f = spark.createDataFrame([(k, "e", "m", k, [1.0, 0.01 * k]) for k in range(3)] + [(9, "e", "m", 9, [0.0, 1.0])], "fact_id long, entity_slug string, claim_metric string, valid_from long, v array<double>")
+    assert {r["fact_id"]: r["leader_id"] for r in sequences.cluster_facts(f).collect()} == {9: 9, 2: 2, 1: 2, 0: 2}
+
+
+def test_greedy_similar(spark):
+    h = spark.createDataFrame([(1, 1, 3.0, "a b c d"), (1, 2, 2.0, "a b c d"), (1, 3, 1.0, "x y")], "query_id long, chunk_id long, score double, text string")
+    assert sorted(r["chunk_id"] for r in fusion.greedy_similar(h).collect()) == [1, 3]
+
+
+def test_word_jaccard_against_brute_force(spark):
+    texts = {1: "a b c d e f g", 2: "a b c d e f g h", 3: "g f e d c b a", 4: "x y z", 5: "x y z w", 6: ""}
+    sets = {k: set(t.split()) for k, t in texts.items()}
+    want = {(a, b) for a in texts for b in texts if a < b and sets[a] and sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
+    got = {(r["a"], r["b"]) for r in joins.word_jaccard_pairs(spark.createDataFrame(list(texts.items()), "id long, text string")).collect()}
+    # equal sets hang on their least member
+    assert got <= want and {(1, 3), (1, 2)} <= got
+
+
+def test_read_corpus(spark, tmp_path):
+    (tmp_path / "people").mkdir()
+    (tmp_path / "people" / "ada.md").write_text("# Ada L\n\nBody #math text\n## Timeline\n- **2024-01-02** | met")
+    (tmp_path / "daily").mkdir()
+    (tmp_path / "daily" / "2024-03-04-log.md").write_text("plain")
+    got = {r["slug"]: r for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
+    assert got["people/ada"]["title"] == "Ada L" and got["people/ada"]["type"] == "person" and got["people/ada"]["tags"] == ["math"]
+    assert got["people/ada"]["timeline"].startswith("- **2024") and str(got["daily/2024-03-04-log"]["date"]) == "2024-03-04"
