@@ -142,12 +142,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     length = F.size("v")
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     queries = rows.where(F.col("vec_id") % every == 0).withColumn("home", home).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("dim", length)
-    there = rows.withColumn("shard", home).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("dim", length)
+    there = rows.select(F.col("vec_id").alias("x_id"), F.col("v").alias("x"), home.alias("shard"), length.alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def met(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        found = search(np.stack(q["v"].to_numpy()), q["vec_id"].to_numpy(), q["kth"].to_numpy(), np.stack(x["v"].to_numpy()), x["vec_id"].to_numpy(), k)
+        found = search(np.stack(q["v"].to_numpy()), q["vec_id"].to_numpy(), q["kth"].to_numpy(), np.stack(x["x"].to_numpy()), x["x_id"].to_numpy(), k)
         ids = np.concatenate([f[0] for f in found])
         scores = [min(max(int(s), _LONG[0]), _LONG[1]) for f in found for s in f[1]]
         return pd.DataFrame({"query_id": np.repeat(q["vec_id"].to_numpy(), [len(f[0]) for f in found]), "vec_id": ids, "score": np.array(scores, dtype="int64")})
