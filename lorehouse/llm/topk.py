@@ -102,7 +102,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, kth: np.ndarray, x: np.ndarray, x_i
             members = tree.order[a:b]
             rows = active[leaf[at] == node]
             if wide:
-                scores = np.array([[sum(int(u) * w for u, w in zip(q[r], whole[m], strict=True)) for m in members] for r in rows], dtype=object)
+                scores = np.array([[min(max(sum(int(u) * w for u, w in zip(q[r], whole[m], strict=True)), _LONG[0]), _LONG[1]) for m in members] for r in rows], dtype=object)
             else:
                 scores = q[rows] @ x[members].T
             for r, s in zip(rows, scores, strict=True):
@@ -149,7 +149,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         found = search(np.stack(q["v"].to_numpy()), q["vec_id"].to_numpy(), q["kth"].to_numpy(), np.stack(x["x"].to_numpy()), x["x_id"].to_numpy(), k)
         ids = np.concatenate([f[0] for f in found])
-        scores = [min(max(int(s), _LONG[0]), _LONG[1]) for f in found for s in f[1]]
+        scores = [int(s) for f in found for s in f[1]]
         return pd.DataFrame({"query_id": np.repeat(q["vec_id"].to_numpy(), [len(f[0]) for f in found]), "vec_id": ids, "score": np.array(scores, dtype="int64")})
 
     def against(asked: DataFrame) -> DataFrame:
