@@ -37,12 +37,15 @@ def vector_knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     each task keeps k rows for each query, and only those are shuffled.
     """
     spark = queries.sparkSession
-    ordered = queries.where(F.col("v").isNotNull()).select("query_id", F.col("v").cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    parts = []
-    for block in range(max(1, -(-queries.count() // QUERY_BLOCK))):
-        rows = ordered.where(F.col("block") == block).collect()
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.where(F.col("v").isNotNull()).select("query_id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    parts = [spark.createDataFrame([], "query_id bigint, id bigint, sim double")]
+    for block in range(blocks):
+        rows = asked.where(F.col("block") == block).collect()  # about QUERY_BLOCK rows
+        if not rows:
+            continue
         ids = np.array([r["query_id"] for r in rows])
-        q = np.array([r["v"] for r in rows], dtype=float).reshape(len(rows), -1)
+        q = np.array([r["v"] for r in rows], dtype=float)
         q /= np.maximum(np.sqrt((q**2).sum(axis=1, keepdims=True)), 1e-300)
         shared = spark.sparkContext.broadcast((ids, q))
 
