@@ -9,9 +9,9 @@ coordinate however many shingles there are.
 
 Texts that agree in a band of coordinates are candidates. Every candidate link is
 checked exactly, on the sets of shingles, but a bucket is never expanded into all
-its pairs: first its members meet the bucket's first text; only members that are
-then still in different classes meet each other, and those of the bucket's largest
-class meet outsiders alone.
+its pairs: first its members meet the bucket's most central text; only members that
+are then still in different classes, and that can be alike by what they share with
+any other text, meet each other.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 24 bands of 5: a pair at 0.8 meets with a chance of 0.9999.
 BANDS, ROWS = 24, 5
+#: Size of the filter over the keys of candidates that goes to all tasks: 16 MB. It lets
+#: through one text in a hundred at ten million keys, and more beyond, all of which a join drops.
+FILTER_BITS = 1 << 27
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,21 +150,47 @@ def band_rows(docs: DataFrame) -> DataFrame:
     return signatures.select(F.explode("bands").alias("band"), "key").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose shingle sets have at least that Jaccard similarity."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def membership(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter over keys as bytes: bits / 8 of them, however many keys there are. Spark builds it in pieces of 4 kB."""
+    at = keys.select(F.explode(_places(bits)).alias("p")).select((F.col("p") + 1).alias("p"))
+    pieces = at.groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b")).collect()
+    out = np.zeros((bits // 32_768, 4_096), dtype=np.uint8)
+    for r in pieces:
+        out[r["n"] - 1] = np.frombuffer(r["b"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _places(bits: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64("key", F.lit(k)), F.lit(bits)) for k in range(3)])
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, set) of the texts whose key is among keys: 32 bits of each shingle's hash, which tell the shingles of two texts apart.
+
+    A filter of fixed size over keys goes to the texts, so that most of them never
+    leave their task; the join by key that follows drops what it let through.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(membership(keys))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = held.value
         for batch in batches:
-            for part in _chunks(batch["text"]):
-                rows = batch.iloc[part]
+            if not len(batch):
+                continue
+            p = np.stack(batch["places"].to_numpy())
+            some = batch[((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=1)].drop_duplicates("key")
+            for part in _chunks(some["text"]):
+                rows = some.iloc[part]
                 of, x, _ = shingles(list(rows["text"]))
                 cuts = np.searchsorted(of, np.arange(1, len(rows)))
-                # 32 bits of the hash tell the few thousand shingles of two texts apart
                 yield pd.DataFrame({"key": rows["key"].to_numpy(), "set": [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in np.split(x, cuts)]})
 
-    texts = docs.select(text_key(F.col("text")), "text").join(involved, "key", "left_semi").dropDuplicates(["key"])
-    found = cut(texts.mapInPandas(sets, "key binary, set array<int>"))
+    texts = docs.select(text_key(F.col("text")), "text").withColumn("places", _places(FILTER_BITS))
+    return texts.mapInPandas(sets, "key binary, set array<int>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose shingle sets have at least that Jaccard similarity."""
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -172,7 +201,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
                 keep.append(shared >= similarity * (len(p) + len(q) - shared) - 1e-9 and shared > 0)
             yield batch.loc[keep, ["a", "b"]]
 
-    one, two = found.select(F.col("key").alias("b"), F.col("set").alias("q")), found.select(F.col("key").alias("a"), F.col("set").alias("p"))
+    one, two = sets.select(F.col("key").alias("b"), F.col("set").alias("q")), sets.select(F.col("key").alias("a"), F.col("set").alias("p"))
     return pairs.join(one, "b").join(two, "a").select("a", "b", "p", "q").mapInPandas(alike, "a binary, b binary")
 
 
@@ -191,34 +220,62 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(key, label) of all linked texts, and the links (a, b) between different texts that were checked."""
+    """(key, label) of all linked texts, and the links (a, b) between different texts that were checked.
+
+    In a first round the members of a bucket meet its most central text, that which
+    shares most buckets with most texts: of a family of copies it is the original or
+    one near it, and explains most of the family. What is left in different classes
+    meets in a second round (`_unexplained`).
+    """
     rows = cut(band_rows(docs))
-    buckets = rows.groupBy("band").agg(F.min("key").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    members = cut(rows.join(buckets, "band"))
-    met = cut(members.where(F.col("key") != F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
-    found = cut(verified(met, docs, similarity))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = cut(rows.join(sizes, "band"))
+    degree = cut(members.groupBy("key").agg(F.sum("n").alias("degree")))
+    first = members.join(degree, "key").groupBy("band").agg(F.max(F.struct("degree", "key"))["key"].alias("first"))
+    met = cut(members.join(first, "band").where(F.col("key") != F.col("first")).select(F.least("first", "key").alias("a"), F.greatest("first", "key").alias("b")).distinct())
+    sets = cut(shingle_sets(docs, degree.select("key")))
+    found = cut(verified(met, sets, similarity))
     labels = components(found)
-
-    # What a bucket's first text doesn't explain.
-    labelled = cut(members.join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label")))
-    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where(F.col("parts") > 1).select("band", F.col("top.label").alias("main"))
-    open_rows = labelled.join(largest, "band")
-    outside = open_rows.where(F.col("label") != F.col("main")).select("band", F.col("key").alias("u"), F.col("label").alias("u_label"))
-    across = (
-        outside.join(open_rows.select("band", F.col("key").alias("v"), F.col("label").alias("v_label"), (F.col("label") == F.col("main")).alias("inner")), "band")
-        .where((F.col("u_label") != F.col("v_label")) & (F.col("inner") | (F.col("u") < F.col("v"))))
-        .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        .distinct()
-        .join(met, ["a", "b"], "left_anti")
-    )
-    more = cut(across)
+    more = cut(_unexplained(members, labels, sets, similarity).join(met, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        found = cut(found.unionByName(verified(more, docs, similarity)))
+        found = cut(found.unionByName(verified(more, sets, similarity)))
         labels = components(found)
     return labels, found
 
 
+def _unexplained(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts in buckets of several classes that lie in different classes and can still be alike.
+
+    An exact join by prefix: two sets that are alike share one of the rarest few of
+    their shingles, and early enough for what follows to suffice. A shingle that no
+    other open text has is counted but joins nothing, so that an outsider of a
+    family, whose own edits come first in its order, is settled without a partner.
+    Texts of the class that has most of a shingle's texts meet only others.
+    """
+    labelled = cut(members.join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label")))
+    several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("band")
+    open_texts = labelled.join(several, "band", "left_semi").select("key", "label").distinct()
+    ids = sets.join(open_texts, "key").select("key", F.xxhash64("key").alias("id"), F.xxhash64("label").alias("class"), F.size("set").alias("n"), "set")
+    tokens = cut(ids.select("id", F.explode("set").alias("token")))
+    often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where(F.col("df") > 1)
+    least = F.ceil(similarity * F.col("n") - 1e-9).cast("int")
+    ordered = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # of one text
+    ordered = ordered.withColumn("c", F.size("t")).join(ids.select("id", "class", "n"), "id").where(F.col("c") >= least)
+    prefix = cut(
+        ordered.select("id", "class", "n", "c", F.posexplode(F.slice("t", F.lit(1), F.col("c") - least + 1)).alias("k", "t"))
+        .select("id", "class", "n", (F.col("c") - F.col("k")).alias("rest"), F.col("t.token").alias("token"))
+    )
+    main = prefix.groupBy("token", "class").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "class")).alias("top"), F.count("*").alias("parts")).where(F.col("parts") > 1).select("token", F.col("top.class").alias("main"))
+    both = prefix.join(main, "token")
+    u = both.where(F.col("class") != F.col("main")).select("token", F.col("id").alias("u"), F.col("class").alias("u_class"), F.col("n").alias("un"), F.col("rest").alias("ur"))
+    v = both.select(F.col("token").alias("t"), F.col("id").alias("v"), F.col("class").alias("v_class"), (F.col("class") == F.col("main")).alias("inner"), F.col("n").alias("vn"), F.col("rest").alias("vr"))
+    enough = F.least("ur", "vr", "un", "vn") >= similarity / (1 + similarity) * (F.col("un") + F.col("vn")) - 1e-9
+    pairs = u.join(v, (F.col("token") == F.col("t")) & (F.col("u_class") != F.col("v_class")) & (F.col("inner") | (F.col("u") < F.col("v"))) & enough).select("u", "v").distinct()
+    named = ids.select("id", "key")
+    pairs = pairs.join(named.select(F.col("id").alias("u"), F.col("key").alias("x")), "u").join(named.select(F.col("id").alias("v"), F.col("key").alias("y")), "v")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_links and key for every row of docs.
 
