@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ from ..functions import columns as C
 
 #: Queries whose vectors go to all tasks at once; more are taken in blocks.
 QUERY_BLOCK = 4_096
+#: The same for queries of terms.
+TERM_BLOCK = 512
+_TERM = re.compile(r"[a-z0-9]+")
 
 
 def top_k(df: DataFrame, k: int, by: tuple[str, ...], *order) -> DataFrame:
@@ -20,16 +24,80 @@ def top_k(df: DataFrame, k: int, by: tuple[str, ...], *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def lexical_join(query_terms: DataFrame, postings: DataFrame, n_chunks: int, k: int = 100) -> DataFrame:
-    """(query_id, chunk_id, page_id, score, rank): sum over the terms of a query (query_id, term) of (1 + ln tf) ln(1 + N / df). Terms no query has never leave the map side of the join's filter."""
-    wanted = query_terms.distinct()
-    hits = postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").withColumn("w", (1 + F.log("tf")) * F.log(1 + F.lit(n_chunks) / F.col("df"))).select("term", "chunk_id", "page_id", "w")
-    out = wanted.join(scored, "term").groupBy("query_id", "chunk_id", "page_id").agg(F.round(F.sum("w"), 6).alias("score"))
+def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFrame:
+    """(query_id, chunk_id, page_id, score, rank): for queries (query_id, text) the k best of chunks (chunk_id, page_id, chunk_text) by the sum over shared ASCII terms of (1 + ln tf) ln(1 + N / df).
+
+    Queries go to the tasks in blocks of TERM_BLOCK, with their vocabulary. A task
+    counts a batch's terms into a matrix, multiplies it with the queries and keeps k
+    rows for each; the matches of common terms are never rows of a join.
+    """
+    spark = queries.sparkSession
+    kind = chunks.schema["page_id"].dataType.simpleString()
+    blocks = max(1, -(-queries.count() // TERM_BLOCK))
+    asked = queries.select("query_id", "text", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    out = spark.createDataFrame([], f"query_id bigint, chunk_id bigint, page_id {kind}, score double")
+    for block in range(blocks):
+        rows = asked.where(F.col("block") == block).collect()  # about TERM_BLOCK rows
+        sets = [sorted(set(_TERM.findall((r["text"] or "").lower()))) for r in rows]
+        words = {t: n for n, t in enumerate(sorted({t for s in sets for t in s}))}
+        if not words:
+            continue
+        shared = spark.sparkContext.broadcast(words)
+
+        def counted(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            n, df = 0, np.zeros(len(shared.value), dtype=np.int64)
+            for batch in batches:
+                n += len(batch)
+                for m in _matrices(batch["chunk_text"], shared.value):
+                    df += (m > 0).sum(axis=0)
+            yield pd.DataFrame({"term": np.arange(-1, len(df)), "n": np.concatenate([[n], df])})
+
+        found = {r["term"]: r["n"] for r in chunks.select("chunk_text").mapInPandas(counted, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        weight = np.zeros((len(words), len(rows)))
+        for q, s in enumerate(sets):
+            for t in s:
+                if df := found.get(words[t]):
+                    weight[words[t], q] = np.log(1 + found[-1] / df)
+        held = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), weight))
+
+        def scored(batches: Iterator[pd.DataFrame], shared=shared, held=held) -> Iterator[pd.DataFrame]:
+            ids, weight = held.value
+            best = None
+            for batch in batches:
+                at = 0
+                for m in _matrices(batch["chunk_text"], shared.value):
+                    some = batch.iloc[at : at + len(m)]
+                    at += len(m)
+                    s = np.round(np.where(m > 0, 1 + np.log(np.maximum(m, 1)), 0.0) @ weight, 6)
+                    c, q = np.nonzero(s)
+                    new = pd.DataFrame({"query_id": ids[q], "chunk_id": some["chunk_id"].to_numpy()[c], "page_id": some["page_id"].to_numpy()[c], "score": s[c, q]})
+                    best = new if best is None else pd.concat([best, new])
+                    if len(best) > 4 * k * len(ids):
+                        best = _first(best, k)
+            if best is not None:
+                yield _first(best, k)
+
+        out = out.unionByName(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "page_id", "chunk_text").mapInPandas(scored, out.schema))
     return top_k(out, k, ("query_id",), F.desc("score"), "chunk_id")
 
 
+def _first(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    return hits.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+
+
+def _matrices(texts: pd.Series, words: dict[str, int], cells: int = 4_000_000) -> Iterator[np.ndarray]:
+    """Counts of words in texts, some rows at a time so that a matrix stays small."""
+    step = max(1, cells // len(words))
+    for a in range(0, len(texts), step):
+        part = texts.iloc[a : a + step]
+        m = np.zeros((len(part), len(words)))
+        for n, t in enumerate(part):
+            for w in _TERM.findall((t or "").lower()):
+                if (j := words.get(w)) is not None:
+                    m[n, j] += 1
+        yield m
+
+
 def vector_knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, id, sim, rank): for queries (query_id, v) the k rows of corpus (id, v) of highest cosine, ties to the smaller id.
 

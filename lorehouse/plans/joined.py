@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..operators import joins as J
 from ..operators.aggregates import dead_links
 from .registry import query
-from .views import NOW, Views, terms
+from .views import NOW, Views
 
 _Q = "q as (select distinct query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from questions)"
 LEXICAL = f"""{_Q}, df as (select term, count(*) as df from postings where term in (select term from q) group by 1),
@@ -20,8 +20,7 @@ knn as (select *, row_number() over (partition by query_id order by sim desc, id
 
 
 def lexical(v: Views):
-    q = terms(v.questions().select("query_id", "text"), "text")
-    return J.lexical_join(q, v.postings(), v.chunks().count())
+    return J.lexical_join(v.questions(), v.chunks())
 
 
 def vector(v: Views, k: int = 30):
