@@ -68,7 +68,9 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
                 for m in _matrices(batch["chunk_text"], shared.value):
                     some = batch.iloc[at : at + len(m)]
                     at += len(m)
-                    s = np.round(np.where(m > 0, 1 + np.log(np.maximum(m, 1)), 0.0) @ weight, 6)
+                    there = np.nonzero(m)
+                    m[there] = 1 + np.log(m[there])
+                    s = np.round(m @ weight, 6)
                     c, q = np.nonzero(s)
                     new = pd.DataFrame({"query_id": ids[q], "chunk_id": some["chunk_id"].to_numpy()[c], "page_id": some["page_id"].to_numpy()[c], "score": s[c, q]})
                     best = new if best is None else pd.concat([best, new])

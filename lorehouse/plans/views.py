@@ -15,7 +15,10 @@ class Views:
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{table}.parquet")
+        """A table; documents of fewer splits than there are cores are dealt out, as a small file may be a single row group."""
+        df = self.spark.read.parquet(f"{self.dir}/{table}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if table == "documents" and df.rdd.getNumPartitions() < cores else df
 
     def pages(self) -> DataFrame:
         d, q = self.raw("documents"), self.raw("labels").select(F.col("doc_id").alias("l_id"), "quality")
