@@ -32,6 +32,8 @@ BANDS, ROWS = 24, 5
 #: Size of the filter over the keys of candidates that goes to all tasks: 16 MB. It lets
 #: through one text in a hundred at ten million keys, and more beyond, all of which a join drops.
 FILTER_BITS = 1 << 27
+#: Darts drawn at once.
+DARTS = 100_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,14 +94,20 @@ def dart_minhash(of: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
         found = []
         turn = 0
         while len(live):
-            turn += 1
-            x = _mix(seed[live] + np.uint64(int(_GOLD) * turn % (1 << 64)))
-            rank = rank - np.log1p(-((x >> np.uint64(11)).astype(float) * 2.0**-53)) / rate[live]
-            stay = rank <= limit[of[row[live]]]
-            live, rank, x = live[stay], rank[stay], x[stay]
-            place = (_mix(x ^ _M1) >> np.uint64(11)).astype(float) * 2.0**-53 * rate[live] + rate[live] - 1
-            hit = place < weight[row[live]]
-            found.append((of[row[live[hit]]] * k + (_mix(x[hit] ^ _M2) % np.uint64(k)).astype(np.int64), rank[hit], x[hit]))
+            width = max(1, min(64, DARTS // len(live)))  # darts drawn at once for each element
+            turns = np.arange(turn + 1, turn + 1 + width, dtype=np.uint64)
+            turn += width
+            x = _mix(seed[live][:, None] + _GOLD * turns)
+            gaps = -np.log1p(-((x >> np.uint64(11)).astype(float) * 2.0**-53)) / rate[live][:, None]
+            ranks = rank[:, None] + np.cumsum(gaps, axis=1)
+            near = ranks <= limit[of[row[live]]][:, None]
+            e, x, r = row[live[np.nonzero(near)[0]]], x[near], ranks[near]
+            r2 = rate[live[np.nonzero(near)[0]]]
+            hit = (_mix(x ^ _M1) >> np.uint64(11)).astype(float) * 2.0**-53 * r2 + r2 - 1 < weight[e]
+            e, x, r = e[hit], x[hit], r[hit]
+            found.append((of[e] * k + (_mix(x ^ _M2) % np.uint64(k)).astype(np.int64), r, x))
+            stay = near[:, -1]
+            live, rank = live[stay], ranks[stay, -1]
         cell, ranks, dart = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((ranks, cell))
         cell, dart = cell[order], dart[order]
@@ -119,7 +127,7 @@ def bands(ids: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return out.view(np.int64)
 
 
-def _chunks(texts: pd.Series, chars: int = 1_500_000) -> Iterator[slice]:
+def _chunks(texts: pd.Series, chars: int = 500_000) -> Iterator[slice]:
     start = total = 0
     for n, t in enumerate(texts):
         total += len(t or "")
