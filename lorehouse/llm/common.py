@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -13,16 +16,39 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same for Spark's regular expressions.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1_000
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table; one of fewer splits than the cluster has cores is dealt out, as a small file may be a single row group."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Has at most BATCH_ROWS rows of text go to a Python worker at a time, in this session from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def trimmed(run):
+    """run, and at its end what it freed goes back to the system: a worker is used again by other tasks."""
+
+    def trim(batches):
+        yield from run(batches)
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return trim
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the cluster names none."""
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, trimmed
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -154,7 +154,7 @@ def band_rows(docs: DataFrame) -> DataFrame:
                 ids, has = dart_minhash(of, x, np.minimum(count, 1), len(rows))
                 yield pd.DataFrame({"key": rows["key"].to_numpy()[has], "bands": list(bands(ids[has]))})
 
-    signatures = docs.select(text_key(F.col("text")), "text").mapInPandas(signed, "key binary, bands array<bigint>")
+    signatures = docs.select(text_key(F.col("text")), "text").mapInPandas(trimmed(signed), "key binary, bands array<bigint>")
     return signatures.select(F.explode("bands").alias("band"), "key").distinct()
 
 
@@ -194,7 +194,7 @@ def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": rows["key"].to_numpy(), "set": [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in np.split(x, cuts)]})
 
     texts = docs.select(text_key(F.col("text")), "text").withColumn("places", _places(FILTER_BITS))
-    return texts.mapInPandas(sets, "key binary, set array<int>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return texts.mapInPandas(trimmed(sets), "key binary, set array<int>").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -210,7 +210,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.loc[keep, ["a", "b"]]
 
     one, two = sets.select(F.col("key").alias("b"), F.col("set").alias("q")), sets.select(F.col("key").alias("a"), F.col("set").alias("p"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "p", "q").mapInPandas(alike, "a binary, b binary")
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "p", "q").mapInPandas(trimmed(alike), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:

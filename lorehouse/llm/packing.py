@@ -36,12 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trimmed
 
 CAPACITY = 4096
 END = 1
 #: Words, and runs between white space, that a worker remembers the ids of before it starts afresh.
-MEMO = 500_000
+MEMO = 200_000
 #: Rows of one length that one task ranks, about.
 RANKED = 1_000_000
 
@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
             yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[row].array, "piece": np.array(piece, "int32"), "start": np.array(start, "int64"), "length": np.array(length, "int64"), "ids_crc32": np.array(crc, "int64")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(cut_up, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", "text").mapInPandas(trimmed(cut_up), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # --- the rounds -----------------------------------------------------------------
@@ -245,7 +245,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     kind = out.schema["doc_id"].dataType.simpleString()
-    return out.mapInPandas(seat, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return out.mapInPandas(trimmed(seat), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, trimmed
 
 #: Labelled rows that the trees are fitted to, at most.
 TRAIN_ROWS = 20_000
@@ -149,7 +149,7 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], n_trees: int = 60, depth
 # --- on Spark ---------------------------------------------------------------------
 
 
-def _per_batch(trees: Trees | None, limit: float, labelled: bool):
+def _per_batch(trees: Trees | None, limit: float, labelled: bool, with_text: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             both = [statistics(t) for t in batch["text"]]
@@ -160,7 +160,7 @@ def _per_batch(trees: Trees | None, limit: float, labelled: bool):
             base = np.array([b for b, _ in both], dtype=np.int64).reshape(-1, len(BASE))
             failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
             low = trees.chance(x) if trees else np.zeros(len(x))
-            yield batch.drop(columns="text").assign(**dict(zip(BASE, base.T, strict=True)), base_failed=failed, kept=~failed & (low < limit), low_quality=low)
+            yield (batch if with_text else batch.drop(columns="text")).assign(**dict(zip(BASE, base.T, strict=True)), base_failed=failed, kept=~failed & (low < limit), low_quality=low)
 
     return run
 
@@ -200,14 +200,5 @@ def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols[1:])
     out = f"{kinds}, {', '.join(f'{c} bigint' for c in BASE)}, base_failed boolean, kept boolean, low_quality double"
     if "text" in keep:
-        return docs.select(*cols).withColumn("_text", F.col("text")).mapInPandas(_with_text(_per_batch(trees, limit, False)), f"text string, {out}")
-    return docs.select(*cols).mapInPandas(_per_batch(trees, limit, False), out)
-
-
-def _with_text(run):
-    def kept_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for got in run(iter([batch.drop(columns="_text")])):
-                yield got.assign(text=batch["_text"])
-
-    return kept_text
+        out = f"text string, {out}"
+    return docs.select(*cols).mapInPandas(trimmed(_per_batch(trees, limit, False, "text" in keep)), out)
