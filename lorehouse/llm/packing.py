@@ -47,8 +47,9 @@ RANKED = 1_000_000
 
 # --- ids of a word model ------------------------------------------------------
 
-#: Texts of these characters alone are cut into words here, by tables that no
-#: Unicode version changes; others go to the library whole.
+#: Texts whose lower case has these characters alone are cut into words here, by
+#: tables that no Unicode version changes; others go to the library whole. Capitals
+#: such as U+018F have a lower case beyond the tables.
 _TOP = 0x250
 _OWN = "[\\x00-\\u024f\\u2010-\\u2027\\u20ac]"
 _LETTERS = "".join(re.escape(chr(c)) for c in range(_TOP) if unicodedata.category(chr(c))[0] == "L")
@@ -94,8 +95,9 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text) and not _ODD.search(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.runs.__getitem__, text.lower().split()))
+        low = text.lower()
+        if _PLAIN.fullmatch(low) and not _ODD.search(low) and not any(s in text for s in self.special):
+            return b"".join(map(self.runs.__getitem__, low.split()))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 

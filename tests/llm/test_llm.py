@@ -84,6 +84,21 @@ def test_word_ids_equal_the_library():
         assert w.encode(t) == np.array(w.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_word_ids_where_lower_case_leaves_the_tables():
+    w = packing.word_ids(packing.model_path())
+    want = lambda t: np.array(w.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    far = [chr(c) for c in range(packing._TOP) if any(ord(x) >= packing._TOP for x in chr(c).lower())]
+    assert len(far) >= 23 and np.frombuffer(w.encode("\u018fli"), "<u4").tolist() == [133, 247, 4250]
+    near = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if packing._PLAIN.fullmatch(c.lower())]
+    for c in far + near:
+        for t in (c + "li", f"a{c}b", f"1{c}."):
+            assert w.encode(t) == want(t), t
+    rnd = random.Random(3)
+    for _ in range(2000):
+        t = "".join(rnd.choice(far if rnd.random() < 0.3 else ["a", "Li", " ", "'s", "1", "é", "İ", ".", "\n", "ə"]) for _ in range(rnd.randint(1, 9)))
+        assert w.encode(t) == want(t), t
+
+
 def _check_packing(df, rows):
     ids = packing.word_ids(packing.model_path())
     pieces = {}
