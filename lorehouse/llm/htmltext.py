@@ -4,7 +4,8 @@ Paragraphs pass points for their length and commas to their ancestors, less at e
 step; what an ancestor gets is discounted by the share of its text that is link
 text. The best container is kept, with the siblings that look like parts of the
 same text. Menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments are left out by element and by class, id or role.
+comments are left out by element and by class, id or role. A name counts as a whole
+token, and not where its element holds most of the page's prose.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ OTHER = frozenset(
     "complementary contentinfo widget comment comments disqus respond reply replies cookie cookies consent gdpr notice alert notification popup modal overlay newsletter subscribe signup login "
     "share sharing social related recommended recommendations pagination pager toolbar search skip legal disclaimer copyright hidden".split()
 )
+#: What may stand before and after these words in a token, as in site-header or comment-list.
+BEFORE = "site global main top bottom left right primary secondary mobile sticky".split()
+AFTER = "bar wrapper wrap container list area box links section item items form body button".split()
+#: Words that name something other than the text however much of the page it is.
+NEVER = frozenset("comment comments disqus respond reply replies cookie cookies consent gdpr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset(("html", "body", "main"))
 ARTICLE = frozenset(("article", "main"))
 #: An open element of the first kind ends where one of the second begins.
@@ -44,33 +51,44 @@ ENDS = {
 SCOPE = frozenset("table td th ul ol dl div section article aside nav header footer main body html form button blockquote".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: One attribute after the other, values with them, so that no name is found within a value.
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _WORDS = re.compile(r"[a-z]+")
+_OTHER_TOKEN = re.compile("(?:(?:{0})[-_]+)*(?:{1})(?:[-_]+(?:{1}))*(?:[-_]+(?:{2}))*(?:[-_]*[0-9]+)?".format("|".join(BEFORE), "|".join(sorted(OTHER)), "|".join(AFTER)))
+#: How an element is left out: its name says so, or nothing of it is ever text.
+NAMED, ALWAYS = 1, 2
 
 
 class Node:
-    __slots__ = ("chars", "children", "commas", "links", "out", "parent", "points", "tag", "text")
+    __slots__ = ("chars", "children", "commas", "links", "named", "out", "parent", "points", "prose", "tag", "text")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, named: bool = False):
+        self.tag, self.parent, self.out, self.named = tag, parent, out, named
         self.children: list[Node | str] = []
-        self.chars = self.links = self.commas = 0
+        self.chars = self.links = self.commas = self.prose = 0
         self.text = False
         self.points = 0.0
 
 
-def _other(tag: str, attributes: str) -> bool:
+def _other(tag: str, attributes: str) -> int:
+    """ALWAYS, NAMED or 0 for what may be text."""
     if tag in LEFT_OUT:
-        return True
+        return ALWAYS
     if tag in WHOLE or not attributes:
-        return False
-    for name, value in _NAMED.findall(attributes):
-        name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and "true" in value:
-            return True
-        if any(w in OTHER for w in _WORDS.findall(value.lower())):
-            return True
-    return False
+        return 0
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), "".join(values))  # the first of its name counts
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return ALWAYS
+    how = 0
+    for name in ("class", "id", "role"):
+        for token in html.unescape(found.get(name, "")).lower().split():
+            if _OTHER_TOKEN.fullmatch(token):
+                if not NEVER.isdisjoint(_WORDS.findall(token)):
+                    return ALWAYS
+                how = NAMED
+    return how
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -85,6 +103,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         here.children.append(text)
         if n := len(text.strip()):
             here.chars += n
+            here.prose += n
             here.commas += text.count(",")
             here.text = True
 
@@ -117,7 +136,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if node.tag in SCOPE:
                 break
             node = node.parent
-        new = Node(tag, here, here.out or _other(tag, m[3]))
+        how = 0 if here.out else _other(tag, m[3])
+        new = Node(tag, here, here.out or how == ALWAYS, how == NAMED)
         here.children.append(new)
         nodes.append(new)
         if tag in RAW:
@@ -125,6 +145,12 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             at = n if not end else page.find(">", end.start()) + 1 or n
         elif tag not in VOID:
             here = new
+    for x in reversed(nodes):  # children come after their parents
+        if x.parent is not None and x.tag != "a" and x.tag not in HEADINGS:
+            x.parent.prose += x.prose
+    for x in nodes:
+        if x.parent is not None:
+            x.out = x.out or x.parent.out or x.named and 2 * x.prose <= root.prose
     return root, nodes
 
 
@@ -161,7 +187,7 @@ def main_text(page: str | None) -> str:
     for x in nodes:
         if x.out or not x.chars or x.tag in INLINE:
             continue
-        if x.tag in PARAGRAPH or x.text and x.tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "html"):
+        if x.tag in PARAGRAPH or x.text and x.tag not in HEADINGS and x.tag != "html":
             points = 1 + x.commas + min(x.chars / 100, 3)
             if x.tag not in PARAGRAPH:
                 x.points += points

@@ -341,6 +341,33 @@ def test_main_text(page, want):
     assert htmltext.main_text(page) == want
 
 
+_LONG = "Prose, of the article, that goes on and on. " * 4
+
+
+@pytest.mark.parametrize(
+    ("attributes", "kept"),
+    [
+        ('style="overflow:hidden"', True), ('data-role="header" data-id=menu', True), ('title="hidden comment"', True), ('href="/view?id=legal"', True), ('class="content has-sidebar"', True), ('class="overflow-hidden"', True),
+        ("data-a='x' data-b=\"class='sidebar'\"", True), ('aria-hidden="false"', True), ('class="ad"', False), ("class='x sidebar'", False), ("ID=main-nav", False), ('class="site-header"', False), ('class="cookie-banner"', False),
+        ('role="navigation"', False), ("data-x=1 hidden", False), ('hidden=""', False), ('aria-hidden="true"', False), ('id="comment-12"', False),
+    ],
+)
+def test_names_of_attributes_alone(attributes, kept):
+    page = f"<div><p>{_LONG}</p><div {attributes}><p>A part, of it.</p></div><p>{_LONG}</p></div>"
+    assert htmltext.main_text(page) == " ".join(f"{_LONG} {'A part, of it.' * kept} {_LONG}".split())
+
+
+def test_links_in_the_text_stay():
+    page = f'<article><p>{_LONG}<a href="/the-hidden-cost.html">one</a>, <a title="hidden x" href="/view?id=legal">two</a>.</p></article>'
+    assert htmltext.main_text(page) == f"{_LONG}one, two."
+
+
+def test_names_of_what_holds_the_prose():
+    for name in ('class="legal"', 'id="header"', 'class="content sidebar"'):
+        assert htmltext.main_text(f"<div {name}><p>{_LONG}</p><p>{_LONG}</p></div><div><p>Short, here.</p></div>").startswith(_LONG), name
+    assert htmltext.main_text(f"<div><p>Short, here.</p></div><div class=comments><p>{_LONG}</p></div>") == "Short, here."
+
+
 def test_pages_whole(spark):
     import html
     import re
