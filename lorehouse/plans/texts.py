@@ -222,6 +222,12 @@ def name_mentions(v: Views):
     return T.name_mentions(v.raw("documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$")), "doc_id", "text")
 
 
+@query()
+def name_mentions_all(v: Views):
+    """Over all documents; the query above and its SQL take those of pure ASCII alone."""
+    return T.name_mentions(v.raw("documents"), "doc_id", "text")
+
+
 @query("sessions", """select session_id // 10 as question_id, session_id, string_agg(upper(role) || ': ' || text, chr(10) order by turn) as text from sessions group by all""")
 def flatten_sessions(v: Views):
     s = v.sessions().groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t.role.alias("role"), t.text.alias("content"))).alias("s"))

@@ -1,7 +1,11 @@
 """Operators on small cases with known answers."""
 
+import re
+
+from conftest import DATA
 from pyspark.sql import functions as F
 
+from lorehouse import catalog
 from lorehouse.functions import columns as C
 from lorehouse.operators import fusion, graph, joins, sequences, storage, text
 from lorehouse.sources import corpus
@@ -31,6 +35,27 @@ def test_redact(spark):
     assert got == "mail [EMAIL] call [PHONE] card [CARD] not 4111 1111 1111 1112 ssn [SSN] password=[REDACTED] https://[REDACTED]@h/x"
 
 
+def _names(t):
+    found = dict.fromkeys(m[0] for m in re.finditer(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b", t or "", re.ASCII))
+    org = re.compile(r"\b(Inc|Corp|Labs|Capital|Ventures|Group|Company|Foundation|University|General Public)\b")
+    return [(n, "company" if org.search(n) else "person") for n in found]
+
+
+def test_names_beside_letters_beyond_ascii(spark):
+    texts = {1: "Le café de Marie Curie, puis Acme Labs.", 2: "éJean Paul Sartre", 3: "Jean Luc Pené Übel Anna Karl", 4: "Ada Lovelace", 5: None, 6: ""}
+    got = text.name_mentions(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text")
+    assert sorted(got.collect()) == sorted((k, *n) for k, t in texts.items() for n in _names(t))
+    assert (1, "Marie Curie", "person") in got.collect() and (2, "Jean Paul Sartre", "person") in got.collect()
+
+
+def test_names_of_all_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    want = {(r["doc_id"], *n) for r in docs for n in _names(r["text"])}
+    got = catalog.QUERIES["name_mentions_all"](spark, DATA).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert any(k in {r["doc_id"] for r in docs if not r["text"].isascii()} for k, _, _ in want)
+
+
 def test_chunk_text_sizes():
     words = " ".join(f"w{i}." for i in range(1000))
     chunks = text.chunk_text(words, 100, 10)
