@@ -73,8 +73,10 @@ def land_records(stream: DataFrame, allowed: list[str], sink: str, checkpoint: s
     def land(batch: DataFrame, _: int) -> None:
         key = ["source", "record", "version"]
         rows = batch.select(*key, "body", F.map_filter("meta", lambda k, v: k.isin(allowed)).alias("meta"))
-        rows = rows.withColumn("body", redact(F.col("body"))).where(F.char_length(F.trim("body")) >= LEAST_SUBSTANCE).dropDuplicates(key)
-        rows.join(existing(batch.sparkSession, sink, rows), key, "left_anti").write.mode("append").parquet(sink)
+        new = rows.join(existing(batch.sparkSession, sink, rows), key, "left_anti")
+        # Exploded, not filtered: a filter would be pushed below and redact each body once more.
+        body = F.filter(F.array(redact(F.col("body"))), lambda b: F.char_length(F.trim(b)) >= LEAST_SUBSTANCE)
+        new.select(*key, F.explode(body).alias("body"), "meta").dropDuplicates(key).write.mode("append").parquet(sink)
 
     stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -1,5 +1,7 @@
 """Operators on small cases with known answers."""
 
+import hashlib
+import json
 import re
 
 from conftest import DATA
@@ -56,6 +58,37 @@ def test_names_of_all_documents(spark):
     assert any(k in {r["doc_id"] for r in docs if not r["text"].isascii()} for k, _, _ in want)
 
 
+def _luhn(digits):
+    n = [int(c) for c in reversed(digits)]
+    return (sum(n[::2]) + sum(sum(divmod(2 * x, 10)) for x in n[1::2])) % 10 == 0
+
+
+def _redacted(t):
+    """redact() in plain Python, by patterns written out anew; word characters are letters and digits of any script."""
+    t = re.sub(r"://[^ \t\n\v\f\r/@:]+:[^ \t\n\v\f\r/@]+@", "://[REDACTED]@", t)
+    t = re.sub(r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[JWT]", t)
+    t = re.sub(r"\b[Bb][Ee][Aa][Rr][Ee][Rr][ \t\n\v\f\r]+[A-Za-z0-9._~+/-]+=*", "Bearer [REDACTED]", t)
+    names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
+    t = re.sub(rf"\b({names}|[aA][pP][iI][_-]?[kK][eE][yY])[ \t\n\v\f\r]*[:=][ \t\n\v\f\r]*\"?[^ \t\n\v\f\r\",;]+\"?", lambda m: m[1] + "=[REDACTED]", t)
+    t = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]", t)
+    t = re.sub(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[SSN]", t)
+    for c in dict.fromkeys(m[0] for m in re.finditer(r"\b[0-9](?:[ -]?[0-9]){12,18}\b", t)):
+        if _luhn(re.sub("[ -]", "", c)):
+            t = t.replace(c, "[CARD]")
+    return re.sub(r"(?:\+?1[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b", "[PHONE]", t)
+
+
+def test_all_records_land(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    bodies = {(r["source"], r["doc_id"]): (r["lang"], r["text"], _redacted(r["text"])) for r in docs}
+    want = {(*k, 1, lang, hashlib.md5(b.encode()).hexdigest()) for k, (lang, _, b) in bodies.items() if len(b.strip(" ")) >= 64}
+    rows = catalog.QUERIES["land_records_all"](spark, DATA).collect()
+    assert all(json.loads(r["meta"]).keys() == {"lang"} for r in rows)
+    got = {(r["source"], r["record"], r["version"], json.loads(r["meta"])["lang"], r["body_md5"]) for r in rows}
+    assert len(rows) == len(got) and got == want
+    assert any(a != b for _, a, b in bodies.values()) and len(want) < len(bodies)
+
+
 def test_chunk_text_sizes():
     words = " ".join(f"w{i}." for i in range(1000))
     chunks = text.chunk_text(words, 100, 10)
