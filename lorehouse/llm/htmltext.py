@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,10 +48,15 @@ ENDS = {
     "tr": frozenset(("tr", "tbody", "tfoot", "thead")), "td": frozenset(("td", "th", "tr", "tbody", "tfoot")), "th": frozenset(("td", "th", "tr", "tbody", "tfoot")),
     "h1": frozenset(("h1", "h2", "h3")), "h2": frozenset(("h1", "h2", "h3")), "h3": frozenset(("h1", "h2", "h3")),
 }
+#: The same by the element that begins.
+ENDED_BY = {t: tuple(sorted(k for k, v in ENDS.items() if t in v)) for t in frozenset().union(*ENDS.values())}
 #: Where an implied end stops looking for what it ends.
 SCOPE = frozenset("table td th ul ol dl div section article aside nav header footer main body html form button blockquote".split())
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: To the end of a tag; a > within quotes does not end it.
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_MARKS = re.compile("[\"'>]")
 #: One attribute after the other, values with them, so that no name is found within a value.
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _WORDS = re.compile(r"[a-z]+")
@@ -91,12 +97,50 @@ def _other(tag: str, attributes: str) -> int:
     return how
 
 
+class _Ends:
+    """Where the tag that a place lies in ends.
+
+    The first tag that never ends would be looked at up to the end of the page, and
+    so would each one after it: from then on the ends come from a table of all quotes
+    and closing marks, filled once from the last to the first.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.marks = page, None
+
+    def after(self, at: int) -> int:
+        """The place behind the tag's end, or 0 if there is none."""
+        if self.marks is None:
+            if m := _REST.match(self.page, at):
+                return m.end()
+            self.marks = [m.start() for m in _MARKS.finditer(self.page)]
+            self.ends = [0] * (len(self.marks) + 1)
+            nxt = {'"': len(self.marks), "'": len(self.marks)}  # the next mark of its kind
+            for k in range(len(self.marks) - 1, -1, -1):
+                c = self.page[self.marks[k]]
+                if c == ">":
+                    self.ends[k] = self.marks[k] + 1
+                else:  # a quoted run: on from behind the quote that closes it
+                    close = nxt[c]
+                    self.ends[k] = self.ends[close + 1] if close < len(self.marks) else 0
+                    nxt[c] = k
+        return self.ends[bisect_left(self.marks, at)]
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The root and all elements in page order. Unclosed elements end with their parent; a closing tag that fits nothing open is passed over."""
+    """The root and all elements in page order. Unclosed elements end with their parent; a closing tag that fits nothing open is passed over; a tag that never ends is text.
+
+    Time grows with the page alone: open elements are kept by name, so that no tag
+    walks over others than those that it ends.
+    """
     root = Node("html", None, False)
-    nodes, here, at = [root], root, 0
+    nodes, opened, at = [root], [root], 0
+    by_name: dict[str, list[int]] = {}  # places in `opened`
+    scopes: list[int] = [0]
+    ends = _Ends(page)
 
     def put(raw: str) -> None:
+        here = opened[-1]
         if here.out or not raw:
             return
         text = html.unescape(raw) if "&" in raw else raw
@@ -107,44 +151,56 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             here.commas += text.count(",")
             here.text = True
 
-    find, n = _TAG.search, len(page)
-    while at < n:
-        m = find(page, at)
-        if not m:
-            put(page[at:])
-            break
-        put(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if not tag:
+    def close(place: int) -> None:
+        while len(opened) > place:
+            tag = opened.pop().tag
+            by_name[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+
+    n, begun = len(page), 0
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            put(page[begun:lt])
+            end = page.find("-->", lt + 4)
+            at = begun = n if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            put(page[begun:lt])
+            at = begun = page.find(">", lt) + 1 or n
+            continue
+        m = _NAME.match(page, lt + 1)
+        end = ends.after(m.end()) if m else 0
+        if not end:
+            at = lt + 1
             continue
-        tag = tag.lower()
-        if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+        put(page[begun:lt])
+        tag = m[0].lower()
+        attributes, at, begun = page[m.end() : end - 1], end, end
+        if tag[0] == "/":
+            if places := by_name.get(tag[1:]):
+                close(places[-1])
             continue
         if tag in ("html", "body"):
             continue
-        node = here
-        while node is not root:  # implied ends
-            if tag in ENDS.get(node.tag, ()):
-                here = node.parent
-                break
-            if node.tag in SCOPE:
-                break
-            node = node.parent
-        how = 0 if here.out else _other(tag, m[3])
+        # Implied ends: the innermost element that this one ends, if no scope lies within it.
+        if found := [places[-1] for t in ENDED_BY.get(tag, ()) if (places := by_name.get(t))]:
+            if max(found) >= scopes[-1]:
+                close(max(found))
+        here = opened[-1]
+        how = 0 if here.out else _other(tag, attributes)
         new = Node(tag, here, here.out or how == ALWAYS, how == NAMED)
         here.children.append(new)
         nodes.append(new)
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
-            at = n if not end else page.find(">", end.start()) + 1 or n
+            over = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
+            at = begun = n if not over else page.find(">", over.start()) + 1 or n
         elif tag not in VOID:
-            here = new
+            by_name.setdefault(tag, []).append(len(opened))
+            if tag in SCOPE:
+                scopes.append(len(opened))
+            opened.append(new)
+    put(page[begun:])
     for x in reversed(nodes):  # children come after their parents
         if x.parent is not None and x.tag != "a" and x.tag not in HEADINGS:
             x.parent.prose += x.prose
@@ -237,5 +293,11 @@ def main_texts(column: Column) -> Column:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row. Null and empty pages give an empty text; other columns are dropped; rows are never joined, so repeated ids stay."""
+    """page_id, url, text and n_chars of every row.
+
+    Null and empty pages give an empty text; other columns are dropped, whatever
+    their names; rows are never joined, so repeated and null ids stay. A page may be
+    of any length and as malformed as it likes: unclosed and stray tags cost time in
+    proportion, and a page is looked at whole.
+    """
     return pages.select("page_id", "url", main_texts(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -75,8 +75,7 @@ with v as (
     and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id
-  where q.vec_id % 50 = 0)
+  from (select distinct vec_id, e from v where vec_id % 50 = 0) q join v c on q.vec_id <> c.vec_id)
 select query_id, cast(rank as int) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 where rank <= 5
