@@ -3,8 +3,12 @@
 Each language has a model of order 4 over lower-cased letters, everything else
 being one space. n-grams are packed into integers, 15 bits a character, and kept in
 sorted arrays with their discounted probabilities and back-off weights. A text gets
-the language of the lowest cross-entropy per character; it is rejected where that
-lies beyond what nearly all training texts of the language have.
+the language of the lowest cross-entropy per character.
+
+Rejection is calibrated on documents that no model was fitted to: how far their
+entropy lies above their language's mean, in units of the spread that texts of their
+length have. The limit is the quantile of that excess over all languages, and a text
+beyond it keeps its language but loses its score.
 """
 
 from __future__ import annotations
@@ -13,16 +17,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Training documents of a language, about: those whose hash falls below bound / count.
 TRAIN_DOCS = 2_000
+#: Languages that are learned: those of the most training documents, ties by name. Part of the bound on the sample.
 MAX_LANGS = 1_000
+#: n-grams of a model at most, the most frequent ones, and those of all models together.
+MAX_GRAMS, ALL_GRAMS = 500_000, 20_000_000
+#: One in so many training documents sets the limits instead of being learned from.
+LIMIT_PART = 5
 ORDER, BITS = 4, 15
 SPACE = 32
-#: Training texts of a language that the rejection limit may reject.
+#: Texts of a known language that the limit may reject.
 REJECTS = 0.001
+#: Units of excess beyond the limit over which a score falls to about a third.
+FADE = 1.0
 #: Nats of cross-entropy by which a language must lead for a score of about 0.73.
 WIDTH = 0.1
 
@@ -56,12 +69,13 @@ def grams(text: str | None) -> tuple[np.ndarray, bool]:
 class KneserNey:
     """p(last character | those before) of one language."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, seen: tuple[int, int] | None = None):
+        """keys are n-grams of the top order; seen says how many n-grams occurred once and twice, where not all are given."""
         self.tables = []  # from order ORDER down to 1: keys, discounted share, contexts, back-off
         for order in range(ORDER, 0, -1):
             at = np.argsort(keys)
             keys, counts = keys[at], counts[at].astype(float)
-            ones, twos = (counts == 1).sum(), (counts == 2).sum()
+            ones, twos = seen if seen and order == ORDER else ((counts == 1).sum(), (counts == 2).sum())
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
             contexts, of = np.unique(keys >> BITS, return_inverse=True)
             total = np.bincount(of, counts)
@@ -85,13 +99,17 @@ def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, otherwise: f
 
 
 class Identifier:
+    """Models by language; means, spread and limit say what entropies their own texts have."""
+
     def __init__(self, models: dict[str, KneserNey]):
         self.langs = sorted(models)
         self.models = [models[x] for x in self.langs]
-        self.limits = np.full(len(self.langs), np.inf)
+        self.means = np.full(len(self.langs), np.inf)
+        self.spread = (0.0, 1.0)
+        self.limit = np.inf
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text under each language, and which texts have a letter."""
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy per character of each text under each language, the characters, and which texts have a letter."""
         both = [grams(t) for t in texts]
         has = np.array([b for _, b in both], dtype=bool)
         sizes = np.array([len(g) for g, _ in both], dtype=np.int64)
@@ -102,17 +120,40 @@ class Identifier:
             begin = (np.cumsum(sizes) - sizes)[some]
             for k, model in enumerate(self.models):
                 out[some, k] = -np.add.reduceat(model.log_p(distinct)[which], begin) / sizes[some]
-        return out, has
+        return out, sizes, has
+
+    def excess(self, h: np.ndarray, sizes: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """How far entropies lie above their language's mean, in spreads of texts of their length; 0 before calibration."""
+        a, b = self.spread
+        with np.errstate(invalid="ignore"):
+            out = (h - self.means[lang]) / np.sqrt(a + b / np.maximum(sizes, 1))
+        return np.where(np.isfinite(self.means[lang]), out, 0.0)
+
+    def calibrate(self, lang: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> None:
+        """Means, spread and limit from texts that no model has seen: their languages, entropies under these, and lengths. A language without any keeps no mean and rejects nothing."""
+        if not len(h):
+            return
+        n = np.bincount(lang, minlength=len(self.langs))
+        weight = np.bincount(lang, sizes, len(self.langs))
+        with np.errstate(invalid="ignore"):
+            self.means = np.where(n > 0, np.bincount(lang, h * sizes, len(self.langs)) / weight, np.inf)
+        square, inverse = (h - self.means[lang]) ** 2, 1.0 / sizes
+        # square is about a + b inverse, both not below 0
+        slope = max(float(np.cov(inverse, square)[0, 1] / max(inverse.var(ddof=1), 1e-18)), 0.0) if len(h) > 2 else 0.0
+        self.spread = (max(float(square.mean() - slope * inverse.mean()), 1e-4), slope)
+        self.limit = float(np.quantile(self.excess(h, sizes, lang), 1 - REJECTS, method="higher"))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-        h, has = self.entropies(texts)
+        h, sizes, has = self.entropies(texts)
         best = h.argmin(axis=1)  # ties to the first language
         low = h[np.arange(len(h)), best]
         with np.errstate(invalid="ignore"):
             score = 1 / np.exp(-(h - low[:, None]) / WIDTH).sum(axis=1)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, has, strict=True)], np.where(has, score, 0.0), has & (low > self.limits[best])
+            over = np.where(has, self.excess(low, sizes, best) - self.limit, -1.0)
+        score = score * np.exp(-np.maximum(over, 0.0) / FADE)
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, has, strict=True)], np.where(has, score, 0.0), over > 0
 
 
 def _chunks(texts: pd.Series, chars: int = 2_000_000) -> Iterator[slice]:
@@ -128,17 +169,17 @@ def _chunks(texts: pd.Series, chars: int = 2_000_000) -> Iterator[slice]:
 
 
 def learn(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Identifier:
-    """Models from rows (doc_id, text, lang), about `per_lang` whole documents a language, chosen by hash."""
+    """Models from rows (doc_id, text, lang), about `per_lang` whole documents a language, chosen by hash; one in LIMIT_PART of these sets the limits."""
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(n) > MAX_LANGS:
-        raise ValueError(f"{MAX_LANGS} languages at most")
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    n = {r["lang"]: r["n"] for r in most.collect()}
     if not n:
         return Identifier({})
-    share = spark.createDataFrame([(k, per_lang / v) for k, v in n.items()], "of string, share double")
+    share = spark.createDataFrame([(k, per_lang / v) for k, v in n.items()], "of string, share double")  # MAX_LANGS rows at most
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(F.broadcast(share), F.col("lang") == F.col("of")).where(drawn < F.col("share")).select("lang", "text")
+    part = (F.pmod(F.xxhash64("doc_id", F.lit(66)), F.lit(LIMIT_PART)) == 0).alias("apart")
+    sample = known.join(F.broadcast(share), F.col("lang") == F.col("of")).where(drawn < F.col("share")).select("lang", "text", part)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,23 +188,28 @@ def learn(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Identifier:
                     g, c = np.unique(np.concatenate([grams(t)[0] for t in texts.iloc[part]]), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": g, "n": c})
 
-    table = sample.mapInPandas(counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    found = Identifier({lang: KneserNey(t["gram"].to_numpy(), t["n"].to_numpy()) for lang, t in table.groupby("lang")})
+    table = cut(sample.where(~F.col("apart")).drop("apart").mapInPandas(counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    seen = {r["lang"]: (r["grams"], r["ones"], r["twos"]) for r in table.groupBy("lang").agg(F.count("*").alias("grams"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()}
+    bound = min(MAX_GRAMS, ALL_GRAMS // max(len(seen), 1))
+    kept = table
+    if any(grams_ > bound for grams_, _, _ in seen.values()):
+        kept = table.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= bound).drop("_r")
+    found = Identifier({lang: KneserNey(t["gram"].to_numpy(), t["n"].to_numpy(), seen[lang][1:]) for lang, t in kept.toArrow().to_pandas().groupby("lang")})  # ALL_GRAMS rows at most
 
     shared = spark.sparkContext.broadcast(found)
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = shared.value
+        place = {x: k for k, x in enumerate(one.langs)}
         for batch in batches:
+            batch = batch[batch["lang"].isin(place)]
             for part in _chunks(batch["text"]):
-                h, has = one.entropies(list(batch["text"].iloc[part]))
-                langs = batch["lang"].iloc[part]
-                at = np.array([one.langs.index(x) if x in one.langs else 0 for x in langs])
-                yield pd.DataFrame({"lang": langs, "h": h[np.arange(len(h)), at]})[has]
-
-    limits = sample.mapInPandas(own, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", 1 - REJECTS, 10_000).alias("h")).collect()
-    for r in limits:
-        found.limits[found.langs.index(r["lang"])] = r["h"]
+                h, sizes, has = one.entropies(list(batch["text"].iloc[part]))
+                at = np.array([place[x] for x in batch["lang"].iloc[part]], dtype=np.int64)
+                yield pd.DataFrame({"lang": at, "h": h[np.arange(len(h)), at], "size": sizes})[has]
+
+    t = sample.where("apart").select("lang", "text").mapInPandas(own, "lang bigint, h double, size bigint").orderBy("lang", "h", "size").toArrow().to_pandas()  # a few numbers for each document of the sample
+    found.calibrate(t["lang"].to_numpy(), t["h"].to_numpy(), t["size"].to_numpy())
     return found
 
 
@@ -173,8 +219,10 @@ def identify(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
     Learns from text and lang of rows whose crc32(doc_id) mod 3 is not 1. A text
     that is null or has no letter is `und` with score 0; so is every text where
     there is nothing to learn from. A null doc_id is not held out and not learned
-    from. score is the softmax of the cross-entropies at WIDTH nats; rejected marks
-    texts unlike the training texts of their language.
+    from. score is the softmax of the cross-entropies at WIDTH nats, ties between
+    languages go to the first by name; rejected marks texts unlike the texts of their
+    language, whose score falls with their distance. Texts of any length are read
+    whole. Repeated rows get the same prediction.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     model = docs.sparkSession.sparkContext.broadcast(learn(docs.where(fold != 1).select("doc_id", "text", "lang"), per_lang))

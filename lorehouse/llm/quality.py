@@ -171,12 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[T
     Fitted to at most `rows` labelled documents, those of least hash. Of these, a
     fifth is held out: the limit is the least one from 0.5 up that loses at most
     FALSE_REJECTS of its good documents. Without two classes there are no trees.
+    Of several labels of an id the best counts, of several documents the one of
+    least statistics, so that reruns agree.
     """
-    seen = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 0).cast("double").alias("low")).na.drop().dropDuplicates(["id"])
+    seen = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 0).cast("double").alias("low")).na.drop().groupBy("id").agg(F.min("low").alias("low"))
     seen = F.broadcast(seen.orderBy(F.xxhash64("id"), "id").limit(rows))  # rows of 16 bytes, `rows` at most
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").join(seen, F.col("doc_id") == F.col("id")).drop("id")
-    got = found.mapInPandas(_per_batch(None, 1, True), f"doc_id {kind}, low double, x array<double>").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(rows).collect()
+    one = found.mapInPandas(_per_batch(None, 1, True), f"doc_id {kind}, low double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "low")).alias("b"))
+    got = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("b.*").collect()
     if len({r["low"] for r in got}) < 2:
         return None, 1.0
     x, y = np.array([r["x"] for r in got]), np.array([r["low"] for r in got])
@@ -191,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[T
 def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), rows: int = TRAIN_ROWS) -> DataFrame:
     """The columns `keep` of every row of docs, its base counts, base_failed, kept, and low_quality, the chance that it is bad.
 
-    A null text has no words and fails. Null and repeated doc_ids keep their rows;
+    A null text has no words and fails. Null and repeated doc_ids keep their rows, and
+    equal texts get equal verdicts; texts of any length are read whole;
     columns of docs beside `keep` and text are dropped, whatever their names. Empty
     or one-sided labels leave the base rules alone to decide.
     """
