@@ -1,14 +1,15 @@
 """Operator 7: near-duplicate documents by DartMinHash, banded joining and an exact check.
 
-Equal texts are one node of the graph, found by their digest. For every text, darts
-are thrown at the plane of (shingle, weight): those that land below a shingle's
-weight count, each has a rank, and a signature keeps, for each of its coordinates,
-the dart of least rank that was dealt to it. Two texts agree in a coordinate with
-the chance of their weighted Jaccard similarity. Throwing costs a few darts for each
-coordinate however many shingles there are.
+Equal texts are one node of the graph, found by their digest. A shingle weighs as
+often as it occurs in its text. For every text, darts are thrown at the plane of
+(shingle, weight): those that land below a shingle's weight count, each has a rank,
+and a signature keeps, for each of its coordinates, the dart of least rank that was
+dealt to it. Two texts agree in a coordinate with the chance of their weighted
+Jaccard similarity: the sum of the lesser counts over that of the greater. Throwing
+costs a few darts for each coordinate however many shingles there are.
 
 Texts that agree in a band of coordinates are candidates. Every candidate link is
-checked exactly, on the sets of shingles, but a bucket is never expanded into all
+checked exactly, on the shingles with their counts, but a bucket is never expanded into all
 its pairs: first its members meet the bucket's most central text; only members that
 are then still in different classes, and that can be alike by what they share with
 any other text, meet each other.
@@ -127,6 +128,14 @@ def bands(ids: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return out.view(np.int64)
 
 
+def elements(of: np.ndarray, x: np.ndarray, count: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n texts the sorted 64-bit elements of its shingles: a shingle that occurs c times is c elements, so that sets of elements share what texts share by count."""
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    of, x = np.repeat(of, count), np.repeat(x, count)
+    x = np.where(nth > 0, _mix(x + _GOLD * nth.astype(np.uint64)), x).view(np.int64)
+    return [np.unique(part) for part in np.split(x, np.searchsorted(of, np.arange(1, n)))]
+
+
 def _chunks(texts: pd.Series, chars: int = 500_000) -> Iterator[slice]:
     start = total = 0
     for n, t in enumerate(texts):
@@ -151,7 +160,7 @@ def band_rows(docs: DataFrame) -> DataFrame:
             for part in _chunks(batch["text"]):
                 rows = batch.iloc[part].drop_duplicates("key")
                 of, x, count = shingles(list(rows["text"]))
-                ids, has = dart_minhash(of, x, np.minimum(count, 1), len(rows))
+                ids, has = dart_minhash(of, x, count, len(rows))
                 yield pd.DataFrame({"key": rows["key"].to_numpy()[has], "bands": list(bands(ids[has]))})
 
     signatures = docs.select(text_key(F.col("text")), "text").mapInPandas(trimmed(signed), "key binary, bands array<bigint>")
@@ -173,7 +182,7 @@ def _places(bits: int) -> Column:
 
 
 def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, set) of the texts whose key is among keys: 32 bits of each shingle's hash, which tell the shingles of two texts apart.
+    """(key, set) of the texts whose key is among keys: the elements of their shingles.
 
     A filter of fixed size over keys goes to the texts, so that most of them never
     leave their task; the join by key that follows drops what it let through.
@@ -189,16 +198,14 @@ def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
             some = batch[((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=1)].drop_duplicates("key")
             for part in _chunks(some["text"]):
                 rows = some.iloc[part]
-                of, x, _ = shingles(list(rows["text"]))
-                cuts = np.searchsorted(of, np.arange(1, len(rows)))
-                yield pd.DataFrame({"key": rows["key"].to_numpy(), "set": [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in np.split(x, cuts)]})
+                yield pd.DataFrame({"key": rows["key"].to_numpy(), "set": elements(*shingles(list(rows["text"])), len(rows))})
 
     texts = docs.select(text_key(F.col("text")), "text").withColumn("places", _places(FILTER_BITS))
-    return texts.mapInPandas(trimmed(sets), "key binary, set array<int>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return texts.mapInPandas(trimmed(sets), "key binary, set array<bigint>").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose shingle sets have at least that Jaccard similarity."""
+    """The pairs (a, b) of keys whose sets of elements have at least that Jaccard similarity, which is the weighted one of their shingles."""
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -288,7 +295,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """doc_id, class_id, n_links and key for every row of docs.
 
     class_id is the least doc_id of the class: documents with the same text, or
-    joined by a chain of texts with a shingle similarity of at least `similarity`;
+    joined by a chain of texts with a weighted shingle similarity of at least `similarity`;
     n_links counts the other texts that a document's text was checked to be like. A
     null text counts as empty; texts without a word are alike only if equal. Null
     doc_ids take part; a class of them alone has a null class_id.
