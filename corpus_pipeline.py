@@ -62,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     at = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{at}/{k}")
+        with common.scratch(spark):  # what a stage set aside goes once its result is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{at}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{at}/{k}")
     return docs
