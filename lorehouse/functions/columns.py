@@ -112,8 +112,17 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+#: Where a word of ASCII begins or ends. Java's own \\b takes other letters for parts of words as well.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    """The pattern with \\b as the edge of a word of ASCII."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def matches_any(text: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike("(?i)" + p) for p in patterns])
+    return text.rlike("(?i)" + "|".join(f"(?:{ascii_words(p)})" for p in patterns))
 
 
 def trigrams(text: Column) -> Column:

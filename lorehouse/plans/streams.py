@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..shared import shared_dir
 from ..sources import corpus as SRC
 from ..streaming import streams as ST
 from .registry import query
+from .texts import redacted_sql
 from .views import Views
 
 
 def _folder(v: Views) -> str:
     """A new folder in the place that driver and executors share."""
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    return f"{shared_dir(v.spark).rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
 def _stream(v: Views, table: str):
@@ -62,15 +62,9 @@ def _landed(v: Views, docs):
     return v.spark.read.parquet(f"{at}/sink")
 
 
-@query("", "select doc_id as record, md5(source) as h from documents where length(trim(text)) >= 2000 and not contains(text, '@') and not regexp_matches(text, '[0-9=]')")
+@query("", f"""with r as (select source, doc_id as record, cast(1 as int) as version, lang, {redacted_sql('text')} as body from documents)
+select source, record, version, '{{"lang":"' || lang || '"}}' as meta, md5(body) as body_md5 from r where length(trim(body, ' ')) >= 64""")
 def land_records(v: Views):
-    d = _stream(v, "documents").where((F.char_length(F.trim("text")) >= 2000) & ~F.contains("text", F.lit("@")) & ~F.col("text").rlike("[0-9=]"))
-    return _landed(v, d).select("record", F.md5("source").alias("h"))
-
-
-@query()
-def land_records_all(v: Views):
-    """Over all documents; the query above and its SQL take long ones with nothing to redact alone."""
     return _landed(v, _stream(v, "documents")).select("source", "record", "version", F.to_json("meta").alias("meta"), F.md5("body").alias("body_md5"))
 
 

@@ -96,12 +96,19 @@ def html_links(v: Views):
     return T.html_links(v.raw("pages"))
 
 
-@query("pages", """select page_id, case when page_id % 9 = 0 then 'mentions' when page_id % 9 = 1 then 'attended' when page_id % 9 = 2 then 'founded' when page_id % 9 = 3 then 'invested_in' when page_id % 9 = 4 then 'advises' when page_id % 9 = 5 then 'works_at' else 'mentions' end as link_type from pages""")
+_KIND = "case when page_id % 9 = 0 then 'media' when page_id % 9 = 1 then 'meeting' else 'person' end"
+_VERB = "case when page_id % 9 = 2 then 'is the founder of' when page_id % 9 = 3 then 'Early Investor in' when page_id % 9 = 4 then 'is an advisor to' when page_id % 9 = 5 then 'works at' else 'saw' end"
+
+
+@query("pages", f"""with t as (select page_id, {_KIND} as kind, compiled_truth || ' ' || {_VERB} || ' x' as t from pages)
+select page_id, case when kind = 'media' then 'mentions' when kind = 'meeting' then 'attended' when regexp_matches(t, '(?i){T.FOUNDED}') then 'founded' when regexp_matches(t, '(?i){T.INVESTED}') then 'invested_in'
+ when regexp_matches(t, '(?i){T.ADVISES}') then 'advises' when regexp_matches(t, '(?i){T.WORKS_AT}') then 'works_at' else 'mentions' end as link_type from t""")
 def link_types(v: Views):
+    """From whole texts, each with a verb put at its end."""
     k = F.col("page_id") % 9
     kind = F.when(k == 0, "media").when(k == 1, "meeting").otherwise("person")
     verb = F.when(k == 2, "is the founder of").when(k == 3, "Early Investor in").when(k == 4, "is an advisor to").when(k == 5, "works at").otherwise("saw")
-    return v.pages().select("page_id", T.link_type(kind, F.concat(F.substring("compiled_truth", 1, 60), F.lit(" "), verb, F.lit(" x"))).alias("link_type"))
+    return v.pages().select("page_id", T.link_type(kind, F.concat("compiled_truth", F.lit(" "), verb, F.lit(" x"))).alias("link_type"))
 
 
 @query("pages", """select case when page_id % 2 = 0 then slug else 'companies/c' || page_id % 7 end as "to", case when page_id % 2 = 0 then 'people/p' || page_id % 11 else slug end as "from", 'works_at' as link_type from pages
@@ -150,7 +157,23 @@ def strip_html(v: Views):
     return v.raw("pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@query("")
+def redacted_sql(column: str) -> str:
+    """redact() in DuckDB, whose patterns have no lookaround: a number's neighbours are matched and put back, twice, as two numbers may share one."""
+    r = T.REDACTED
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    put = lambda t, p, by=r: f"regexp_replace({t}, {q(p)}, {q(by)}, 'g')"
+    alone = lambda t, p: put(put(t, f"(^|[^0-9]){p}($|[^0-9])", rf"\1{r}\2"), f"(^|[^0-9]){p}($|[^0-9])", rf"\1{r}\2")
+    t = put(put(column, T.URL_USERINFO, rf"\1{r}@"), T.ANY_EMAIL)
+    t = put(put(alone(alone(t, T.ANY_PHONE), T.ANY_SSN), T.JWT), T.BEARER, f"Bearer {r}")
+    digit = "cast(substring(d, n, 1) as int)"
+    luhn = f"list_sum(list_transform(range(1, length(d) + 1), lambda n: case when (length(d) - n) % 2 = 1 then 2 * {digit} - case when {digit} > 4 then 9 else 0 end else {digit} end)) % 10 = 0".replace("d,", "replace(replace(c, ' ', ''), '-', ''),").replace("(d)", "(replace(replace(c, ' ', ''), '-', ''))")
+    cards = f"list_filter(list_distinct(regexp_extract_all(t, '(?:^|[^0-9])({T.CARD})(?:$|[^0-9])', 1)), lambda c: {luhn})"
+    t = f"(select list_reduce(list_prepend(t, {cards}), lambda x, y: replace(x, y, {q(r)})) from (select {t} as t))"
+    t = put(put(t, T.AUTHORIZATION, rf"\1{r}"), T.ASSIGNMENT, rf"\1{r}")
+    return put(t, "|".join(T.SECRET_TOKENS).replace("{0,8192}?", "*?"))
+
+
+@query("", f"select doc_id, {redacted_sql('text')} as text from documents")
 def redact_corpus(v: Views):
     return v.raw("documents").select("doc_id", T.redact(F.col("text")).alias("text"))
 
@@ -216,15 +239,9 @@ def reconcile_code_links(v: Views):
     return T.reconcile_links(refs, code, "chunk_id")
 
 
-@query("", r"""with m as (select doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b')) as name from documents where regexp_matches(text, '^[\x00-\x7f]*$'))
-select distinct doc_id, name, case when regexp_matches(name, '\b(Inc|Corp|Labs|Capital|Ventures|Group|Company|Foundation|University|General Public)\b') then 'company' else 'person' end as kind from m""")
+@query("", rf"""with m as (select doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+){{1,3}}\b')) as name from documents)
+select distinct doc_id, name, case when regexp_matches(name, '(?i){T.ORGANISATION}') then 'company' else 'person' end as kind from m""")
 def name_mentions(v: Views):
-    return T.name_mentions(v.raw("documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$")), "doc_id", "text")
-
-
-@query()
-def name_mentions_all(v: Views):
-    """Over all documents; the query above and its SQL take those of pure ASCII alone."""
     return T.name_mentions(v.raw("documents"), "doc_id", "text")
 
 
@@ -240,14 +257,22 @@ def stratified_paragraphs(v: Views):
     return T.stratified_paragraphs(v.chunks(), "chunk_source", 50).select("chunk_id", "chunk_source")
 
 
-@query("questions", """with q as (select query_id, case query_id % 6 when 0 then 'When did ' when 1 then 'news on ' when 2 then 'who is ' when 3 then 'how do ' when 4 then 'tell me everything about ' else '' end || substring(text, 1, 30) as t from questions)
-select query_id, case query_id % 6 when 0 then 'temporal' when 1 then 'event' when 2 then 'entity' when 4 then 'temporal' else 'general' end as intent,
- case query_id % 6 when 0 then 'high' when 1 then 'high' when 2 then 'low' when 4 then 'high' else 'medium' end as detail, query_id % 6 = 3 as process from q""")
+_LEADS = ("When did ", "news on ", "who is ", "how do ", "tell me everything about ", "", "what's new and going on with ", "show me photos of ", "any pics from last week of ", "today, what matters: ", "status on the class ")
+
+
+def _hits(name: str) -> str:
+    return "(" + " or ".join("regexp_matches(t, '(?i){}')".format(p.replace("'", "''")) for p in T.QUERY_PATTERNS[name]) + ")"
+
+
+@query("questions", f"""with q as (select query_id, {"case query_id % 11 " + " ".join("when {} then '{}'".format(k, x.replace("'", "''")) for k, x in enumerate(_LEADS)) + " end"} || text as t from questions),
+h as (select query_id, {", ".join(f"{_hits(n)} as p_{n}" for n in T.QUERY_PATTERNS)} from q),
+i as (select *, case when p_full_context or p_temporal then 'temporal' when p_event then 'event' when p_entity then 'entity' else 'general' end as intent, p_canonical and not p_bound as settled from h)
+select query_id, intent, case intent when 'entity' then 'low' when 'temporal' then 'high' when 'event' then 'high' end as detail, case when settled then 'off' when p_strong_recency then 'strong' when p_recency then 'on' else 'off' end as recency,
+ case when not settled and p_salience then 'on' else 'off' end as salience, case when p_image then 'image' else 'text' end as modality, not p_image and p_visual_noun and p_reference as ambiguous, p_process as process from i""")
 def classify_queries(v: Views):
-    k = F.col("query_id") % 6
-    lead = F.when(k == 0, "When did ").when(k == 1, "news on ").when(k == 2, "who is ").when(k == 3, "how do ").when(k == 4, "tell me everything about ").otherwise("")
-    q = v.questions().select("query_id", F.concat(lead, F.substring("text", 1, 30)).alias("text"))
-    return T.classify_queries(q).select("query_id", "intent", "detail", "process")
+    """Whole questions, each with a beginning that calls for a class."""
+    lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("query_id") % len(_LEADS) + 1).cast("int"))
+    return T.classify_queries(v.questions().select("query_id", F.concat(lead, "text").alias("text"))).drop("text")
 
 
 @query("pages", """select 'people/' || page_id || '-x.md' as path, 'person' as type, cast(null as date) as date, trim(regexp_replace(title, '\\s+', ' ', 'g')) as title from pages where page_id % 2 = 0

@@ -67,16 +67,21 @@ def prepare_records(records: DataFrame, allowed: list[str]) -> DataFrame:
     return kept.join(slim, "id").select("id.*", "body", "meta", "trail")
 
 
+#: Parts of a sink, by the hash of its key: a batch reads those that its rows may be in.
+SINK_PARTS = 256
+
+
 def land_records(stream: DataFrame, allowed: list[str], sink: str, checkpoint: str) -> None:
-    """Adds prepared records to a Parquet sink, each (source, record, version) once, however often a batch is run."""
+    """Adds prepared records to a Parquet sink, each (source, record, version) once, however often a batch is run. The sink is dealt by key, and a batch reads the keys of its own parts alone."""
+    key = ["source", "record", "version"]
 
     def land(batch: DataFrame, _: int) -> None:
-        key = ["source", "record", "version"]
-        rows = batch.select(*key, "body", F.map_filter("meta", lambda k, v: k.isin(allowed)).alias("meta"))
-        new = rows.join(existing(batch.sparkSession, sink, rows), key, "left_anti")
+        rows = batch.select(*key, "body", F.map_filter("meta", lambda k, v: k.isin(allowed)).alias("meta"), F.pmod(F.xxhash64(*key), F.lit(SINK_PARTS)).cast("int").alias("part"))
+        parts = [r["part"] for r in rows.select("part").distinct().collect()]  # SINK_PARTS at most
+        new = rows.join(existing(batch.sparkSession, sink, rows).where(F.col("part").isin(parts)).select(*key), key, "left_anti")
         # Exploded, not filtered: a filter would be pushed below and redact each body once more.
         body = F.filter(F.array(redact(F.col("body"))), lambda b: F.char_length(F.trim(b)) >= LEAST_SUBSTANCE)
-        new.select(*key, F.explode(body).alias("body"), "meta").dropDuplicates(key).write.mode("append").parquet(sink)
+        new.select(*key, "part", F.explode(body).alias("body"), "meta").dropDuplicates(key).write.mode("append").partitionBy("part").parquet(sink)
 
     stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
