@@ -6,13 +6,12 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut, discard, scratch, shared_dir  # noqa: F401  (the operators have them from here)
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same for Spark's regular expressions.
@@ -23,9 +22,6 @@ BATCH_ROWS = 1_000
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Tables that cut() has written and nothing has deleted yet.
-_written: list[str] = []
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table; one of fewer splits than the cluster has cores is dealt out by the hash of its first column, its id, as a small file may be a single row group."""
@@ -54,49 +50,8 @@ def trimmed(run):
     return trim
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local master, whose executors are the driver, may go without one that is named."""
-    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not said:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        said = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(said)
-        said = spark.sparkContext.getCheckpointDir()
-    return said
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, so that a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/lorehouse-{uuid.uuid4().hex}"
-    _written.append(at)
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def discard(spark: SparkSession, first: int = 0) -> None:
-    """Deletes the tables that cut() wrote, from the first-th on. Only for when no result that reads them is needed any more."""
-    while len(_written) > first:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables cut within are deleted at the end; what is made of them must have been written by then."""
-    first = len(_written)
-    try:
-        yield
-    finally:
-        discard(spark, first)
-
-
 def numbered(df: DataFrame, *order) -> DataFrame:
     """df with `nth`, from 0, its place in an order over all rows: range-sorted, counted by partition, and the counts of the partitions before added."""
-    spark = df.sparkSession
-    from pyspark.sql import Window
-
     rows = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     shift = rows.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_s")

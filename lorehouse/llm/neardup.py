@@ -187,7 +187,7 @@ def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     A filter of fixed size over keys goes to the texts, so that most of them never
     leave their task; the join by key that follows drops what it let through.
     """
-    held = docs.sparkSession.sparkContext.broadcast(membership(keys))
+    held = docs.sparkSession.sparkContext.broadcast(membership(keys, FILTER_BITS))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = held.value

@@ -366,8 +366,7 @@ def sample(docs: DataFrame, rows: int = TRAIN_DOCS) -> list[str]:
     give, and windows are cut out where the documents lie: what moves is bounded by
     the parameters alone.
     """
-    like = F.when(F.col("text").rlike(_LIKE), 1).when(F.col("text").rlike("[0-9@]"), 0)
-    marked = docs.select("doc_id", "text", like.alias("like")).where(F.col("like").isNotNull())
+    marked = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text", F.col("text").rlike(_LIKE).cast("int").alias("like"))
     n = {r["like"]: r["n"] for r in marked.groupBy("like").agg(F.count("*").alias("n")).collect()}
     if not n:
         return []

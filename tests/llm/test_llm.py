@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +70,10 @@ def test_piece_counts_equal_the_library(odd, docs):
         assert tokens.counter(tokens.model_path()).count(t) == len(m.encode(t)), t
 
 
+def test_piece_counts_of_nothing(empty):
+    assert tokens.token_counts(empty).count() == 0
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 32_000)
     c = tokens.PieceCounter(tokens.model_path())
@@ -173,10 +179,11 @@ def test_base_counts_against_plain_code(odd, docs, labels):
         w = common.WORD.findall(t or "")
         lines = [x for x in (t or "").split("\n") if common.WORD.search(x)]
         wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        hit = {i + j for i, x in enumerate(wins) if wins.count(x) > 1 for j in range(3)} if len(wins) < 3000 else set(range(len(w)))
+        often = Counter(wins)
+        hit = {i + j for i, x in enumerate(wins) if often[x] > 1 for j in range(3)}
         return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), sum(x in lines[:i] for i, x in enumerate(lines)), len(hit))
 
-    for df in (odd, docs.limit(60)):
+    for df in (odd, docs.orderBy("doc_id").limit(60)):
         got = sorted(tuple(r[c] for c in quality.BASE) for r in quality.quality(df, labels).collect())
         assert got == sorted(plain(r["text"]) for r in df.select("text").collect())
 
@@ -199,13 +206,73 @@ def test_trees_separate_and_are_monotonic(docs, labels, empty):
     assert all(r["kept"] == (not r["base_failed"]) for r in quality.quality(docs, none).collect())
 
 
+def test_repeated_ids_give_the_same_trees(spark, docs, labels):
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("# other | text "), "text")))
+    both = labels.unionByName(labels.withColumn("quality", 1 - F.col("quality")))
+    runs = []
+    for k in (1, 5, 3):
+        rows = quality.quality(twice.repartition(k), both.repartition(k, "quality"))
+        runs.append(sorted((r["doc_id"], r["n_words"], r["kept"], r["low_quality"]) for r in rows.collect()))
+    assert runs[0] == runs[1] == runs[2]
+    assert {r["quality"] for r in both.collect()} == {0, 1}
+
+
 # --- 3: mixing ---------------------------------------------------------------------
 
 
-def test_targets_reshare():
-    t = mixing.targets({"a": 10, "b": 1000, None: 1000})
-    assert t["a"] == 20 and sum(t.values()) == pytest.approx(3015) and t["b"] == pytest.approx(2995 * 2 / 3) and t[None] == pytest.approx(2995 / 3)
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
+def _plain_targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    target, budget, free = {}, share * sum(sizes.values()), list(order)
+    while free:
+        level = max(budget, 0.0) / sum(weight[s] for s in free)
+        full = [s for s in free if level * weight[s] >= most * sizes[s]]
+        if not full:
+            return target | {s: level * weight[s] for s in free}
+        for s in full:
+            target[s] = most * sizes[s]
+            budget -= target[s]
+        free = [s for s in free if s not in target]
+    return target
+
+
+def test_targets_reshare(spark):
+    t = lambda sizes: {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, n long")).collect()}
+    got = t({"a": 10, "b": 1000, None: 1000})
+    assert got["a"] == 20 and sum(got.values()) == pytest.approx(3015) and got["b"] == pytest.approx(2995 * 2 / 3) and got[None] == pytest.approx(2995 / 3)
+    assert t({}) == {} and t({"a": 0}) == {"a": 0}
+    rnd = random.Random(11)
+    for n in (3, 40):
+        sizes = {f"s{rnd.randrange(1000)}é" if k else None: int(rnd.paretovariate(0.5) * 10) for k in range(n)}
+        assert t(sizes) == pytest.approx(_plain_targets(sizes))
+
+
+@pytest.mark.parametrize("few", [100_000, 1])
+def test_mix_against_brute_force(spark, docs, odd, monkeypatch, few):
+    """The threshold that comes closest, by sorting, from the hashes alone."""
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 4)
+    for df in (docs, odd):
+        rows = df.select("doc_id", "source", "text", hashed.alias("h")).collect()
+        by, sizes = {}, {}
+        for r in rows:
+            n = len(common.WORD.findall(r["text"] or ""))
+            by.setdefault(r["source"], {}).setdefault(r["h"], []).append((r["doc_id"], n))
+            sizes[r["source"]] = sizes.get(r["source"], 0) + n
+        want = []
+        for source, target in _plain_targets(sizes).items():
+            n = sizes[source]
+            whole = min(int(target // n), 2) if n else 0
+            left = target - whole * n if whole < 2 else 0.0
+            over = False
+            for h in sorted(by[source]):
+                words = sum(n for _, n in by[source][h])
+                take = not over and left > 0 and (words <= left or left * 2 > words)
+                over = over or words > left
+                left -= words if take else 0
+                want += [(str(d), n, source, n * min(whole + take, 2)) for d, n in by[source][h]]
+        got = [(str(r["doc_id"]), r["size"], r["source"], r["taken"]) for r in mixing.mix(df, keep=("doc_id", "source")).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_mix(odd, docs, empty):
@@ -239,9 +306,33 @@ def test_line_dedup_on_odd_rows(odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [10_000, 20, 1])
+def test_line_dedup_of_hot_keys(spark, monkeypatch, share):
+    """Keys below and above the share at which they are hot, against plain code."""
+    monkeypatch.setattr(linededup, "HOT_SHARE", share)
+    rnd = random.Random(12)
+    lines = [f"{LINE} {k}" for k in range(12)]
+    rows = [(k, "\n".join([LINE] + [rnd.choice(lines[: 1 + k % 12]) for _ in range(rnd.randint(0, 6))] + [f"{LINE} own {k}"])) for k in range(60)]
+    holds = {}
+    for k, t in rows:
+        for x in t.split("\n"):
+            holds.setdefault(x.lower(), set()).add(k)
+    want = {(k, "\n".join(x for x in t.split("\n") if len(holds[x.lower()]) < 5 or max(holds[x.lower()]) == k)) for k, t in rows}
+    assert {(r["doc_id"], r["kept"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    text = "\n".join(f"{LINE} {k % 100_000}" for k in range(200_000))
+    began = time.time()
+    rows = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame([(k, text) for k in range(5)], "doc_id long, text string")).collect()}
+    assert time.time() - began < 120
+    assert rows[0]["n_lines"] == rows[0]["n_dropped"] == 200_000 and rows[0]["kept"] == "" and rows[4]["kept"] == text
+
+
 def test_line_dedup_runs_no_python(docs):
     plan = linededup.dedup_lines(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    assert not any(x in open(linededup.__file__).read() for x in ("pandas", "udf", ".rdd"))
 
 
 # --- 6: languages ------------------------------------------------------------------
@@ -256,6 +347,69 @@ def test_models_are_distributions():
     assert p.sum() + np.exp(m.log_p(np.array([context | 30_000])))[0] == pytest.approx(1)
 
 
+def _plain_kneser_ney(texts, order=4):
+    """p(character | three before), in dictionaries, from the definition."""
+    counts = {n: Counter() for n in range(1, order + 1)}
+    for t in texts:
+        counts[order].update(t[k - order : k] for k in range(order, len(t) + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n].update(g[1:] for g in counts[n + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        c = counts[len(gram)]
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = [v for g, v in c.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        return max(c[gram] - d, 0) / sum(same) + d * len(same) / sum(same) * p(gram[1:])
+
+    return p
+
+
+def test_entropies_against_plain_kneser_ney():
+    rnd = random.Random(13)
+    fit = ["".join(rnd.choice("abcde  ") for _ in range(60)) for _ in range(8)]
+    form = lambda t: "   " + " ".join(t.split()) + " "
+    fit = [" ".join(t.split()) for t in fit]
+    g = np.concatenate([langid.grams(t)[0] for t in fit])
+    one = langid.Identifier({"x": langid.KneserNey(*np.unique(g, return_counts=True))})
+    p = _plain_kneser_ney([form(t) for t in fit])
+    asked = ["abc de", "eeee dcba", "zq a", fit[0]]
+    h, sizes, _ = one.entropies(asked)
+    for n, t in enumerate(asked):
+        grams = [form(t)[k - 4 : k] for k in range(4, len(form(t)) + 1)]
+        assert sizes[n] == len(grams) and h[n, 0] == pytest.approx(-np.mean([np.log(p(x)) for x in grams]))
+
+
+def test_language_ties_limits_and_bounds(spark, monkeypatch):
+    rnd = random.Random(14)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(5))
+    rows = [(k, " ".join(word("abcde" if k % 2 else "fghij") for _ in range(rnd.randint(10, 60))), "aa" if k % 2 else "bb") for k in range(1500)]
+    rows += [(2000 + k, "same words for both", lang) for k, lang in enumerate(("cc", "dd") * 20)] + [(3000, "x" * 300_000, None), (3001, "это совсем другой язык", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    known = [got[k] for k in range(1500)]
+    assert all(r["lang_pred"] == ("aa" if r["doc_id"] % 2 else "bb") for r in known)
+    out = [r["rejected"] for r in known if r["held_out"]]
+    assert np.mean(out) <= 0.01  # set to 0.001 on a few hundred texts that no model saw
+    assert got[2000]["lang_pred"] in ("cc", "dd") and got[2000]["lang_pred"] == got[2001]["lang_pred"]
+    assert got[3000]["rejected"] and got[3000]["score"] < 0.05
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    assert {r["lang_pred"] for r in langid.identify(df).collect()} == {"aa", "bb"}
+    monkeypatch.setattr(langid, "MAX_GRAMS", 300)
+    few = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    assert np.mean([few[k]["lang_pred"] == got[k]["lang_pred"] for k in range(1500)]) >= 0.98
+
+
+def test_a_foreign_script_is_rejected(docs):
+    one = langid.learn(docs.select("doc_id", "text", "lang"))
+    _, score, rejected = one.predict(["これは日本語の文章です。とても長い文章。", "это русский текст, довольно длинный"])
+    assert rejected.all() and (score < 0.01).all()
+
+
 def test_language_held_out(docs, odd, empty, spark):
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     for d in got:
@@ -273,10 +427,16 @@ def test_language_held_out(docs, odd, empty, spark):
 # --- 7: near-duplicates -------------------------------------------------------------
 
 
-def _classes(rows):
-    """Brute force: (doc_id, text) to the least doc_id of its class."""
+def _classes(rows, number=False):
+    """Brute force: (doc_id, text) to the least doc_id of its class, or the number of classes."""
     w = [common.WORD.findall(t or "") for _, t in rows]
-    s = [frozenset(tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))) if x else frozenset() for x in w]
+    s = []
+    for x in w:
+        seen = Counter()
+        s.append(set())
+        for i in range(max(1, len(x) - 4)) if x else ():
+            seen[tuple(x[i : i + 5])] += 1
+            s[-1].add((tuple(x[i : i + 5]), seen[tuple(x[i : i + 5])]))  # weighted similarity as that of sets
     up = list(range(len(rows)))
 
     def find(x):
@@ -287,6 +447,8 @@ def _classes(rows):
     for i, j in itertools.combinations(range(len(rows)), 2):
         if (rows[i][1] or "") == (rows[j][1] or "") or s[i] and s[j] and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) - 1e-9:
             up[find(j)] = find(i)
+    if number:
+        return len({find(k) for k in range(len(rows))})
     least = {}
     for k, (d, _) in enumerate(rows):
         r = find(k)
@@ -294,6 +456,23 @@ def _classes(rows):
     return sorted(str((d, least[find(k)])) for k, (d, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
+def test_filter_lets_all_keys_through(spark, monkeypatch, bits):
+    """Of a few bits a filter lets through more, of many less; the sets are the same."""
+    monkeypatch.setattr(neardup, "FILTER_BITS", bits)
+    df = spark.createDataFrame([(k, f"text number {k} with some words in it") for k in range(3000)], "doc_id long, text string")
+    keys = df.where("doc_id % 3 = 0").select(neardup.text_key(F.col("text")))
+    assert neardup.shingle_sets(df, keys).count() == 1000
+
+
+def test_elements_share_what_counts_share():
+    texts = ["a b c d e " * 3, "a b c d e " * 5, "x y", ""]
+    of, x, count = neardup.shingles(texts)
+    sets = [set(e.tolist()) for e in neardup.elements(of, x, count, len(texts))]
+    by = [dict(zip(x[of == k].tolist(), count[of == k].tolist())) for k in range(4)]
+    assert len(sets[0] & sets[1]) == sum(min(c, by[1].get(e, 0)) for e, c in by[0].items()) and [len(s) for s in sets] == [sum(b.values()) for b in by]
+
+
 def test_near_duplicates_against_brute_force(docs, odd, empty, spark):
     rnd = random.Random(5)
     words = [f"w{k}" for k in range(500)]
@@ -304,7 +483,9 @@ def test_near_duplicates_against_brute_force(docs, odd, empty, spark):
         for _ in range(rnd.randint(0, 8)):
             t[rnd.randrange(150)] = rnd.choice(words)
         family.append((k, " ".join(t)))
-    for df in (docs, odd, spark.createDataFrame(family, "doc_id long, text string")):
+    line = " ".join(words[:12])
+    repeats = [(k, f"{line} " * (4 + k) + " ".join(words[20 + 9 * k : 24 + 9 * k])) for k in range(12)]  # alike by count, not by kind alone
+    for df in (docs, odd, spark.createDataFrame(family, "doc_id long, text string"), spark.createDataFrame(repeats, "doc_id long, text string")):
         rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
         got = sorted(str((r["doc_id"], r["class_id"])) for r in neardup.near_duplicates(df).collect())
         assert got == _classes(rows)
@@ -368,6 +549,149 @@ def test_names_of_what_holds_the_prose():
     assert htmltext.main_text(f"<div><p>Short, here.</p></div><div class=comments><p>{_LONG}</p></div>") == "Short, here."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout has-sidebar"><article>{}</article></div>', '<article class="post no-comments">{}</article>', '<div class="main-header-layout"><article>{}</article></div>',
+        '<div class="with-banner">{}</div>', '<div class="page skip-top">{}</div>', '<div class="content social-article">{}</div>',
+    ],
+)
+def test_articles_with_telling_names_stay(page):
+    assert htmltext.main_text(page.format(f"<p>{_LONG}</p><p>{_LONG}</p>")) == f"{_LONG}{_LONG}".strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 20_000 + "</b>" * 20_000, '<a "' * 20_000, "<a '" * 10_000 + '<a "' * 10_000, "<b>" * 20_000 + "</i>" * 20_000, "<p><button>" + "<b>" * 20_000 + "<p></p>" * 20_000,
+        "<" * 100_000, "<!--" * 20_000, "<li>" * 20_000, "<table>" * 10_000 + "<td>" * 10_000, "</" * 50_000, "<p>" + "a, b " * 400_000,
+    ],
+    ids=range(11),
+)
+def test_malformed_and_long_pages_take_no_time(page):
+    began = time.time()
+    text = htmltext.main_text(page)
+    assert time.time() - began < 3  # each takes well under 1 s on an idle machine
+    assert text == " ".join(("a, b " * 400_000).split()) if page.startswith("<p>a") else True
+
+
+def test_ends_of_tags_against_plain_scan():
+    def plain(page, at):
+        quote = None
+        for k in range(at, len(page)):
+            c = page[k]
+            if quote:
+                quote = None if c == quote else quote
+            elif c in "\"'":
+                quote = c
+            elif c == ">":
+                return k + 1
+        return 0
+
+    rnd = random.Random(15)
+    for _ in range(3000):
+        page = "".join(rnd.choice("a\"' >") for _ in range(rnd.randint(0, 12)))
+        first, table = htmltext._Ends(page), htmltext._Ends(page + "\"")
+        table.after(len(page))  # never ends: from here on by table
+        for at in range(len(page) + 1):
+            assert first.after(at) == plain(page, at) and table.after(at) == plain(page + "\"", at), (page, at)
+
+
+def _generated(rnd, level=0):
+    """(tag, children) of well-formed pages; a child is such a pair or a text."""
+    prose = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) + rnd.choice(["", "", ","]) for _ in range(rnd.randint(1, 40)))
+    inline = lambda: [x for _ in range(rnd.randint(1, 3)) for x in (prose(), *([(rnd.choice(["a", "a", "b", "em"]), [prose()])] if rnd.random() < 0.4 else []))]
+    if level >= 3 or rnd.random() < 0.4:
+        return (rnd.choice(["p", "p", "p", "h2", "blockquote", "pre"]), inline())
+    if rnd.random() < 0.15:
+        return ("ul", [("li", inline()) for _ in range(rnd.randint(1, 5))])
+    return (rnd.choice(["div", "div", "section", "td-less"]) if level else "div", [_generated(rnd, level + 1) for _ in range(rnd.randint(1, 4))])
+
+
+def _plain_main_text(tree):
+    """The scoring from its description, recursively over a tree without names or articles."""
+    inline, paragraph, headings = {"a", "b", "em"}, {"p", "pre", "blockquote", "li"}, {"h2"}
+
+    def text(node):
+        return node if isinstance(node, str) else "".join(map(text, node[1]))
+
+    def pieces(node):
+        return [node] if isinstance(node, str) else [x for c in node[1] for x in pieces(c)]
+
+    def chars(node):
+        return sum(len(x.strip()) for x in pieces(node))
+
+    def links(node):
+        return 0 if isinstance(node, str) else chars(node) if node[0] == "a" else sum(map(links, node[1]))
+
+    def commas(node):  # of a block: its own text and that of its inline parts and paragraphs
+        return node.count(",") if isinstance(node, str) else sum(commas(c) for c in node[1] if isinstance(c, str) or c[0] in inline | paragraph)
+
+    def own_text(node):
+        return any(c.strip() if isinstance(c, str) else c[0] in inline and own_text(c) for c in node[1])
+
+    points = {}
+
+    def give(node, above):
+        if isinstance(node, str) or node[0] in inline:
+            return
+        if chars(node) and (node[0] in paragraph or own_text(node) and node[0] not in headings and node[0] != "html"):
+            n = 1 + commas(node) + min(chars(node) / 100, 3)
+            if node[0] not in paragraph:
+                points[id(node)] = points.get(id(node), 0) + n
+            for level, up in enumerate(reversed(above[-5:])):
+                points[id(up)] = points.get(id(up), 0) + n * (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12)[level]
+        for c in node[1]:
+            give(c, [*above, node])
+
+    root = ("html", [tree])
+    give(root, [])
+    nodes, parent = [], {}
+
+    def walk(node):
+        nodes.append(node)
+        for c in node[1]:
+            if not isinstance(c, str):
+                parent[id(c)] = node
+                walk(c)
+
+    walk(root)
+    score = lambda x: points.get(id(x), 0) * (1 - links(x) / chars(x))
+    found = [x for x in nodes if points.get(id(x)) and chars(x)]
+    best = max(found, key=score) if found else root
+    least = max(10.0, 0.2 * score(best)) if chars(best) else 10.0
+
+    def belongs(x):
+        if isinstance(x, str) or not chars(x):
+            return False
+        if points.get(id(x)) and score(x) >= least:
+            return True
+        return x[0] == "p" and (links(x) / chars(x) < 0.25 if chars(x) > 80 else links(x) == 0)
+
+    def blocks(node):
+        return node if isinstance(node, str) else "".join(map(blocks, node[1])) if node[0] in inline else f" {''.join(map(blocks, node[1]))} "
+
+    around = parent[id(best)][1] if id(best) in parent else []
+    return " ".join(" ".join(map(blocks, [x for x in around if x is best or belongs(x)] or [best])).split())
+
+
+def test_main_text_against_plain_scoring():
+    def page(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(page, node[1]))}</{node[0]}>"
+
+    rnd = random.Random(16)
+    for _ in range(400):
+        tree = _generated(rnd)
+        assert htmltext.main_text(page(tree)) == _plain_main_text(tree), page(tree)
+
+
+def test_pages_empty_and_repeated(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{_LONG}</p>", 5), (1, "u", f"<p>{_LONG}</p>", 5), (None, None, None, None), (2, "v", "", 0)], "page_id long, url string, html string, n_chars int")
+    rows = sorted(((r["page_id"] or 0, r["text"], r["n_chars"]) for r in htmltext.extract(df).collect()))
+    assert rows == [(0, "", 0), (1, _LONG.strip(), len(_LONG) - 1), (1, _LONG.strip(), len(_LONG) - 1), (2, "", 0)]
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
 def test_pages_whole(spark):
     import html
     import re
@@ -412,37 +736,130 @@ def test_field_adds_to_the_base(docs, odd, empty):
     assert len(pii.personal_data(odd).collect()) == len(ODD) and pii.personal_data(empty).count() == 0
 
 
+def _segmentations(n, edges):
+    """All ways to cover n words by segments and single other words."""
+    if n == 0:
+        return [[]]
+    out = [x for x in _segmentations(n - 1, edges)]
+    for s, (i, j) in enumerate(edges):
+        if j == n:
+            out += [[*x, s] for x in _segmentations(i, edges)]
+    return out
+
+
+def test_field_against_enumeration():
+    rng = np.random.default_rng(17)
+    for _ in range(60):
+        n = int(rng.integers(1, 7))
+        edges = [(i, j) for i in range(n) for j in range(i + 1, min(i + 3, n) + 1) if rng.random() < 0.7]
+        if not edges:
+            continue
+        score = rng.normal(size=(len(edges), 4)) * 2
+        ways = [(x, kinds) for x in _segmentations(n, edges) for kinds in itertools.product(range(4), repeat=len(x))]
+        value = np.array([sum(score[s, k] for s, k in zip(x, kinds)) for x, kinds in ways])
+        p, log_sum = pii.chances(n, edges, score)
+        assert log_sum == pytest.approx(np.log(np.exp(value).sum()))
+        want = np.zeros_like(score)
+        for (x, kinds), v in zip(ways, value):
+            for s, k in zip(x, kinds):
+                want[s, k] += np.exp(v - log_sum)
+        assert p == pytest.approx(want)
+        best = pii.best_path(n, [(i, j, None, None) for i, j in edges], score)
+        assert sum(score[s, k] for s, k in best) == pytest.approx(max(value.max(), 0))
+
+
+def _field():
+    texts = [f"word {k} some text +1 ({200 + k}) 555-{1000 + k} and more a{k}.x@mail{k}.example.com or 10.{k % 250}.3.{k % 99} paid by {_luhn(k)} in the end" for k in range(150)]
+    return texts, pii.learned(texts[:100] + [f"there were {k} of them in {1900 + k} already" for k in range(60)])
+
+
+def _luhn(k):
+    d = f"41111111{1000000 + 37 * k}"
+    return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+
 def test_field_finds_what_patterns_miss():
-    cases = []
-    for k in range(300):
-        t = f"word {k} some text +1 ({200 + k}) 555-{1000 + k} and more a{k}.x@mail{k}.example.com or 10.{k % 250}.3.{k % 99} in the end of {k + 7} things"
-        cases.append(pii.examples(t, k % 2 == 0))
-    field = pii.train(cases, epochs=3)
-    t = "reach me under (988) 555-2485 please"
-    assert pii.all_spans(t, field)[1] == [("phone", 15, 29)]
-    assert pii.all_spans("there were 35 of them in 2019 already", field)[1] == []
+    texts, field = _field()
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in pii.all_spans(t, field)[1]]
+    assert kinds("reach me under (988) 555-2485 please") == [("phone", "(988) 555-2485")]
+    assert kinds("paid by 4111.1111.1111.1111 in the end") == [("card", "4111.1111.1111.1111")]
+    assert kinds("and more bob [at] example dot com or so") == [("email", "bob [at] example dot com")]
+    assert kinds("there were 35 of them in 2019 already") == [] == kinds("on 2024-01-15 they won 3 to 1")
+    told = pii.measure(field, texts[100:])
+    assert told["rewritten"] > 100 and told["recall"] >= 0.8 and told["precision"] >= 0.9, told
+    assert pii.all_spans("a 1 b", pii.learned(["no spans 12 here"]))[1] == []
+
+
+def test_entities_are_bounded_as_stated():
+    field = pii.Field()
+    words = lambda t: [m.span() for m in common.WORD.finditer(t)]
+    t = " ".join(["1"] * (pii.MAX_WORDS + 1))
+    assert max(j - i for i, j, *_ in field.segments(t, words(t))) == pii.MAX_WORDS
+    for n, there in ((pii.MAX_CHARS, True), (pii.MAX_CHARS + 1, False)):
+        assert bool(field.segments("7" * n + "!!", words("7" * n + "!!"))) is there
+
+
+def test_personal_data_in_very_long_texts(spark):
+    _, field = _field()
+    for t in ("1" * 1_000_000, "a.b@" * 100_000, "1.2." * 50_000, "!" * 300_000 + " 1" * 500, "x" * 1_000_000 + " a@b.c", "+1" + "." * 500_000):
+        began = time.time()
+        pii.all_spans(t, field)
+        assert time.time() - began < 10
+    rows = [(k, f"call +1 (988) 555-{1000 + k} or mail m{k}@x.example.com " + "plain words here " * (20_000 if k == 3 else 2)) for k in range(40)] * 2
+    got = sorted(tuple(r) for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(got) == 80 and got[::2] == got[1::2] and all(r[1] == r[4] == 1 for r in got)
+
+
+def test_sample_is_bounded(spark):
+    rows = [(k, f"text {k} has +1 (988) 555-{1000 + k}" if k % 2 else f"text {k}") for k in range(2000)] + [(9999, "1 two three four five six seven eight nine ten " * 3000 + " a@b.c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 100 <= len(pii.sample(df, 100)) <= 300 + 3 * pii.TRAIN_WINDOWS and pii.sample(df, 100) == pii.sample(df.repartition(7), 100)
+    whole = pii.sample(df.where("doc_id = 9999"), 100)
+    assert 0 < len(whole) <= 3 * pii.TRAIN_WINDOWS and pii.sample(df.limit(0)) == []
 
 
 # --- 10: top k ---------------------------------------------------------------------
 
 
-def test_top_k_against_brute_force(spark):
+def _plain_top_k(rows, k=5):
+    clean = [(i, tuple(int(np.floor(256 * c)) for c in v)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    by = {}
+    for i, q in set(clean):
+        if i % 50 == 0:
+            by.setdefault(i, []).extend((-max(min(sum(a * b for a, b in zip(q, x, strict=True)), (1 << 63) - 1), -(1 << 63)), j) for j, x in clean if j != i and len(x) == len(q))
+    return sorted((i, n + 1, j, -v) for i, s in by.items() for n, (v, j) in enumerate(sorted(s)[:k]))
+
+
+@pytest.mark.parametrize("bounds", [{}, {"shard_cells": 240}, {"shard_cells": 100, "pivots": 3, "root_cells": 20}])
+def test_top_k_against_brute_force(spark, bounds):
     rnd = random.Random(8)
     rows = [(k, [rnd.choice([0.0, 0.5, 1.0, -0.3]) for _ in range(6)]) for k in range(300)]
-    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6), (50, rows[50][1]), (304, [1.0, 2.0]), (350, [2.0, 3.0]), (400, [1e18] * 6), (450, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1))
-    clean = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v):
-            clean[i, tuple(int(np.floor(256 * c)) for c in v)] = 1
-    want = []
-    for i, q in clean:
-        if i % 50 == 0:
-            s = sorted((-min(sum(a * b for a, b in zip(q, x, strict=True)), (1 << 63) - 1), j) for j, x in clean if j != i and len(x) == len(q))
-            want += [(i, n + 1, j, -v) for n, (v, j) in enumerate(s[:5])]
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, shard_rows=40, block_rows=3).collect()]
-    assert sorted(got) == sorted(want)
-    assert topk.top_k(df.limit(0)).count() == 0
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6), (50, rows[50][1]), (304, [1.0, 2.0]), (350, [2.0, 3.0]), (400, [1e18] * 6), (450, []), (451, []), (451, [])]
+    rows += [(7, rows[7][1])] * 3 + [(100, [0.1] * 6)]  # repeated candidates, and a query of two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1)).withColumn("times", F.lit(1)).withColumn("cell", F.lit(1))
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, **bounds).collect()]
+    assert sorted(got) == _plain_top_k(rows)
+    assert topk.top_k(df.limit(0), **bounds).count() == 0
+
+
+def test_top_k_counts_repeated_rows(spark, duck):
+    rows = [(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0])]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 1, 131072), (0, 2, 1, 131072), (0, 3, 2, 65536)] == _plain_top_k(rows)
+    sql = registry.ORACLE_SQL["op10_exact_top_k"].replace("from embeddings", "from (values (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0])) t(vec_id, embedding)")
+    assert sorted(tuple(int(x) for x in r) for r in duck.execute(f"select query_id, rank, vec_id, score from ({sql})").fetchall()) == got
+
+
+def test_trees_as_bytes_and_bounds():
+    rng = np.random.default_rng(18)
+    x = np.floor(rng.normal(size=(500, 8)) * 50)
+    tree = topk.BallTree(x, np.arange(500), np.ones(500, dtype=np.int64), leaf=20)
+    same = topk.BallTree.from_bytes(tree.to_bytes())
+    for a, b in ((tree.x, same.x), (tree.ids, same.ids), (tree.nodes, same.nodes), (tree.centres, same.centres), (tree.radii, same.radii)):
+        assert (a == b).all()
+    q = rng.normal(size=(20, 8)) * 50
+    for node, (a, b, _, _) in enumerate(tree.nodes):
+        assert (topk.reach(q, tree.centres[node : node + 1], tree.radii[node : node + 1])[:, 0] >= (q @ tree.x[a:b].T).max(axis=1)).all()
 
 
 # --- the pipeline -------------------------------------------------------------------
@@ -464,12 +881,43 @@ def test_pipeline_stages(spark, docs, odd, empty, labels, library_bytes):
     _check_packing(four, corpus_pipeline.best_fit_packing(spark, four, DATA).collect())
 
 
-def test_pipeline_on_odd_and_empty_rows(spark, odd, empty):
-    for df in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, df, DATA)
-            assert out.count() >= 0
-            df = out if "text" in out.columns else df
+def test_pipeline_on_odd_rows(spark, odd, labels, library_bytes):
+    one = corpus_pipeline.quality_rules(spark, odd, DATA)
+    want = Counter((r["doc_id"], r["text"]) for r in quality.quality(odd, labels, keep=("doc_id", "text")).where("kept").collect())
+    assert Counter((r["doc_id"], r["text"]) for r in one.collect()) == want and one.columns == list(common.DOCUMENT_COLUMNS)
+    two = corpus_pipeline.line_dedup(spark, odd, DATA)
+    texts = Counter((r["doc_id"], r["text"]) for r in two.collect())
+    assert sum(texts.values()) == len(ODD) and texts[(3, "same\ntext " * 40)] == 2 and texts[(1, "")] == 1 and texts[(12, "own 2\n")] == 1
+    three = corpus_pipeline.near_dedup(spark, odd, DATA)
+    assert three.count() == _classes([(r["doc_id"], r["text"]) for r in odd.collect()], number=True) and {r["doc_id"] for r in three.collect()} >= {4, 5, 7, 10}
+    four = corpus_pipeline.source_mix(spark, odd, DATA)
+    assert four.count() == sum(r["copies"] for r in mixing.mix(odd).collect())
+    _check_packing(odd, corpus_pipeline.best_fit_packing(spark, odd, DATA).collect())
+
+
+def test_pipeline_on_empty_tables(spark, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, DATA)
+        assert out.count() == 0 and (name == "best-fit packing" or out.columns == list(common.DOCUMENT_COLUMNS))
+
+
+def test_scratch_is_deleted_and_shared(spark):
+    import os
+
+    with common.scratch(spark):
+        df = common.cut(spark.range(10))
+        at = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert os.path.isdir(at) and df.count() == 10
+    assert not os.path.exists(at)
+    order = common.numbered(spark.createDataFrame([(k * 7 % 100,) for k in range(100)], "x int").repartition(5), F.asc("x"))
+    assert all(r["nth"] == r["x"] for r in order.collect()) and order.count() == 100
+
+    class Away:  # a cluster that names no shared folder
+        conf = type("", (), {"get": lambda *_: None})()
+        sparkContext = type("", (), {"getCheckpointDir": lambda _: None, "master": "spark://there:7077"})()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Away())
 
 
 def test_pipeline_run(spark):
