@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..shared import cut
 
 #: Queries whose vectors go to all tasks at once; more are taken in blocks.
 QUERY_BLOCK = 4_096
-#: The same for queries of terms.
-TERM_BLOCK = 512
+#: The same for queries of terms, and distinct terms of such a block, about: what goes to the tasks has so many cells at most.
+TERM_BLOCK, TERMS = 512, 16_384
+#: Vectors of one side of a group that one task compares at a time.
+GROUP_BLOCK = 4_096
 _TERM = re.compile(r"[a-z0-9]+")
 
 
@@ -24,133 +27,279 @@ def top_k(df: DataFrame, k: int, by: tuple[str, ...], *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _term_hash(words: np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(words, categorize=False).view(np.int64)
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, page_id, terms, tf) of chunks (chunk_id, page_id, chunk_text): the hashes of each chunk's distinct ASCII terms, in order, and how often each occurs. A batch's words are numbered at once."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [_TERM.findall((t or "").lower()) for t in batch["chunk_text"]]
+            n = np.array([len(w) for w in words])
+            which, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
+            h = _term_hash(distinct)[which] if len(which) else np.empty(0, dtype=np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, of))
+            of, h = of[order], h[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.empty(0, dtype=int)
+            tf = np.diff(np.append(first, len(h))).astype(np.int32)
+            cuts = np.searchsorted(of[first], np.arange(1, len(n)))
+            yield batch[["chunk_id", "page_id"]].assign(terms=np.split(h[first], cuts), tf=np.split(tf, cuts))
+
+    kind = chunks.schema["page_id"].dataType.simpleString()
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "page_id", "chunk_text").mapInPandas(counted, f"chunk_id bigint, page_id {kind}, terms array<bigint>, tf array<int>")
+
+
 def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFrame:
     """(query_id, chunk_id, page_id, score, rank): for queries (query_id, text) the k best of chunks (chunk_id, page_id, chunk_text) by the sum over shared ASCII terms of (1 + ln tf) ln(1 + N / df).
 
-    Queries go to the tasks in blocks of TERM_BLOCK, with their vocabulary. A task
-    counts a batch's terms into a matrix, multiplies it with the queries and keeps k
-    rows for each; the matches of common terms are never rows of a join.
+    Texts are read once, into postings by chunk, and document frequencies counted
+    from these. Queries then go to the tasks in blocks of bounded size; a task
+    multiplies its chunks' counts with them and keeps k rows for each, so that the
+    matches of common terms are never rows of a join.
     """
     spark = queries.sparkSession
     kind = chunks.schema["page_id"].dataType.simpleString()
-    blocks = max(1, -(-queries.count() // TERM_BLOCK))
-    asked = queries.select("query_id", "text", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), 0))
+    asked = queries.select("query_id", terms.alias("terms"))
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+    blocks = max(1, -(-size["n"] // TERM_BLOCK), -(-(size["terms"] or 0) // TERMS))
     out = spark.createDataFrame([], f"query_id bigint, chunk_id bigint, page_id {kind}, score double")
+    if not size["terms"]:
+        return top_k(out, k, ("query_id",), F.desc("score"), "chunk_id")
+    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    held = cut(postings(chunks))
+    n = held.count()
     for block in range(blocks):
-        rows = asked.where(F.col("block") == block).collect()  # about TERM_BLOCK rows
-        sets = [sorted(set(_TERM.findall((r["text"] or "").lower()))) for r in rows]
-        words = {t: n for n, t in enumerate(sorted({t for s in sets for t in s}))}
-        if not words:
+        rows = asked.where(F.col("block") == block).collect()  # about TERM_BLOCK rows and TERMS terms
+        sets = [_term_hash(np.array(r["terms"], dtype=object)) for r in rows]
+        words = np.unique(np.concatenate([*sets, np.empty(0, dtype=np.int64)]))
+        if not len(words):
             continue
         shared = spark.sparkContext.broadcast(words)
 
-        def counted(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            n, df = 0, np.zeros(len(shared.value), dtype=np.int64)
+        def found(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            df = np.zeros(len(shared.value), dtype=np.int64)
             for batch in batches:
-                n += len(batch)
-                for m in _matrices(batch["chunk_text"], shared.value):
-                    df += (m > 0).sum(axis=0)
-            yield pd.DataFrame({"term": np.arange(-1, len(df)), "n": np.concatenate([[n], df])})
+                for _, j, _ in _entries(batch, shared.value):
+                    df += np.bincount(j, minlength=len(df))
+            yield pd.DataFrame({"term": np.arange(len(df)), "n": df})
 
-        found = {r["term"]: r["n"] for r in chunks.select("chunk_text").mapInPandas(counted, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        df = {r["term"]: r["n"] for r in held.select("terms", "tf").mapInPandas(found, "term int, n bigint").where("n > 0").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         weight = np.zeros((len(words), len(rows)))
         for q, s in enumerate(sets):
-            for t in s:
-                if df := found.get(words[t]):
-                    weight[words[t], q] = np.log(1 + found[-1] / df)
-        held = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), weight))
-
-        def scored(batches: Iterator[pd.DataFrame], shared=shared, held=held) -> Iterator[pd.DataFrame]:
-            ids, weight = held.value
-            best = None
+            for j in np.searchsorted(words, s):
+                if j in df:
+                    weight[j, q] = np.log(1 + n / df[j])
+        ids = np.array([r["query_id"] for r in rows])
+        weighed = spark.sparkContext.broadcast((ids, weight))
+
+        def scored(batches: Iterator[pd.DataFrame], shared=shared, weighed=weighed) -> Iterator[pd.DataFrame]:
+            ids, weight = weighed.value
+            best = _Best(len(ids), k)
             for batch in batches:
-                at = 0
-                for m in _matrices(batch["chunk_text"], shared.value):
-                    some = batch.iloc[at : at + len(m)]
-                    at += len(m)
-                    there = np.nonzero(m)
-                    m[there] = 1 + np.log(m[there])
-                    s = np.round(m @ weight, 6)
-                    c, q = np.nonzero(s)
-                    new = pd.DataFrame({"query_id": ids[q], "chunk_id": some["chunk_id"].to_numpy()[c], "page_id": some["page_id"].to_numpy()[c], "score": s[c, q]})
-                    best = new if best is None else pd.concat([best, new])
-                    if len(best) > 4 * k * len(ids):
-                        best = _first(best, k)
-            if best is not None:
-                yield _first(best, k)
-
-        out = out.unionByName(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "page_id", "chunk_text").mapInPandas(scored, out.schema))
+                for i, j, tf in _entries(batch, shared.value):
+                    some = batch.iloc[i.min() : i.max() + 1] if len(i) else batch.iloc[:0]
+                    m = np.zeros((len(some), len(weight)))
+                    m[i - (i.min() if len(i) else 0), j] = 1 + np.log(tf)
+                    s = np.round(m @ weight, 6).T
+                    best.put(np.where(s > 0, s, -np.inf), some["chunk_id"].to_numpy(), some["page_id"].to_numpy())
+            q, chunk, page, score = best.rows()
+            yield pd.DataFrame({"query_id": ids[q], "chunk_id": chunk, "page_id": page, "score": score})
+
+        out = out.unionByName(held.mapInPandas(scored, out.schema))
     return top_k(out, k, ("query_id",), F.desc("score"), "chunk_id")
 
 
-def _first(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    return hits.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+def _entries(batch: pd.DataFrame, words: np.ndarray, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, place of the term in words, tf) of the terms of a batch that are among the words, some rows at a time so that a matrix of them stays small."""
+    step = max(1, cells // len(words))
+    for a in range(0, len(batch), step):
+        part = batch.iloc[a : a + step]
+        size = np.array([len(t) for t in part["terms"]])
+        h = np.concatenate([*part["terms"], np.empty(0, dtype=np.int64)]).astype(np.int64)
+        tf = np.concatenate([*part["tf"], np.empty(0, dtype=np.int32)])
+        j = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        hit = words[j] == h
+        yield np.repeat(np.arange(a, a + len(part)), size)[hit], j[hit], tf[hit]
+
+
+class _Best:
+    """The k best of what is put for each of n queries, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score, self.id, self.also = np.empty((n, 0)), np.empty((n, 0), dtype=np.int64), np.empty((n, 0), dtype=object)
+
+    def put(self, score: np.ndarray, ids: np.ndarray, also: np.ndarray | None = None) -> None:
+        """score has a row for each query and a column for each id; -inf is none."""
+        if score.shape[1] > 2 * self.k:  # first what can be among the best, equals included
+            least = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            if self.score.shape[1] == self.k:
+                least = np.maximum(least, self.score[:, -1:])
+            some = np.flatnonzero((score >= least).any(axis=0) & np.isfinite(score).any(axis=0))
+            score, ids, also = score[:, some], ids[some], None if also is None else also[some]
+        self.score = np.hstack([self.score, score])
+        self.id = np.hstack([self.id, np.broadcast_to(ids, score.shape)])
+        order = np.lexsort((self.id, -self.score), axis=1)[:, : self.k]
+        if also is not None:
+            self.also = np.take_along_axis(np.hstack([self.also, np.broadcast_to(also, score.shape)]), order, 1)
+        self.score, self.id = np.take_along_axis(self.score, order, 1), np.take_along_axis(self.id, order, 1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, also, score)."""
+        q, j = np.nonzero(np.isfinite(self.score))
+        return q, self.id[q, j], self.also[q, j] if self.also.size else np.empty(len(q), dtype=object), self.score[q, j]
+
+
+def passage_matches(passages: DataFrame, docs: DataFrame, lead: int = 60) -> DataFrame:
+    """(id, doc_id, whole): documents (doc_id, text) that hold the first `lead` characters of a passage (id, passage), and whether they hold all of it.
+
+    The words within the lead, all but the first and last, are whole words of a text
+    that holds it. So up to three of them are looked for by hash among the words of
+    the texts, and only what meets is searched. Leads of fewer than three words go to
+    the texts as they are, in blocks of SHORT_LEADS.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    p = passages.select("id", "passage", F.substring("passage", 1, lead).alias("lead")).where(F.col("lead") != "")
+    p = p.withColumn("_w", F.filter(F.split("lead", r"\s+"), lambda w, k: (k > 0) & (k < F.size(F.split("lead", r"\s+")) - 1)))
+    window = lambda ws, k, n: F.concat_ws(" ", F.slice(ws, k, n))
+    keyed = p.where(F.size("_w") > 0).select("id", F.least(F.size("_w"), F.lit(3)).alias("n"), F.xxhash64(window("_w", 1, 3)).alias("h"))
+    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
+    parts = None
+    for n in sorted(r["n"] for r in keyed.select("n").distinct().collect()):  # 1 to 3
+        places = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        one = texts.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(_windows("w", places, n))).alias("h"))
+        met = one.join(keyed.where(F.col("n") == n).select("id", "h"), "h").select("id", "doc_id")
+        parts = met if parts is None else parts.unionByName(met)
+    holds = lambda df: df.where(F.contains("text", F.col("lead"))).select("id", "doc_id", F.contains("text", F.col("passage")).alias("whole"))
+    out = docs.select("doc_id").limit(0).select(F.lit(None).cast(passages.schema["id"].dataType).alias("id"), "doc_id", F.lit(False).alias("whole"))
+    if parts is not None:
+        out = out.unionByName(holds(parts.distinct().join(docs.select("doc_id", "text"), "doc_id").join(p.select("id", "passage", "lead"), "id")))
+    short = p.where(F.size("_w") == 0).select("id", "passage", "lead")
+    blocks = -(-short.count() // SHORT_LEADS)
+    for block in range(blocks):
+        some = short.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)  # about SHORT_LEADS rows
+        out = out.unionByName(holds(docs.select("doc_id", "text").join(F.broadcast(some), F.contains("text", F.col("lead")))))
+    return out
 
 
-def _matrices(texts: pd.Series, words: dict[str, int], cells: int = 4_000_000) -> Iterator[np.ndarray]:
-    """Counts of words in texts, some rows at a time so that a matrix stays small."""
-    step = max(1, cells // len(words))
-    for a in range(0, len(texts), step):
-        part = texts.iloc[a : a + step]
-        m = np.zeros((len(part), len(words)))
-        for n, t in enumerate(part):
-            for w in _TERM.findall((t or "").lower()):
-                if (j := words.get(w)) is not None:
-                    m[n, j] += 1
-        yield m
+#: Leads without a word within that go to all tasks at once.
+SHORT_LEADS = 1_000
+
+
+def _windows(words: str, places: Column, n: int) -> Column:
+    return F.transform(places, lambda k: F.xxhash64(F.concat_ws(" ", F.slice(F.col(words), k, n))))
 
 
 def vector_knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, id, sim, rank): for queries (query_id, v) the k rows of corpus (id, v) of highest cosine, ties to the smaller id.
 
     Queries go to the tasks in blocks of QUERY_BLOCK, whose size is thereby known;
-    each task keeps k rows for each query, and only those are shuffled.
+    each task keeps k rows for each query, and only those are shuffled. Of several
+    blocks each result is written before the next, so that plans do not grow.
     """
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.where(F.col("v").isNotNull()).select("query_id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    parts = [spark.createDataFrame([], "query_id bigint, id bigint, sim double")]
+    rows_of = corpus.where(F.col("v").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    if blocks > 1:
+        asked, rows_of = cut(asked), cut(rows_of)
+    out = spark.createDataFrame([], "query_id bigint, id bigint, sim double")
     for block in range(blocks):
         rows = asked.where(F.col("block") == block).collect()  # about QUERY_BLOCK rows
         if not rows:
             continue
-        ids = np.array([r["query_id"] for r in rows])
-        q = np.array([r["v"] for r in rows], dtype=float)
-        q /= np.maximum(np.sqrt((q**2).sum(axis=1, keepdims=True)), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, q))
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), _unit([r["v"] for r in rows])))
 
         def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            best_id, best_sim = np.empty((len(ids), 0), dtype=np.int64), np.empty((len(ids), 0))
+            best = _Best(len(ids), k)
             for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                x = np.stack(batch["v"].to_numpy()).astype(float)
-                x /= np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-300)
-                sim = np.round(q @ x.T, 9)
-                best_id = np.hstack([best_id, np.broadcast_to(batch["id"].to_numpy(), sim.shape)])
-                best_sim = np.hstack([best_sim, sim])
-                order = np.lexsort((best_id, -best_sim), axis=1)[:, :k]
-                best_id, best_sim = np.take_along_axis(best_id, order, 1), np.take_along_axis(best_sim, order, 1)
-            if best_id.size:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best_id.shape[1]), "id": best_id.ravel(), "sim": best_sim.ravel()})
-
-        parts.append(corpus.where(F.col("v").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInPandas(near, "query_id bigint, id bigint, sim double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                if len(batch):
+                    best.put(np.round(q @ _unit(batch["v"]).T, 9), batch["id"].to_numpy())
+            n, j, _, sim = best.rows()
+            yield pd.DataFrame({"query_id": ids[n], "id": j, "sim": sim})
+
+        one = rows_of.mapInPandas(near, "query_id bigint, id bigint, sim double")
+        out = out.unionByName(cut(top_k(one, k, ("query_id",), F.desc("sim"), "id").drop("rank")) if blocks > 1 else one)
     return top_k(out, k, ("query_id",), F.desc("sim"), "id").withColumn("sim", F.round("sim", 6))
 
 
+def _unit(vectors) -> np.ndarray:
+    x = np.stack([np.asarray(v, dtype=float) for v in vectors])
+    return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def vector_search(queries: DataFrame, corpus: DataFrame, factor: Column, limit: int = 20, offset: int = 0) -> DataFrame:
+    """(query_id, id, score, rank): the nearest offset + max(5 limit, 100) of corpus (id, v, ...) by cosine, weighted by `factor`, a column of corpus such as that of its source, and sorted anew."""
+    first = vector_knn(queries, corpus, offset + max(5 * limit, 100)).drop("rank")
+    weighed = first.join(corpus.select("id", factor.alias("_f")), "id").withColumn("score", F.round(F.col("sim") * F.col("_f"), 6))
+    return top_k(weighed, offset + limit, ("query_id",), F.desc("score"), "id").where(F.col("rank") > offset).select("query_id", "id", "score", "rank")
+
+
+def nearest_in_group(left: DataFrame, right: DataFrame, key: str, k: int = 1) -> DataFrame:
+    """(id, other, sim): for rows of left (id, key, v) the k rows of right (id, key, v) of the same key and another id of highest cosine, ties to the smaller id.
+
+    A group is compared in blocks of GROUP_BLOCK rows of either side, each in a task of
+    its own, so that one key may hold any share of the rows.
+    """
+    parts = lambda df: df.groupBy(key).agg((1 + F.floor(F.count("*") / GROUP_BLOCK)).cast("int").alias("parts"))
+    l_parts, r_parts = parts(left).withColumnRenamed("parts", "l_parts"), parts(right).withColumnRenamed("parts", "r_parts")
+    both = l_parts.join(r_parts, key)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    vec = F.col("v").cast("array<double>").alias("v")
+    l = left.where(F.col("v").isNotNull()).join(both, key).select("id", key, vec, own("l_parts").alias("_l"), every("r_parts").alias("_r"))
+    r = right.where(F.col("v").isNotNull()).join(both, key).select("id", key, vec, own("r_parts").alias("_r"), every("l_parts").alias("_l"))
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "other": [], "sim": []})
+        sim = np.round(_unit(a["v"]) @ _unit(b["v"]).T, 9)
+        sim[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
+        best = _Best(len(a), k)
+        best.put(sim, b["id"].to_numpy())
+        n, j, _, s = best.rows()
+        return pd.DataFrame({"id": a["id"].to_numpy()[n], "other": j, "sim": s})
+
+    by = (key, "_l", "_r")
+    found = l.groupBy(*by).cogroup(r.groupBy(*by)).applyInPandas(near, "id bigint, other bigint, sim double")
+    return top_k(found, k, ("id",), F.desc("sim"), "other")
+
+
+def trigram_pairs(names: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """(name, id, sim): names (name) and others (id, title) whose sets of trigrams have at least that Jaccard similarity.
+
+    An exact join by prefix: sets are ordered by how rare their trigrams are, a pair
+    must share one of the first n - ceil(least n) + 1, and sizes must be near; only
+    then are the sets compared.
+    """
+    n = names.select("name").distinct().select("name", C.trigrams(F.col("name")).alias("g")).where(F.size("g") > 0)
+    titles = others.groupBy("title").agg(F.count("*").alias("_c")).select("title", C.trigrams(F.col("title")).alias("h")).where(F.size("h") > 0)
+    df = n.select(F.explode("g").alias("t")).unionByName(titles.select(F.explode("h").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
+
+    def prefix(rows: DataFrame, key: str, grams: str) -> DataFrame:
+        flat = rows.select(key, F.size(grams).alias("n"), F.explode(grams).alias("t")).join(df, "t")
+        ordered = flat.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "t")))["t"].alias("o"))  # of one name
+        return ordered.select(key, "n", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("t"))
+
+    a, b = prefix(n, "name", "g").withColumnRenamed("n", "na"), prefix(titles, "title", "h").withColumnRenamed("n", "nb")
+    near = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    cand = a.join(b, "t").where(near).select("name", "title").distinct()
+    shared = F.size(F.array_intersect("g", "h"))
+    sim = F.round(shared / (F.size("g") + F.size("h") - shared), 6)
+    pairs = cand.join(n, "name").join(titles, "title").select("name", "title", sim.alias("sim")).where(F.col("sim") >= least)
+    return pairs.join(others.select("id", "title"), "title").select("name", "id", "sim")
+
+
 def fuzzy_title_join(names: DataFrame, pages: DataFrame, least: float = 0.55) -> DataFrame:
     """(name, page_id, sim): the page (page_id, slug, title) whose title has the highest trigram similarity to each name, at least `least`, ties by slug."""
-    n = names.select("name", C.trigrams(F.col("name")).alias("g")).where(F.size("g") > 0)
-    p = pages.select("page_id", "slug", C.trigrams(F.col("title")).alias("h")).where(F.size("h") > 0)
-    a = n.select("name", F.size("g").alias("ng"), F.explode("g").alias("t"))
-    b = p.select("page_id", "slug", F.size("h").alias("nh"), F.explode("h").alias("t"))
-    shared = a.join(b, "t").groupBy("name", "page_id", "slug", "ng", "nh").agg(F.count("*").alias("c"))
-    sim = shared.withColumn("sim", F.round(F.col("c") / (F.col("ng") + F.col("nh") - F.col("c")), 6)).where(F.col("sim") >= least)
-    return top_k(sim, 1, ("name",), F.desc("sim"), "slug").select("name", "page_id", "sim")
+    first = pages.groupBy("title").agg(F.min_by("page_id", "slug").alias("id"), F.min("slug").alias("slug"))  # of equal titles the least slug wins
+    pairs = trigram_pairs(names, first.select("id", "title"), least).join(first.select("id", "slug"), "id")
+    return top_k(pairs, 1, ("name",), F.desc("sim"), "slug").select("name", F.col("id").alias("page_id"), "sim")
 
 
 def resolve_entities(mentions: DataFrame, pages: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -204,10 +353,14 @@ def repeat_queries(queries: DataFrame, answered: DataFrame, now: Column, sim: fl
 
 
 def duplicate_fact_candidates(facts: DataFrame, k: int = 5) -> DataFrame:
-    """(fact_id, other_id, rank): for each active fact the k most recent active ones of its entity before it. A window over the entity's order replaces the self-join."""
+    """(fact_id, other_id, rank): for each active fact (fact_id, entity_slug, valid_from, v) the k others of its entity that are nearest by vector; facts without a vector get the k most recent active ones before them. A window over the entity's order replaces that self-join."""
+    active = facts.where(~F.col("expired"))
     w = Window.partitionBy("entity_slug").orderBy("valid_from", "fact_id")
-    recent = facts.where(~F.col("expired")).select("fact_id", F.reverse(F.collect_list("fact_id").over(w.rowsBetween(-k, -1))).alias("recent"))
-    return recent.select("fact_id", F.posexplode("recent").alias("rank", "other_id")).withColumn("rank", F.col("rank") + 1)
+    recent = active.select("fact_id", "v", F.reverse(F.collect_list("fact_id").over(w.rowsBetween(-k, -1))).alias("recent"))
+    latest = recent.where(F.col("v").isNull()).select("fact_id", F.posexplode("recent").alias("rank", "other_id")).withColumn("rank", F.col("rank") + 1)
+    have = active.where(F.col("v").isNotNull()).select(F.col("fact_id").alias("id"), "entity_slug", "v")
+    near = nearest_in_group(have, have, "entity_slug", k).select(F.col("id").alias("fact_id"), F.col("other").alias("other_id"), "rank")
+    return latest.select("fact_id", "other_id", "rank").unionByName(near)
 
 
 def as_of_facts(facts: DataFrame, at: Column) -> DataFrame:

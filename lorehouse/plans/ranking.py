@@ -302,10 +302,9 @@ _QRELS = "qrels as (select item_id as query_id, doc_id, case when contains(d.tex
 
 
 def _qrels(v: Views):
-    """Documents that hold a question's text, grade 3, or its beginning, 1. The questions are a bounded set and go to the documents."""
-    b = v.raw("benchmark").select("item_id", F.col("text").alias("b"))
-    d = v.raw("documents").select("doc_id", "text").join(F.broadcast(b), F.contains("text", F.substring("b", 1, 60)))
-    return d.select(F.col("item_id").alias("query_id"), "doc_id", F.when(F.contains("text", F.col("b")), 3).otherwise(1).alias("grade"))
+    """Documents that hold a question's text, grade 3, or its beginning, 1."""
+    met = J.passage_matches(v.raw("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("passage")), v.raw("documents").select("doc_id", "text"))
+    return met.select(F.col("id").alias("query_id"), "doc_id", F.when(F.col("whole"), 3).otherwise(1).alias("grade"))
 
 
 _METRICS = f"""{_QRELS}, rs as (select query_id, page_id as doc_id, r as rank from results), h as (select query_id, count(*) as h, min(rank) as first, sum(grade / log2(rank + 1)) as dcg from rs join qrels using (query_id, doc_id) where rank <= 5 group by 1),
