@@ -18,7 +18,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 #: Rows that go to a Python worker at a time.
-BATCH_ROWS = 1_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,10 +32,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Has at most BATCH_ROWS rows of text go to a Python worker at a time, in this session from now on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Has at most BATCH_ROWS rows and BATCH_BYTES go to a Python worker at a time, in this session from now on: a batch is held by the JVM and by the worker."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size, "").removesuffix("b") in ("", "-1", str(64 << 20)):  # not set by anyone
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def trimmed(run):
