@@ -36,7 +36,7 @@ def bound_batches(spark: SparkSession) -> None:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    if spark.conf.get(size, "").removesuffix("b") in ("", "-1", str(64 << 20)):  # not set by anyone
+    if spark.conf.get(size).removesuffix("b") in ("-1", str(64 << 20)):  # not set by anyone
         spark.conf.set(size, str(BATCH_BYTES))
 
 
