@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .joins import top_k
+from .joins import top_k, trigram_pairs, vector_knn
 
 # Fixed values.
 RRF_K = 60
@@ -15,6 +15,7 @@ TRUTH_BOOST = 2.0
 BACKLINK = 0.05
 SALIENCE = 0.15
 HUB, CROSS, SESSION_DEMOTE = 1.05, 1.10, 0.95
+TEXT_SHARE, IMAGE_SHARE = 0.6, 0.4
 # End of the fixed values.
 
 
@@ -119,11 +120,46 @@ def process_reorder(hits: DataFrame, first: int = 10) -> DataFrame:
 
 
 def token_budget(hits: DataFrame, budget: int) -> DataFrame:
-    """hits (query_id, rank, tokens) up to the first that overflows the budget."""
+    """hits (query_id, rank, tokens) up to the first that overflows the budget, with the tokens used up to each."""
     used = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return hits.withColumn("used", used).where(F.col("used") <= budget)
 
 
+def budget_report(hits: DataFrame, budget: int) -> DataFrame:
+    """(query_id, used, kept, dropped): what token_budget keeps of each query's hits (query_id, rank, tokens), and what it drops."""
+    upto = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.col("_u") <= budget
+    g = hits.withColumn("_u", upto).groupBy("query_id").agg(F.coalesce(F.max(F.when(inside, F.col("_u"))), F.lit(0)).cast("long").alias("used"), F.count_if(inside).alias("kept"), F.count_if(~inside).alias("dropped"))
+    return g.select("query_id", "used", "kept", "dropped")
+
+
+def modality_merge(text_hits: DataFrame, image_hits: DataFrame, image_query: bool = False, key: str = "id") -> DataFrame:
+    """(query_id, key, score): hits by the text vectors and by the image vectors, fused by rank with weights TEXT and IMAGE, which change places where the query is an image."""
+    first, second = (IMAGE_SHARE, TEXT_SHARE) if image_query else (TEXT_SHARE, IMAGE_SHARE)
+    return rrf_fuse([(text_hits, first), (image_hits, second)], key=key, first_rank=1, normalise=False)
+
+
+def take_search(queries: DataFrame, takes: DataFrame, limit: int = 30, least: float = 0.3, holders: DataFrame | None = None) -> DataFrame:
+    """(query_id, take_id, score, rank) for queries (query_id, text, v) over active takes (take_id, claim, holder, weight, v, active).
+
+    One list by trigram similarity of claim and text above `least`, then by weight;
+    one by cosine; both of the holders (holder) alone where such are given. The two
+    are fused by rank.
+    """
+    t = takes.where("active")
+    allowed = t if holders is None else t.join(holders.select("holder").distinct(), "holder", "left_semi")
+    names = queries.select(F.col("text").alias("name"))
+    close = trigram_pairs(names, allowed.select(F.col("take_id").alias("id"), F.col("claim").alias("title")), least).where(F.col("sim") > least)
+    worded = queries.select("query_id", F.col("text").alias("name")).join(close, "name").select("query_id", F.col("id").alias("take_id"), F.col("sim").alias("score"))
+    near = vector_knn(queries.select("query_id", "v"), allowed.select(F.col("take_id").alias("id"), "v"), limit)
+    near = near.select("query_id", F.col("id").alias("take_id"), "rank")
+    worded = worded.join(t.select("take_id", "weight"), "take_id")
+    worded = top_k(worded, limit, ("query_id",), F.desc("score"), F.desc("weight"), "take_id").select("query_id", "take_id", "rank")
+    part = lambda df: df.select("query_id", "take_id", (1.0 / (RRF_K + F.col("rank") - 1)).alias("part"))
+    fused = part(worded).unionByName(part(near)).groupBy("query_id", "take_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    return top_k(fused, limit, ("query_id",), F.desc("score"), "take_id").select("query_id", "take_id", "score", "rank")
+
+
 def rerank_merge(hits: DataFrame, scores: DataFrame, first: int = 10) -> DataFrame:
     """hits (query_id, page_id, rank) with the first ranks in the order of given scores; unscored ones follow in theirs, the tail stays; delta is how far a row rose."""
     h = hits.join(scores, ["query_id", "page_id"], "left")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
+from .joins import top_k
+
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select("src", "dst", "lt").distinct()
@@ -13,31 +16,44 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 5, direction: str = "out", cap: int | None = None) -> DataFrame:
-    """(seed, node, depth): nodes within `depth` steps of each seed, at their least depth. `cap` bounds what a step adds for a seed, by name."""
-    e = _oriented(edges, direction).select("src", "dst").distinct()
-    frontier = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"))
-    seen = frontier
+    """(seed, node, depth): nodes within `depth` steps of each seed, at their least depth. `cap` bounds what a step adds for a seed, by name. Each level is written, so that a step works on the level before and not on its plan."""
+    e = cut(_oriented(edges, direction).select("src", "dst").distinct())
+    seen = frontier = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")))
     for step in range(1, depth + 1):
         nxt = frontier.withColumnRenamed("node", "src").join(e, "src").select("seed", F.col("dst").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        if cap:
-            nxt = nxt.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("_n") <= cap).drop("_n")
-        frontier = nxt.withColumn("depth", F.lit(step))
+        if cap:  # cut by task before the rows of a seed meet
+            nxt = top_k(nxt, cap, ("seed",), "node").drop("rank")
+        frontier = cut(nxt.withColumn("depth", F.lit(step)))
+        if not frontier.limit(1).count():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
 
 def paths(edges: DataFrame, seeds: DataFrame, depth: int, link_type: str | None = None, direction: str = "out") -> DataFrame:
     """(src, dst, lt, depth): the edges walked from any seed at each step, each once for a step."""
-    e = _oriented(edges if link_type is None else edges.where(F.col("lt") == link_type), direction)
+    e = cut(_oriented(edges if link_type is None else edges.where(F.col("lt") == link_type), direction))
     nodes = seeds.select("node").distinct()
     out = None
     for step in range(1, depth + 1):
-        walked = e.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").withColumn("depth", F.lit(step))
+        walked = cut(e.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").withColumn("depth", F.lit(step)))
         out = walked if out is None else out.unionByName(walked)
         nodes = walked.select(F.col("dst").alias("node")).distinct()
     return out
 
 
+def neighbourhood(links: DataFrame, anchors: DataFrame, depth: int = 2) -> DataFrame:
+    """(key, page_id, depth): pages within `depth` links of each key's anchors (key, page_id), in either direction, at their least depth, anchors left out."""
+    there = links.select(F.col("from_page_id").alias("a"), F.col("to_page_id").alias("b"))
+    both = cut(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    seen = frontier = cut(anchors.select("key", "page_id").distinct().withColumn("depth", F.lit(0)))
+    for step in range(1, depth + 1):
+        nxt = frontier.select("key", F.col("page_id").alias("a")).join(both, "a").select("key", F.col("b").alias("page_id")).distinct().join(seen.select("key", "page_id"), ["key", "page_id"], "left_anti")
+        frontier = cut(nxt.withColumn("depth", F.lit(step)))
+        seen = seen.unionByName(frontier)
+    return seen.where(F.col("depth") > 0)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, n_in, n_out, n)."""
     e = edges.select("src", "dst", "lt").distinct()
@@ -51,18 +67,35 @@ def callers(resolved: DataFrame, unresolved: DataFrame, symbols: DataFrame) -> D
     return both.join(symbols.select(F.col("symbol").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("symbol"), F.col("src").alias("caller"), "resolved")
 
 
-def impact_walk(edges: DataFrame, seeds: DataFrame, depth: int = 5, per_level: int = 1000) -> DataFrame:
-    """(seed, node, depth, confidence, cut): a level-wise walk against the edges with confidence max(.05, 1 / (1 + .3 d)); `cut` marks levels that the bound shortened."""
-    e = _oriented(edges, "in").select("src", "dst").distinct()
-    frontier = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.lit(False).alias("cut"))
-    seen = frontier
-    for step in range(1, depth + 1):
+def impact_walk(edges: DataFrame, seeds: DataFrame, depth: int = 5, max_nodes: int = 1000) -> DataFrame:
+    """(seed, node, depth, confidence, stopped) of a level-wise walk against the edges, with confidence max(.05, 1 / (1 + .3 d)).
+
+    A walk holds max_nodes nodes at most, its seed among them: the level that would
+    pass that is cut by name, and the walk ends; `stopped` says why walks ended:
+    'nodes', 'depth' where further nodes lay beyond the last level, or 'done'. A hub's
+    neighbours are cut by task before they meet.
+    """
+    e = cut(_oriented(edges, "in").select("src", "dst").distinct())
+    seen = frontier = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
+    room = cut(frontier.select("seed").distinct().withColumn("room", F.lit(max_nodes - 1)))
+    full = room.limit(0).select("seed")
+    beyond = full
+    for step in range(1, depth + 2):
         nxt = frontier.withColumnRenamed("node", "src").join(e, "src").select("seed", F.col("dst").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        w = Window.partitionBy("seed")
-        nxt = nxt.withColumn("_n", F.row_number().over(w.orderBy("node"))).withColumn("cut", F.count("*").over(w) > per_level).where(F.col("_n") <= per_level).drop("_n")
-        frontier = nxt.withColumn("depth", F.lit(step)).select("seed", "node", "depth", "cut")
+        if step > depth:
+            beyond = cut(nxt.select("seed").distinct())
+            break
+        ranked = cut(top_k(nxt, max_nodes + 1, ("seed",), "node").join(room, "seed"))  # one more shows that a bound was met
+        over = ranked.where(F.col("rank") > F.col("room")).select("seed").distinct()
+        frontier = cut(ranked.where(F.col("rank") <= F.col("room")).select("seed", "node", F.lit(step).alias("depth")))
+        full = cut(full.unionByName(over))
+        taken = frontier.groupBy("seed").agg(F.count("*").alias("n"))
+        room = cut(room.join(taken, "seed").join(full, "seed", "left_anti").select("seed", (F.col("room") - F.col("n")).cast("int").alias("room")))
         seen = seen.unionByName(frontier)
-    return seen.withColumn("confidence", F.round(F.greatest(F.lit(0.05), 1 / (1 + 0.3 * F.col("depth"))), 6))
+        frontier = frontier.join(full, "seed", "left_anti")
+    why = full.withColumn("stopped", F.lit("nodes")).unionByName(beyond.withColumn("stopped", F.lit("depth")))
+    out = seen.join(why, "seed", "left").withColumn("stopped", F.coalesce("stopped", F.lit("done")))
+    return out.withColumn("confidence", F.round(F.greatest(F.lit(0.05), 1 / (1 + 0.3 * F.col("depth"))), 6))
 
 
 def alias_closure(aliases: DataFrame, depth: int = 4) -> DataFrame:

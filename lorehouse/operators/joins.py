@@ -253,20 +253,19 @@ def nearest_in_group(left: DataFrame, right: DataFrame, key: str, k: int = 1) ->
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     vec = F.col("v").cast("array<double>").alias("v")
     l = left.where(F.col("v").isNotNull()).join(both, key).select("id", key, vec, own("l_parts").alias("_l"), every("r_parts").alias("_r"))
-    r = right.where(F.col("v").isNotNull()).join(both, key).select("id", key, vec, own("r_parts").alias("_r"), every("l_parts").alias("_l"))
+    r = right.where(F.col("v").isNotNull()).join(both, key).select(F.col("id").alias("_id"), F.col(key).alias("_key"), vec.alias("_v"), own("r_parts").alias("_right"), every("l_parts").alias("_left"))
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "sim": []})
-        sim = np.round(_unit(a["v"]) @ _unit(b["v"]).T, 9)
-        sim[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
+        sim = np.round(_unit(a["v"]) @ _unit(b["_v"]).T, 9)
+        sim[a["id"].to_numpy()[:, None] == b["_id"].to_numpy()[None, :]] = -np.inf
         best = _Best(len(a), k)
-        best.put(sim, b["id"].to_numpy())
+        best.put(sim, b["_id"].to_numpy())
         n, j, _, s = best.rows()
         return pd.DataFrame({"id": a["id"].to_numpy()[n], "other": j, "sim": s})
 
-    by = (key, "_l", "_r")
-    found = l.groupBy(*by).cogroup(r.groupBy(*by)).applyInPandas(near, "id bigint, other bigint, sim double")
+    found = l.groupBy(key, "_l", "_r").cogroup(r.groupBy("_key", "_left", "_right")).applyInPandas(near, "id bigint, other bigint, sim double")
     return top_k(found, k, ("id",), F.desc("sim"), "other")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..shared import cut
 
 
 def trajectory(facts: DataFrame, metrics: list[str] | None = None, since: Column | None = None, until: Column | None = None) -> DataFrame:
@@ -44,37 +45,84 @@ def founder_scorecard(points: DataFrame, flat: float = 0.01, move: float = 0.05)
     return s.select("entity_slug", "claim_metric", "points", F.round(1 - F.col("moves") / F.col("points"), 6).alias("consistency"), F.round("last", 6).alias("last_change"), direction.alias("direction"))
 
 
-def cluster_facts(facts: DataFrame, least: float = 0.85) -> DataFrame:
-    """(fact_id, leader_id): per entity and metric, newest first, each fact joins the first leader of at least that cosine or leads itself.
+#: Facts of one group that are clustered one after the other in one task, and leaders that they are compared with at a time.
+CLUSTER_BLOCK = 2_048
 
-    The choice depends on the order within an entity and metric, whose facts go to
-    Python together; leaders are compared as one matrix.
-    """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["valid_from", "fact_id"], ascending=False)
-        x = np.stack(pdf["v"].to_numpy())
-        x = x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-300)
-        leaders: list[int] = []
-        own = []
-        for n in range(len(x)):
-            near = np.flatnonzero(x[leaders] @ x[n] >= least) if leaders else ()
-            if len(near):
-                own.append(leaders[near[0]])
-            else:
-                leaders.append(n)
-                own.append(n)
+def cluster_facts(facts: DataFrame, least: float = 0.85, by: tuple[str, ...] = ("entity_slug",)) -> DataFrame:
+    """(fact_id, leader_id): within each group, newest first, each fact (fact_id, by, valid_from, v) joins the first leader of at least that cosine or leads itself. A fact without a vector leads itself alone.
+
+    The choice depends on order, so a group goes in blocks of CLUSTER_BLOCK facts in
+    that order: a block first meets the leaders of the blocks before, so many of them
+    in a task at a time, and takes the earliest; those left are clustered among
+    themselves, in one task a block. Blocks of different groups go together, so that
+    rounds number as the blocks of the largest group.
+    """
+    w = Window.partitionBy(*by).orderBy(F.desc("valid_from"), F.desc("fact_id"))
+    vec = F.col("v").cast("array<double>").alias("v")
+    placed = facts.where(F.col("v").isNotNull()).select("fact_id", *by, vec, F.row_number().over(w).alias("_n"))
+    placed = cut(placed.withColumn("_block", F.floor((F.col("_n") - 1) / CLUSTER_BLOCK).cast("int")))
+    blocks = (placed.agg(F.max("_block")).first()[0] or 0) + 1
+
+    def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """For facts a the first of leaders b, in their order, that is near enough."""
+        if not len(a) or not len(b):
+            return pd.DataFrame({"fact_id": [], "leader_id": [], "_l": []})
+        b = b.sort_values("_n")
+        near = _cosines(a["v"], b["v"]) >= least - 1e-12
+        some = near.any(axis=1)
+        first = near.argmax(axis=1)[some]
+        return pd.DataFrame({"fact_id": a["fact_id"].to_numpy()[some], "leader_id": b["fact_id"].to_numpy()[first], "_l": b["_n"].to_numpy()[first]})
+
+    def among(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n")
+        near = _cosines(pdf["v"], pdf["v"]) >= least - 1e-12
+        own = np.full(len(pdf), -1)
+        for n in range(len(pdf)):
+            if own[n] < 0:  # a leader: all later ones without one that are near join it
+                own[n] = n
+                own[(own < 0) & near[n]] = n
         ids = pdf["fact_id"].to_numpy()
         return pd.DataFrame({"fact_id": ids, "leader_id": ids[own]})
 
-    return facts.groupBy("entity_slug", "claim_metric").applyInPandas(one, "fact_id bigint, leader_id bigint")
-
-
-def consolidate(facts: DataFrame, clusters: DataFrame, least: int = 2) -> DataFrame:
-    """(leader_id, n, weight, since, claim_value): one claim for each cluster of at least `least` facts."""
-    f = facts.join(clusters, "fact_id")
-    s = f.groupBy("leader_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("weight"), F.min("valid_from").alias("since"), F.max_by("claim_value", F.struct("confidence", "fact_id")).alias("claim_value"))
-    return s.where(F.col("n") >= least)
+    out = facts.where(F.col("v").isNull()).select("fact_id", F.col("fact_id").alias("leader_id"))
+    leaders = None
+    for block in range(blocks):
+        rows = placed.where(F.col("_block") == block)
+        if leaders is not None:
+            parts = leaders.groupBy(*by).agg((1 + F.floor(F.max("_k") / CLUSTER_BLOCK)).cast("int").alias("_parts"))
+            asked = rows.join(parts, list(by)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+            held = leaders.withColumn("_part", F.floor(F.col("_k") / CLUSTER_BLOCK).cast("int"))
+            found = asked.groupBy(*by, "_part").cogroup(held.groupBy(*by, "_part")).applyInPandas(met, "fact_id bigint, leader_id bigint, _l bigint")
+            joined = cut(found.groupBy("fact_id").agg(F.min_by("leader_id", "_l").alias("leader_id")))
+            out = out.unionByName(joined)
+            rows = rows.join(joined.select("fact_id"), "fact_id", "left_anti")
+        new = cut(rows.groupBy(*by).applyInPandas(among, "fact_id bigint, leader_id bigint"))
+        out = out.unionByName(new)
+        if block + 1 < blocks:
+            fresh = placed.join(new.where(F.col("fact_id") == F.col("leader_id")).select("fact_id"), "fact_id", "left_semi").select("fact_id", *by, "v", "_n")
+            every = fresh if leaders is None else leaders.drop("_k").unionByName(fresh)
+            leaders = cut(every.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_n")) - 1))
+    return out
+
+
+def _cosines(a, b) -> np.ndarray:
+    unit = lambda vs: (x := np.stack([np.asarray(v, dtype=float) for v in vs])) / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-300)
+    return unit(a) @ unit(b).T
+
+
+def consolidate(facts: DataFrame, now: Column, least: float = 0.85, min_facts: int = 3, min_hours: int = 24, by: tuple[str, ...] = ("entity_slug",)) -> DataFrame:
+    """(leader_id, n, weight, since, claim_value): one claim for each cluster of at least two of the active facts of a group.
+
+    Only facts older than min_hours take part, and groups that then hold at least
+    min_facts. A claim is that of the highest confidence, its weight their mean, and
+    it holds since the earliest.
+    """
+    f = facts.where(~F.col("expired") & (F.col("valid_from") <= now - F.make_dt_interval(hours=F.lit(min_hours))))
+    f = f.join(f.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_facts).select(*by), list(by), "left_semi")
+    clusters = cluster_facts(f, least, by)
+    s = f.join(clusters, "fact_id").groupBy("leader_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("weight"), F.min("valid_from").alias("since"), F.max_by("claim_value", F.struct("confidence", "fact_id")).alias("claim_value"))
+    return s.where(F.col("n") >= 2)
 
 
 def chain_validity(facts: DataFrame) -> DataFrame:
@@ -83,6 +131,34 @@ def chain_validity(facts: DataFrame) -> DataFrame:
     return facts.select("fact_id", F.lead("valid_from").over(w).alias("valid_until"))
 
 
+def chain_heads(pointers: DataFrame) -> DataFrame:
+    """(id, head, steps) of pointers (id, next), next null at a head: where following them ends, and after how many. Each turn doubles what a row has followed; on a ring it ends without a head."""
+    step = cut(pointers.select("id", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps")))
+    n = step.count()
+    reach = 1
+    while reach <= n and step.where(F.col("next").isNotNull()).join(step.select(F.col("id").alias("next"), F.col("next").alias("_n")), "next").where(F.col("_n").isNotNull()).limit(1).count():
+        after = step.select(F.col("id").alias("next"), F.col("next").alias("_n"), F.col("steps").alias("_s"))
+        step = cut(step.join(after, "next", "left").select("id", F.coalesce("_n", "next").alias("next"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps")))
+        reach *= 2
+    return step.select("id", F.coalesce("next", "id").alias("head"), "steps")
+
+
+def supersessions(facts: DataFrame, since: Column | None = None, limit: int = 50) -> DataFrame:
+    """The expired facts (fact_id, expired_at, superseded_by) that another has replaced, newest first."""
+    f = facts.where(F.col("expired_at").isNotNull() & F.col("superseded_by").isNotNull())
+    f = f if since is None else f.where(F.col("expired_at") >= since)
+    return f.orderBy(F.desc("expired_at"), F.desc("fact_id")).limit(limit)
+
+
+def timeline(entries: DataFrame, pages: DataFrame, limit: int, after: Column | None = None, before: Column | None = None) -> DataFrame:
+    """entries (page_id, entry_id, at) of a set of pages within a span of time, the newest `limit` of each page, with their rank."""
+    e = entries.join(pages.select("page_id").distinct(), "page_id", "left_semi")
+    e = e if after is None else e.where(F.col("at") >= after)
+    e = e if before is None else e.where(F.col("at") < before)
+    newest = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("at"), F.desc("entry_id")))
+    return e.withColumn("rank", newest).where(F.col("rank") <= limit)
+
+
 def supersede_takes(takes: DataFrame, changes: DataFrame) -> DataFrame:
     """takes (page_id, row_num, claim, active) with changes (page_id, old_row, claim) appended as new rows and the old ones closed."""
     top = takes.groupBy("page_id").agg(F.max("row_num").alias("top"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import aggregates as A
+from ..operators import joins as J
 from ..operators import storage as S
 from .registry import query
 from .views import NOW, Views
@@ -254,18 +256,17 @@ def recent_salience(v: Views):
     return A.recent_salience(v.pages(), A.emotional_weight(v.pages(), v.tags(), v.takes(), "src3"), v.takes(), F.lit("2024-01-20").cast("date"))
 
 
-@query("tags pages", """with e as (select tag as cohort, page_id, cast(updated_on as date) as d from tags join pages using (page_id) where not deleted and (tag = 'loss' and updated_on = date '2024-01-25' or page_id % 9 = 0 or updated_on = date '2024-01-25')),
+@query("tags pages", """with e as (select tag as cohort, page_id, cast(updated_on as date) as d from tags join pages using (page_id) where not deleted),
 c as (select cohort, d, count(distinct page_id) as n from e where d between date '2024-01-25' - 20 and date '2024-01-25' group by all),
 days as (select cohort, unnest(range(1, 21)) as k from (select distinct cohort from c)),
 z as (select days.cohort, coalesce(c.n, 0) as n from days left join c on c.cohort = days.cohort and c.d = date '2024-01-25' - cast(k as int)),
 s as (select cohort, avg(n) as mean, stddev_samp(n) as sd from z group by 1),
 t as (select s.cohort, coalesce(n, 0) as n, round(mean, 6) as mean, round(sd, 6) as sd from s left join (select cohort, n from c where d = date '2024-01-25') using (cohort))
-select *, round(case when sd > 0 then (n - mean) / sd else n - mean end, 6) as sigmas from t where case when sd > 0 then n > mean + 3 * sd else n > mean + 1 end order by sigmas desc, cohort limit 20""")
+select *, round(case when sd > 0 then (n - mean) / sd else n - mean end, 6) as sigmas from t where case when sd > 0 then n > mean + sd else n > mean + 1 end order by sigmas desc, cohort limit 20""")
 def anomalies(v: Views):
     p = v.pages().where(~F.col("deleted")).select("page_id", F.col("updated_on").alias("d"))
-    at = F.lit("2024-01-25").cast("date")
-    e = v.tags().join(p, "page_id").where((F.col("page_id") % 9 == 0) | (F.col("d") == at)).select(F.col("tag").alias("cohort"), "page_id", "d")
-    return A.anomalies(e, "2024-01-25", 20)
+    e = v.tags().join(p, "page_id").select(F.col("tag").alias("cohort"), "page_id", "d")
+    return A.anomalies(e, "2024-01-25", 20, sigma=1.0)
 
 
 _CARD = """count(*) as bets, count(resolved_quality) as resolved, count(*) filter (where resolved_quality = 'correct') as correct, count(*) filter (where resolved_quality = 'incorrect') as incorrect,
@@ -309,11 +310,11 @@ def recall_rollup(v: Views):
     return v.facts().groupBy("entity_slug").agg(F.count("*").alias("n"), F.count_if(~F.col("expired")).alias("active"))
 
 
-@query("facts", """with m as (select entity_slug as entity, case when claim_metric = 'error' then 'voice' else claim_metric end as k from facts where fact_id % 23 = 0),
+@query("facts", """with m as (select entity_slug as entity, case when claim_metric = 'error' then 'voice' else claim_metric end as k from facts),
 s as (select entity, count(*) as n, count(distinct k) as kinds, bool_or(k in ('meeting', 'voice')) as heard from m group by 1),
 t as (select entity, n, kinds, cast(case when n >= 8 or heard then 1 when n >= 3 and kinds >= 2 then 2 else 3 end as bigint) as tier from s) select *, tier < 3 as escalate from t""")
 def mention_tiers(v: Views):
-    m = v.facts().where(F.col("fact_id") % 23 == 0).select(F.col("entity_slug").alias("entity"), F.when(F.col("claim_metric") == "error", "voice").otherwise(F.col("claim_metric")).alias("source_kind"))
+    m = v.facts().select(F.col("entity_slug").alias("entity"), F.when(F.col("claim_metric") == "error", "voice").otherwise(F.col("claim_metric")).alias("source_kind"))
     return A.mention_tiers(m)
 
 
@@ -387,3 +388,38 @@ def search_stats(v: Views):
 @query("", """select user_id, max(ts) as last_retrieved from events group by 1""")
 def last_retrieved(v: Views):
     return v.raw("events").groupBy("user_id").agg(F.max("ts").alias("last_retrieved"))
+
+
+# --- the generic forms -----------------------------------------------------------------
+
+
+@query("", "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders qualify rank <= 3")
+def top_per_group(v: Views):
+    return J.top_k(v.raw("orders"), 3, ("o_custkey",), F.desc("o_totalprice"), "o_orderkey").select("o_custkey", "o_orderkey", "rank")
+
+
+@query("", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 100 offset 40")
+def page_of_all(v: Views):
+    return v.raw("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(100)
+
+
+@query("", """with a as (select c_nationkey as k from customer), b as (select s_nationkey as k from supplier) select 'all' as what, k, count(*) as n from (select * from a union all select * from b) group by 2
+union all select 'distinct', k, 1 from (select * from a union select * from b) union all select 'shared', k, count(*) from a where k in (select k from b) group by 2 union all select 'alone', k, count(*) from a where k not in (select k from b) group by 2""")
+def set_operations(v: Views):
+    """Union with and without repeats, and the rows of one table whose key the other has, or has not."""
+    a, b = v.raw("customer").select(F.col("c_nationkey").alias("k")), v.raw("supplier").select(F.col("s_nationkey").alias("k"))
+    n = lambda df, what: df.groupBy(F.lit(what).alias("what"), "k").agg(F.count("*").alias("n"))
+    return n(a.unionByName(b), "all").unionByName(n(a.unionByName(b).distinct(), "distinct")).unionByName(n(a.join(b, "k", "left_semi"), "shared")).unionByName(n(a.join(b, "k", "left_anti"), "alone"))
+
+
+@query("", "select o_custkey, array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') as kinds, array_to_string(list_sort(list(distinct o_orderkey))[1:5], ',') as first from orders group by 1")
+def collected_arrays(v: Views):
+    """Distinct values of a group in order, and no more than five of them."""
+    first = F.slice(F.array_sort(F.collect_set("o_orderkey")), 1, 5).cast("array<string>")
+    return v.raw("orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("kinds"), F.array_join(first, ",").alias("first"))
+
+
+@query("pages", "select page_id, row_number() over (partition by source_id order by type asc nulls last, updated_on desc nulls last, page_id) as place from pages")
+def nulls_last_sort(v: Views):
+    w = Window.partitionBy("source_id").orderBy(F.asc_nulls_last("type"), F.desc_nulls_last("updated_on"), "page_id")
+    return v.pages().select("page_id", F.row_number().over(w).alias("place"))

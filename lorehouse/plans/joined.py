@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import fusion as R
 from ..operators import joins as J
 from ..operators.aggregates import dead_links
 from .registry import query
@@ -40,27 +41,43 @@ def vector_knn_join(v: Views):
     return vector(v)
 
 
+_FACTOR = "case when slug like 'en/src1/%' then 0.8 when slug like 'de/src5/%' then 0.5 when slug like 'en/%' then 1.4 when slug like 'de/%' then 1.2 else 1.0 end"
+FACTORS = {"en/": 1.4, "en/src1/": 0.8, "de/": 1.2, "de/src5/": 0.5, "fr/": 1.0}
+
+
+@query("questions vectors pages", f"""with x as (select page_id as id, v, {_FACTOR} as factor from vectors join pages on page_id = vec_id),
+k as (select q.query_id, x.id, factor, round(list_dot_product(a.v, x.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(x.v, x.v))), 9) as sim from questions q join vectors a on a.vec_id = q.vec_id cross join x),
+f as (select *, round(round(sim, 6) * factor, 6) as score from (select * from k qualify row_number() over (partition by query_id order by sim desc, id) <= 105))
+select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from f) where rank > 5 and rank <= 25""")
+def vector_search(v: Views):
+    """Pages by vector, more than asked for, then weighted by the factor of their source and sorted anew; the second page of results."""
+    x = v.vectors().join(v.pages().select(F.col("page_id").alias("vec_id"), "slug"), "vec_id").select(F.col("vec_id").alias("id"), "v", "slug")
+    q = v.questions().join(v.vectors(), "vec_id").select("query_id", "v")
+    return J.vector_search(q, x, C.source_factor(F.col("slug"), FACTORS), 20, 5)
+
+
 @query("chunks pages", "select chunk_id, slug, source_id from chunks join pages using (page_id) where not deleted")
 def chunk_page_join(v: Views):
     return v.chunks().join(v.pages().where(~F.col("deleted")), "page_id").select("chunk_id", "slug", "source_id")
 
 
 _TRI = r"list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda k: substring('  ' || w || ' ', k, 3)))))"
-_FUZZY = f"""n as (select distinct substring(text, 1, 24) as name from questions), ng as (select name, {_TRI.format('name')} as g from n), pg as (select page_id, slug, {_TRI.format('title')} as h from pages),
+_FUZZY = f"""n as (select distinct text as name from questions union select distinct claim from takes), ng as (select name, {_TRI.format('name')} as g from n), pg as (select page_id, slug, {_TRI.format('title')} as h from pages),
 f0 as (select name, page_id, slug, round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 6) as sim from ng, pg where len(g) > 0 and len(h) > 0),
-fz as (select name, page_id, slug, sim from f0 where sim >= 0.4 qualify row_number() over (partition by name order by sim desc, slug) = 1)"""
+fz as (select name, page_id, slug, sim from f0 where sim >= 0.55 qualify row_number() over (partition by name order by sim desc, slug) = 1)"""
 
 
 def _names(v: Views):
-    return v.questions().select(F.substring("text", 1, 24).alias("name")).distinct()
+    """Whole questions, and the claims of takes."""
+    return v.questions().select(F.col("text").alias("name")).unionByName(v.takes().select(F.col("claim").alias("name"))).distinct()
 
 
-@query("questions pages", f"with {_FUZZY} select name, page_id, sim from fz")
+@query("questions pages takes", f"with {_FUZZY} select name, page_id, sim from fz")
 def fuzzy_title_join(v: Views):
-    return J.fuzzy_title_join(_names(v), v.pages(), 0.4)
+    return J.fuzzy_title_join(_names(v), v.pages())
 
 
-@query("pages links", """with m as (select case page_id % 4 when 0 then slug when 1 then title when 2 then ' ' || page_id else 'Nobody ' || page_id end as name from pages where page_id % 20 < 4 and not deleted),
+@query("pages links", """with m as (select case page_id % 4 when 0 then slug when 1 then title when 2 then ' ' || page_id else 'Nobody ' || page_id end as name from pages where not deleted),
 d as (select page_id, count(*) as degree from (select from_page_id as page_id from links union all select to_page_id from links) group by 1),
 mm as (select distinct name, regexp_replace(lower(trim(name)), '[^a-z0-9]+', '-', 'g') as made from m),
 """ + f"""ng as (select name, {_TRI.format('name')} as g from mm), pg as (select page_id, slug, {_TRI.format('title')} as h from pages),
@@ -72,15 +89,15 @@ from mm left join pages p on p.slug = mm.name left join fz on fz.name = mm.name
 def resolve_entities(v: Views):
     k = F.col("page_id") % 4
     name = F.when(k == 0, F.col("slug")).when(k == 1, F.col("title")).when(k == 2, F.concat(F.lit(" "), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("Nobody "), F.col("page_id").cast("string")))
-    m = v.pages().where((F.col("page_id") % 20 < 4) & ~F.col("deleted")).select(name.alias("name"))
+    m = v.pages().where(~F.col("deleted")).select(name.alias("name"))
     l = v.links()
     degree = l.select(F.col("from_page_id").alias("page_id")).unionByName(l.select(F.col("to_page_id").alias("page_id"))).groupBy("page_id").agg(F.count("*").alias("degree"))
     return J.resolve_entities(m, v.pages(), degree)
 
 
-@query("", "select distinct c_custkey as k from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 11 = 0)")
+@query("", "select distinct c_custkey as k from customer where c_custkey not in (select o_custkey from orders where o_orderdate >= timestamp '1997-01-01')")
 def tombstones(v: Views):
-    return J.tombstones(v.raw("customer").select(F.col("c_custkey").alias("k")), v.raw("orders").where(F.col("o_orderkey") % 11 == 0).select(F.col("o_custkey").alias("k")), "k")
+    return J.tombstones(v.raw("customer").select(F.col("c_custkey").alias("k")), v.raw("orders").where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("pages", "select slug, 'main' as source_id from pages where source_id = 'src3'")
@@ -114,19 +131,25 @@ def backlink_gaps(v: Views):
     return J.backlink_gaps(v.links().select(F.col("from_page_id").alias("a"), F.col("to_page_id").alias("b")))
 
 
-@query("vectors", """with a as (select vec_id, v, date '2024-01-01' + cast(vec_id % 60 as int) as created from vectors where vec_id % 3 = 0 and vec_id % 7 <> 0),
-s as (select q.vec_id as query_id, a.vec_id as id, round(list_dot_product(q.v, a.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(a.v, a.v))), 9) as sim from vectors q, a where q.vec_id % 3 = 1 and datediff('day', created, date '2024-02-01') <= 30)
+@query("vectors", """with d as (select vec_id, v, date '2023-12-15' + cast(vec_id % 60 as int) as created, vec_id % 7 <> 0 as fresh from vectors), a as (select * from d where created < date '2024-01-20' and fresh and datediff('day', created, date '2024-02-01') <= 30),
+s as (select q.vec_id as query_id, a.vec_id as id, round(list_dot_product(q.v, a.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(a.v, a.v))), 9) as sim from d q, a where q.created >= date '2024-01-20')
 select query_id, id as answered_id, round(sim, 6) as sim from (select * from s qualify row_number() over (partition by query_id order by sim desc, id) = 1) where round(sim, 6) > 0.3""")
 def match_repeat_queries(v: Views):
+    """Questions since a day against those answered before it; every vector is one or the other."""
     k = F.col("vec_id")
-    a = v.vectors().where(k % 3 == 0).select(k.alias("query_id"), "v", F.date_add(F.lit("2024-01-01").cast("date"), (k % 60).cast("int")).alias("created"), (k % 7 != 0).alias("fresh"))
-    return J.repeat_queries(v.vectors().where(k % 3 == 1).select(k.alias("query_id"), "v"), a, F.lit(NOW).cast("date"), 0.3)
+    d = v.vectors().select(k.alias("query_id"), "v", F.date_add(F.lit("2023-12-15").cast("date"), (k % 60).cast("int")).alias("created"), (k % 7 != 0).alias("fresh"))
+    day = F.lit("2024-01-20").cast("date")
+    return J.repeat_queries(d.where(F.col("created") >= day).select("query_id", "v"), d.where(F.col("created") < day), F.lit(NOW).cast("date"), 0.3)
 
 
-@query("facts", """with f as (select *, row_number() over (partition by entity_slug order by valid_from, fact_id) as n from facts where not expired)
-select a.fact_id, b.fact_id as other_id, cast(a.n - b.n as int) as rank from f a join f b on a.entity_slug = b.entity_slug and b.n between a.n - 5 and a.n - 1""")
+@query("facts vectors", """with f as (select fact_id, entity_slug, case when fact_id % 4 <> 0 then v end as v, row_number() over (partition by entity_slug order by valid_from, fact_id) as n from facts join vectors using (vec_id) where not expired),
+s as (select a.fact_id, b.fact_id as other_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) as sim from f a join f b on a.entity_slug = b.entity_slug and a.fact_id <> b.fact_id where a.v is not null and b.v is not null)
+select a.fact_id, b.fact_id as other_id, cast(a.n - b.n as int) as rank from f a join f b on a.entity_slug = b.entity_slug and b.n between a.n - 5 and a.n - 1 where a.v is null
+union all select fact_id, other_id, rank from (select *, cast(row_number() over (partition by fact_id order by sim desc, other_id) as int) as rank from s) where rank <= 5""")
 def duplicate_fact_candidates(v: Views):
-    return J.duplicate_fact_candidates(v.facts())
+    """Facts with a vector by that, a fourth of them, taken to have none, by recency."""
+    f = v.facts().join(v.vectors(), "vec_id").withColumn("v", F.when(F.col("fact_id") % 4 != 0, F.col("v")))
+    return J.duplicate_fact_candidates(f)
 
 
 @query("facts", """select entity_slug, claim_metric, arg_max(claim_value, (valid_from, fact_id)) as claim_value from facts where valid_from <= timestamp '2024-01-15' and not expired group by all""")
@@ -143,19 +166,24 @@ def as_of_join(v: Views):
     return J.as_of_join(l, r, "entity_slug", "t", "t", "view_value").select("fact_id", "t", "view_value")
 
 
-@query()
+@query("", """with w as (select doc_id as id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as w from documents), g as (select w, len(w) as n, min(id) as rep from w where len(w) > 0 group by w),
+t as (select rep, n, unnest(w) as t from g), s as (select a.rep as a, b.rep as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from t a join t b on a.t = b.t and a.rep < b.rep and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 1e-9 group by 1, 2)
+select a, b, round(c / (na + nb - c), 6) as sim from s where round(c / (na + nb - c), 6) >= 0.85 union all select rep, id, 1.0 from w join g using (w) where id <> rep""")
 def near_duplicate_docs(v: Views):
     return J.word_jaccard_pairs(v.raw("documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("", """with n as (select o_orderkey as id, 'Acme Trading Company no ' || o_custkey % 50 as company, o_orderdate as day, o_totalprice as amount from orders where o_orderkey % 2 = 0),
-e as (select lower(substring(trim('acme trading company ' || o_custkey), 1, 15)) as c, o_orderdate as day, o_totalprice as other from orders where o_orderkey % 3 = 0)
+@query("", """with n as (select o_orderkey as id, ' C' || o_custkey || ' Trading Company' as company, o_orderdate as day, o_totalprice as amount from orders),
+e as (select lower(substring(trim('c' || o_custkey || ' trading company'), 1, 15)) as c, o_orderdate as day, o_totalprice * case o_orderkey % 3 when 0 then 1.005 when 1 then 1.5 else 1.0 end as other from orders where o_orderdate < timestamp '1996-01-01')
 select id, case min(case when other is null then 2 when abs(amount - other) <= 0.01 * abs(other) then 0 else 1 end) when 0 then 'duplicate' when 1 then 'different_amount' else 'new' end as status
 from n left join e on e.c = lower(substring(trim(company), 1, 15)) and e.day = n.day group by id""")
 def tracker_duplicates(v: Views):
+    """All orders against those known by a day, whose amounts were written down with small and large errors."""
     o = v.raw("orders").withColumn("day", F.col("o_orderdate")).withColumn("amount", F.col("o_totalprice"))
-    n = o.where(F.col("o_orderkey") % 2 == 0).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Acme Trading Company no "), (F.col("o_custkey") % 50).cast("string")).alias("company"), "day", "amount")
-    e = o.where(F.col("o_orderkey") % 3 == 0).select(F.concat(F.lit("acme trading company "), F.col("o_custkey").cast("string")).alias("company"), "day", "amount")
+    name = lambda a, b: F.concat(F.lit(a), F.col("o_custkey").cast("string"), F.lit(b))
+    wrong = F.when(F.col("o_orderkey") % 3 == 0, 1.005).when(F.col("o_orderkey") % 3 == 1, 1.5).otherwise(1.0)
+    n = o.select(F.col("o_orderkey").alias("id"), name(" C", " Trading Company").alias("company"), "day", "amount")
+    e = o.where(F.col("day") < F.lit("1996-01-01").cast("timestamp_ntz")).select(name("c", " trading company").alias("company"), "day", (F.col("amount") * wrong).alias("amount"))
     return J.tracker_duplicates(n, e)
 
 
@@ -189,3 +217,26 @@ def dead_links_by_page(v: Views):
 @query("pages", "select page_id, slug from pages where starts_with(slug, 'en/src1/') and not deleted")
 def prefix_scan(v: Views):
     return v.pages().where(C.visible(F.col("deleted")) & F.col("slug").startswith("en/src1/")).select("page_id", "slug")
+
+
+_COS = "list_dot_product(q.v, t.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(t.v, t.v)))"
+#: What take_hits finds, as `taken`; to be filled with the queries and what holders are allowed.
+TAKES = """tq as ({queries}), ta as (select take_id, claim, holder, weight, v from takes join vectors using (vec_id) where active and {where}),
+""" + f"""tg as (select query_id, {_TRI.format('text')} as g from tq), th as (select take_id, weight, {_TRI.format('claim')} as h from ta),
+ts as (select query_id, take_id, weight, round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 6) as score from tg, th where len(g) > 0 and len(h) > 0),
+tl as (select query_id, take_id, row_number() over (partition by query_id order by score desc, weight desc, take_id) as r from ts where score > 0.3 qualify r <= 30),
+tv as (select query_id, take_id, row_number() over (partition by query_id order by round({_COS}, 9) desc, take_id) as r from tq q, ta t qualify r <= 30),
+tf as (select query_id, take_id, round(sum(part), 9) as score from (select query_id, take_id, 1.0 / (60 + r - 1) as part from tl union all select query_id, take_id, 1.0 / (60 + r - 1) from tv) group by all),
+taken as (select *, row_number() over (partition by query_id order by score desc, take_id) as rank from tf qualify rank <= 30)""".replace("{", "{{").replace("}", "}}")
+
+
+def take_hits(v: Views, asked, holders=None):
+    return R.take_search(asked, v.takes().join(v.vectors(), "vec_id"), holders=holders)
+
+
+@query("takes questions vectors", f"""with {TAKES.format(queries="select take_id as query_id, claim as text, v from takes join vectors using (vec_id)", where="holder in ('src1', 'src2', 'src3', 'src5', 'src8')")} select query_id, take_id, score, rank from taken""")
+def take_search(v: Views):
+    """Takes like each take, active or not, of five holders."""
+    asked = v.takes().join(v.vectors(), "vec_id").select(F.col("take_id").alias("query_id"), F.col("claim").alias("text"), "v")
+    holders = v.spark.createDataFrame([("src1",), ("src2",), ("src3",), ("src5",), ("src8",)], "holder string")
+    return take_hits(v, asked, holders)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -146,17 +147,29 @@ def expert_rank(v: Views):
     return R.expert_rank(h, F.lit(NOW).cast("date"))
 
 
-@query("questions postings vectors", f"""with {LEXICAL}, {_VEC_CHUNKS.replace("sim as score", "round(sim, 6) as score")}, f0 as (select query_id, chunk_id, 1.0 / (60 / 0.6 + rank) as part from lex union all select query_id, chunk_id, 1.0 / (60 / 0.4 + row_number() over (partition by query_id order by score desc, chunk_id)) from vec)
-select query_id, chunk_id, round(sum(part), 9) as score from f0 group by all""")
-def modality_merge(v: Views):
-    return R.rrf_fuse([(lexical(v), 0.6), (vector_chunks(v), 0.4)], first_rank=1, normalise=False)
+_ARM = "round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 9)"
 
 
-@query("takes questions", """with q as (select item as query_id, 'src' || item as holder from range(20) t(item)) select query_id, take_id, weight, row_number() over (partition by query_id order by weight desc, take_id) as rank from q join takes using (holder) where active and weight > 0.2 qualify rank <= 10""")
-def take_search(v: Views):
-    q = v.spark.range(20).select(F.col("id").alias("query_id"), F.concat(F.lit("src"), F.col("id").cast("string")).alias("holder"))
-    t = v.takes().where(F.col("active") & (F.col("weight") > 0.2))
-    return J.top_k(t.join(q, "holder"), 10, ("query_id",), F.desc("weight"), "take_id").select("query_id", "take_id", "weight", "rank")
+@query("questions vectors", f"""with x as (select vec_id as id, case when vec_id % 3 <> 0 then v end as t, case when vec_id % 3 <> 1 then list_reverse(v) end as i from vectors), q as (select query_id, v from questions join vectors using (vec_id)),
+tl as (select query_id, id, round({_ARM.replace('(a, b)', '(v, t)').replace('(a, a)', '(v, v)').replace('(b, b)', '(t, t)')}, 9) as sim from q, x where t is not null), il as (select query_id, id, round({_ARM.replace('(a, b)', '(v, i)').replace('(a, a)', '(v, v)').replace('(b, b)', '(i, i)')}, 9) as sim from q, x where i is not null),
+tr as (select query_id, id, row_number() over (partition by query_id order by sim desc, id) as r from tl qualify r <= 30), ir as (select query_id, id, row_number() over (partition by query_id order by sim desc, id) as r from il qualify r <= 30),
+p as (select 'text' as asked, query_id, id, 1.0 / (60 / 0.6 + r) as part from tr union all select 'text', query_id, id, 1.0 / (60 / 0.4 + r) from ir union all select 'image', query_id, id, 1.0 / (60 / 0.4 + r) from tr union all select 'image', query_id, id, 1.0 / (60 / 0.6 + r) from ir)
+select asked, query_id, id, round(sum(part), 9) as score from p group by all""")
+def modality_merge(v: Views):
+    """Two vector columns: a third of the rows has no text vector, another third no image vector, which is the other one read backwards. Questions asked as texts and as images."""
+    q = v.questions().join(v.vectors(), "vec_id").select("query_id", "v")
+    x = v.vectors().select(F.col("vec_id").alias("id"), "v")
+    texts = J.vector_knn(q, x.where(F.col("id") % 3 != 0), 30).withColumnRenamed("sim", "score")
+    images = J.vector_knn(q, x.where(F.col("id") % 3 != 1).withColumn("v", F.reverse("v")), 30).withColumnRenamed("sim", "score")
+    both = [R.modality_merge(texts, images, asked == "image").withColumn("asked", F.lit(asked)) for asked in ("text", "image")]
+    return both[0].unionByName(both[1]).select("asked", "query_id", "id", "score")
+
+
+@query("questions postings", f"""with {LEXICAL}, t as (select query_id, rank, sum(cast(ceil(length(chunk_text) / 4.0) as bigint)) over (partition by query_id order by rank) as upto from lex join chunks using (chunk_id))
+select query_id, cast(coalesce(max(upto) filter (where upto <= 2000), 0) as bigint) as used, count(*) filter (where upto <= 2000) as kept, count(*) filter (where upto > 2000) as dropped from t group by 1""")
+def budget_report(v: Views):
+    h = lexical(v).join(v.chunks().select("chunk_id", C.estimated_tokens(F.col("chunk_text")).alias("tokens")), "chunk_id")
+    return R.budget_report(h, 2000)
 
 
 # --- sequences -------------------------------------------------------------------
@@ -188,17 +201,47 @@ def founder_scorecard(v: Views):
     return W.founder_scorecard(W.trajectory(v.facts()))
 
 
-@query()
+@query("facts vectors", f"""with f as (select * from facts join vectors using (vec_id) where not expired and valid_from <= timestamp '{NOW}' - interval 24 hours), g as (select * from f where entity_slug in (select entity_slug from f group by 1 having count(*) >= 3)),
+p as (select a.fact_id, b.fact_id as near, b.valid_from as near_from from g a join g b on a.entity_slug = b.entity_slug where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.85 - 1e-12),
+l as (select fact_id, arg_max(near, (near_from, near)) as leader_id from p group by 1) -- near facts of these tables are near to each other, so that the newest of them leads
+select leader_id, count(*) as n, round(avg(confidence), 6) as weight, min(valid_from) as since, arg_max(claim_value, (confidence, fact_id)) as claim_value from l join g using (fact_id) group by 1 having count(*) >= 2""")
 def consolidate_facts(v: Views):
-    f = v.facts().join(v.vectors(), "vec_id")
-    return W.consolidate(v.facts(), W.cluster_facts(f.select("fact_id", "entity_slug", "claim_metric", "valid_from", "v"), 0.3))
+    return W.consolidate(v.facts().join(v.vectors(), "vec_id"), F.lit(NOW).cast("timestamp_ntz"))
 
 
-@query("facts", "select fact_id, lead(valid_from) over (partition by entity_slug, claim_metric order by valid_from, fact_id) as valid_until from facts")
+_POINTERS = "ptr as (select fact_id as id, case when fact_id % 3 <> 0 then lead(fact_id) over (partition by entity_slug, claim_metric order by valid_from, fact_id) end as next from facts)"
+
+
+def _pointers(v: Views):
+    """Two of three facts are replaced by the next of their entity and metric."""
+    w = Window.partitionBy("entity_slug", "claim_metric").orderBy("valid_from", "fact_id")
+    return v.facts().select(F.col("fact_id").alias("id"), F.when(F.col("fact_id") % 3 != 0, F.lead("fact_id").over(w)).alias("next"))
+
+
+@query("facts", f"""with recursive {_POINTERS}, walk as (select id, id as cur, next, 0 as steps from ptr union all select walk.id, ptr.id, ptr.next, steps + 1 from walk join ptr on ptr.id = walk.next)
+select id, cur as head, cast(steps as bigint) as steps from walk where next is null""")
 def supersession_chain(v: Views):
+    return W.chain_heads(_pointers(v))
+
+
+@query("facts", f"""with {_POINTERS} select fact_id, valid_from as expired_at, next as superseded_by from facts join ptr on id = fact_id where expired and next is not null and valid_from >= timestamp '2024-01-10' order by expired_at desc, fact_id desc limit 50""")
+def supersessions(v: Views):
+    f = v.facts().join(_pointers(v), F.col("id") == F.col("fact_id")).select("fact_id", F.when(F.col("expired"), F.col("valid_from")).alias("expired_at"), F.col("next").alias("superseded_by"))
+    return W.supersessions(f, F.lit("2024-01-10").cast("timestamp_ntz"))
+
+
+@query("facts", "select fact_id, lead(valid_from) over (partition by entity_slug, claim_metric order by valid_from, fact_id) as valid_until from facts")
+def chain_validity(v: Views):
     return W.chain_validity(v.facts())
 
 
+@query("", """select user_id as page_id, event_id as entry_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rank from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-25' and user_id in (select c_custkey from customer) qualify rank <= 10""")
+def timeline(v: Views):
+    e = v.raw("events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("entry_id"), F.col("ts").alias("at"))
+    at = lambda d: F.lit(d).cast("timestamp_ntz")
+    return W.timeline(e, v.raw("customer").select(F.col("c_custkey").alias("page_id")), 10, at("2024-01-05"), at("2024-01-25")).select("page_id", "entry_id", "rank")
+
+
 @query("", """with t as (select user_id as page_id, event_id as row_num, event_type as claim, true as active from events), c as (select page_id, row_num as old_row, claim || '!' as claim from t where page_id % 7 = 0 and row_num % 10 = 3),
 m as (select page_id, max(row_num) as top from t group by 1)
 select page_id, row_num, claim, not exists (select 1 from c where c.page_id = t.page_id and c.old_row = t.row_num) as active from t
@@ -246,7 +289,7 @@ def traverse(v: Views):
     return G.traverse(v.edges(), _seeds(v), 3)
 
 
-@query("edges", f"""with {_E}, {_SEEDS}, b as (select src, dst, lt from e union select dst, src, lt from e), one as (select * from b where src in (select node from seeds)), two as (select * from b where src in (select dst from one))
+@query("edges", f"""with {_E}, {_SEEDS}, b as materialized (select src, dst, lt from e union select dst, src, lt from e), one as materialized (select b.* from b join seeds on src = node), hop as materialized (select distinct dst as node from one), two as (select b.* from b join hop on src = node)
 select *, 1 as depth from one union all select *, 2 from two""")
 def graph_paths(v: Views):
     return G.paths(v.edges(), _seeds(v), 2, direction="both")
@@ -257,19 +300,24 @@ def degree(v: Views):
     return G.degrees(v.edges())
 
 
-@query("edges", """select dst as symbol, src as caller, lt <> 'contains' as resolved from edges where dst in (select 'supplier/' || s_suppkey from supplier where s_suppkey <= 20) or dst in (select 'part/' || p_partkey from part where p_partkey <= 20)""")
+@query("edges", """select dst as symbol, src as caller, lt <> 'contains' as resolved from edges where dst in (select 'supplier/' || s_suppkey from supplier) or dst in (select 'part/' || p_partkey from part)""")
 def callers(v: Views):
+    """Of all suppliers and parts."""
     e = v.edges()
-    s = v.raw("supplier").where(F.col("s_suppkey") <= 20).select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("symbol"))
-    p = v.raw("part").where(F.col("p_partkey") <= 20).select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("symbol"))
+    s = v.raw("supplier").select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("symbol"))
+    p = v.raw("part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("symbol"))
     return G.callers(e.where(F.col("lt") != "contains"), e.where(F.col("lt") == "contains"), s.unionByName(p))
 
 
-@query("edges", f"""with recursive {_E}, walk as (select dst as seed, dst as node, 0 as depth from e where dst in ('nation/3', 'supplier/7') union select seed, src, depth + 1 from walk join e on dst = node where depth < 2),
-m as (select seed, node, min(depth) as depth from walk group by all) select seed, node, depth, false as cut, round(greatest(0.05, 1 / (1 + 0.3 * depth)), 6) as confidence from m""")
+@query("edges", f"""with recursive {_E}, seed as (select dst as seed from e where dst in ('nation/3', 'supplier/7', 'region/1') group by 1), walk as (select seed, seed as node, 0 as depth from seed union select seed, src, depth + 1 from walk join e on dst = node where depth < 3),
+m as materialized (select seed, node, min(depth) as depth from walk group by all), l0 as (select seed, depth, count(*) as n from m where depth <= 2 group by seed, depth), lv as (select *, sum(n) over (partition by seed order by depth) as upto from l0),
+r as (select m.*, n, upto, row_number() over (partition by m.seed, m.depth order by node) as k from m join lv using (seed, depth)), cutoff as (select seed, min(depth) as d from lv where upto > 200 group by 1),
+kept as (select r.seed, node, depth from r left join cutoff c on c.seed = r.seed where c.d is null or depth < c.d or depth = c.d and k <= 200 - (upto - n))
+select seed, node, depth, round(greatest(0.05, 1 / (1 + 0.3 * depth)), 6) as confidence, case when seed in (select seed from cutoff) then 'nodes' when seed in (select seed from m where depth = 3) then 'depth' else 'done' end as stopped from kept""")
 def impact_walk(v: Views):
-    seeds = v.spark.createDataFrame([("nation/3",), ("supplier/7",)], "node string")
-    return G.impact_walk(v.edges(), seeds, 2, 1_000_000)
+    """Some walks end at 200 nodes, some at two steps."""
+    seeds = v.spark.createDataFrame([("nation/3",), ("supplier/7",), ("region/1",)], "node string")
+    return G.impact_walk(v.edges(), seeds, 2, 200)
 
 
 _ALIAS = "a as (select distinct 'n' || c_custkey as alias, 'n' || c_custkey // 4 as target from customer where c_custkey >= 4)"
@@ -286,12 +334,13 @@ def alias_closure(v: Views):
     return G.alias_closure(_aliases(v))
 
 
-@query("", f"""with recursive m as (select 'user/' || k as alias, 'user/' || k // 3 as target from range(3, 40) t(k)), c as (select alias, target, 1 as depth from m union all select c.alias, m.target, c.depth + 1 from c join m on m.alias = c.target where c.depth < 4),
+@query("", f"""with recursive m as (select distinct 'user/' || user_id as alias, 'user/' || user_id // 6 as target from events where user_id >= 3), c as (select alias, target, 1 as depth from m union all select c.alias, m.target, c.depth + 1 from c join m on m.alias = c.target where c.depth < 4),
 ends as (select alias, arg_min(target, depth) as canon from c where target not in (select alias from m) group by 1)
 select coalesce(canon, 'user/' || user_id) as entity_slug, count(*) as n from events left join ends on alias = 'user/' || user_id group by 1""")
 def merge_entities(v: Views):
+    """Every user from 3 on is an alias of another."""
     k = F.col("user_id")
-    m = v.raw("events").where((k >= 3) & (k < 40)).select(k).distinct().select(F.concat(F.lit("user/"), k.cast("string")).alias("alias"), F.concat(F.lit("user/"), F.floor(k / 3).cast("string")).alias("target"))
+    m = v.raw("events").where(k >= 3).select(k).distinct().select(F.concat(F.lit("user/"), k.cast("string")).alias("alias"), F.concat(F.lit("user/"), F.floor(k / 6).cast("string")).alias("target"))
     f, _ = G.merge_entities(v.facts(), v.edges(), m)
     return f.groupBy("entity_slug").agg(F.count("*").alias("n"))
 

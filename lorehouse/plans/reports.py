@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import reports as R
 from ..sources import corpus as SRC
 from .corpus import _FACTOR, FACTORS
-from .joined import _RESULTS, LEXICAL, lexical, results
+from .joined import _RESULTS, LEXICAL, TAKES, lexical, results, take_hits
 from .registry import query
 from .streams import _folder
 from .views import Views
@@ -108,31 +109,36 @@ def diversified_results(v: Views):
     return R.diversified(h, share=0.4)
 
 
-@query("questions postings pages links takes facts", f"""with {_RESULTS}, p as (select query_id, page_id, r from results where r <= 5)
+@query("questions postings pages links takes facts vectors", f"""with {_RESULTS}, {TAKES.format(queries="select query_id, text, v from questions join vectors using (vec_id)", where="true")}, p as (select query_id, page_id, r from results where r <= 5),
+e as (select from_page_id as a, to_page_id as b from links union select to_page_id, from_page_id from links), g1 as (select distinct query_id, b as page_id from p join e on a = page_id where not exists (select 1 from p q where q.query_id = p.query_id and q.page_id = b)),
+g2 as (select distinct query_id, b as page_id from g1 join e on a = page_id where not exists (select 1 from p q where q.query_id = g1.query_id and q.page_id = b) and not exists (select 1 from g1 h where h.query_id = g1.query_id and h.page_id = b))
 select query_id as question_id, 'pages' as stream, cast(page_id as varchar) as item, cast(r as bigint) as rank from p
-union all select query_id, 'takes', cast(take_id as varchar), row_number() over (partition by query_id order by weight desc, take_id) from p join takes using (page_id) where active
-union all select query_id, 'graph', cast(to_page_id as varchar), row_number() over (partition by query_id order by to_page_id) from (select distinct query_id, to_page_id from p join links on from_page_id = page_id)
-union all select query_id, 'trajectory', cast(fact_id as varchar), n from (select query_id, fact_id, row_number() over (partition by query_id order by valid_from, fact_id) as n from questions join facts on entity_slug = 'user/' || query_id where not expired) where n <= 10""")
+union all select query_id, 'takes', cast(take_id as varchar), rank from taken
+union all select query_id, 'graph', cast(page_id as varchar), 1 from g1 union all select query_id, 'graph', cast(page_id as varchar), 2 from g2
+union all select query_id, 'trajectory', cast(fact_id as varchar), n from (select query_id, fact_id, row_number() over (partition by query_id order by valid_from, fact_id) as n from questions join facts on entity_slug = 'user/' || query_id where not expired) where n <= 100""")
 def context_bundle(v: Views):
+    """Pages, takes, links within two steps in either direction (their rank is the step) and the entity's points."""
     r = results(v, 5).select(F.col("query_id").alias("question_id"), "page_id", "rank")
-    t = J.top_k(v.takes().where("active").join(r.drop("rank"), "page_id"), 1000, ("question_id",), F.desc("weight"), "take_id")
-    g = J.top_k(r.select("question_id", F.col("page_id").alias("from_page_id")).join(v.links(), "from_page_id").select("question_id", F.col("to_page_id").alias("page_id")).distinct(), 1000, ("question_id",), "page_id")
+    asked = v.questions().join(v.vectors(), "vec_id").select("query_id", "text", "v")
+    t = take_hits(v, asked).withColumnRenamed("query_id", "question_id")
+    g = G.neighbourhood(v.links(), r.select(F.col("question_id").alias("key"), "page_id")).select(F.col("key").alias("question_id"), "page_id", F.col("depth").alias("rank"))
     q = v.questions().select(F.col("query_id").alias("question_id"), F.concat(F.lit("user/"), F.col("query_id").cast("string")).alias("entity_slug"))
-    f = J.top_k(v.facts().where(~F.col("expired")).join(q, "entity_slug"), 10, ("question_id",), "valid_from", "fact_id")
+    f = J.top_k(v.facts().where(~F.col("expired")).join(q, "entity_slug"), 100, ("question_id",), "valid_from", "fact_id")
     return R.context_bundle(r, t, g, f)
 
 
-@query("pages", "select 'source_id=' || source_id as folder, count(*) as n from pages group by 1")
+@query("pages", r"""select 'source_id=' || source_id || '/page_id=' || page_id as folder, 'note' as type, trim(regexp_replace(title, '\s+', ' ', 'g'), ' ') as title, md5(trim('# ' || regexp_replace(title, '\s+', ' ', 'g') || chr(10) || chr(10) || compiled_truth, chr(32) || chr(10) || chr(13) || chr(9))) as body,
+ '- **' || updated_on || '** | seen' as timeline from pages""")
 def read_corpus(v: Views):
-    """Pages as files, a folder a source, read back as whole files."""
+    """Every page as a file of its own, with its whole text and a timeline, read back as whole files."""
     at = _folder(v)
-    p = v.pages().select("source_id", F.regexp_replace("title", r"\s+", " ").alias("value"))
-    p.repartition(8).write.partitionBy("source_id").text(at)
+    text = F.concat(F.lit("# "), F.regexp_replace("title", r"\s+", " "), F.lit("\n\n"), "compiled_truth", F.lit("\n\n## Timeline\n\n- **"), F.col("updated_on").cast("string"), F.lit("** | seen"))
+    v.pages().select("source_id", "page_id", text.alias("value")).repartition("source_id", "page_id").write.partitionBy("source_id", "page_id").text(at)
     got = SRC.read_corpus(v.spark, at, "*.txt")
-    return got.select(F.regexp_extract("slug", "(source_id=[^/]+)/", 1).alias("folder"), F.size(F.split(F.rtrim("compiled_truth"), "\n")).alias("n")).groupBy("folder").agg(F.sum("n").alias("n"))
+    return got.select(F.regexp_extract("slug", "(source_id=[^/]+/page_id=[^/]+)/", 1).alias("folder"), "type", F.trim("title").alias("title"), F.md5("compiled_truth").alias("body"), "timeline")
 
 
-@query("takes vectors", "select take_id from takes where (take_id % 500) not in (select vec_id from vectors where vec_id % 3 <> 0)")
+@query("takes vectors", "select take_id from takes where vec_id not in (select vec_id from vectors where vec_id % 3 <> 0)")
 def stale_takes(v: Views):
     have = v.vectors().where(F.col("vec_id") % 3 != 0).select("vec_id")
-    return v.takes().withColumn("vec_id", F.col("take_id") % 500).join(have, "vec_id", "left_anti").select("take_id")
+    return v.takes().join(have, "vec_id", "left_anti").select("take_id")

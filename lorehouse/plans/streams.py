@@ -68,12 +68,55 @@ def land_records(v: Views):
     return _landed(v, _stream(v, "documents")).select("source", "record", "version", F.to_json("meta").alias("meta"), F.md5("body").alias("body_md5"))
 
 
-@query("facts vectors", """with f as (select fact_id, entity_slug, v from facts join vectors using (vec_id)), k as (select * from f where fact_id % 10 = 0), n as (select * from f where fact_id % 10 = 1),
-s as (select n.fact_id, max(list_dot_product(n.v, k.v) / (sqrt(list_dot_product(n.v, n.v)) * sqrt(list_dot_product(k.v, k.v)))) as sim from n left join k using (entity_slug) group by 1)
-select fact_id, round(sim, 6) as sim, case when coalesce(sim, 0) >= 0.3 then 'duplicate' else 'independent' end as verdict, case when sim >= 0.95 then 'NOOP' when sim is null or sim < 0.5 then 'ADD' else 'NEEDS_REVIEW' end as action from s""")
+_VERDICTS = """with f as (select fact_id, entity_slug, valid_from, v from facts join vectors using (vec_id)), k as (select * from f where valid_from < timestamp '2024-01-15'), n as (select * from f where valid_from >= timestamp '2024-01-15'),
+s as (select n.fact_id, round(max(round(list_dot_product(n.v, k.v) / (sqrt(list_dot_product(n.v, n.v)) * sqrt(list_dot_product(k.v, k.v))), 9)), 9) as sim from n left join k using (entity_slug) group by 1)
+select fact_id, round(sim, 6) as sim, case when coalesce(sim, 0) >= 0.92 then 'duplicate' else 'independent' end as verdict, case when sim >= 0.95 then 'NOOP' when sim is null or sim < 0.5 then 'ADD' else 'NEEDS_REVIEW' end as action from s"""
+
+
+def _split(v: Views, facts):
+    """Facts since a day, and those before it."""
+    f = facts.join(v.vectors(), "vec_id").select("fact_id", "entity_slug", "v", "valid_from")
+    day = F.lit("2024-01-15").cast("timestamp_ntz")
+    return f.where(F.col("valid_from") >= day), f.where(F.col("valid_from") < day)
+
+
+@query("facts vectors", _VERDICTS)
 def fact_dedup(v: Views):
-    f = v.facts().join(v.vectors(), "vec_id").select("fact_id", "entity_slug", "v")
-    return ST.fact_verdicts(f.where(F.col("fact_id") % 10 == 1), f.where(F.col("fact_id") % 10 == 0), 0.3)
+    return ST.fact_verdicts(*_split(v, v.facts()))
+
+
+@query("facts vectors", _VERDICTS)
+def tiered_consolidate(v: Views):
+    """The same verdicts over a stream of facts against the facts known before."""
+    _, known = _split(v, v.facts())
+    s = _stream(v, "events").select(F.col("event_id").alias("fact_id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("entity_slug"), (F.col("event_id") % v.n_vectors()).alias("vec_id"), F.col("ts").cast("timestamp_ntz").alias("valid_from"))
+    at = _folder(v)
+    ST.fact_verdict_stream(_split(v, s)[0], known, f"{at}/out", f"{at}/checkpoint")
+    return v.spark.read.parquet(f"{at}/out").drop("batch")
+
+
+@query("", """select cast(ts as date) as start, event_type as cohort, count(*) as n, true as near from events group by all""")
+def activity_counts(v: Views):
+    """By day; `near` says whether the streamed number of different users is within 15 percent of the true one."""
+    at = _folder(v)
+    s = _stream(v, "events").select(_utc(F.col("ts")).alias("at"), F.col("event_type").alias("cohort"), F.col("user_id").alias("who"))
+    got = ST.upsert_latest(ST.activity_counts(s), ["start", "cohort"], at).withColumn("start", F.to_date("start"))
+    true = v.raw("events").groupBy(F.to_date("ts").alias("start"), F.col("event_type").alias("cohort")).agg(F.count_distinct("user_id").alias("true"))
+    return got.join(true, ["start", "cohort"]).select("start", "cohort", "n", (F.abs(F.col("users") - F.col("true")) <= 0.15 * F.col("true") + 1).alias("near"))
+
+
+@query("", """select cast(d as date) as start, event_type as cohort, count(*) as n from (select event_type, unnest(list_transform(range(0, 7), lambda k: cast(ts as date) - cast(k as int))) as d from events) group by all""")
+def activity_by_week(v: Views):
+    """By spans of seven days, one a day."""
+    s = _stream(v, "events").select(_utc(F.col("ts")).alias("at"), F.col("event_type").alias("cohort"), F.col("user_id").alias("who"))
+    return ST.upsert_latest(ST.activity_counts(s, 7), ["start", "cohort"], _folder(v)).select(F.to_date("start").alias("start"), "cohort", "n")
+
+
+@query("", """select cast(ts as date) as day, event_type as mode, cast(user_id % 4 as varchar) as intent, count(*) as calls, cast(sum(event_id % 20) as bigint) as results, cast(sum(event_id % 900) as bigint) as tokens, cast(sum(event_id % 3) as bigint) as dropped from events group by all""")
+def telemetry_rollup(v: Views):
+    k = F.col("event_id")
+    s = _stream(v, "events").select(_utc(F.col("ts")).alias("at"), F.col("event_type").alias("mode"), (F.col("user_id") % 4).cast("string").alias("intent"), (k % 20).alias("results"), (k % 900).alias("tokens"), (k % 3).alias("dropped"))
+    return ST.upsert_latest(ST.telemetry_rollup(s), ["day", "mode", "intent"], _folder(v))
 
 
 @query("pages", "select page_id, slug, updated_on from pages where updated_on > date '2024-01-20' and starts_with(slug, 'en/')")

@@ -12,13 +12,19 @@ class Views:
     """Tables of one folder, each read when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._n = spark, sf_dir, None
 
     def raw(self, table: str) -> DataFrame:
-        """A table; documents of fewer splits than there are cores are dealt out, as a small file may be a single row group."""
+        """A table; documents of fewer splits than there are cores are dealt out by their id, as a small file may be a single row group."""
         df = self.spark.read.parquet(f"{self.dir}/{table}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if table == "documents" and df.rdd.getNumPartitions() < cores else df
+        return df.repartition(cores, "doc_id") if table == "documents" and df.rdd.getNumPartitions() < cores else df
+
+    def n_vectors(self) -> int:
+        """Rows of embeddings, which Parquet's footers tell."""
+        if self._n is None:
+            self._n = max(1, self.raw("embeddings").count())
+        return self._n
 
     def pages(self) -> DataFrame:
         d, q = self.raw("documents"), self.raw("labels").select(F.col("doc_id").alias("l_id"), "quality")
@@ -41,7 +47,7 @@ class Views:
         lines = self.raw("documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "chunk_text"))
         return lines.where(F.trim("chunk_text") != "").select(
             (F.col("page_id") * 10000 + F.col("chunk_index")).alias("chunk_id"), "page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text",
-            F.when(F.col("chunk_index") == 0, "compiled_truth").otherwise("timeline").alias("chunk_source"), ((F.col("page_id") * 31 + F.col("chunk_index")) % 500).alias("vec_id"),
+            F.when(F.col("chunk_index") == 0, "compiled_truth").otherwise("timeline").alias("chunk_source"), ((F.col("page_id") * 31 + F.col("chunk_index")) % self.n_vectors()).alias("vec_id"),
         )
 
     def postings(self) -> DataFrame:
@@ -71,20 +77,20 @@ class Views:
         kind = F.create_map(*[F.lit(x) for x in ("signup", "event", "purchase", "commitment", "click", "preference", "view", "belief", "error", "fact")])
         return self.raw("events").select(
             F.col("event_id").alias("fact_id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("entity_slug"), F.col("event_type").alias("claim_metric"), F.col("value").alias("claim_value"),
-            F.col("ts").cast("timestamp_ntz").alias("valid_from"), (F.col("event_id") % 500).alias("vec_id"), kind[F.col("event_type")].alias("kind"), ((F.col("event_id") % 101) / 100.0).cast("double").alias("confidence"),
+            F.col("ts").cast("timestamp_ntz").alias("valid_from"), (F.col("event_id") % self.n_vectors()).alias("vec_id"), kind[F.col("event_type")].alias("kind"), ((F.col("event_id") % 101) / 100.0).cast("double").alias("confidence"),
             (F.col("event_id") % 13 == 0).alias("expired"),
         )
 
     def takes(self) -> DataFrame:
-        l, d = self.raw("labels"), self.raw("documents").select("doc_id", "source")
+        l, d = self.raw("labels"), self.raw("documents").select("doc_id", "source", F.split("text", "\n")[0].alias("claim"))
         quality = F.when(F.col("toxic") == 1, "partial").when(F.col("quality") == 1, "correct").otherwise("incorrect")
         return l.join(d, "doc_id").select(
             F.col("doc_id").alias("take_id"), F.col("doc_id").alias("page_id"), F.col("source").alias("holder"), F.lit("bet").alias("kind"), ((F.col("doc_id") * 37 % 101).cast("double") / 100.0).alias("weight"), quality.alias("resolved_quality"),
-            (F.col("doc_id") % 5 != 0).alias("active"),
+            (F.col("doc_id") % 5 != 0).alias("active"), "claim", (F.col("doc_id") % self.n_vectors()).alias("vec_id"),
         )
 
     def questions(self) -> DataFrame:
-        return self.raw("benchmark").select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % 500).alias("vec_id"))
+        return self.raw("benchmark").select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % self.n_vectors()).alias("vec_id"))
 
     def vectors(self) -> DataFrame:
         return self.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
@@ -108,7 +114,7 @@ SQL = {
     "tags": """select doc_id as page_id, lang as tag from documents union all select doc_id, 'src:' || source from documents
   union all select doc_id, 'loss' from labels where toxic = 1""",
     "chunks": """select page_id * 10000 + chunk_index as chunk_id, page_id, chunk_index, chunk_text,
-       case when chunk_index = 0 then 'compiled_truth' else 'timeline' end as chunk_source, (page_id * 31 + chunk_index) % 500 as vec_id
+       case when chunk_index = 0 then 'compiled_truth' else 'timeline' end as chunk_source, (page_id * 31 + chunk_index) % (select count(*) from embeddings) as vec_id
   from (select doc_id as page_id, generate_subscripts(parts, 1) - 1 as chunk_index, unnest(parts) as chunk_text
         from (select doc_id, string_split(text, chr(10)) as parts from documents)) where trim(chunk_text) <> ''""",
     "postings": """select chunk_id, page_id, term, count(*) as tf
@@ -121,13 +127,14 @@ SQL = {
   union all select 'nation/' || n_nationkey, 'region/' || n_regionkey, 'part_of' from nation""",
     "links": """select distinct f as from_page_id, t as to_page_id, case f % 3 when 0 then 'mentions' when 1 then 'works_at' else 'founded' end as link_type
   from (select doc_id as f, unnest([doc_id * 7 % 1013, doc_id * 11 % 509, doc_id // 3]) as t from documents) where f <> t""",
-    "facts": """select event_id as fact_id, 'user/' || user_id as entity_slug, event_type as claim_metric, value as claim_value, ts as valid_from, event_id % 500 as vec_id,
+    "facts": """select event_id as fact_id, 'user/' || user_id as entity_slug, event_type as claim_metric, value as claim_value, ts as valid_from, event_id % (select count(*) from embeddings) as vec_id,
        case event_type when 'signup' then 'event' when 'purchase' then 'commitment' when 'click' then 'preference' when 'view' then 'belief' when 'error' then 'fact' end as kind,
        cast(event_id % 101 as double) / 100.0 as confidence, event_id % 13 = 0 as expired from events""",
     "takes": """select l.doc_id as take_id, l.doc_id as page_id, d.source as holder, 'bet' as kind, cast(l.doc_id * 37 % 101 as double) / 100.0 as weight,
-       case when l.toxic = 1 then 'partial' when l.quality = 1 then 'correct' else 'incorrect' end as resolved_quality, l.doc_id % 5 <> 0 as active
+       case when l.toxic = 1 then 'partial' when l.quality = 1 then 'correct' else 'incorrect' end as resolved_quality, l.doc_id % 5 <> 0 as active,
+       string_split(d.text, chr(10))[1] as claim, l.doc_id % (select count(*) from embeddings) as vec_id
   from labels l join documents d on d.doc_id = l.doc_id""",
-    "questions": "select item_id as query_id, text, item_id % 500 as vec_id from benchmark",
+    "questions": "select item_id as query_id, text, item_id % (select count(*) from embeddings) as vec_id from benchmark",
     "vectors": "select vec_id, cast(embedding as double[]) as v from embeddings",
     "sessions": "select conv_id as session_id, turn, role, text from conversations",
 }

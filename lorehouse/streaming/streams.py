@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import columns as C
+from ..operators.joins import nearest_in_group
 from ..operators.text import minimize, redact
 
 # Fixed values.
@@ -99,13 +99,49 @@ def verdict(sim: Column, floor: float = 0.5) -> Column:
 
 
 def fact_verdicts(incoming: DataFrame, known: DataFrame, limit: float = DUPLICATE) -> DataFrame:
-    """incoming (fact_id, entity_slug, v) as duplicate or independent by the nearest known (fact_id, entity_slug, v) of the same entity. Works on a stream against a static table."""
-    k = known.select("entity_slug", F.col("fact_id").alias("known_id"), F.col("v").alias("kv"))
-    near = incoming.join(k, "entity_slug", "left").withColumn("sim", F.when(F.col("known_id") != F.col("fact_id"), C.cosine(F.col("v"), F.col("kv"))))
-    s = near.groupBy("fact_id").agg(F.max("sim").alias("sim"))
+    """(fact_id, sim, verdict, action) of incoming facts (fact_id, entity_slug, v) by the nearest known one (fact_id, entity_slug, v) of the same entity. Groups are compared in blocks."""
+    id_ = F.col("fact_id").alias("id")
+    near = nearest_in_group(incoming.select(id_, "entity_slug", "v"), known.select(id_, "entity_slug", "v"), "entity_slug").select(F.col("id").alias("fact_id"), "sim")
+    s = incoming.select("fact_id").join(near, "fact_id", "left")
     return s.select("fact_id", F.round("sim", 6).alias("sim"), F.when(F.coalesce("sim", F.lit(0.0)) >= limit, "duplicate").otherwise("independent").alias("verdict"), verdict(F.col("sim")).alias("action"))
 
 
+def fact_verdict_stream(stream: DataFrame, known: DataFrame, sink: str, checkpoint: str, limit: float = DUPLICATE) -> None:
+    """Appends the verdicts of a stream of facts against a static table, batch by batch; a batch that runs again replaces its own rows."""
+
+    def judge(batch: DataFrame, n: int) -> None:
+        fact_verdicts(batch, known, limit).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+
+    stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def activity_counts(stream: DataFrame, days: int = 1, late: str = "2 days") -> DataFrame:
+    """(start, cohort, n, users) of a stream (at, cohort, who): events and about how many different ones by window of so many days, one a day. Late rows still count until the watermark has passed their window; in update mode."""
+    span = F.window("at", "1 day") if days == 1 else F.window("at", f"{days} days", "1 day")
+    s = stream.withWatermark("at", late).groupBy(span, "cohort").agg(F.count("*").alias("n"), F.approx_count_distinct("who").alias("users"))
+    return s.select(F.col("window.start").alias("start"), "cohort", "n", "users")
+
+
+def telemetry_rollup(stream: DataFrame, late: str = "2 days") -> DataFrame:
+    """(day, mode, intent, calls, results, tokens, dropped) of a stream (at, mode, intent, results, tokens, dropped): sums by day that later rows add to, from which averages are taken when read; in update mode."""
+    s = stream.withWatermark("at", late).groupBy(F.window("at", "1 day"), "mode", "intent")
+    s = s.agg(F.count("*").alias("calls"), F.sum("results").alias("results"), F.sum("tokens").alias("tokens"), F.sum("dropped").alias("dropped"))
+    return s.select(F.to_date("window.start").alias("day"), "mode", "intent", "calls", "results", "tokens", "dropped")
+
+
+def upsert_latest(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs a stream of updates over all there is and gives the last state of each key: every batch is written under its number, and the latest row of a key is the one that counts."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/part={n}")
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    rows = spark.read.parquet(f"{folder}/out").drop("part")
+    rest = [c for c in rows.columns if c not in (*keys, "_batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_s")).select(*keys, *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
 def incremental(df: DataFrame, watermark: Column | None, time: str, slug: Column | None = None, prefix: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows newer than the watermark, oldest first, and the new watermark as one row."""
     new = df if watermark is None else df.where(F.col(time) > watermark)
