@@ -14,7 +14,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lorehouse.llm import common, htmltext, langid, linededup, mixing, neardup, packing, pii, quality, registry, tokens, topk
+from lorehouse.llm import common, htmltext, langid, linededup, mixing, neardup, packing, pii, quality, registry, sweeps, tokens, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, label string, size long, id long, band long, token int, c int"
 LINE = "This line is long enough to be a key of forty code points, or more."
@@ -171,6 +171,26 @@ def test_rounds_are_best_fit_decreasing():
         assert (placed[:, 3] + placed[:, 2]).max() == len(gaps)
 
 
+def test_sweeps_place_every_piece(spark):
+    """The distributed form: valid places, and at most a few sequences more than best fit in order."""
+    rng = np.random.default_rng(19)
+    for capacity, sizes in ((64, rng.integers(1, 65, 600)), (64, np.minimum(64, rng.geometric(0.12, 800))), (64, np.where(rng.random(300) < 0.5, 40, 3))):
+        df = spark.createDataFrame([(k, 0, 0, int(n), k) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+        seats, rounds = {}, []
+        for r in sweeps.pack(df, capacity, rounds).collect():
+            seats.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for held in seats.values():
+            assert [o for o, _ in sorted(held)] == [0, *itertools.accumulate(n for _, n in sorted(held))][:-1] and sum(n for _, n in held) <= capacity
+        assert sum(map(len, seats.values())) == len(sizes) and 0 < rounds[0] < 60
+        best = packing.rounds(dict(Counter(sizes.tolist())), capacity)
+        assert len(seats) <= 1.03 * (best[:, 3] + best[:, 2]).max() + 1
+    assert sweeps.pack(df.limit(0), 64).count() == 0
+
+
+def test_scan_gives_the_gaps_last_left():
+    assert sweeps._scan({0: (3, 2), 1: (1, 1), 2: (0, 4)}) == [(1, 0, 1, 0, 2), (2, 0, 1, 1, 0), (2, 1, 2, 0, 1)]
+
+
 # --- 2: quality --------------------------------------------------------------------
 
 
