@@ -32,15 +32,23 @@ def dedup_sliding(stream: DataFrame, key: str, time: str, ttl_seconds: int = 86_
             state.remove()
             return
         last = state.get[0] if state.exists else None
+        # Within a span as long as the TTL every row but the first repeats the one before it: two times a span are all that is held.
+        spans: dict[int, tuple[int, int]] = {}
+        for b in batches:
+            us = b[time].to_numpy().astype("datetime64[us]").astype("int64")
+            for span, part in pd.Series(us).groupby(us // (ttl_seconds * 1_000_000)):
+                low, high = spans.get(span, (part.iloc[0], part.iloc[0]))
+                spans[span] = min(low, int(part.min())), max(high, int(part.max()))
         out = []
-        for t in sorted(t for b in batches for t in b[time]):
-            if last is None or t.timestamp() - last > ttl_seconds:
-                out.append(t)
-            last = max(last or 0.0, t.timestamp())
+        for span in sorted(spans):
+            low, high = spans[span]
+            if last is None or low / 1e6 - last > ttl_seconds:
+                out.append(low)
+            last = max(last or 0.0, high / 1e6)
         state.update((last,))
         state.setTimeoutTimestamp(max(int((last + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame({key: [k[0]] * len(out), time: out})
+            yield pd.DataFrame({key: [k[0]] * len(out), time: pd.to_datetime(out, unit="us", utc=True)})
 
     kind = stream.schema[key].dataType.simpleString()
     late = stream.withWatermark(time, f"{ttl_seconds} seconds").select(key, time)
