@@ -1,4 +1,4 @@
-"""Operator 5: best-fit packing of token sequences, bulk-synchronous.
+"""Operator 5: best-fit packing of token sequences, by rounds over run-length coded sizes.
 
 A document's tokens are cut into pieces of at most `capacity`; pieces go into
 sequences of that capacity by best fit, longest first. A round takes all pieces
@@ -17,7 +17,8 @@ of one length at a time, over the whole corpus:
 Spark does the work that grows with the corpus: tokenising, the histogram of
 lengths, the rank of every piece among those of its length (salted, so that a
 length that a third of all pieces share is dealt over many tasks), and the lookup
-of the run that holds the rank.
+of the run that holds the rank. The same rounds over single rows, swept by tasks, are
+in `sweeps`; they cost far more and need more sequences (README).
 """
 
 from __future__ import annotations
