@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -170,8 +170,7 @@ def passage_matches(passages: DataFrame, docs: DataFrame, lead: int = 60) -> Dat
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
     parts = None
     for n in sorted(r["n"] for r in keyed.select("n").distinct().collect()):  # 1 to 3
-        places = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        one = texts.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(_windows("w", places, n))).alias("h"))
+        one = texts.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.array("w"), _windows(n))[0])).alias("h"))
         met = one.join(keyed.where(F.col("n") == n).select("id", "h"), "h").select("id", "doc_id")
         parts = met if parts is None else parts.unionByName(met)
     holds = lambda df: df.where(F.contains("text", F.col("lead"))).select("id", "doc_id", F.contains("text", F.col("passage")).alias("whole"))
@@ -190,8 +189,9 @@ def passage_matches(passages: DataFrame, docs: DataFrame, lead: int = 60) -> Dat
 SHORT_LEADS = 1_000
 
 
-def _windows(words: str, places: Column, n: int) -> Column:
-    return F.transform(places, lambda k: F.xxhash64(F.concat_ws(" ", F.slice(F.col(words), k, n))))
+def _windows(n: int) -> Callable[[Column], Column]:
+    """Of an array of words the hashes of all runs of n. The array is a variable of a lambda, which is worked out once."""
+    return lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda k: F.xxhash64(F.concat_ws(" ", F.slice(w, k, n))))
 
 
 def vector_knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:

@@ -96,7 +96,11 @@ def limit_by_type(v: Views):
     return R.limit_by_type(h, 0.3).select("query_id", "page_id", "type")
 
 
-@query()
+@query("questions postings", rf"""with recursive {LEXICAL}, t as materialized (select query_id, chunk_id, score, rank, list_distinct(list_filter(regexp_split_to_array(lower(chunk_text), '\s+'), lambda x: x <> '')) as w from lex join chunks using (chunk_id)),
+walk as (select query_id, rank, [w] as kept, true as stays from t where rank = 1 union all
+ select query_id, rank, case when fresh then list_append(kept, w) else kept end, fresh from (select t.query_id, t.rank, kept, w, not coalesce(list_bool_or(list_transform(kept, lambda k: len(list_intersect(k, w)) > 0.85 * (len(k) + len(w) - len(list_intersect(k, w))))), false) as fresh
+  from walk join t on t.query_id = walk.query_id and t.rank = walk.rank + 1))
+select query_id, chunk_id, score from walk join t using (query_id, rank) where stays""")
 def dedup_similar_results(v: Views):
     h = lexical(v).join(v.chunks().select("chunk_id", F.col("chunk_text").alias("text")), "chunk_id").select("query_id", "chunk_id", "score", "text")
     return R.greedy_similar(h).select("query_id", "chunk_id", "score")

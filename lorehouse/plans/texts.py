@@ -124,7 +124,7 @@ def field_links(v: Views):
 union all select page_id, 4, date '2023-03-04', 'closed', '' from pages""")
 def extract_timeline(v: Views):
     k = F.col("page_id").cast("string")
-    text = F.concat(F.lit("- **"), F.col("updated_on").cast("string"), F.lit("** | opened "), k, F.lit("\n  more\n  and more\nplain line\n**2023-03-04** -- closed\nend\n- **2023-19-44** | no"))
+    text = F.concat(F.lit("- **"), F.col("updated_on").cast("string"), F.lit("** | opened "), k, F.lit("\n  more\n  and more\nplain line\n**2023-03-04** -- closed\nend\n- **2023-19-44** | no\n"), "compiled_truth")
     return T.timeline(v.pages().select("page_id", text.alias("t")), "page_id", "t")
 
 
@@ -140,14 +140,14 @@ def extract_citations(v: Views):
 union all select page_id, case when page_id % 3 = 0 then 1 else 2 end, 'b', cast(null as double), false from pages""")
 def extract_claim_rows(v: Views):
     k = F.col("page_id")
-    t = F.concat(F.lit("x\n<!-- claims:begin -->\n| # | claim | w |\n|---|---|---|\n| 1 | a "), k.cast("string"), F.lit(" | "), ((k % 140).cast("double") / 100).cast("string"), F.lit(" |\n| "), F.when(k % 3 == 0, "1").otherwise("2"), F.lit(" | b | high |\n<!-- claims:end -->\n| 9 | no | 1 |"))
+    t = F.concat(F.lit("x\n<!-- claims:begin -->\n| # | claim | w |\n|---|---|---|\n| 1 | a "), k.cast("string"), F.lit(" | "), ((k % 140).cast("double") / 100).cast("string"), F.lit(" |\n| "), F.when(k % 3 == 0, "1").otherwise("2"), F.lit(" | b | high |\n<!-- claims:end -->\n| 9 | no | 1 |\n"), "compiled_truth")
     return T.claim_rows(v.pages().select("page_id", t.alias("t")), "page_id", "t")
 
 
 @query("pages", """select page_id, 'revenue' as field, cast(1000 + page_id as double) as value from pages union all select page_id, 'staff', cast(page_id % 50 as double) from pages where page_id % 2 = 0""")
 def metric_fields(v: Views):
     k = F.col("page_id")
-    t = F.concat(F.lit("Revenue: $"), F.format_number(k + 1000, 0), F.when(k % 2 == 0, F.concat(F.lit(", headcount of "), (k % 50).cast("string"))).otherwise(", n/a"))
+    t = F.concat(F.lit("Revenue: $"), F.format_number(k + 1000, 0), F.when(k % 2 == 0, F.concat(F.lit(", headcount of "), (k % 50).cast("string"))).otherwise(", n/a"), F.lit("\n"), "compiled_truth")
     return T.metric_fields(v.pages().select("page_id", t.alias("t")), "page_id", "t", {"revenue": r"Revenue: \$([\d,]+\d)", "staff": r"headcount of (\d+)"})
 
 
