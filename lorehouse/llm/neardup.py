@@ -33,6 +33,8 @@ BANDS, ROWS = 24, 5
 #: Size of the filter over the keys of candidates that goes to all tasks: 16 MB. It lets
 #: through one text in a hundred at ten million keys, and more beyond, all of which a join drops.
 FILTER_BITS = 1 << 27
+#: A shingle is hot from this share of all on, so that hot ones number at most its inverse.
+HOT_SHARE = 10_000
 #: Darts drawn at once.
 DARTS = 100_000
 
@@ -272,9 +274,13 @@ def _unexplained(members: DataFrame, labels: DataFrame, sets: DataFrame, similar
     open_texts = labelled.join(several, "band", "left_semi").select("key", "label").distinct()
     ids = sets.join(open_texts, "key").select("key", F.xxhash64("key").alias("id"), F.xxhash64("label").alias("class"), F.size("set").alias("n"), "set")
     tokens = cut(ids.select("id", F.explode("set").alias("token")))
-    often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where(F.col("df") > 1)
+    often = cut(tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where(F.col("df") > 1))
+    # A shingle of very many texts meets them by broadcast, HOT_SHARE rows at most, so that no task gets them all.
+    least_hot = tokens.count() / HOT_SHARE
+    hot, other = often.where(F.col("df") > least_hot), often.where(F.col("df") <= least_hot)
+    counted = tokens.join(F.broadcast(hot), "token").unionByName(tokens.join(F.broadcast(hot.select("token")), "token", "left_anti").join(other, "token"))
     least = F.ceil(similarity * F.col("n") - 1e-9).cast("int")
-    ordered = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # of one text
+    ordered = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # of one text
     ordered = ordered.withColumn("c", F.size("t")).join(ids.select("id", "class", "n"), "id").where(F.col("c") >= least)
     prefix = cut(
         ordered.select("id", "class", "n", "c", F.posexplode(F.slice("t", F.lit(1), F.col("c") - least + 1)).alias("k", "t"))

@@ -493,6 +493,17 @@ def test_elements_share_what_counts_share():
     assert len(sets[0] & sets[1]) == sum(min(c, by[1].get(e, 0)) for e, c in by[0].items()) and [len(s) for s in sets] == [sum(b.values()) for b in by]
 
 
+@pytest.mark.parametrize("share", [1, 50, 10_000])
+def test_hot_shingles(spark, monkeypatch, share):
+    """Shingles that nearly all texts have, counted as hot or not."""
+    monkeypatch.setattr(neardup, "HOT_SHARE", share)
+    rnd = random.Random(20)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, passage + " " + " ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randint(4, 30)))) for k in range(90)]
+    got = sorted(str((r["doc_id"], r["class_id"])) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == _classes(rows)
+
+
 def test_near_duplicates_against_brute_force(docs, odd, empty, spark):
     rnd = random.Random(5)
     words = [f"w{k}" for k in range(500)]
