@@ -17,6 +17,8 @@ from ..shared import cut
 QUERY_BLOCK = 4_096
 #: The same for queries of terms, and distinct terms of such a block, about: what goes to the tasks has so many cells at most.
 TERM_BLOCK, TERMS = 512, 16_384
+#: Products of terms and queries that a task holds at once, about.
+CELLS = 8_000_000
 #: Vectors of one side of a group that one task compares at a time.
 GROUP_BLOCK = 4_096
 _TERM = re.compile(r"[a-z0-9]+")
@@ -56,9 +58,9 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
     """(query_id, chunk_id, page_id, score, rank): for queries (query_id, text) the k best of chunks (chunk_id, page_id, chunk_text) by the sum over shared ASCII terms of (1 + ln tf) ln(1 + N / df).
 
     Texts are read once, into postings by chunk, and document frequencies counted
-    from these. Queries then go to the tasks in blocks of bounded size; a task
-    multiplies its chunks' counts with them and keeps k rows for each, so that the
-    matches of common terms are never rows of a join.
+    from these. Queries then go to the tasks in blocks of bounded size; a task adds
+    up its chunks' terms for all of them at once and keeps k rows for each, so that
+    the matches of common terms are never rows of a join.
     """
     spark = queries.sparkSession
     kind = chunks.schema["page_id"].dataType.simpleString()
@@ -83,7 +85,7 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
         def found(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             df = np.zeros(len(shared.value), dtype=np.int64)
             for batch in batches:
-                for _, j, _ in _entries(batch, shared.value):
+                for _, _, _, j, _ in _entries(batch, shared.value, CELLS):
                     df += np.bincount(j, minlength=len(df))
             yield pd.DataFrame({"term": np.arange(len(df)), "n": df})
 
@@ -100,12 +102,13 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
             ids, weight = weighed.value
             best = _Best(len(ids), k)
             for batch in batches:
-                for i, j, tf in _entries(batch, shared.value):
-                    some = batch.iloc[i.min() : i.max() + 1] if len(i) else batch.iloc[:0]
-                    m = np.zeros((len(some), len(weight)))
-                    m[i - (i.min() if len(i) else 0), j] = 1 + np.log(tf)
-                    s = np.round(m @ weight, 6).T
-                    best.put(np.where(s > 0, s, -np.inf), some["chunk_id"].to_numpy(), some["page_id"].to_numpy())
+                for first, end, i, j, tf in _entries(batch, shared.value, CELLS // len(ids)):
+                    if len(i):
+                        begin = np.flatnonzero(np.diff(i, prepend=-1))
+                        s = np.add.reduceat(weight[j] * (1 + np.log(tf))[:, None], begin, axis=0)
+                        some = batch.iloc[first:end].iloc[i[begin]]
+                        s = np.round(s, 6).T
+                        best.put(np.where(s > 0, s, -np.inf), some["chunk_id"].to_numpy(), some["page_id"].to_numpy())
             q, chunk, page, score = best.rows()
             yield pd.DataFrame({"query_id": ids[q], "chunk_id": chunk, "page_id": page, "score": score})
 
@@ -113,17 +116,21 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
     return top_k(out, k, ("query_id",), F.desc("score"), "chunk_id")
 
 
-def _entries(batch: pd.DataFrame, words: np.ndarray, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, place of the term in words, tf) of the terms of a batch that are among the words, some rows at a time so that a matrix of them stays small."""
-    step = max(1, cells // len(words))
-    for a in range(0, len(batch), step):
-        part = batch.iloc[a : a + step]
-        size = np.array([len(t) for t in part["terms"]])
-        h = np.concatenate([*part["terms"], np.empty(0, dtype=np.int64)]).astype(np.int64)
-        tf = np.concatenate([*part["tf"], np.empty(0, dtype=np.int32)])
-        j = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        hit = words[j] == h
-        yield np.repeat(np.arange(a, a + len(part)), size)[hit], j[hit], tf[hit]
+def _entries(batch: pd.DataFrame, words: np.ndarray, most: int, rows: int = 1_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end, row from the first, place of the term in words, tf) of the terms of a batch that are among the words, in order of rows; `most` terms at a time, or one row."""
+    size = np.array([len(t) for t in batch["terms"]])
+    h = np.concatenate([*batch["terms"], np.empty(0, dtype=np.int64)]).astype(np.int64)
+    tf = np.concatenate([*batch["tf"], np.empty(0, dtype=np.int32)])
+    j = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    hit = words[j] == h
+    i, j, tf = np.repeat(np.arange(len(batch)), size)[hit], j[hit], tf[hit]
+    upto = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(batch)))])
+    a = 0
+    while a < len(batch):
+        b = min(len(batch), a + rows, max(a + 1, int(np.searchsorted(upto, upto[a] + most, side="right")) - 1))
+        part = slice(upto[a], upto[b])
+        yield a, b, i[part] - a, j[part], tf[part]
+        a = b
 
 
 class _Best:
