@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, linededup, mixing, neardup, packing, pii, quality, tokens, topk
+from . import divergence, htmltext, langid, linededup, mixing, neardup, oracles, packing, pii, quality, resample, sharding, tokens, topk
 from .common import read
 
 
@@ -49,7 +49,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mix, op4_line_dedup, op5_best_fit_packing, op6_language_id, op7_near_duplicates, op8_html_text, op9_personal_data, op10_exact_top_k)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mix, op4_line_dedup, op5_best_fit_packing, op6_language_id, op7_near_duplicates, op8_html_text, op9_personal_data, op10_exact_top_k, op11_importance_resampling, op12_ring_shards, op13_source_divergence)}
 
 ORACLE_SQL = {
     "op4_line_dedup": """
@@ -80,4 +92,7 @@ select query_id, cast(rank as int) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 where rank <= 5
 """,
+    "op11_importance_resampling": oracles.RESAMPLE,
+    "op12_ring_shards": oracles.SHARDS,
+    "op13_source_divergence": oracles.AUDIT,
 }
