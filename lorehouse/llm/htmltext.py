@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Elements whose content is never part of the text.
-LEFT_OUT = RAW | frozenset("head nav header footer aside form template button select option datalist dialog svg math canvas object audio video map menu label fieldset".split())
+LEFT_OUT = RAW | frozenset("head nav header footer aside template button select option datalist dialog svg math canvas object audio video map menu label".split())
+#: Elements that are left out as names are: not where they hold most of the page's prose, as a form around a whole page does.
+MOSTLY_OUT = frozenset(("form", "fieldset"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr img".split()
 )
@@ -38,6 +40,9 @@ BEFORE = "site global main top bottom left right primary secondary mobile sticky
 AFTER = "bar wrapper wrap container list area box links section item items form body button".split()
 #: Words that name something other than the text however much of the page it is.
 NEVER = frozenset("comment comments disqus respond reply replies cookie cookies consent gdpr".split())
+#: Reader comments in a token of several parts, as user-comment, commentlist or wp-comments; and parts that tell a state of the text, as has-comments.
+_COMMENTS = re.compile("[a-z]*comments?(?:list|box|area|thread|section|form|wrap|wrapper|container|body|item)?[0-9]*")
+STATES = frozenset("has no with without open opened closed off on enabled disabled allowed count counts number link links icon meta".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset(("html", "body", "main"))
 ARTICLE = frozenset(("article", "main"))
@@ -60,6 +65,9 @@ _MARKS = re.compile("[\"'>]")
 #: One attribute after the other, values with them, so that no name is found within a value.
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _WORDS = re.compile(r"[a-z]+")
+_PIECES = re.compile(r"[-_]+")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_COMMENT_END = re.compile("--!?>")
 _OTHER_TOKEN = re.compile("(?:(?:{0})[-_]+)*(?:{1})(?:[-_]+(?:{1}))*(?:[-_]+(?:{2}))*(?:[-_]*[0-9]+)?".format("|".join(BEFORE), "|".join(sorted(OTHER)), "|".join(AFTER)))
 #: How an element is left out: its name says so, or nothing of it is ever text.
 NAMED, ALWAYS = 1, 2
@@ -80,20 +88,28 @@ def _other(tag: str, attributes: str) -> int:
     """ALWAYS, NAMED or 0 for what may be text."""
     if tag in LEFT_OUT:
         return ALWAYS
-    if tag in WHOLE or not attributes:
+    if tag in WHOLE:
         return 0
+    how = NAMED if tag in MOSTLY_OUT else 0
+    if not attributes:
+        return how
     found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), "".join(values))  # the first of its name counts
     if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
         return ALWAYS
-    how = 0
+    if _UNSEEN.search(html.unescape(found.get("style", ""))):
+        how = NAMED
     for name in ("class", "id", "role"):
         for token in html.unescape(found.get(name, "")).lower().split():
             if _OTHER_TOKEN.fullmatch(token):
                 if not NEVER.isdisjoint(_WORDS.findall(token)):
                     return ALWAYS
                 how = NAMED
+            elif "comment" in token:
+                pieces = _PIECES.split(token)
+                if any(map(_COMMENTS.fullmatch, pieces)) and STATES.isdisjoint(pieces):
+                    return ALWAYS
     return how
 
 
@@ -162,8 +178,9 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     while (lt := page.find("<", at)) >= 0:
         if page.startswith("<!--", lt):
             put(page[begun:lt])
-            end = page.find("-->", lt + 4)
-            at = begun = n if end < 0 else end + 3
+            # <!--> and <!---> end where they begin.
+            over = re.compile("<!---?>").match(page, lt) or _COMMENT_END.search(page, lt + 4)
+            at = begun = over.end() if over else n
             continue
         if page.startswith(("<!", "<?"), lt):
             put(page[begun:lt])
@@ -266,12 +283,15 @@ def main_text(page: str | None) -> str:
                 best = up
                 break
             up = up.parent
-        around = best.parent.children if best.parent is not None and best.tag not in ARTICLE else []
+        around = best.parent.children if best.parent is not None else []
     least = max(10.0, 0.2 * score(best))
+    plain = lambda x: x.points * (1 - density(x))
 
     def belongs(x: Node | str) -> bool:
         if isinstance(x, str) or x.out or not x.chars:
             return False
+        if best.tag in ARTICLE:  # beside an article only what is one too, and of some substance against it
+            return x.tag in ARTICLE and plain(x) >= 0.2 * plain(best)
         if x.points and score(x) >= least:
             return True
         return x.tag == "p" and (density(x) < 0.25 if x.chars > 80 else x.links == 0)
