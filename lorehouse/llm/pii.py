@@ -17,6 +17,7 @@ any of these near are never looked at.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -434,11 +435,11 @@ def all_spans(text: str | None, field: Field | None) -> tuple[list[tuple[str, in
         return base, base
     added = []
     taken = sorted((a, b) for _, a, b in base)
+    reach = [0, *itertools.accumulate((b for _, b in taken), max)]  # the furthest end of the spans up to each
     for words in windows(text):
         for k, a, b, s in field.decode(text, words):
             if s >= MARGIN:
-                at = bisect_left(taken, (b, 0))  # spans of other kinds may overlap, but few do
-                if not any(a < y for _, y in taken[max(0, at - 8) : at]):
+                if reach[bisect_left(taken, (b, 0))] <= a:  # spans of other kinds may overlap
                     added.append((k, a, b))
     return base, sorted({*base, *added}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
