@@ -17,17 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Training documents of a language, about: those whose hash falls below bound / count.
-TRAIN_DOCS = 2_000
-#: Languages that are learned: those of the most training documents, ties by name. Part of the bound on the sample.
-MAX_LANGS = 1_000
-#: n-grams of a model at most, the most frequent ones, and those of all models together.
-MAX_GRAMS, ALL_GRAMS = 500_000, 20_000_000
+#: Training documents of a language, and of all languages together, about: those whose hash falls below bound / count. Of more than TRAIN_TOTAL / TRAIN_DOCS languages each has an even part of the total.
+TRAIN_DOCS, TRAIN_TOTAL = 2_000, 40_000
+#: Languages whose counts are broadcast at most.
+FEW_LANGS = 100_000
 #: One in so many training documents sets the limits instead of being learned from.
 LIMIT_PART = 5
 ORDER, BITS = 4, 15
@@ -69,13 +67,13 @@ def grams(text: str | None) -> tuple[np.ndarray, bool]:
 class KneserNey:
     """p(last character | those before) of one language."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, seen: tuple[int, int] | None = None):
-        """keys are n-grams of the top order; seen says how many n-grams occurred once and twice, where not all are given."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        """keys are all n-grams of the top order."""
         self.tables = []  # from order ORDER down to 1: keys, discounted share, contexts, back-off
         for order in range(ORDER, 0, -1):
             at = np.argsort(keys)
             keys, counts = keys[at], counts[at].astype(float)
-            ones, twos = seen if seen and order == ORDER else ((counts == 1).sum(), (counts == 2).sum())
+            ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
             contexts, of = np.unique(keys >> BITS, return_inverse=True)
             total = np.bincount(of, counts)
@@ -169,17 +167,18 @@ def _chunks(texts: pd.Series, chars: int = 2_000_000) -> Iterator[slice]:
 
 
 def learn(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Identifier:
-    """Models from rows (doc_id, text, lang), about `per_lang` whole documents a language, chosen by hash; one in LIMIT_PART of these sets the limits."""
+    """Models of all languages of rows (doc_id, text, lang), from about `per_lang` whole documents of each, TRAIN_TOTAL of all, chosen by hash; one in LIMIT_PART of these sets the limits. No n-gram of the sample is left out."""
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    n = {r["lang"]: r["n"] for r in most.collect()}
-    if not n:
+    sizes = cut(known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")))
+    langs = sizes.count()
+    if not langs:
         return Identifier({})
-    share = spark.createDataFrame([(k, per_lang / v) for k, v in n.items()], "of string, share double")  # MAX_LANGS rows at most
+    share = sizes.select("of", (min(per_lang, TRAIN_TOTAL / langs) / F.col("n")).alias("share"))
+    share = F.broadcast(share) if langs <= FEW_LANGS else share
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
     part = (F.pmod(F.xxhash64("doc_id", F.lit(66)), F.lit(LIMIT_PART)) == 0).alias("apart")
-    sample = known.join(F.broadcast(share), F.col("lang") == F.col("of")).where(drawn < F.col("share")).select("lang", "text", part)
+    sample = known.join(share, F.col("lang") == F.col("of")).where(drawn < F.col("share")).select("lang", "text", part)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,12 +188,8 @@ def learn(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Identifier:
                     yield pd.DataFrame({"lang": lang, "gram": g, "n": c})
 
     table = cut(sample.where(~F.col("apart")).drop("apart").mapInPandas(counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    seen = {r["lang"]: (r["grams"], r["ones"], r["twos"]) for r in table.groupBy("lang").agg(F.count("*").alias("grams"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()}
-    bound = min(MAX_GRAMS, ALL_GRAMS // max(len(seen), 1))
-    kept = table
-    if any(grams_ > bound for grams_, _, _ in seen.values()):
-        kept = table.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= bound).drop("_r")
-    found = Identifier({lang: KneserNey(t["gram"].to_numpy(), t["n"].to_numpy(), seen[lang][1:]) for lang, t in kept.toArrow().to_pandas().groupby("lang")})  # ALL_GRAMS rows at most
+    # The distinct n-grams of TRAIN_TOTAL documents.
+    found = Identifier({lang: KneserNey(t["gram"].to_numpy(), t["n"].to_numpy()) for lang, t in table.toArrow().to_pandas().groupby("lang")})
 
     shared = spark.sparkContext.broadcast(found)
 
