@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, trimmed
 
-#: Labelled rows that the trees are fitted to, at most.
-TRAIN_ROWS = 20_000
+#: Labelled rows that the trees are fitted to, about, at most: those whose hash, one of DRAWS, lies below a threshold.
+TRAIN_ROWS, DRAWS = 20_000, 1 << 30
 #: Share of the good labelled rows held out of the fit that the verdict may lose.
 FALSE_REJECTS = 0.001
 
@@ -168,18 +168,19 @@ def _per_batch(trees: Trees | None, limit: float, labelled: bool, with_text: boo
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Trees | None, float]:
     """Trees for the chance of label quality 0, and the least chance that rejects.
 
-    Fitted to at most `rows` labelled documents, those of least hash. Of these, a
-    fifth is held out: the limit is the least one from 0.5 up that loses at most
+    Fitted to about `rows` labelled documents at most, those whose hash lies below a
+    threshold. Of these, a fifth is held out: the limit is the least one from 0.5 up that loses at most
     FALSE_REJECTS of its good documents. Without two classes there are no trees.
     Of several labels of an id the best counts, of several documents the one of
     least statistics, so that reruns agree.
     """
     seen = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 0).cast("double").alias("low")).na.drop().groupBy("id").agg(F.min("low").alias("low"))
-    seen = F.broadcast(seen.orderBy(F.xxhash64("id"), "id").limit(rows))  # rows of 16 bytes, `rows` at most
+    seen = seen.where(F.pmod(F.xxhash64("id"), F.lit(DRAWS)) < F.lit(int(DRAWS * min(1.0, rows / max(seen.count(), 1)))))
+    seen = F.broadcast(seen)  # rows of 16 bytes, about `rows` at most
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").join(seen, F.col("doc_id") == F.col("id")).drop("id")
     one = found.mapInPandas(_per_batch(None, 1, True), f"doc_id {kind}, low double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "low")).alias("b"))
-    got = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("b.*").collect()
+    got = one.orderBy(F.xxhash64("doc_id"), "doc_id").select("b.*").collect()  # about `rows` at most
     if len({r["low"] for r in got}) < 2:
         return None, 1.0
     x, y = np.array([r["x"] for r in got]), np.array([r["low"] for r in got])
