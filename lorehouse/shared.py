@@ -9,8 +9,17 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that cut() has written and nothing has deleted yet.
-_written: list[str] = []
+#: Tables that cut() has written and nothing has deleted yet, by session.
+_written: dict[tuple[str, int], list[str]] = {}
+
+
+def _own(spark: SparkSession) -> list[str]:
+    return _written.setdefault((spark.sparkContext.applicationId, spark._jsparkSession.hashCode()), [])
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,22 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, so that a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/lorehouse-{uuid.uuid4().hex}"
-    _written.append(at)
+    _own(spark).append(at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
 def discard(spark: SparkSession, first: int = 0) -> None:
-    """Deletes the tables that cut() wrote, from the first-th on. Only for when no result that reads them is needed any more."""
-    while len(_written) > first:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the tables that cut() wrote in this session, from the first-th on. Only for when no result that reads them is needed any more."""
+    own = _own(spark)
+    while len(own) > first:
+        delete(spark, own.pop())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables cut within are deleted at the end; what is made of them must have been written by then."""
-    first = len(_written)
+    first = len(_own(spark))
     try:
         yield
     finally:
