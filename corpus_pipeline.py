@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorehouse import shared
 from lorehouse.llm import common, linededup, mixing, neardup, packing, quality
 from lorehouse.llm.common import DOCUMENT_COLUMNS
 
@@ -65,5 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with common.scratch(spark):  # what a stage set aside goes once its result is written
             out = stage(spark, docs, sf_dir)
             out.write.parquet(f"{at}/{k}")
+        if k:
+            shared.delete(spark, f"{at}/{k - 1}")  # what this stage was made of
         docs = spark.read.schema(out.schema).parquet(f"{at}/{k}")
     return docs
