@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import dates as D
 from ..shared import cut
 
 #: Queries whose vectors go to all tasks at once; more are taken in blocks.
@@ -426,8 +427,16 @@ def repeat_exclusion(new: DataFrame, existing: DataFrame, key: tuple[str, ...])
 
 
 def date_mismatch(pairs: DataFrame, days: int = 30) -> DataFrame:
-    """pairs (a_text, b_text) with skip: both carry dates and the nearest two lie more than `days` apart."""
-    dates = lambda c: F.array_sort(F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), 1), lambda d: F.to_date(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")))), lambda d: d.isNotNull()))
-    p = pairs.withColumn("_a", dates(F.col("a_text"))).withColumn("_b", dates(F.col("b_text")))
-    nearest = F.array_min(F.transform("_a", lambda x: F.array_min(F.transform("_b", lambda y: F.abs(F.datediff(x, y))))))
-    return p.withColumn("skip", F.coalesce(nearest > days, F.lit(False))).drop("_a", "_b")
+    """pairs (a_text, b_text) with skip and reason: whether they speak of different times.
+
+    A text that mentions two days in one paragraph is compared whatever the other
+    says, and so are pairs that both carry an effective date (a_effective,
+    b_effective, where pairs have these). Of the rest a pair is skipped if both
+    mention days and the latest of either side lie more than `days` apart.
+    """
+    known = F.col("a_effective").isNotNull() & F.col("b_effective").isNotNull() if {"a_effective", "b_effective"} <= {*pairs.columns} else F.lit(False)
+    latest = lambda c: F.array_max(D.mentioned(F.col(c)))
+    p = pairs.withColumn("_two", D.two_in_a_paragraph(F.col("a_text")) | D.two_in_a_paragraph(F.col("b_text"))).withColumn("_a", latest("a_text")).withColumn("_b", latest("b_text"))
+    apart = F.abs(F.datediff("_a", "_b"))
+    reason = F.when(F.col("_two"), "same_paragraph_dual_date").when(known, "both_have_effective_date").when(apart.isNull(), "one_or_both_missing_dates").when(apart > days, "both_explicit_separated").otherwise("overlapping_or_close")
+    return p.withColumn("reason", reason).withColumn("skip", F.col("reason") == "both_explicit_separated").drop("_two", "_a", "_b")

@@ -184,7 +184,70 @@ def far_set(candidates: DataFrame, close: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(held)).select("id", "stratum", F.round(F.greatest(F.least((1 - F.array_max(sims)) / 2, F.lit(1.0)), F.lit(0.0)), 6).alias("distance"))
 
 
-def cooldown(events: DataFrame, days: int = 14, key: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Events (key, ts) with no event of their key in the `days` before them."""
-    before = F.lag("ts").over(Window.partitionBy(*key).orderBy("ts"))
-    return events.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("ts") > F.col("_b") + F.make_dt_interval(F.lit(days)))).drop("_b")
+def cooldown(events: DataFrame, days: int = 14, key: tuple[str, ...] = ("key",), time: str = "ts", tie: str | None = None) -> DataFrame:
+    """The events of each key that fire: the first, then each time the first more than `days` after the last that fired. Of one time the least `tie` fires.
+
+    An event fires next after another if it is the first beyond its cooldown. These
+    pointers are followed by doubling, so that rounds grow with the logarithm of the
+    number of firings. As a span of `days` holds one firing at most, events are dealt by
+    key and span: a key may hold any share of the rows.
+    """
+    span = days * 86_400_000_000
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    first = F.min(F.struct(tie)) if tie else F.lit(0)
+    e = cut(events.where(F.col(time).isNotNull()).groupBy(F.struct(*key).alias("_k"), at.alias("_t")).agg(first.alias("_f")).withColumn("_s", F.floor(F.col("_t") / span)))
+    begins = e.groupBy("_k", "_s").agg(F.min("_t").alias("_first"))
+    spans = Window.partitionBy("_k").orderBy("_s")
+    # The first event of the spans after the next one.
+    later = begins.select("_k", "_s", F.when(F.lead("_s").over(spans) > F.col("_s") + 1, F.lead("_first").over(spans)).otherwise(F.lead("_first", 2).over(spans)).alias("_later"))
+    # Where an event's cooldown ends it asks, before the events of that time, for the first that comes after.
+    asks = e.select("_k", F.col("_t").alias("_of"), (F.col("_t") + span).alias("_t"), (F.col("_s") + 1).alias("_s"))
+    both = asks.withColumn("_ev", F.lit(None).cast("long")).unionByName(e.select("_k", F.lit(None).cast("long").alias("_of"), "_t", "_s", F.col("_t").alias("_ev")))
+    back = Window.partitionBy("_k", "_s").orderBy(F.desc("_t"), F.col("_ev").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_n", F.last("_ev", ignorenulls=True).over(back)).where(F.col("_of").isNotNull())
+    nxt = found.select("_k", F.col("_of").alias("_t"), (F.col("_s") - 1).alias("_s"), "_n").join(later, ["_k", "_s"], "left").select("_k", "_t", F.coalesce("_n", "_later").alias("_n"))
+    jump = cut(nxt.where(F.col("_n").isNotNull()))
+    fired = cut(e.groupBy("_k").agg(F.min("_t").alias("_t")))
+    while jump.limit(1).count():
+        fired = cut(fired.unionByName(fired.join(jump, ["_k", "_t"]).select("_k", F.col("_n").alias("_t"))))
+        on = jump.select("_k", F.col("_t").alias("_n"), F.col("_n").alias("_m"))
+        jump = cut(jump.join(on, ["_k", "_n"]).select("_k", "_t", F.col("_m").alias("_n")))
+    ties = e.join(fired, ["_k", "_t"], "left_semi").drop("_s")
+    out = events.withColumn("_k", F.struct(*key)).withColumn("_t", at).join(ties, ["_k", "_t"])
+    return (out.where(F.struct(tie) == F.col("_f")) if tie else out).select(*events.columns)
+
+
+# Fixed values.
+CONVICTION = 0.7
+#: What a page's folder, or a part of its slug, says about the kind of bet; the first that fits counts.
+FOLDER_HINTS = (("companies", "hiring"), ("people", "founder-behavior"), ("deals", "market-timing"))
+PART_HINTS = (("macro", "macro"), ("geography", "geography"), ("tactics", "tactics"), ("/ai/", "ai"), ("-ai-", "ai"))
+# End of the fixed values.
+
+
+def domain_hint(slug: Column) -> Column:
+    """What kind of bet a take of this page is, '' if nothing tells."""
+    s = F.lower(slug)
+    hint = F.lit("")
+    for part, name in reversed(PART_HINTS):
+        hint = F.when(s.contains(part), name).otherwise(hint)
+    for folder, name in reversed(FOLDER_HINTS):
+        hint = F.when(F.concat(F.lit("/"), s).contains(f"/{folder}/"), name).otherwise(hint)
+    return hint
+
+
+def nudge_rule(takes: DataFrame, profiles: DataFrame, least: float = CONVICTION) -> DataFrame:
+    """(take_id, matched, reason, tag) for takes (take_id, holder, weight, page_slug, asked) against profiles (holder, tags), `asked` being the holder whose profile a take is held against.
+
+    A take matches where it is of that holder, weighs more than `least` and its page's
+    hint is part of one of the profile's tags; the first such tag is given, or the
+    first reason why not.
+    """
+    p = profiles.groupBy(F.col("holder").alias("asked")).agg(F.first("tags").alias("tags"))
+    t = takes.join(p, "asked", "left").withColumn("hint", domain_hint(F.col("page_slug")))
+    tag = F.when(F.col("hint") != "", F.get(F.filter("tags", lambda x: F.lower(x).contains(F.col("hint"))), 0))
+    reason = (
+        F.when(F.col("tags").isNull(), "no_profile").when(F.col("holder") != F.col("asked"), "wrong_holder")
+        .when(F.col("weight") <= least, "below_conviction_threshold").when(tag.isNull(), "no_matching_bias_tag")
+    )
+    return t.select("take_id", reason.isNull().alias("matched"), reason.alias("reason"), F.when(reason.isNull(), tag).alias("tag"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import dates as D
 from ..operators import fusion as R
 from ..operators import joins as J
 from ..operators.aggregates import dead_links
@@ -202,11 +204,35 @@ def repeat_exclusion(v: Views):
     return J.repeat_exclusion(l.select("l_orderkey", "l_suppkey"), l.where(F.col("l_linenumber") == 1), ("l_orderkey", "l_suppkey"))
 
 
-@query("", """select o_orderkey, abs(datediff('day', cast(o_orderdate as date), date '1995-06-17')) > 30 as skip from orders where o_orderkey % 3 > 0 union all select o_orderkey, false from orders where o_orderkey % 3 = 0""")
+@query("", rf"""with o as (select o_orderkey as k, cast(o_orderdate as date) as d, cast(lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as date) as b from orders),
+t as (select k, case k % 8 when 0 then 'On ' || d || ' it was.' when 1 then 'Seen ' || strftime(d, '%Y/%m/%d') || chr(10) || chr(10) || ' and once in 1992' when 2 then 'By ' || strftime(d, '%B %-d, %Y') || '.' when 3 then 'In ' || strftime(d, '%b. %Y') when 4 then 'Since Q' || quarter(d) || ' ' || year(d) when 5 then 'The year ' || year(d) || ', no. 12345' when 6 then d || ' and ' || b else 'undated' end as a_text,
+ coalesce('was ' || b || case when k % 11 = 0 then chr(10) || ' ' || chr(10) || 'back to 1990-01-01' when k % 13 = 0 then ' or 1991-02-03' else '' end, 'never') as b_text, k % 5 = 0 as known from o),
+m as (select k, 'a' as side, p, unnest(regexp_extract_all(p, '{{any}}')) as m from (select k, unnest(string_split_regex(a_text, '
+\s*
+')) as p from t) union all select k, 'b', p, unnest(regexp_extract_all(p, '{{any}}')) from (select k, unnest(string_split_regex(b_text, '
+\s*
+')) as p from t)),
+n as (select *, regexp_matches(m, '^\d{{{{4}}}}[-/]\d{{{{2}}}}[-/]\d{{{{2}}}}$') as num, case when regexp_matches(m, '^[A-PR-Z]') then list_position({list(D.MONTHS)}, substring(m, 1, 3)) end as mon from m),
+y as (select *, cast(case when num then substring(m, 1, 4) else right(m, 4) end as int) as y, case when num then cast(substring(m, 6, 2) as int) when mon is not null then mon else 1 end as mo, case when num then cast(substring(m, 9, 2) as int) else coalesce(try_cast(regexp_extract(m, '\s(\d{{{{1,2}}}}),?\s', 1) as int), 1) end as dd from n),
+day as (select k, side, p, cast(make_date(y, 1, 1) + to_months(cast(mo - 1 as int)) + to_days(dd - 1) as date) as day from y where y between 1900 and 2100),
+two as (select distinct k from (select k from day group by k, side, p having count(distinct day) >= 2)),
+top as (select k, max(day) filter (where side = 'a') as a, max(day) filter (where side = 'b') as b from day group by k),
+r as (select t.k as o_orderkey, case when two.k is not null then 'same_paragraph_dual_date' when known then 'both_have_effective_date' when a is null or b is null then 'one_or_both_missing_dates' when abs(datediff('day', a, b)) > 30 then 'both_explicit_separated' else 'overlapping_or_close' end as reason from t left join two using (k) left join top using (k))
+select o_orderkey, reason, reason = 'both_explicit_separated' as skip from r""".replace("{any}", D.ANY).replace("{{", "{").replace("}}", "}"))
 def date_mismatch_skip(v: Views):
-    a = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("on "), F.col("o_orderdate").cast("date").cast("string"), F.lit(" it was"))).otherwise("undated")
-    p = v.raw("orders").select("o_orderkey", a.alias("a_text"), F.lit("seen 1995-06-17").alias("b_text"))
-    return J.date_mismatch(p).select("o_orderkey", "skip")
+    """Every order's day against that of the customer's order before, written in all forms, some in two paragraphs or twice in one, a fifth with effective dates."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    before = F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("date")
+    o = v.raw("orders").select(k, d.alias("d"), before.alias("b"))
+    told = lambda form: F.date_format("d", form)
+    forms = [
+        F.concat(F.lit("On "), told("yyyy-MM-dd"), F.lit(" it was.")), F.concat(F.lit("Seen "), told("yyyy/MM/dd"), F.lit("\n\n and once in 1992")), F.concat(F.lit("By "), told("MMMM d, yyyy"), F.lit(".")), F.concat(F.lit("In "), told("MMM'.' yyyy")),
+        F.concat(F.lit("Since Q"), F.quarter("d").cast("string"), F.lit(" "), told("yyyy")), F.concat(F.lit("The year "), told("yyyy"), F.lit(", no. 12345")), F.concat(told("yyyy-MM-dd"), F.lit(" and "), F.col("b").cast("string")), F.lit("undated"),
+    ]
+    rest = F.when(k % 11 == 0, "\n \nback to 1990-01-01").when(k % 13 == 0, " or 1991-02-03").otherwise("")
+    known = F.when(k % 5 == 0, F.lit("2020-01-01"))
+    p = o.select(k, F.element_at(F.array(*forms), (k % 8 + 1).cast("int")).alias("a_text"), F.coalesce(F.concat(F.lit("was "), F.col("b").cast("string"), rest), F.lit("never")).alias("b_text"), known.alias("a_effective"), known.alias("b_effective"))
+    return J.date_mismatch(p).select("o_orderkey", "reason", "skip")
 
 
 @query("pages links", "select from_page_id, count(*) as n from links where to_page_id not in (select page_id from pages where not deleted) group by 1")

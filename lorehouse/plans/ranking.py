@@ -271,10 +271,31 @@ def far_set(v: Views):
     return W.far_set(c, c.where(F.col("id").isin(3, 77, 240)))
 
 
-@query("", """select event_id from (select event_id, ts, lag(ts) over (partition by user_id, event_type order by ts, event_id) as b from events) where b is null or ts > b + interval 2 days""")
+@query("", """with recursive e as (select user_id, event_type, ts, min(event_id) as event_id from events group by all), walk as (select user_id, event_type, min(ts) as ts from e group by all
+ union all select walk.user_id, walk.event_type, (select min(ts) from e where e.user_id = walk.user_id and e.event_type = walk.event_type and e.ts > walk.ts + interval 2 days) as ts from walk where ts is not null)
+select event_id from walk join e using (user_id, event_type, ts)""")
 def cooldown_filter(v: Views):
-    e = v.raw("events").select("event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), "ts")
-    return W.cooldown(e, 2).select("event_id")
+    """What fires when each user's kind of event stays quiet for two days after it fired."""
+    return W.cooldown(v.raw("events").select("event_id", "user_id", "event_type", "ts"), 2, ("user_id", "event_type"), tie="event_id").select("event_id")
+
+
+_FOLDER = "case page_id % 9 when 0 then 'companies/' when 1 then 'notes/people/' when 2 then 'deals/' when 3 then 'macro-' when 4 then 'wiki/geography-' when 5 then 'tactics/' when 6 then 'notes/ai/' when 7 then 'an-ai-' else 'concepts/' end"
+_TAGS = [["Over-confident hiring", "founder-behavior: too kind"], ["market-timing early", "AI hype"], ["macro gloom", "geography bias", "tactics over strategy"], []]
+
+
+@query("takes", f"""with t as (select take_id, holder, weight, {_FOLDER} || page_id as slug, 'src' || case when take_id % 5 = 0 then (cast(substring(holder, 4) as int) + 1) % 20 else cast(substring(holder, 4) as int) end as asked from takes),
+p as (select 'src' || k as asked, case k % 4 when 0 then {_TAGS[0]} when 1 then {_TAGS[1]} when 2 then {_TAGS[2]} else [] end as tags from range(0, 17) r(k)),
+h as (select t.*, tags, case when slug like 'companies/%' then 'hiring' when slug like '%/people/%' then 'founder-behavior' when slug like 'deals/%' then 'market-timing' when slug like '%macro%' then 'macro' when slug like '%geography%' then 'geography' when slug like '%tactics%' then 'tactics' when slug like '%/ai/%' or slug like '%-ai-%' then 'ai' else '' end as hint from t left join p using (asked)),
+g as (select *, case when hint <> '' then list_filter(tags, lambda x: contains(lower(x), hint))[1] end as found from h),
+r as (select *, case when tags is null then 'no_profile' when holder <> asked then 'wrong_holder' when weight <= 0.7 then 'below_conviction_threshold' when found is null then 'no_matching_bias_tag' end as reason from g)
+select take_id, reason is null as matched, reason, case when reason is null then found end as tag from r""")
+def nudge_rule(v: Views):
+    """All takes against the profile of their holder, a fifth of them against the next one's; some holders have none."""
+    slug = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("companies/", "notes/people/", "deals/", "macro-", "wiki/geography-", "tactics/", "notes/ai/", "an-ai-", "concepts/")]), (F.col("page_id") % 9 + 1).cast("int")), F.col("page_id").cast("string"))
+    n = F.substring("holder", 4, 9).cast("int")
+    asked = F.concat(F.lit("src"), F.when(F.col("take_id") % 5 == 0, (n + 1) % 20).otherwise(n).cast("string"))
+    p = v.spark.createDataFrame([(f"src{k}", _TAGS[k % 4]) for k in range(17)], "holder string, tags array<string>")
+    return W.nudge_rule(v.takes().select("take_id", "holder", "weight", slug.alias("page_slug"), asked.alias("asked")), p)
 
 
 # --- graph ------------------------------------------------------------------------
