@@ -18,6 +18,8 @@ from ..shared import cut
 QUERY_BLOCK = 4_096
 #: The same for queries of terms, and distinct terms of such a block, about: what goes to the tasks has so many cells at most.
 TERM_BLOCK, TERMS = 512, 16_384
+#: Asked terms whose frequencies are looked up by broadcast; more by shuffle.
+FEW_TERMS = 200_000
 #: Products of terms and queries that a task holds at once, about.
 CELLS = 8_000_000
 #: Vectors of one side of a group that one task compares at a time.
@@ -58,10 +60,12 @@ def postings(chunks: DataFrame) -> DataFrame:
 def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFrame:
     """(query_id, chunk_id, page_id, score, rank): for queries (query_id, text) the k best of chunks (chunk_id, page_id, chunk_text) by the sum over shared ASCII terms of (1 + ln tf) ln(1 + N / df).
 
-    Texts are read once, into postings by chunk, and document frequencies counted
-    from these. Queries then go to the tasks in blocks of bounded size; a task adds
-    up its chunks' terms for all of them at once and keeps k rows for each, so that
-    the matches of common terms are never rows of a join.
+    Texts are read once, into postings by chunk, and the document frequencies of all
+    asked terms counted from these at once. Queries then go to the tasks in blocks of
+    bounded size, one read of the postings each; a task adds up its chunks' terms for
+    all of them at once and keeps k rows for each, so that the matches of common
+    terms are never rows of a join. Of several blocks each result is written before
+    the next, so that plans do not grow.
     """
     spark = queries.sparkSession
     kind = chunks.schema["page_id"].dataType.simpleString()
@@ -75,6 +79,14 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
     asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
     held = cut(postings(chunks))
     n = held.count()
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"term": np.unique(np.concatenate([_term_hash(np.array(t, dtype=object)) for t in batch["terms"]] + [np.empty(0, dtype=np.int64)]))})
+
+    wanted = cut(asked.select("terms").mapInPandas(hashed, "term bigint").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_TERMS else wanted
+    counts = cut(held.select(F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")))
     for block in range(blocks):
         rows = asked.where(F.col("block") == block).collect()  # about TERM_BLOCK rows and TERMS terms
         sets = [_term_hash(np.array(r["terms"], dtype=object)) for r in rows]
@@ -82,15 +94,8 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
         if not len(words):
             continue
         shared = spark.sparkContext.broadcast(words)
-
-        def found(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            df = np.zeros(len(shared.value), dtype=np.int64)
-            for batch in batches:
-                for _, _, _, j, _ in _entries(batch, shared.value, CELLS):
-                    df += np.bincount(j, minlength=len(df))
-            yield pd.DataFrame({"term": np.arange(len(df)), "n": df})
-
-        df = {r["term"]: r["n"] for r in held.select("terms", "tf").mapInPandas(found, "term int, n bigint").where("n > 0").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        own = F.broadcast(spark.createDataFrame([(int(w),) for w in words], "term bigint"))
+        df = {int(np.searchsorted(words, r["term"])): r["n"] for r in counts.join(own, "term").collect()}
         weight = np.zeros((len(words), len(rows)))
         for q, s in enumerate(sets):
             for j in np.searchsorted(words, s):
@@ -113,7 +118,8 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
             q, chunk, page, score = best.rows()
             yield pd.DataFrame({"query_id": ids[q], "chunk_id": chunk, "page_id": page, "score": score})
 
-        out = out.unionByName(held.mapInPandas(scored, out.schema))
+        one = held.mapInPandas(scored, out.schema)
+        out = out.unionByName(cut(top_k(one, k, ("query_id",), F.desc("score"), "chunk_id").drop("rank")) if blocks > 1 else one)
     return top_k(out, k, ("query_id",), F.desc("score"), "chunk_id")
 
 

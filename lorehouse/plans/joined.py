@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions import dates as D
 from ..operators import fusion as R
 from ..operators import joins as J
+from ..operators import lexical as X
 from ..operators.aggregates import dead_links
 from .registry import query
 from .views import NOW, Views
@@ -43,6 +44,47 @@ def vector_knn_join(v: Views):
     return vector(v)
 
 
+_LOW = "regexp_extract_all(lower({}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SINGULAR = r"""case when regexp_matches({0}, '^[a-z]{{2,}}ies$') then {0}[:-4] || 'y' when regexp_matches({0}, '^[a-z]+(ss|sh|ch|x|z)es$') then {0}[:-3] when regexp_matches({0}, '^[a-z]+[^sui]s$') then {0}[:-2] else {0} end"""
+_STEMS = f"""v0 as (select distinct w from (select unnest({_LOW.format('chunk_text')}) as w from chunks union all select unnest({_LOW.format('title')}) from pages union all select unnest({_LOW.format('text')}) from questions)),
+v1 as (select w, {_SINGULAR.format('w')} as s from v0), v2 as (select w, s, regexp_extract(s, '^([a-z]*[aeiouy][a-z]+)(ing|ed)$', 1) as r from v1),
+stems as (select w, case when length(r) < 3 then s when right(r, 1) = r[-2:-2] and contains('bdfgmnprt', right(r, 1)) then r[:-2] else r end as term from v2 where w not in ({', '.join(f"'{w}'" for w in sorted(X.STOP))}))"""
+#: Five kinds of query over words of the question: (number of words picked, their alternatives as (excluded, places of the words)).
+_ASKED = {0: [[(False, (2, 3, 4))]], 1: [[(False, (3,)), (True, (7,))]], 2: [[(False, (2, 3))], [(False, (5,))]], 3: [[(False, (2,)), (False, (4,)), (False, (6,))]], 4: [[(False, (3,))], [(False, (5, 6)), (True, (2,))]]}
+
+
+def _asked_rows() -> str:
+    """(kind, side, phrase, excluded, off, nth) of _ASKED as a table."""
+    rows = [(k, s, p, ex, j, w) for k, sides in _ASKED.items() for s, side in enumerate(sides) for p, (ex, ws) in enumerate(side) for j, w in enumerate(ws)]
+    return "(values " + ", ".join(f"({k}, {s}, {p}, {str(ex).lower()}, {j}, {w})" for k, s, p, ex, j, w in rows) + ") a(kind, side, phrase, excluded, off, nth)"
+
+
+@query("questions chunks pages", f"""with {_STEMS}, qw as (select query_id, query_id % 5 as kind, {_LOW.format('text')} as w from questions),
+ask0 as (select query_id, side, phrase, excluded, off, term from qw join {_asked_rows()} using (kind) join stems on stems.w = qw.w[nth]),
+ask as (select *, off - min(off) over (partition by query_id, side, phrase) as o, count(*) over (partition by query_id, side, phrase) as n from ask0),
+toks as (select chunk_id, true as title, generate_subscripts(w, 1) as pos, unnest(w) as w from (select chunk_id, {_LOW.format('title')} as w from chunks join pages using (page_id)) union all
+ select chunk_id, false, generate_subscripts(w, 1), unnest(w) from (select chunk_id, {_LOW.format('chunk_text')} as w from chunks)),
+tk as materialized (select chunk_id, title, pos, term from toks join stems using (w) where term in (select term from ask)),
+ph as (select query_id, side, phrase, any_value(excluded) as excluded, chunk_id from ask join tk using (term) group by query_id, side, phrase, chunk_id, title, pos - o having count(distinct o) = any_value(n)),
+pd as (select distinct query_id, side, phrase, excluded, chunk_id from ph), need as (select query_id, side, count(distinct phrase) filter (where not excluded) as n from ask group by all),
+ok as (select query_id, side, chunk_id from pd join need using (query_id, side) group by query_id, side, chunk_id, need.n having count(*) filter (where excluded) = 0 and count(*) = need.n
+ union all select query_id, side, chunk_id from need, chunks where n = 0 and (query_id, side, chunk_id) not in (select query_id, side, chunk_id from pd)),
+df as (select term, count(distinct chunk_id) as df from tk group by 1), wt as (select chunk_id, term, sum(case when title then 1.0::double else 0.4::double end) as tf from tk group by all),
+sc as (select query_id, chunk_id, round(coalesce(sum(ln(1 + tf) * ln(1 + (select count(*) from chunks) / df)), 0), 6) as score
+ from (select distinct query_id, chunk_id from ok) left join ((select distinct query_id, term from ask where not excluded) join wt using (term) join df using (term)) using (query_id, chunk_id) group by all)
+select query_id, chunk_id, page_id, score, rank from (select query_id, chunk_id, page_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc join chunks using (chunk_id)) where rank <= 50""")
+def phrase_search(v: Views):
+    """Queries with phrases, alternatives and exclusions, made of words of each question, over all chunks and their pages' titles."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), 0)
+    told = None
+    for kind, sides in _ASKED.items():
+        part = lambda ex, ws: F.concat(F.lit('-"' if ex else '"'), F.array_join(F.array(*[F.coalesce(F.get("w", n - 1), F.lit("")) for n in ws]), " "), F.lit('"'))
+        one = F.array_join(F.array(*[F.array_join(F.array(*[part(ex, ws) for ex, ws in side]), " ") for side in sides]), " or ")
+        told = F.when(F.col("query_id") % 5 == kind, one) if told is None else told.when(F.col("query_id") % 5 == kind, one)
+    q = v.questions().select("query_id", w.alias("w")).select("query_id", told.alias("text"))
+    return X.search(q, v.chunks().join(v.pages().select("page_id", "title"), "page_id"), 50)
+
+
 _FACTOR = "case when slug like 'en/src1/%' then 0.8 when slug like 'de/src5/%' then 0.5 when slug like 'en/%' then 1.4 when slug like 'de/%' then 1.2 else 1.0 end"
 FACTORS = {"en/": 1.4, "en/src1/": 0.8, "de/": 1.2, "de/src5/": 0.5, "fr/": 1.0}
 
