@@ -359,10 +359,10 @@ def backlink_gaps(edges: DataFrame) -> DataFrame:
     return e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
 
 
-def repeat_queries(queries: DataFrame, answered: DataFrame, now: Column, sim: float = 0.92, ttl_days: int = 30) -> DataFrame:
-    """(query_id, answered_id, sim): the nearest answered query (query_id, v, created, fresh) over `sim` that is in time and whose pages have not changed."""
+def repeat_queries(queries: DataFrame, answered: DataFrame, now: Column, sim: float = 0.92, ttl_days: int = 30, knn: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(query_id, answered_id, sim): the nearest answered query (query_id, v, created, fresh) over `sim` that is in time and whose pages have not changed. `knn` may be approximate_knn: neighbours as near as that share nearly all buckets."""
     ok = answered.where("fresh").where(F.datediff(now, "created") <= ttl_days)
-    return vector_knn(queries, ok.select(F.col("query_id").alias("id"), "v"), 1).where(F.col("sim") > sim).select("query_id", F.col("id").alias("answered_id"), "sim")
+    return (knn or vector_knn)(queries, ok.select(F.col("query_id").alias("id"), "v"), 1).where(F.col("sim") > sim).select("query_id", F.col("id").alias("answered_id"), "sim")
 
 
 def duplicate_fact_candidates(facts: DataFrame, k: int = 5) -> DataFrame:

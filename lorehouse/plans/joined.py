@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import dates as D
+from ..operators import approximate as A
 from ..operators import fusion as R
 from ..operators import joins as J
 from ..operators import lexical as X
@@ -39,6 +40,18 @@ def lexical_join(v: Views):
     return lexical(v)
 
 
+@query("questions vectors", """select query_id, least(30, (select count(*) from vectors)) as n, true as exact, true as recalled from questions""")
+def vector_approximate(v: Views):
+    """By hyperplane buckets: `exact` says whether all scores are the true ones, `recalled` whether at least 0.9 of the true 30 nearest of all queries are there."""
+    q = v.questions().join(v.vectors(), "vec_id").select("query_id", "v")
+    x = v.vectors().select(F.col("vec_id").alias("id"), "v")
+    got, true = A.approximate_knn(q, x, 30), J.vector_knn(q, x, 30)
+    both = got.select("query_id", "id", F.col("sim").alias("a")).join(true.select("query_id", "id", F.col("sim").alias("b")), ["query_id", "id"], "full")
+    per = both.groupBy("query_id").agg(F.count("a").alias("n"), F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-6).alias("bad"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("hit"), F.count("b").alias("all"))
+    recall = per.agg((F.sum("hit") / F.sum("all") >= 0.9).alias("recalled"))
+    return per.crossJoin(F.broadcast(recall)).select("query_id", "n", (F.col("bad") == 0).alias("exact"), "recalled")
+
+
 @query("questions vectors chunks", f"with {VECTOR} select query_id, id, round(sim, 6) as sim, rank from knn")
 def vector_knn_join(v: Views):
     return vector(v)
