@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .greedy import without_similar
 from .joins import top_k, trigram_pairs, vector_knn
 
 # Fixed values.
@@ -94,18 +94,20 @@ def limit_by_type(hits: DataFrame, share: float = 0.6) -> DataFrame:
 
 
 def greedy_similar(hits: DataFrame, least: float = 0.85) -> DataFrame:
-    """Drops results (query_id, chunk_id, score, text) whose word set is like that of a better kept one. The choice depends on order, so each query's few results go to Python together."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, sets = [], []
-        for n, text in enumerate(pdf.sort_values(["score", "chunk_id"], ascending=[False, True])["text"]):
-            s = set(text.lower().split())
-            if not any(len(s & t) > least * len(s | t) for t in sets):
-                kept.append(n)
-                sets.append(s)
-        return pdf.sort_values(["score", "chunk_id"], ascending=[False, True]).iloc[kept]
-
-    return hits.groupBy("query_id").applyInPandas(one, hits.schema)
+    """Drops results (query_id, chunk_id, score, text) whose word set is like that of a better kept one, in rounds over all queries at once."""
+    return without_similar(hits, [F.desc("score"), F.asc("chunk_id")], least, "query_id", "chunk_id", "text")
+
+
+def with_truth(kept: DataFrame, before: DataFrame) -> DataFrame:
+    """kept results (query_id, page_id, chunk_id, score, chunk_source) with the worst chunk of each page that has no compiled_truth among them replaced by the page's best such chunk of the results before, where there is one."""
+    page = Window.partitionBy("query_id", "page_id")
+    h = kept.withColumn("_has", F.max((F.col("chunk_source") == "compiled_truth").cast("int")).over(page))
+    h = h.withColumn("_last", F.row_number().over(page.orderBy("score", F.desc("chunk_id"))) == 1)
+    best = top_k(before.where(F.col("chunk_source") == "compiled_truth"), 1, ("query_id", "page_id"), F.desc("score"), "chunk_id")
+    best = best.select("query_id", "page_id", F.struct("chunk_id", "score", "chunk_source").alias("_b"))
+    swap = (F.col("_has") == 0) & F.col("_last") & F.col("_b").isNotNull()
+    new = {c: F.when(swap, F.col(f"_b.{c}")).otherwise(F.col(c)) for c in ("chunk_id", "score", "chunk_source")}
+    return h.join(best, ["query_id", "page_id"], "left").select("query_id", "page_id", *[v.alias(c) for c, v in new.items()])
 
 
 def process_reorder(hits: DataFrame, first: int = 10) -> DataFrame:

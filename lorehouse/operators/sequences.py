@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..shared import cut
+from .greedy import leaders
 
 
 def trajectory(facts: DataFrame, metrics: list[str] | None = None, since: Column | None = None, until: Column | None = None) -> DataFrame:
@@ -45,83 +44,33 @@ def founder_scorecard(points: DataFrame, flat: float = 0.01, move: float = 0.05)
     return s.select("entity_slug", "claim_metric", "points", F.round(1 - F.col("moves") / F.col("points"), 6).alias("consistency"), F.round("last", 6).alias("last_change"), direction.alias("direction"))
 
 
-#: Facts of one group that are clustered one after the other in one task, and leaders that they are compared with at a time.
+#: Facts of a group that are taken at first, the first of them in order; twice as many each further turn.
 CLUSTER_BLOCK = 2_048
 
 
 def cluster_facts(facts: DataFrame, least: float = 0.85, by: tuple[str, ...] = ("entity_slug",)) -> DataFrame:
-    """(fact_id, leader_id): within each group, newest first, each fact (fact_id, by, valid_from, v) joins the first leader of at least that cosine or leads itself. A fact without a vector leads itself alone.
-
-    The choice depends on order, so a group goes in blocks of CLUSTER_BLOCK facts in
-    that order: a block first meets the leaders of the blocks before, so many of them
-    in a task at a time, and takes the earliest; those left are clustered among
-    themselves, in one task a block. Blocks of different groups go together, so that
-    rounds number as the blocks of the largest group.
-    """
-    w = Window.partitionBy(*by).orderBy(F.desc("valid_from"), F.desc("fact_id"))
-    vec = F.col("v").cast("array<double>").alias("v")
-    placed = facts.where(F.col("v").isNotNull()).select("fact_id", *by, vec, F.row_number().over(w).alias("_n"))
-    placed = cut(placed.withColumn("_block", F.floor((F.col("_n") - 1) / CLUSTER_BLOCK).cast("int")))
-    blocks = (placed.agg(F.max("_block")).first()[0] or 0) + 1
-
-    def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """For facts a the first of leaders b, in their order, that is near enough."""
-        if not len(a) or not len(b):
-            return pd.DataFrame({"fact_id": [], "leader_id": [], "_l": []})
-        b = b.sort_values("_n")
-        near = _cosines(a["v"], b["v"]) >= least - 1e-12
-        some = near.any(axis=1)
-        first = near.argmax(axis=1)[some]
-        return pd.DataFrame({"fact_id": a["fact_id"].to_numpy()[some], "leader_id": b["fact_id"].to_numpy()[first], "_l": b["_n"].to_numpy()[first]})
-
-    def among(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_n")
-        near = _cosines(pdf["v"], pdf["v"]) >= least - 1e-12
-        own = np.full(len(pdf), -1)
-        for n in range(len(pdf)):
-            if own[n] < 0:  # a leader: all later ones without one that are near join it
-                own[n] = n
-                own[(own < 0) & near[n]] = n
-        ids = pdf["fact_id"].to_numpy()
-        return pd.DataFrame({"fact_id": ids, "leader_id": ids[own]})
-
-    out = facts.where(F.col("v").isNull()).select("fact_id", F.col("fact_id").alias("leader_id"))
-    leaders = None
-    for block in range(blocks):
-        rows = placed.where(F.col("_block") == block)
-        if leaders is not None:
-            parts = leaders.groupBy(*by).agg((1 + F.floor(F.max("_k") / CLUSTER_BLOCK)).cast("int").alias("_parts"))
-            asked = rows.join(parts, list(by)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-            held = leaders.withColumn("_part", F.floor(F.col("_k") / CLUSTER_BLOCK).cast("int"))
-            found = asked.groupBy(*by, "_part").cogroup(held.groupBy(*by, "_part")).applyInPandas(met, "fact_id bigint, leader_id bigint, _l bigint")
-            joined = cut(found.groupBy("fact_id").agg(F.min_by("leader_id", "_l").alias("leader_id")))
-            out = out.unionByName(joined)
-            rows = rows.join(joined.select("fact_id"), "fact_id", "left_anti")
-        new = cut(rows.groupBy(*by).applyInPandas(among, "fact_id bigint, leader_id bigint"))
-        out = out.unionByName(new)
-        if block + 1 < blocks:
-            fresh = placed.join(new.where(F.col("fact_id") == F.col("leader_id")).select("fact_id"), "fact_id", "left_semi").select("fact_id", *by, "v", "_n")
-            every = fresh if leaders is None else leaders.drop("_k").unionByName(fresh)
-            leaders = cut(every.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_n")) - 1))
-    return out
-
-
-def _cosines(a, b) -> np.ndarray:
-    unit = lambda vs: (x := np.stack([np.asarray(v, dtype=float) for v in vs])) / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-300)
-    return unit(a) @ unit(b).T
+    """(fact_id, leader_id): within each group, newest first, each fact (fact_id, by, valid_from, v) joins the first leader of at least that cosine or leads itself. A fact without a vector leads itself alone."""
+    newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("valid_from"), F.desc("fact_id")))
+    placed = facts.where(F.col("v").isNotNull()).select(F.to_json(F.struct(*by)).alias("key"), F.col("fact_id").alias("id"), newest.alias("o"), "v")
+    found = leaders(placed, least, CLUSTER_BLOCK)
+    return found.select(F.col("id").alias("fact_id"), F.col("leader").alias("leader_id")).unionByName(facts.where(F.col("v").isNull()).select(F.col("fact_id").cast("long").alias("fact_id"), F.col("fact_id").cast("long").alias("leader_id")))
 
 
 def consolidate(facts: DataFrame, now: Column, least: float = 0.85, min_facts: int = 3, min_hours: int = 24, by: tuple[str, ...] = ("entity_slug",)) -> DataFrame:
-    """(leader_id, n, weight, since, claim_value): one claim for each cluster of at least two of the active facts of a group.
+    """(leader_id, n, weight, since, claim_value, sources): one claim for each cluster of at least two of the active facts of a group.
 
     Only facts older than min_hours take part, and groups that then hold at least
-    min_facts. A claim is that of the highest confidence, its weight their mean, and
-    it holds since the earliest.
+    min_facts. A claim is that of the highest confidence, its weight their mean, it
+    holds since the earliest, and names the different sources (source, where facts
+    have one) of its facts, in order.
     """
     f = facts.where(~F.col("expired") & (F.col("valid_from") <= now - F.make_dt_interval(hours=F.lit(min_hours))))
     f = f.join(f.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_facts).select(*by), list(by), "left_semi")
     clusters = cluster_facts(f, least, by)
-    s = f.join(clusters, "fact_id").groupBy("leader_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("weight"), F.min("valid_from").alias("since"), F.max_by("claim_value", F.struct("confidence", "fact_id")).alias("claim_value"))
+    told = f.withColumn("_source", F.col("source") if "source" in f.columns else F.lit(None).cast("string"))
+    per = told.join(clusters, "fact_id").groupBy("leader_id", "_source").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.min("valid_from").alias("since"), F.max(F.struct("confidence", "fact_id", "claim_value")).alias("b"))
+    # By source first, so that a cluster's names are as many as it has sources.
+    s = per.groupBy("leader_id").agg(F.sum("n").alias("n"), F.round(F.sum("c") / F.sum("n"), 6).alias("weight"), F.min("since").alias("since"), F.max("b")["claim_value"].alias("claim_value"), F.array_join(F.array_sort(F.collect_set("_source")), ",").alias("sources"))
     return s.where(F.col("n") >= 2)
 
 

@@ -106,6 +106,17 @@ def dedup_similar_results(v: Views):
     return R.greedy_similar(h).select("query_id", "chunk_id", "score")
 
 
+@query("questions postings", f"""with {LEXICAL}, k as (select query_id, page_id, chunk_id, score, chunk_source from lex join chunks using (chunk_id, page_id) where chunk_index % 4 <> 0 qualify row_number() over (partition by query_id, page_id order by score desc, chunk_id) <= 2),
+b as (select query_id, page_id, chunk_id as c, score as s from lex join chunks using (chunk_id, page_id) where chunk_source = 'compiled_truth' qualify row_number() over (partition by query_id, page_id order by score desc, chunk_id) = 1),
+h as (select *, bool_or(chunk_source = 'compiled_truth') over (partition by query_id, page_id) as has, row_number() over (partition by query_id, page_id order by score, chunk_id desc) = 1 as last from k)
+select query_id, page_id, case when last and not has and c is not null then c else chunk_id end as chunk_id, case when last and not has and c is not null then s else score end as score, case when last and not has and c is not null then 'compiled_truth' else chunk_source end as chunk_source from h left join b using (query_id, page_id)""")
+def truth_swap(v: Views):
+    """Two chunks a page, of which the first lines of texts were lost; where that was a page's compiled truth it comes back."""
+    h = lexical(v).drop("rank").join(v.chunks().select("chunk_id", "chunk_index", "chunk_source"), "chunk_id")
+    kept = J.top_k(h.where(F.col("chunk_index") % 4 != 0), 2, ("query_id", "page_id"), F.desc("score"), "chunk_id")
+    return R.with_truth(kept.select("query_id", "page_id", "chunk_id", "score", "chunk_source"), h)
+
+
 @query("questions postings pages", f"""with {_RESULTS}, k as (select query_id, page_id, r as rank, page_id % 3 = 1 as is_process, page_id % 4 = 2 as is_person from results),
 p as (select *, min(case when rank <= 10 and is_person then rank end) over (partition by query_id) as p from k), d as (select *, min(case when rank <= 10 and is_process and rank > p then rank end) over (partition by query_id) as d from p)
 select query_id, page_id, case when d is null then rank when rank = d then p when rank >= p and rank < d then rank + 1 else rank end as rank from d""")
@@ -205,12 +216,13 @@ def founder_scorecard(v: Views):
     return W.founder_scorecard(W.trajectory(v.facts()))
 
 
-@query("facts vectors", f"""with f as (select * from facts join vectors using (vec_id) where not expired and valid_from <= timestamp '{NOW}' - interval 24 hours), g as (select * from f where entity_slug in (select entity_slug from f group by 1 having count(*) >= 3)),
-p as (select a.fact_id, b.fact_id as near, b.valid_from as near_from from g a join g b on a.entity_slug = b.entity_slug where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.85 - 1e-12),
+@query("facts vectors", f"""with f as (select *, 's' || fact_id % 3 as source, vec_id % 2 as half from facts join vectors using (vec_id) where not expired and valid_from <= timestamp '{NOW}' - interval 24 hours), g as (select * from f where (half, entity_slug) in (select half, entity_slug from f group by all having count(*) >= 3)),
+p as (select a.fact_id, b.fact_id as near, b.valid_from as near_from from g a join g b on a.entity_slug = b.entity_slug and a.half = b.half where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.85 - 1e-12),
 l as (select fact_id, arg_max(near, (near_from, near)) as leader_id from p group by 1) -- near facts of these tables are near to each other, so that the newest of them leads
-select leader_id, count(*) as n, round(avg(confidence), 6) as weight, min(valid_from) as since, arg_max(claim_value, (confidence, fact_id)) as claim_value from l join g using (fact_id) group by 1 having count(*) >= 2""")
+select leader_id, count(*) as n, round(avg(confidence), 6) as weight, min(valid_from) as since, arg_max(claim_value, (confidence, fact_id)) as claim_value, string_agg(distinct source, ',' order by source) as sources from l join g using (fact_id) group by 1 having count(*) >= 2""")
 def consolidate_facts(v: Views):
-    return W.consolidate(v.facts().join(v.vectors(), "vec_id"), F.lit(NOW).cast("timestamp_ntz"))
+    f = v.facts().join(v.vectors(), "vec_id").withColumn("source", F.concat(F.lit("s"), (F.col("fact_id") % 3).cast("string"))).withColumn("half", F.col("vec_id") % 2)
+    return W.consolidate(f, F.lit(NOW).cast("timestamp_ntz"), by=("half", "entity_slug"))
 
 
 _POINTERS = "ptr as (select fact_id as id, case when fact_id % 3 <> 0 then lead(fact_id) over (partition by entity_slug, claim_metric order by valid_from, fact_id) end as next from facts)"
