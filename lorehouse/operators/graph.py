@@ -30,6 +30,105 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 5, direction: str
     return seen
 
 
+def walks(edges: DataFrame, seeds: DataFrame, depth: int = 5, direction: str = "out") -> DataFrame:
+    """(seed, node, depth): every depth at which a path without repeated nodes leads from a seed to a node.
+
+    Paths that have passed the same nodes and end at the same one go on alike, so that
+    each set of nodes is followed once; a level is written before the next.
+    """
+    e = cut(_oriented(edges, direction).select("src", "dst").distinct())
+    level = cut(seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("passed")).distinct())
+    out = level.select("seed", "node", F.lit(0).alias("depth"))
+    for step in range(1, depth + 1):
+        nxt = level.withColumnRenamed("node", "src").join(e, "src").where(~F.array_contains("passed", F.col("dst")))
+        level = cut(nxt.select("seed", F.col("dst").alias("node"), F.array_sort(F.array_append("passed", F.col("dst"))).alias("passed")).distinct())
+        if not level.limit(1).count():
+            break
+        out = out.unionByName(level.select("seed", "node", F.lit(step).alias("depth")).distinct())
+    return out
+
+
+def walks_recursive(edges: DataFrame, seeds: DataFrame, depth: int = 5, direction: str = "out") -> DataFrame:
+    """What walks() gives, as one recursive query that Spark plans itself: for few seeds, as every path is a row of its own and Spark bounds the rows of a recursion (spark.sql.cteRecursionRowLimit)."""
+    e = _oriented(edges, direction).select("src", "dst").distinct()
+    return e.sparkSession.sql(
+        f"""with recursive walk(seed, node, depth, passed) as (
+              select node, node, 0, array(node) from {{seeds}}
+              union all
+              select seed, dst, depth + 1, array_append(passed, dst) from walk join {{e}} as e on e.src = walk.node where depth < {int(depth)} and not array_contains(passed, dst))
+            select distinct seed, node, depth from walk""",
+        seeds=seeds.select("node").distinct(),
+        e=e,
+    )
+
+
+def outgoing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, to, lt): the different links out of each of some nodes (node), a row each."""
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), "lt").distinct().join(nodes.select("node").distinct(), "node", "left_semi")
+
+
+def with_outgoing(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (node, ...) with links, the sorted list of (to, lt) out of their node, empty where there are none. A list is as long as its node has links; where hubs are too large for that, outgoing() has them as rows."""
+    lists = outgoing(rows, edges).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("to", "lt"))).alias("links"))
+    empty = F.array().cast(lists.schema["links"].dataType)
+    return rows.join(lists, "node", "left").withColumn("links", F.coalesce("links", empty))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the nodes that lie on a cycle, and the largest node of all that lie on cycles with it.
+
+    Nodes without a way in or out among the open ones are trimmed. Then the largest
+    node that leads to each is passed forward until nothing changes, and from those
+    that were passed nothing larger than themselves their own are followed back: what
+    meets is a component. The rest goes round again. Each step is a join and a
+    reduction by node, whatever the degree.
+    """
+    open_ = cut(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    out = None
+    while True:
+        while True:  # trim
+            into, from_ = open_.select(F.col("dst").alias("node")).distinct(), open_.select(F.col("src").alias("node")).distinct()
+            both = into.join(from_, "node", "left_semi")
+            less = cut(open_.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+            same = less.count() == open_.count()
+            open_ = less
+            if same:
+                break
+        if not open_.limit(1).count():
+            break
+        colour = cut(open_.select(F.col("src").alias("node")).distinct().withColumn("c", F.col("node")))
+        while True:
+            passed = open_.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("p"))
+            new = cut(colour.join(passed, "node", "left").select("node", F.greatest("c", "p").alias("c"), (F.col("p") > F.col("c")).alias("moved")))
+            moved = new.where("moved").limit(1).count()
+            colour = new.drop("moved")
+            if not moved:
+                break
+        # Back from each root, among its own colour.
+        inner = cut(open_.join(colour.select(F.col("node").alias("src"), "c"), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("d")), "dst").where(F.col("c") == F.col("d")).select("src", "dst"))
+        found = frontier = cut(colour.where(F.col("node") == F.col("c")))
+        while True:
+            back = inner.join(frontier.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c").distinct()
+            frontier = cut(back.join(found.select("node"), "node", "left_anti"))
+            if not frontier.limit(1).count():
+                break
+            found = cut(found.unionByName(frontier))
+        several = found.join(found.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "c", "left_semi").select("node", F.col("c").alias("component"))
+        out = several if out is None else out.unionByName(several)
+        gone = found.select("node")
+        open_ = cut(open_.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    if out is None:
+        return loops
+    return out.unionByName(loops.join(out.select("node"), "node", "left_anti"))
+
+
+def cycle_flags(walked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed, cycles) of walks (seed, node, ...): whether some node that a walk has seen lies on a cycle of edges."""
+    on = strong_components(edges).select("node", F.lit(True).alias("_on"))
+    return walked.join(on, "node", "left").groupBy("seed").agg(F.coalesce(F.bool_or("_on"), F.lit(False)).alias("cycles"))
+
+
 def paths(edges: DataFrame, seeds: DataFrame, depth: int, link_type: str | None = None, direction: str = "out") -> DataFrame:
     """(src, dst, lt, depth): the edges walked from any seed at each step, each once for a step."""
     e = cut(_oriented(edges if link_type is None else edges.where(F.col("lt") == link_type), direction))

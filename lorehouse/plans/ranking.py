@@ -326,12 +326,54 @@ def traverse(v: Views):
     return G.traverse(v.edges(), _seeds(v), 3)
 
 
-@query("edges", f"""with {_E}, {_SEEDS}, b as materialized (select src, dst, lt from e union select dst, src, lt from e), one as materialized (select b.* from b join seeds on src = node), hop as materialized (select distinct dst as node from one), two as (select b.* from b join hop on src = node)
+@query("edges", f"""with {_E}, {_SEEDS}, one as materialized (select distinct src, dst, lt from (select * from e where src in (select node from seeds) union all select dst, src, lt from e where dst in (select node from seeds))),
+two as (select distinct src, dst, lt from (select * from e where src in (select dst from one) union all select dst, src, lt from e where dst in (select dst from one)))
 select *, 1 as depth from one union all select *, 2 from two""")
 def graph_paths(v: Views):
     return G.paths(v.edges(), _seeds(v), 2, direction="both")
 
 
+_WALKS = f"""{_E}, {_SEEDS}, walk as (select node as seed, node, 0 as depth, [node] as passed from seeds union all select seed, dst, depth + 1, list_append(passed, dst) from walk join e on src = node where depth < 3 and not list_contains(passed, dst)),
+w as (select distinct seed, node, depth from walk)"""
+
+
+@query("edges", f"""with recursive {_WALKS}, l as (select src as node, string_agg(dst || ' ' || lt, ',' order by dst, lt) as links from e where src in (select node from w) group by 1)
+select seed, node, depth, coalesce(links, '') as links from w left join l using (node)""")
+def traverse_links(v: Views):
+    """Every depth at which a path leads to a node, with the node's outgoing links."""
+    w = G.with_outgoing(G.walks(v.edges(), _seeds(v), 3), v.edges())
+    return w.select("seed", "node", "depth", F.array_join(F.transform("links", lambda x: F.concat(x["to"], F.lit(" "), x["lt"])), ",").alias("links"))
+
+
+@query("edges", f"with recursive {_WALKS} select seed, node, depth from w")
+def traverse_recursive(v: Views):
+    """The same walks as one recursive query."""
+    return G.walks_recursive(v.edges(), _seeds(v), 3)
+
+
+_RING = "ring as (select src, dst from e union select dst, src from e where lt = 'part_of')"
+
+
+def _ring(v: Views):
+    """The edges, with those from nations to regions both ways."""
+    e = v.edges()
+    return e.unionByName(e.where(F.col("lt") == "part_of").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "lt"))
+
+
+@query("edges", f"""with recursive {_E}, {_RING}, inner_ as (select * from ring where src in (select src from ring where dst like 'region/%' union select dst from ring where dst like 'region/%') and dst in (select dst from ring where src like 'region/%' or dst like 'region/%')),
+reach as (select src, dst from inner_ union select reach.src, inner_.dst from reach join inner_ on inner_.src = reach.dst)
+select a.src as node, max(a.dst) as component from reach a join reach b on a.src = b.dst and a.dst = b.src group by 1""")
+def strong_components(v: Views):
+    return G.strong_components(_ring(v))
+
+
+@query("edges", f"""with recursive {_E}, {_RING}, s as (select node, node as seed from (values ('customer/1'), ('order/1'), ('part/1'), ('supplier/2')) t(node)), walk as (select seed, node, 0 as depth from s union select seed, dst, depth + 1 from walk join ring on src = node where depth < 3)
+select seed, bool_or(node like 'nation/%' or node like 'region/%') as cycles from walk group by 1""")
+def cycle_flags(v: Views):
+    seeds = v.spark.createDataFrame([("customer/1",), ("order/1",), ("part/1",), ("supplier/2",)], "node string")
+    return G.cycle_flags(G.traverse(_ring(v), seeds, 3), _ring(v))
+
+
 @query("edges", f"with {_E} select node, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out, count(*) as n from (select src as node, 0 as i, 1 as o from e union all select dst, 1, 0 from e) group by 1")
 def degree(v: Views):
     return G.degrees(v.edges())
