@@ -12,7 +12,7 @@ from ..sources import corpus as SRC
 from ..streaming import streams as ST
 from .registry import query
 from .texts import redacted_sql
-from .views import Views
+from .views import NOW, Views
 
 
 def _folder(v: Views) -> str:
@@ -95,6 +95,18 @@ def tiered_consolidate(v: Views):
     return v.spark.read.parquet(f"{at}/out").drop("batch")
 
 
+@query("", """with recursive e as (select 'user/' || user_id as entity, event_id % (select count(*) from embeddings) as vec_id, ts, event_id from events),
+walk as (select entity, vec_id, arg_min(event_id, (ts, event_id)) as event_id, min(ts) as ts from e group by all -- no two vectors of these tables are as near as .92, so that only equal ones repeat
+ union all select entity, vec_id, (select arg_min(event_id, (ts, event_id)) from e where e.entity = walk.entity and e.vec_id = walk.vec_id and e.ts > walk.ts + interval 7 days), (select min(ts) from e where e.entity = walk.entity and e.vec_id = walk.vec_id and e.ts > walk.ts + interval 7 days) from walk where walk.ts is not null)
+select e.event_id as fact_id, arg_max(w.event_id, w.ts) filter (where w.event_id <> e.event_id and e.event_id not in (select event_id from walk where event_id is not null)) as matched_id, case when e.event_id in (select event_id from walk where event_id is not null) then 'independent' else 'duplicate' end as verdict
+from e left join walk w on w.entity = e.entity and w.vec_id = e.vec_id and w.ts <= e.ts group by e.event_id""")
+def stream_fact_dedup(v: Views):
+    """All events as facts: what the stream has seen in the week before is a duplicate."""
+    s = _stream(v, "events").select(F.col("event_id").alias("fact_id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("entity_slug"), (F.col("event_id") % v.n_vectors()).alias("vec_id"), _utc(F.col("ts")).alias("at"))
+    out = ST.run_once(ST.stream_fact_dedup(s.join(v.vectors(), "vec_id")), _folder(v))
+    return v.spark.read.parquet(out).select("fact_id", "matched_id", "verdict")
+
+
 @query("", """select cast(ts as date) as start, event_type as cohort, count(*) as n, true as near from events group by all""")
 def activity_counts(v: Views):
     """By day; `near` says whether the streamed number of different users is within 15 percent of the true one."""
@@ -132,9 +144,14 @@ def recall_watch(v: Views):
     return v.spark.read.parquet(out)
 
 
-@query("takes", "select take_id from takes where not (take_id % 30 < 10) or resolved_quality = 'correct'")
+@query("takes", """select take_id, status from (select take_id, case resolved_quality when 'partial' then 'pending' when 'correct' then 'accepted' else 'pending' end as status, case when take_id % 7 <> 0 then date '2024-01-01' + cast(take_id % 60 as int) end as expires_at from takes)
+where not (status = 'pending' and expires_at is not null and expires_at <= date '2024-02-01')""")
 def expire_candidates(v: Views):
-    return v.takes().where(~((F.col("take_id") % 30 < 10) & (F.col("resolved_quality") != "correct"))).select("take_id")
+    """Takes as candidates, some without an end; those still pending when theirs has come go."""
+    status = F.when(F.col("resolved_quality") == "correct", "accepted").otherwise("pending")
+    ends = F.when(F.col("take_id") % 7 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("take_id") % 60).cast("int")))
+    stays, _ = ST.expired(v.takes().select("take_id", status.alias("status"), ends.alias("expires_at")), F.lit(NOW).cast("date"))
+    return stays.select("take_id", "status")
 
 
 @query("pages", "select source_id, slug, md5(compiled_truth) as h from pages")

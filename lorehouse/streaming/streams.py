@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,66 @@ def fact_verdict_stream(stream: DataFrame, known: DataFrame, sink: str, checkpoi
     stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def stream_fact_dedup(stream: DataFrame, limit: float = DUPLICATE, ttl_seconds: int = 7 * 86_400, late: str = "1 hour") -> DataFrame:
+    """(fact_id, matched_id, sim, verdict) of a stream (fact_id, entity_slug, v, at): each fact against those of its entity that the stream itself has made known.
+
+    A fact of at least that cosine to one known within the TTL before it is a duplicate
+    of the nearest, ties to the one known first; any other is independent and known
+    from then on. An entity's state holds its independent facts of the last TTL alone,
+    and goes when the watermark has passed them. Facts of a batch come in the order of
+    time and id; facts that were known before the stream began are sent through it
+    first. A fact without a vector is independent and never matched.
+    """
+    micros = ttl_seconds * 1_000_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ids, times, flat = (list(x) for x in state.get) if state.exists else ([], [], [])
+        dim = len(flat) // len(ids) if ids else 0
+        known = np.array(flat, dtype=float).reshape(len(ids), dim)
+        rows = pd.concat([b[["fact_id", "at", "v"]] for b in batches])
+        rows["at"] = rows["at"].to_numpy().astype("datetime64[us]").astype("int64")
+        rows = rows.sort_values(["at", "fact_id"], ignore_index=True)
+        out, held = [], known.shape[0]
+        grown = np.empty((held + len(rows), dim or max((len(v) for v in rows["v"] if v is not None), default=0)))
+        if held:
+            grown[:held] = known
+        for fact, at, v in zip(rows["fact_id"], rows["at"], rows["v"], strict=True):
+            if v is None or len(v) != grown.shape[1]:
+                out.append((fact, None, None, "independent"))
+                continue
+            u = np.asarray(v, dtype=float)
+            u = u / max(np.sqrt((u**2).sum()), 1e-300)
+            sims = np.round(grown[:held] @ u, 9)
+            sims[(np.array(times, dtype=np.int64) < at - micros) if held else slice(0)] = -2.0
+            best = int(sims.argmax()) if held else -1
+            if best >= 0 and sims[best] >= limit:
+                out.append((fact, ids[best], round(float(sims[best]), 6), "duplicate"))
+                continue
+            out.append((fact, None, None, "independent"))
+            grown[held] = u
+            held += 1
+            ids.append(int(fact))
+            times.append(int(at))
+        newest = int(rows["at"].max())
+        keep = [k for k in range(held) if times[k] >= newest - micros]
+        state.update(([ids[k] for k in keep], [times[k] for k in keep], grown[keep].ravel().tolist()))
+        state.setTimeoutTimestamp(max((newest + micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["fact_id", "matched_id", "sim", "verdict"]).astype({"matched_id": "Int64", "sim": "Float64"})
+
+    rows = stream.withWatermark("at", late).select("fact_id", "entity_slug", F.col("v").cast("array<double>").alias("v"), "at")
+    schema = "fact_id bigint, matched_id bigint, sim double, verdict string"
+    return rows.groupBy("entity_slug").applyInPandasWithState(step, schema, "ids array<bigint>, times array<bigint>, vectors array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def expired(candidates: DataFrame, now: Column, live: tuple[str, ...] = ("pending",)) -> tuple[DataFrame, DataFrame]:
+    """Candidates (status, expires_at, ...) that stay, and those that go: still `live` at the time their expires_at has come. No expires_at is no end, and what was decided stays."""
+    over = F.col("status").isin(*live) & F.coalesce(F.col("expires_at") <= now, F.lit(False))
+    return candidates.where(~F.coalesce(over, F.lit(False))), candidates.where(F.coalesce(over, F.lit(False)))
+
+
 def activity_counts(stream: DataFrame, days: int = 1, late: str = "2 days") -> DataFrame:
     """(start, cohort, n, users) of a stream (at, cohort, who): events and about how many different ones by window of so many days, one a day. Late rows still count until the watermark has passed their window; in update mode."""
     span = F.window("at", "1 day") if days == 1 else F.window("at", f"{days} days", "1 day")
