@@ -134,7 +134,7 @@ def scorecard(takes: DataFrame, by: tuple[str, ...] = ("holder",)) -> DataFrame:
     right = F.when(q == "correct", 1.0).when(q == "incorrect", 0.0)
     n = lambda v: F.count_if(q == v)
     out = takes.groupBy(*by).agg(
-        F.count("*").alias("bets"), F.count(q).alias("resolved"), n("correct").alias("correct"), n("incorrect").alias("incorrect"), n("partial").alias("partial"), n("unresolvable").alias("unresolvable"),
+        F.count("*").alias("bets"), F.count_if(q.isin("correct", "incorrect", "partial")).alias("resolved"), n("correct").alias("correct"), n("incorrect").alias("incorrect"), n("partial").alias("partial"), n("unresolvable").alias("unresolvable"),
         F.round(F.avg((F.col("weight") - right) ** 2), 6).alias("brier"), F.round(F.avg(right), 6).alias("accuracy"),
     )
     return out.withColumn("partial_rate", F.round(F.col("partial") / F.nullif("resolved", F.lit(0)), 6))

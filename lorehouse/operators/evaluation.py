@@ -23,6 +23,12 @@ def summary(per_query: DataFrame, *by: str) -> DataFrame:
     return per_query.groupBy(*by).agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 
+def rollup(per_query: DataFrame, *by: str) -> DataFrame:
+    """The same by all of `by`, by their beginnings, and in all; `in_all` marks the total."""
+    g = per_query.rollup(*by).agg((F.grouping_id() == 2 ** len(by) - 1).alias("in_all"), F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
+    return g
+
+
 def replay_diff(captured: DataFrame, current: DataFrame) -> DataFrame:
     """(query_id, jaccard, top1) of two runs (query_id, ids ARRAY)."""
     j = captured.select("query_id", F.col("ids").alias("a")).join(current.select("query_id", F.col("ids").alias("b")), "query_id")

@@ -110,8 +110,11 @@ def with_truth(kept: DataFrame, before: DataFrame) -> DataFrame:
     return h.join(best, ["query_id", "page_id"], "left").select("query_id", "page_id", *[v.alias(c) for c, v in new.items()])
 
 
-def process_reorder(hits: DataFrame, first: int = 10) -> DataFrame:
-    """hits (query_id, page_id, rank, is_process, is_person): the first process page below a person, within the first ranks, moves to the person's place."""
+def process_reorder(hits: DataFrame, first: int = 10, guarded: DataFrame | None = None) -> DataFrame:
+    """hits (query_id, page_id, rank, is_process, is_person): the first process page below a person, within the first ranks, moves to the person's place, but not for the guarded queries (query_id), which name an entity."""
+    if guarded is not None:
+        moved = process_reorder(hits.join(guarded, "query_id", "left_anti"), first)
+        return moved.unionByName(hits.join(guarded, "query_id", "left_semi"))
     w = Window.partitionBy("query_id")
     near = F.col("rank") <= first
     person = F.min(F.when(near & F.col("is_person"), F.col("rank"))).over(w)

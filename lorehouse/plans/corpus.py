@@ -269,9 +269,9 @@ def anomalies(v: Views):
     return A.anomalies(e, "2024-01-25", 20, sigma=1.0)
 
 
-_CARD = """count(*) as bets, count(resolved_quality) as resolved, count(*) filter (where resolved_quality = 'correct') as correct, count(*) filter (where resolved_quality = 'incorrect') as incorrect,
+_CARD = """count(*) as bets, count(*) filter (where resolved_quality in ('correct', 'incorrect', 'partial')) as resolved, count(*) filter (where resolved_quality = 'correct') as correct, count(*) filter (where resolved_quality = 'incorrect') as incorrect,
  count(*) filter (where resolved_quality = 'partial') as partial, count(*) filter (where resolved_quality = 'unresolvable') as unresolvable,
- round(avg(power(weight - r, 2)), 6) as brier, round(avg(r), 6) as accuracy, round(count(*) filter (where resolved_quality = 'partial') / nullif(count(resolved_quality), 0), 6) as partial_rate"""
+ round(avg(power(weight - r, 2)), 6) as brier, round(avg(r), 6) as accuracy, round(count(*) filter (where resolved_quality = 'partial') / nullif(count(*) filter (where resolved_quality in ('correct', 'incorrect', 'partial')), 0), 6) as partial_rate"""
 _R = "(select *, case resolved_quality when 'correct' then 1.0 when 'incorrect' then 0.0 end as r from takes)"
 
 
@@ -366,25 +366,6 @@ def quality_checks(v: Views):
     return A.quality_checks(v.pages(), v.chunks(), v.takes(), A.emotional_weight(v.pages(), v.tags(), v.takes(), "src3"), _day())
 
 
-@query("takes", f"""select holder, count(*) as n from takes where active and resolved_quality = 'partial' and weight >= 0.7 group by 1""")
-def abandoned_claims(v: Views):
-    return v.takes().where(F.col("active") & (F.col("resolved_quality") == "partial") & (F.col("weight") >= 0.7)).groupBy("holder").agg(F.count("*").alias("n"))
-
-
-@query("takes chunks", """select take_id, weight, coalesce(n, 0) as evidence from takes left join (select page_id, count(*) as n from chunks where chunk_source = 'timeline' group by 1) using (page_id)
-where active and weight between 0.3 and 0.85 and resolved_quality <> 'incorrect' order by evidence desc, weight desc, take_id limit 100""")
-def drift_candidates(v: Views):
-    n = v.chunks().where(F.col("chunk_source") == "timeline").groupBy("page_id").agg(F.count("*").alias("n"))
-    t = v.takes().where(F.col("active") & F.col("weight").between(0.3, 0.85) & (F.col("resolved_quality") != "incorrect")).join(n, "page_id", "left")
-    return t.select("take_id", "weight", F.coalesce("n", F.lit(0)).alias("evidence")).orderBy(F.desc("evidence"), F.desc("weight"), "take_id").limit(100)
-
-
-@query("", """select event_type as mode, count(*) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean, round(count(*) filter (where user_id % 2 = 0) / count(*), 6) as hit_rate from events group by 1""")
-def search_stats(v: Views):
-    e = v.raw("events")
-    return e.groupBy(F.col("event_type").alias("mode")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.count_if(F.col("user_id") % 2 == 0) / F.count("*"), 6).alias("hit_rate"))
-
-
 @query("", """select user_id, max(ts) as last_retrieved from events group by 1""")
 def last_retrieved(v: Views):
     return v.raw("events").groupBy("user_id").agg(F.max("ts").alias("last_retrieved"))
