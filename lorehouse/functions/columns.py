@@ -62,6 +62,23 @@ def recency(slug: Column, day: Column, now: Column, rules: dict[str, tuple[int,
     return F.when((half == 0) | day.isNull(), F.lit(0.0)).otherwise(weight * half / (half + days))
 
 
+# Fixed values.
+SESSION_FOLDERS = ("chat", "session", "sessions")
+# End of the fixed values.
+
+
+def session_prefix(slug: Column) -> Column:
+    """The part of a slug that names its session: up to the segment after the first one that is a session folder, or up to the first that begins with a day, whichever comes first; null for others."""
+    folder = "|".join(SESSION_FOLDERS)
+    found = F.regexp_extract(slug, rf"^((?:(?!(?:{folder})(?:/|$)|\d{{4}}-\d{{2}}-\d{{2}})[^/]*/)*(?:(?:{folder})(?:/[^/]*|$)|\d{{4}}-\d{{2}}-\d{{2}}[^/]*))", 1)
+    return F.when(slug.contains("/") & (found != ""), found)
+
+
+def stale_score(last: Column, now: Column, days: int = 90) -> Column:
+    """2 for what was never retrieved, 1 for what was not for so many days, else 0."""
+    return F.when(last.isNull(), 2).when(last < F.date_sub(now, days), 1).otherwise(0)
+
+
 def effective_confidence(confidence: Column, kind: Column, valid_from: Column, now: Column, expired: Column | None = None, valid_until: Column | None = None) -> Column:
     """confidence exp(-age / e-folding time of its kind), in 0 to 1; undecayed before valid_from."""
     life = F.create_map(*[F.lit(x) for k, v in HALF_LIVES.items() for x in (k, float(v))])[kind]

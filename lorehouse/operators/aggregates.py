@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 # Fixed values.
 HEALTH_WEIGHTS = {"embed": 35, "links": 25, "timeline": 15, "orphans": 15, "dead": 10}
 HIGH_EMOTION = ("family", "marriage", "wedding", "loss", "death", "grief", "relationship", "love", "mental-health", "health", "illness", "birth", "children", "kids", "parents")
@@ -102,12 +104,15 @@ def emotional_weight(pages: DataFrame, tags: DataFrame, takes: DataFrame, owner:
     return pages.select("page_id").join(t, "page_id", "left").join(k, "page_id", "left").select("page_id", F.round(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)), 6).alias("emotional_weight"))
 
 
-def recent_salience(pages: DataFrame, weights: DataFrame, takes: DataFrame, now: Column, days: int = 14, top: int = 20) -> DataFrame:
-    """5 w + ln(1 + takes) + 1 / (1 + days) of live pages updated in the window."""
+def recent_salience(pages: DataFrame, weights: DataFrame, takes: DataFrame, now: Column, days: int = 14, top: int = 20, rules: dict | None = None) -> DataFrame:
+    """5 w + ln(1 + takes) + 1 / (1 + days), or the decay of the slug's prefix where rules are given, of live pages updated, or touched (touched_on, where pages have it), in the window."""
     k = takes.where("active").groupBy("page_id").agg(F.count_distinct("take_id").alias("n"))
     age = F.datediff(now, F.col("updated_on"))
-    score = 5 * F.col("emotional_weight") + F.log1p(F.coalesce("n", F.lit(0)).cast("double")) + 1 / (1 + age.cast("double"))
-    out = pages.where(~F.col("deleted") & (age <= days) & (age >= 0)).join(weights, "page_id").join(k, "page_id", "left")
+    fresh = 1 / (1 + F.greatest(age, F.lit(0)).cast("double")) if rules is None else C.recency(F.col("slug"), F.col("updated_on"), now, rules)
+    score = 5 * F.col("emotional_weight") + F.log1p(F.coalesce("n", F.lit(0)).cast("double")) + fresh
+    last = F.greatest("updated_on", "touched_on") if "touched_on" in pages.columns else F.col("updated_on")
+    seen = F.datediff(now, last)
+    out = pages.where(~F.col("deleted") & (seen <= days) & (seen >= 0)).join(weights, "page_id").join(k, "page_id", "left")
     return out.select("page_id", "slug", F.round(score, 6).alias("salience")).orderBy(F.desc("salience"), "page_id").limit(top)
 
 

@@ -36,6 +36,25 @@ def replay_diff(captured: DataFrame, current: DataFrame) -> DataFrame:
     return j.select("query_id", F.round(F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("a", "b")) / union), 6).alias("jaccard"), F.col("a")[0].eqNullSafe(F.col("b")[0]).alias("top1"))
 
 
+def replay_rows(captured: DataFrame, current: DataFrame) -> DataFrame:
+    """(query_id, jaccard, top1, latency_delta, n_captured, n_current, errored) of captured runs (query_id, ids, latency_ms) replayed as (query_id, ids, latency_ms, error); a query that was not replayed has errored."""
+    a = captured.select("query_id", F.coalesce("ids", F.array().cast(captured.schema["ids"].dataType)).alias("a"), F.col("latency_ms").alias("la"))
+    b = current.select("query_id", F.coalesce("ids", F.array().cast(current.schema["ids"].dataType)).alias("b"), F.col("latency_ms").alias("lb"), F.col("error").isNull().alias("ok"))
+    j = a.join(b, "query_id", "left").withColumn("errored", ~F.coalesce("ok", F.lit(False)))
+    fine = lambda c: F.when(~F.col("errored"), c)
+    union = F.size(F.array_union("a", "b"))
+    jaccard = F.round(F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("a", "b")) / union), 6)
+    return j.select("query_id", fine(jaccard).alias("jaccard"), fine(F.get("a", 0).eqNullSafe(F.get("b", 0))).alias("top1"), fine(F.col("lb") - F.col("la")).alias("latency_delta"), F.size("a").alias("n_captured"), fine(F.size("b")).alias("n_current"), "errored", fine(F.col("lb") > 2 * F.col("la")).alias("over_2x"))
+
+
+def replay_summary(rows: DataFrame) -> DataFrame:
+    """One row over replay_rows: how many were replayed and how many erred, and over the replayed ones the mean Jaccard, the share of equal first results, the mean latency delta and how many took more than twice as long."""
+    return rows.agg(
+        F.count("*").alias("total"), F.count_if(~F.col("errored")).alias("replayed"), F.count_if("errored").alias("errored"), F.round(F.avg("jaccard"), 6).alias("mean_jaccard"),
+        F.round(F.avg(F.col("top1").cast("double")), 6).alias("top1_rate"), F.round(F.avg("latency_delta"), 6).alias("mean_latency_delta"), F.count_if("over_2x").alias("over_2x"),
+    )
+
+
 def topk_hit(results: DataFrame, expected: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, hit): whether any of expected (query_id, ids) is among the first k."""
     r = results.where(F.col("rank") <= k).groupBy("query_id").agg(F.collect_set("doc_id").alias("r"))

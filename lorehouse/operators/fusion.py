@@ -16,6 +16,7 @@ BACKLINK = 0.05
 SALIENCE = 0.15
 HUB, CROSS, SESSION_DEMOTE = 1.05, 1.10, 0.95
 TEXT_SHARE, IMAGE_SHARE = 0.6, 0.4
+ENTITY_MATCH, EVENT_MATCH = 1.25, 1.10
 # End of the fixed values.
 
 
@@ -71,19 +72,27 @@ def floor_gate(hits: DataFrame, boosted: Column, ratio: float) -> DataFrame:
     return hits.withColumn("score", F.when(gate, boosted).otherwise(F.col("score")))
 
 
-def graph_signals(hits: DataFrame, adjacency: DataFrame, session: Column) -> DataFrame:
-    """Hubs among the results and those linked from other sources go up; of a session all but the best go down."""
+def graph_signals(hits: DataFrame, adjacency: DataFrame, session: Column, first: int = 20) -> DataFrame:
+    """Of each query's `first` results by score, hubs among them and those linked from other sources go up, and of a session all but the best go down; adjacency is that of these results. The others stay as they are."""
+    ranked = hits.withColumn("_f", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id")))
+    rest = ranked.where(F.col("_f") > first).drop("_f")
+    hits = ranked.where(F.col("_f") <= first).drop("_f")
     h = hits.join(adjacency, ["query_id", "page_id"], "left")
     h = h.withColumn("score", F.col("score") * F.when(F.col("n_in") >= 2, HUB).otherwise(1.0) * F.when(F.col("n_cross") >= 2, CROSS).otherwise(1.0)).withColumn("_s", session)
     nth = F.row_number().over(Window.partitionBy("query_id", "_s").orderBy(F.desc("score"), "page_id"))
     h = h.withColumn("_n", nth)
-    return h.withColumn("score", F.when(F.col("_s").isNotNull() & (F.col("_n") > 1), F.col("score") * SESSION_DEMOTE).otherwise(F.col("score"))).drop("_s", "_n", "n_in", "n_cross")
-
-
-def exact_match_boost(hits: DataFrame, query: Column, factor: float = 1.25) -> DataFrame:
-    kebab = F.regexp_replace(F.lower(F.trim(query)), "[^a-z0-9]+", "-")
-    same = (F.lower("title") == F.lower(query)) | F.col("slug").endswith(kebab)
-    return hits.withColumn("score", F.col("score") * F.when(same, factor).otherwise(1.0))
+    h = h.withColumn("score", F.when(F.col("_s").isNotNull() & (F.col("_n") > 1), F.col("score") * SESSION_DEMOTE).otherwise(F.col("score"))).drop("_s", "_n", "n_in", "n_cross")
+    return h.select(*rest.columns).unionByName(rest)
+
+
+def exact_match_boost(hits: DataFrame, query: Column, intent: Column) -> DataFrame:
+    """hits (slug, title, score, ...) whose slug, its last part or whose title is the query, or the query with hyphens for blanks, go up by the factor of the query's intent; others than ENTITY and EVENT have none."""
+    q = F.lower(F.trim(query))
+    kebab = F.regexp_replace(q, r"\s+", "-")
+    slug = F.lower("slug")
+    same = (slug == q) | (slug == kebab) | slug.endswith(F.concat(F.lit("/"), kebab)) | (F.lower(F.trim("title")) == q)
+    factor = F.when(intent == "entity", ENTITY_MATCH).when(intent == "event", EVENT_MATCH).otherwise(1.0)
+    return hits.withColumn("score", F.col("score") * F.when((q != "") & F.coalesce(same, F.lit(False)), factor).otherwise(1.0))
 
 
 def limit_by_type(hits: DataFrame, share: float = 0.6) -> DataFrame:

@@ -353,6 +353,12 @@ def result_pairs(results: DataFrame) -> DataFrame:
     return a.join(b, "query_id").where(F.col("a") < F.col("b")).select("query_id", "a", "b", F.round(F.col("s_a") + F.col("s_b"), 6).alias("score"))
 
 
+def chunk_take_pairs(hits: DataFrame, takes: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, take_id, score): each of a query's few chunks (query_id, page_id, chunk_id, score) with the active takes (take_id, page_id, active) of its page, at the chunk's score and 1."""
+    t = takes.where("active").select("page_id", "take_id")
+    return hits.join(t, "page_id").select("query_id", "chunk_id", "take_id", F.round(F.col("score") + 1, 6).alias("score"))
+
+
 def backlink_gaps(edges: DataFrame) -> DataFrame:
     """(a, b) with a link from a to b and none back."""
     e = edges.select("a", "b").where(F.col("a") != F.col("b")).distinct()

@@ -125,12 +125,49 @@ def stratified_sample(pages: DataFrame, stratum: Column, rank: list, per: int =
     return p.withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy(*rank))).where(F.col("_n") <= per).drop("_n")
 
 
-def far_set(candidates: DataFrame, close: DataFrame) -> DataFrame:
-    """(id, distance): of candidates (id, stratum, v) outside the strata of the close set (id, stratum, v), the distance (1 - cos) / 2 to the nearest close one. The close set is a handful of results, one row after it is gathered."""
+def corpus_sample(pages: DataFrame, n: int, seed: int, by: str = "page_id") -> DataFrame:
+    """n rows drawn by the hash of seed and id: the same ones for the same seed, wherever they lie."""
+    return pages.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string")))).orderBy("_h", by).limit(n).drop("_h")
+
+
+#: Close vectors that go to all tasks at once.
+CLOSE_BLOCK = 4_096
+
+
+def far_set(candidates: DataFrame, close: DataFrame, m: int | None = None, seed: int = 0) -> DataFrame:
+    """(id, stratum, distance): of candidates (id, stratum, v, rank) outside the strata of the close set (id, stratum, v), the one of least rank and id of each stratum, and of these m strata drawn by a seed; the distance is (1 - cos) / 2 to the nearest close one, and 0.5 where there is none or a vector is missing.
+
+    The close set goes to the tasks in blocks of CLOSE_BLOCK.
+    """
     out = candidates.join(close.select("stratum").distinct(), "stratum", "left_anti")
-    held = close.agg(F.collect_list("v").alias("near"))
-    sims = F.transform("near", lambda n: C.cosine(F.col("v"), n))
-    return out.crossJoin(F.broadcast(held)).select("id", "stratum", F.round(F.greatest(F.least((1 - F.array_max(sims)) / 2, F.lit(1.0)), F.lit(0.0)), 6).alias("distance"))
+    one = out.withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy("rank", "id"))).where(F.col("_n") == 1).drop("_n")
+    one = one if m is None else corpus_sample(one, m, seed, "stratum")
+    one = cut(one.select("id", "stratum", F.col("v").cast("array<double>").alias("v")))
+    held = close.where(F.col("v").isNotNull()).select("id", "v")
+    blocks = max(1, -(-held.count() // CLOSE_BLOCK))
+    sims = None
+    for block in range(blocks):
+        some = held.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select(F.col("v").alias("w"))  # about CLOSE_BLOCK rows
+        part = one.where(F.col("v").isNotNull()).join(F.broadcast(some)).groupBy("id").agg(F.max(C.cosine(F.col("v"), F.col("w"))).alias("s"))
+        sims = part if sims is None else sims.unionByName(part)
+    best = sims.groupBy("id").agg(F.max("s").alias("s"))
+    distance = F.round(F.greatest(F.least((1 - F.col("s")) / 2, F.lit(1.0)), F.lit(0.0)), 6)
+    return one.join(best, "id", "left").select("id", "stratum", F.when(F.col("s").isNull(), 0.5).otherwise(distance).alias("distance"))
+
+
+def red_flags(points: DataFrame, takes: DataFrame, drift: DataFrame, least: float = 0.5) -> DataFrame:
+    """(entity_slug, kind, text) of entities: each fall of a metric of points (as regressions takes them), a drift (entity_slug, drift) of at least `least`, and each take (entity_slug, claim, resolved_outcome) that came out false."""
+    r = regressions(points)
+    fell = r.select("entity_slug", F.lit("regression").alias("kind"), F.concat("claim_metric", F.lit(" fell "), F.format_string("%.1f", F.abs(F.col("change") * 100)), F.lit("%")).alias("text"))
+    d = drift.where(F.col("drift") >= least).select("entity_slug", F.lit("narrative_drift").alias("kind"), F.format_string("drift %.2f", "drift").alias("text"))
+    missed = takes.where(F.col("resolved_outcome") == F.lit(False)).select("entity_slug", F.lit("missed_prediction").alias("kind"), F.col("claim").alias("text"))
+    return fell.unionByName(d).unionByName(missed)
+
+
+def claim_accuracy(takes: DataFrame) -> DataFrame:
+    """(entity_slug, predicted, accurate, accuracy) over takes (entity_slug, resolved_outcome) that have an outcome."""
+    t = takes.where(F.col("resolved_outcome").isNotNull()).groupBy("entity_slug").agg(F.count("*").alias("predicted"), F.count_if("resolved_outcome").alias("accurate"))
+    return t.withColumn("accuracy", F.round(F.col("accurate") / F.col("predicted"), 6))
 
 
 def cooldown(events: DataFrame, days: int = 14, key: tuple[str, ...] = ("key",), time: str = "ts", tie: str | None = None) -> DataFrame:

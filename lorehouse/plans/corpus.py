@@ -256,6 +256,17 @@ def recent_salience(v: Views):
     return A.recent_salience(v.pages(), A.emotional_weight(v.pages(), v.tags(), v.takes(), "src3"), v.takes(), F.lit("2024-01-20").cast("date"))
 
 
+@query("pages tags takes", _WEIGHT + """, touched as (select page_id, slug, updated_on, cast(date '2024-01-01' + cast(page_id * 7 % 40 as int) as date) as touched_on from pages where not deleted)
+select page_id, slug, round(5 * emotional_weight + ln(1 + coalesce(n, 0)) + case when slug like 'en/src1/%' then 0.0 when slug like 'en/%' then 1.5 * 14 / (14 + greatest(0, datediff('day', updated_on, date '2024-01-30'))) when slug like 'de/%' then 1.0 * 60 / (60 + greatest(0, datediff('day', updated_on, date '2024-01-30')))
+  when slug like 'fr/%' then 0.3 * 365 / (365 + greatest(0, datediff('day', updated_on, date '2024-01-30'))) else 0.5 * 90 / (90 + greatest(0, datediff('day', updated_on, date '2024-01-30'))) end, 6) as salience
+from touched join w using (page_id) left join (select page_id, count(distinct take_id) as n from takes where active group by page_id) using (page_id)
+where datediff('day', greatest(updated_on, touched_on), date '2024-01-30') between 0 and 3 order by salience desc, page_id limit 50""")
+def decayed_salience(v: Views):
+    """By the decay of each prefix, over pages updated or touched in three days."""
+    p = v.pages().withColumn("touched_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7 % 40).cast("int")))
+    return A.recent_salience(p, A.emotional_weight(v.pages(), v.tags(), v.takes(), "src3"), v.takes(), F.lit("2024-01-30").cast("date"), 3, 50, DECAY)
+
+
 @query("tags pages", """with e as (select tag as cohort, page_id, cast(updated_on as date) as d from tags join pages using (page_id) where not deleted),
 c as (select cohort, d, count(distinct page_id) as n from e where d between date '2024-01-25' - 20 and date '2024-01-25' group by all),
 days as (select cohort, unnest(range(1, 21)) as k from (select distinct cohort from c)),

@@ -183,6 +183,11 @@ def result_pairs(v: Views):
     return J.result_pairs(results(v, 5))
 
 
+@query("questions postings chunks takes", f"with {LEXICAL} select query_id, chunk_id, take_id, round(score + 1, 6) as score from lex join takes using (page_id) where active and rank <= 20")
+def chunk_take_pairs(v: Views):
+    return J.chunk_take_pairs(lexical(v).where(F.col("rank") <= 20), v.takes())
+
+
 @query("links", "select distinct from_page_id as a, to_page_id as b from links l where from_page_id <> to_page_id and not exists (select 1 from links m where m.from_page_id = l.to_page_id and m.to_page_id = l.from_page_id)")
 def backlink_gaps(v: Views):
     return J.backlink_gaps(v.links().select(F.col("from_page_id").alias("a"), F.col("to_page_id").alias("b")))

@@ -75,18 +75,26 @@ def gated_boosts(v: Views):
 
 @query("questions postings pages links", f"""with {_RESULTS}, n as (select b.query_id, b.page_id, count(distinct a.page_id) as n_in, count(distinct case when a.source_id <> b.source_id then a.page_id end) as n_cross
  from results a join links on from_page_id = a.page_id join results b on b.page_id = to_page_id and b.query_id = a.query_id group by all),
-g as (select query_id, page_id, source_id, score * case when n_in >= 2 then 1.05 else 1.0 end * case when n_cross >= 2 then 1.10 else 1.0 end as score from results left join n using (query_id, page_id)),
-h as (select *, row_number() over (partition by query_id, source_id order by score desc, page_id) as k from g)
-select query_id, page_id, round(case when k > 1 then score * 0.95 else score end, 6) as score from h""")
+g as (select query_id, page_id, page_id % 2 as folder, page_id % 9 as day, score * case when n_in >= 2 then 1.05 else 1.0 end * case when n_cross >= 2 then 1.10 else 1.0 end as score from results left join n using (query_id, page_id)),
+h as (select *, row_number() over (partition by query_id, folder, day order by score desc, page_id) as k from g)
+select query_id, page_id, round(case when k > 1 then score * 0.95 else score end, 6) as score from h
+union all select query_id, page_id, round(score, 6) from (select query_id, page_id, score, row_number() over (partition by query_id order by score desc, page_id) as r from res) where r > 20 and r <= 40""")
 def graph_signals(v: Views):
-    r = results(v)
-    return R.graph_signals(r, J.adjacency_in_results(r, v.links()), F.col("source_id")).select("query_id", "page_id", F.round("score", 6).alias("score"))
+    r = results(v, 40)  # twenty of which count
+    first = J.top_k(r.drop("rank"), 20, ("query_id",), F.desc("score"), "page_id")
+    slug = F.concat(F.when(F.col("page_id") % 2 == 0, "team/chat/").otherwise("daily/"), F.concat(F.lit("2024-01-"), F.lpad((F.col("page_id") % 9 + 1).cast("string"), 2, "0")), F.lit("/"), F.col("page_id").cast("string"))
+    return R.graph_signals(r, J.adjacency_in_results(first, v.links()), C.session_prefix(slug)).select("query_id", "page_id", F.round("score", 6).alias("score"))
 
 
-@query("questions postings pages", f"""with {_RESULTS} select query_id, page_id, round(score * case when lower(title) = lower(substring(text, 1, 40)) then 1.25 else 1.0 end, 6) as score from results join pages using (page_id) join questions using (query_id)""")
+@query("questions postings pages", f"""with {_RESULTS} select query_id, page_id, round(score * case when (query_id + page_id) % 3 = 0 then case query_id % 3 when 0 then 1.25 when 1 then 1.10 else 1.0 end else 1.0 end, 6) as score from results join questions using (query_id)""")
 def exact_match_boost(v: Views):
-    h = results(v).join(v.pages().select("page_id", "slug", "title"), "page_id").join(v.questions().select("query_id", F.substring("text", 1, 40).alias("q")), "query_id")
-    return R.exact_match_boost(h, F.col("q")).select("query_id", "page_id", F.round("score", 6).alias("score"))
+    """Pages whose title is a question, or whose slug ends in it with hyphens, by the question's intent: a third of them is made so, with the whole text of the question."""
+    k, q = F.col("query_id") + F.col("page_id"), F.col("text")
+    intent = F.when(F.col("query_id") % 3 == 0, "entity").when(F.col("query_id") % 3 == 1, "event").otherwise("general")
+    same = F.when(k % 6 == 0, F.concat(F.lit(" "), q))
+    slug = F.when(k % 6 == 3, F.concat(F.lit("notes/"), F.regexp_replace(F.lower(F.trim(q)), r"\s+", "-"))).otherwise(F.concat(F.lit("other/"), F.col("page_id").cast("string")))
+    h = results(v).join(v.questions().select("query_id", "text"), "query_id").withColumn("title", F.coalesce(same, F.lit("another title"))).withColumn("slug", slug)
+    return R.exact_match_boost(h, q, intent).select("query_id", "page_id", F.round("score", 6).alias("score"))
 
 
 @query("questions postings pages", f"""with {_RESULTS}, t as (select query_id, page_id, coalesce(type, 'none') as type, score, count(*) over (partition by query_id) as n from results join pages using (page_id)),
@@ -276,11 +284,49 @@ def stratified_sample(v: Views):
     return W.stratified_sample(p, F.regexp_extract("slug", "^([^/]+/[^/]+)/", 1), [F.desc(F.coalesce("n", F.lit(0))), F.asc("page_id")]).select("page_id", "stratum")
 
 
-@query("vectors", """with close as (select vec_id, vec_id % 23 as s, v from vectors where vec_id in (3, 77, 240)), c as (select vec_id as id, vec_id % 23 as stratum, v from vectors where vec_id % 23 not in (select s from close))
-select id, stratum, round(greatest(0, least(1, (1 - max(list_dot_product(c.v, k.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(k.v, k.v))))) / 2)), 6) as distance from c, close k group by all""")
+@query("vectors", """with close as (select vec_id, vec_id % 97 as s, v from vectors where vec_id in (3, 77, 240)), c as (select vec_id as id, vec_id % 97 as stratum, v from vectors where vec_id % 97 not in (select s from close) qualify row_number() over (partition by vec_id % 97 order by vec_id % 5, vec_id) = 1),
+m as (select * from c order by md5('7:' || stratum), stratum limit 40)
+select id, stratum, round(greatest(0, least(1, (1 - max(list_dot_product(c.v, k.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(k.v, k.v))))) / 2)), 6) as distance from m c, close k group by all""")
 def far_set(v: Views):
-    c = v.vectors().select(F.col("vec_id").alias("id"), (F.col("vec_id") % 23).alias("stratum"), "v")
-    return W.far_set(c, c.where(F.col("id").isin(3, 77, 240)))
+    """Forty strata that none of three pages lies in, one vector each."""
+    c = v.vectors().select(F.col("vec_id").alias("id"), (F.col("vec_id") % 97).alias("stratum"), "v", (F.col("vec_id") % 5).alias("rank"))
+    return W.far_set(c, c.where(F.col("id").isin(3, 77, 240)), 40, 7)
+
+
+@query("pages", "select page_id, slug from pages order by md5('42:' || page_id), page_id limit 25")
+def corpus_sample(v: Views):
+    return W.corpus_sample(v.pages(), 25, 42).select("page_id", "slug")
+
+
+@query("pages", f"""with p as (select *, case when page_id % 3 <> 0 then cast(updated_on - cast(page_id % 200 as int) as date) end as last from pages)
+select page_id, regexp_extract(slug, '^([^/]+/[^/]+)/', 1) as stratum from p qualify row_number() over (partition by regexp_extract(slug, '^([^/]+/[^/]+)/', 1) order by case when last is null then 2 when last < date '{NOW}' - 90 then 1 else 0 end desc, page_id desc) <= 2""")
+def stale_sample(v: Views):
+    """Two pages of each prefix, those first that nobody has looked at for long."""
+    last = F.when(F.col("page_id") % 3 != 0, F.expr("date_sub(updated_on, cast(page_id % 200 as int))"))
+    p = v.pages().select("page_id", "slug", "updated_on").withColumn("last", last)
+    return W.stratified_sample(p, F.regexp_extract("slug", "^([^/]+/[^/]+)/", 1), [F.desc(C.stale_score(F.col("last"), F.lit(NOW).cast("date"))), F.desc("page_id")], 2).select("page_id", "stratum")
+
+
+_FLAGS = f"""{_POINTS}, p as (select *, lag(claim_value) over (partition by entity_slug, claim_metric order by n) as before from points), t as (select 'user/' || take_id % 150 as entity_slug, claim, case resolved_quality when 'correct' then true when 'incorrect' then false end as o from takes)"""
+
+
+@query("facts takes", f"""with {_FLAGS}, s as (select entity_slug, v, lag(v) over (partition by entity_slug order by valid_from, fact_id) as u from facts join (select vec_id, cast(embedding as double[]) as v from embeddings) using (vec_id)),
+d as (select entity_slug, case when count(*) >= 3 then round(least(1, greatest(0, 1 - avg(list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)))))), 6) end as drift from s group by 1),
+f as (select entity_slug, 'regression' as kind, claim_metric as what from p where before <> 0 and (claim_value - before) / abs(before) <= -0.1 union all select entity_slug, 'narrative_drift', '' from d where drift >= 0.5 union all select entity_slug, 'missed_prediction', '' from t where not o)
+select entity_slug, kind, count(*) as n from f group by all""")
+def red_flags(v: Views):
+    """How many of each kind an entity has; takes are dealt to entities by their id."""
+    k = F.col("take_id")
+    t = v.takes().select(F.concat(F.lit("user/"), (k % 150).cast("string")).alias("entity_slug"), "claim", F.when(F.col("resolved_quality") == "correct", F.lit(True)).when(F.col("resolved_quality") == "incorrect", F.lit(False)).alias("resolved_outcome"))
+    f = v.facts()
+    return W.red_flags(W.trajectory(f), t, W.drift_score(f.join(v.vectors(), "vec_id"))).groupBy("entity_slug", "kind").agg(F.count("*").alias("n"))
+
+
+@query("facts takes", f"""with {_FLAGS} select entity_slug, count(o) as predicted, count(*) filter (where o) as accurate, round(count(*) filter (where o) / count(o), 6) as accuracy from t where o is not null group by 1""")
+def claim_accuracy(v: Views):
+    k = F.col("take_id")
+    t = v.takes().select(F.concat(F.lit("user/"), (k % 150).cast("string")).alias("entity_slug"), F.when(F.col("resolved_quality") == "correct", F.lit(True)).when(F.col("resolved_quality") == "incorrect", F.lit(False)).alias("resolved_outcome"))
+    return W.claim_accuracy(t)
 
 
 @query("", """with recursive e as (select user_id, event_type, ts, min(event_id) as event_id from events group by all), walk as (select user_id, event_type, min(ts) as ts from e group by all
@@ -468,6 +514,28 @@ def replay_diff(v: Views):
     return E.replay_diff(*_runs(v))
 
 
+_REPLAY = f"""{_RUNS}, x as (select query_id, a, b, cast(10 + query_id % 7 as double) as la, cast(12 + query_id % 31 as double) as lb, query_id % 10 = 3 as bad from a left join b using (query_id)),
+y as (select query_id, case when not bad then round(len(list_intersect(a, coalesce(b, []))) / len(list_distinct(list_concat(a, coalesce(b, [])))), 6) end as jaccard, case when not bad then coalesce(a[1] = b[1], false) end as top1, case when not bad then lb - la end as latency_delta, cast(len(a) as int) as n_captured, case when not bad then cast(len(coalesce(b, [])) as int) end as n_current, bad as errored, case when not bad then lb > 2 * la end as over_2x from x)"""
+
+
+def _replayed(v: Views):
+    """A tenth of the questions fails when asked again."""
+    a, b = _runs(v)
+    k = F.col("query_id")
+    current = a.select("query_id").join(b, "query_id", "left").select("query_id", "ids", (12 + k % 31).cast("double").alias("latency_ms"), F.when(k % 10 == 3, "timeout").alias("error"))
+    return E.replay_rows(a.withColumn("latency_ms", (10 + k % 7).cast("double")), current)
+
+
+@query("questions postings pages", f"with {_RESULTS}, {_REPLAY} select * from y")
+def replay_rows(v: Views):
+    return _replayed(v)
+
+
+@query("questions postings pages", f"""with {_RESULTS}, {_REPLAY} select count(*) as total, count(*) filter (where not errored) as replayed, count(*) filter (where errored) as errored, round(avg(jaccard), 6) as mean_jaccard, round(avg(case when top1 then 1.0 when not top1 then 0.0 end), 6) as top1_rate, round(avg(latency_delta), 6) as mean_latency_delta, count(*) filter (where over_2x) as over_2x from y""")
+def replay_summary(v: Views):
+    return E.replay_summary(_replayed(v))
+
+
 @query("questions postings pages", f"with {_RESULTS}, {_RUNS} select count(*) as n, round(avg(case when a[1] = b[1] then 1.0 else 0.0 end), 6) as stable from a join b using (query_id)")
 def top1_stability(v: Views):
     return E.replay_diff(*_runs(v)).agg(F.count("*").alias("n"), F.round(F.avg(F.col("top1").cast("double")), 6).alias("stable"))

@@ -151,6 +151,17 @@ def metric_fields(v: Views):
     return T.metric_fields(v.pages().select("page_id", t.alias("t")), "page_id", "t", {"revenue": r"Revenue: \$([\d,]+\d)", "staff": r"headcount of (\d+)"})
 
 
+@query("", """with w as (select 'Q' || quarter(s) || ' ' || year(s) as label, cast(s as date) as start, cast(s + interval 3 months as date) as finish from (select unnest(range(timestamp '1992-01-01', timestamp '1999-01-01', interval 3 months)) as s))
+select label, coalesce(round(sum(o_totalprice), 2), 0) as amount, count(o_orderkey) as n from w left join orders on o_orderdate >= start and o_orderdate < finish group by label""")
+def window_totals(v: Views):
+    """Orders as rows of a tracker, amounts as text, summed by quarter."""
+    w = T.date_windows(v.spark, 1992, 1998)
+    o = v.raw("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("amount"))
+    both = w.join(o.withColumn("start", F.trunc("d", "quarter")), "start", "left")
+    n = both.groupBy("label").agg(F.count("o_orderkey").alias("n"))
+    return T.totals(both, ["amount"], ("label",)).join(n, "label").select("label", F.round("amount", 2).alias("amount"), "n")
+
+
 @query("", r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script|style\b.*?</style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from pages""")
 def strip_html(v: Views):
