@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +23,6 @@ FEW_TERMS = 200_000
 CELLS = 8_000_000
 #: Vectors of one side of a group that one task compares at a time.
 GROUP_BLOCK = 4_096
-_TERM = re.compile(r"[a-z0-9]+")
 
 
 def top_k(df: DataFrame, k: int, by: tuple[str, ...], *order) -> DataFrame:
@@ -32,29 +30,14 @@ def top_k(df: DataFrame, k: int, by: tuple[str, ...], *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def _term_hash(words: np.ndarray) -> np.ndarray:
-    return pd.util.hash_array(words, categorize=False).view(np.int64)
+def _hashed_terms(text: Column) -> Column:
+    """The hashes of a text's ASCII terms, in order."""
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0), lambda w: F.xxhash64(w))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, page_id, terms, tf) of chunks (chunk_id, page_id, chunk_text): the hashes of each chunk's distinct ASCII terms, in order, and how often each occurs. A batch's words are numbered at once."""
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words = [_TERM.findall((t or "").lower()) for t in batch["chunk_text"]]
-            n = np.array([len(w) for w in words])
-            which, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
-            h = _term_hash(distinct)[which] if len(which) else np.empty(0, dtype=np.int64)
-            of = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, of))
-            of, h = of[order], h[order]
-            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.empty(0, dtype=int)
-            tf = np.diff(np.append(first, len(h))).astype(np.int32)
-            cuts = np.searchsorted(of[first], np.arange(1, len(n)))
-            yield batch[["chunk_id", "page_id"]].assign(terms=np.split(h[first], cuts), tf=np.split(tf, cuts))
-
-    kind = chunks.schema["page_id"].dataType.simpleString()
-    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "page_id", "chunk_text").mapInPandas(counted, f"chunk_id bigint, page_id {kind}, terms array<bigint>, tf array<int>")
+    """(chunk_id, page_id, terms) of chunks (chunk_id, page_id, chunk_text): the hashes of each chunk's ASCII terms."""
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "page_id", _hashed_terms(F.col("chunk_text")).alias("terms"))
 
 
 def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFrame:
@@ -69,8 +52,7 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
     """
     spark = queries.sparkSession
     kind = chunks.schema["page_id"].dataType.simpleString()
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), 0))
-    asked = queries.select("query_id", terms.alias("terms"))
+    asked = queries.select("query_id", F.array_distinct(_hashed_terms(F.col("text"))).alias("terms"))
     size = asked.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
     blocks = max(1, -(-size["n"] // TERM_BLOCK), -(-(size["terms"] or 0) // TERMS))
     out = spark.createDataFrame([], f"query_id bigint, chunk_id bigint, page_id {kind}, score double")
@@ -79,17 +61,12 @@ def lexical_join(queries: DataFrame, chunks: DataFrame, k: int = 100) -> DataFra
     asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
     held = cut(postings(chunks))
     n = held.count()
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"term": np.unique(np.concatenate([_term_hash(np.array(t, dtype=object)) for t in batch["terms"]] + [np.empty(0, dtype=np.int64)]))})
-
-    wanted = cut(asked.select("terms").mapInPandas(hashed, "term bigint").distinct())
+    wanted = cut(asked.select(F.explode("terms").alias("term")).distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= FEW_TERMS else wanted
-    counts = cut(held.select(F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")))
+    counts = cut(held.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")))
     for block in range(blocks):
         rows = asked.where(F.col("block") == block).collect()  # about TERM_BLOCK rows and TERMS terms
-        sets = [_term_hash(np.array(r["terms"], dtype=object)) for r in rows]
+        sets = [np.array(r["terms"], dtype=np.int64) for r in rows]
         words = np.unique(np.concatenate([*sets, np.empty(0, dtype=np.int64)]))
         if not len(words):
             continue
@@ -127,10 +104,10 @@ def _entries(batch: pd.DataFrame, words: np.ndarray, most: int, rows: int = 1_00
     """(first row, end, row from the first, place of the term in words, tf) of the terms of a batch that are among the words, in order of rows; `most` terms at a time, or one row."""
     size = np.array([len(t) for t in batch["terms"]])
     h = np.concatenate([*batch["terms"], np.empty(0, dtype=np.int64)]).astype(np.int64)
-    tf = np.concatenate([*batch["tf"], np.empty(0, dtype=np.int32)])
     j = np.minimum(np.searchsorted(words, h), len(words) - 1)
     hit = words[j] == h
-    i, j, tf = np.repeat(np.arange(len(batch)), size)[hit], j[hit], tf[hit]
+    both, tf = np.unique(np.repeat(np.arange(len(batch)), size)[hit] * len(words) + j[hit], return_counts=True)
+    i, j = np.divmod(both, len(words))
     upto = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(batch)))])
     a = 0
     while a < len(batch):
@@ -179,13 +156,16 @@ def passage_matches(passages: DataFrame, docs: DataFrame, lead: int = 60) -> Dat
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     p = passages.select("id", "passage", F.substring("passage", 1, lead).alias("lead")).where(F.col("lead") != "")
     p = p.withColumn("_w", F.filter(F.split("lead", r"\s+"), lambda w, k: (k > 0) & (k < F.size(F.split("lead", r"\s+")) - 1)))
-    window = lambda ws, k, n: F.concat_ws(" ", F.slice(ws, k, n))
-    keyed = p.where(F.size("_w") > 0).select("id", F.least(F.size("_w"), F.lit(3)).alias("n"), F.xxhash64(window("_w", 1, 3)).alias("h"))
-    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
+    hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    keyed = p.where(F.size("_w") > 0).select("id", F.least(F.size("_w"), F.lit(3)).alias("n"), hashes(F.slice("_w", 1, 3)).alias("w"))
+    run = F.when(F.col("n") == 1, _run("w", 1)).when(F.col("n") == 2, _run("w", 2)).otherwise(_run("w", 3))
+    keyed = keyed.select("id", "n", run.alias("h"))
+    hint = F.broadcast if keyed.count() <= FEW_TERMS else lambda df: df
+    texts = docs.select("doc_id", hashes(words(F.col("text"))).alias("w"))
     parts = None
     for n in sorted(r["n"] for r in keyed.select("n").distinct().collect()):  # 1 to 3
         one = texts.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.array("w"), _windows(n))[0])).alias("h"))
-        met = one.join(keyed.where(F.col("n") == n).select("id", "h"), "h").select("id", "doc_id")
+        met = one.join(hint(keyed.where(F.col("n") == n).select("id", "h")), "h").select("id", "doc_id")
         parts = met if parts is None else parts.unionByName(met)
     holds = lambda df: df.where(F.contains("text", F.col("lead"))).select("id", "doc_id", F.contains("text", F.col("passage")).alias("whole"))
     out = docs.select("doc_id").limit(0).select(F.lit(None).cast(passages.schema["id"].dataType).alias("id"), "doc_id", F.lit(False).alias("whole"))
@@ -203,9 +183,14 @@ def passage_matches(passages: DataFrame, docs: DataFrame, lead: int = 60) -> Dat
 SHORT_LEADS = 1_000
 
 
+def _run(words: str, n: int) -> Column:
+    """The hash of the first n of an array of hashes, by which a run of words is known."""
+    return F.xxhash64(*[F.get(words, k) for k in range(n)])
+
+
 def _windows(n: int) -> Callable[[Column], Column]:
-    """Of an array of words the hashes of all runs of n. The array is a variable of a lambda, which is worked out once."""
-    return lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda k: F.xxhash64(F.concat_ws(" ", F.slice(w, k, n))))
+    """Of an array of hashes of words the hashes of all runs of n. The array is a variable of a lambda, which is worked out once."""
+    return lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda k: F.xxhash64(*[F.get(w, k + j) for j in range(n)]))
 
 
 def vector_knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:

@@ -31,7 +31,7 @@ def lexical(v: Views):
 def vector(v: Views, k: int = 30):
     """The k nearest vectors of each question."""
     q = v.questions().join(v.vectors(), "vec_id").select("query_id", "v")
-    x = v.vectors().join(v.chunks().select("vec_id").distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("id"), "v")
+    x = v.vectors().join(v.chunk_keys().select("vec_id").distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("id"), "v")
     return J.vector_knn(q, x, k)
 
 

@@ -21,7 +21,7 @@ _VEC_CHUNKS = VECTOR + """, vec as (select query_id, chunk_id, page_id, sim as s
 
 
 def vector_chunks(v: Views):
-    return vector(v).join(v.chunks().select(F.col("vec_id").alias("id"), "chunk_id", "page_id"), "id").select("query_id", "chunk_id", "page_id", F.col("sim").alias("score"))
+    return vector(v).join(v.chunk_keys().select(F.col("vec_id").alias("id"), "chunk_id", "page_id"), "id").select("query_id", "chunk_id", "page_id", F.col("sim").alias("score"))
 
 
 @query(_LEX, f"with {LEXICAL} select query_id, page_id, chunk_id, score from (select *, row_number() over (partition by query_id, page_id order by score desc, chunk_id) as n from lex) where n = 1")
@@ -47,7 +47,7 @@ d as (select *, count(*) over (partition by query_id) as total, row_number() ove
 e as (select *, row_number() over (partition by query_id order by score desc, page_id) as rank from d where r <= ceil(total * 0.9 - 1e-9))
 select query_id, page_id, chunk_id, score, rank, round(base, 6) as base, round(truth, 6) as truth, round(backlinks, 6) as backlinks from e where rank <= 20""")
 def hybrid_retrieval(v: Views):
-    return R.hybrid(lexical(v), vector_chunks(v), v.chunks(), v.pages(), v.links())
+    return R.hybrid(lexical(v), vector_chunks(v), v.chunk_keys(), v.pages(), v.links())
 
 
 @query("questions postings vectors", f"""with {LEXICAL}, h as (select lex.query_id, lex.chunk_id, score, q.v as qv, c.v as v from lex join questions qq using (query_id) left join vectors q on q.vec_id = qq.vec_id join chunks ch using (chunk_id) left join vectors c on c.vec_id = ch.vec_id and ch.vec_id % 4 <> 0)

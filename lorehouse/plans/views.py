@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 NOW = "2024-02-01"
 
 
@@ -12,7 +14,7 @@ class Views:
     """Tables of one folder, each read when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._n = spark, sf_dir, None
+        self.spark, self.dir, self._n, self._keys = spark, sf_dir, None, None
 
     def raw(self, table: str) -> DataFrame:
         """A table; documents of fewer splits than there are cores are dealt out by their id, as a small file may be a single row group."""
@@ -50,6 +52,12 @@ class Views:
             F.when(F.col("chunk_index") == 0, "compiled_truth").otherwise("timeline").alias("chunk_source"), ((F.col("page_id") * 31 + F.col("chunk_index")) % self.n_vectors()).alias("vec_id"),
         )
 
+    def chunk_keys(self) -> DataFrame:
+        """The chunks without their texts, written once for these views: a row is some 40 bytes."""
+        if self._keys is None:
+            self._keys = cut(self.chunks().drop("chunk_text"))
+        return self._keys
+
     def postings(self) -> DataFrame:
         return terms(self.chunks().select("chunk_id", "page_id", "chunk_text"), "chunk_text").groupBy("chunk_id", "page_id", "term").agg(F.count("*").alias("tf"))
 
