@@ -63,9 +63,9 @@ def _landed(v: Views, docs):
 
 
 @query("", f"""with r as (select source, doc_id as record, cast(1 as int) as version, lang, {redacted_sql('text')} as body from documents)
-select source, record, version, '{{"lang":"' || lang || '"}}' as meta, md5(body) as body_md5 from r where length(trim(body, ' ')) >= 64""")
+select source, record, version, '{{"lang":"' || lang || '"}}' as meta, 'secret' as trail, md5(body) as body_md5 from r where length(trim(body, ' ')) >= 64""")
 def land_records(v: Views):
-    return _landed(v, _stream(v, "documents")).select("source", "record", "version", F.to_json("meta").alias("meta"), F.md5("body").alias("body_md5"))
+    return _landed(v, _stream(v, "documents")).select("source", "record", "version", F.to_json("meta").alias("meta"), F.array_join("trail", ",").alias("trail"), F.md5("body").alias("body_md5"))
 
 
 _VERDICTS = """with f as (select fact_id, entity_slug, valid_from, v from facts join vectors using (vec_id)), k as (select * from f where valid_from < timestamp '2024-01-15'), n as (select * from f where valid_from >= timestamp '2024-01-15'),

@@ -66,7 +66,7 @@ def distilled(turns: Column) -> Column:
 def session_distill(stream: DataFrame, idle: str = "6 hours", late: str = "10 minutes") -> DataFrame:
     """stream (session_id, turn, role, text, ts): one transcript for each session that has been idle, in append mode."""
     s = stream.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", idle))
-    return s.agg(F.count("*").alias("turns"), distilled(F.collect_list(F.struct("turn", "ts", "role", "text"))).alias("transcript")).select("session_id", "turns", "transcript")
+    return s.agg(F.count("*").alias("turns"), distilled(F.collect_list(F.struct("turn", "ts", "role", F.substring("text", 1, TURN_CHARS).alias("text")))).alias("transcript")).select("session_id", "turns", "transcript")
 
 
 def prepare_records(records: DataFrame, allowed: list[str]) -> DataFrame:
@@ -81,16 +81,16 @@ SINK_PARTS = 256
 
 
 def land_records(stream: DataFrame, allowed: list[str], sink: str, checkpoint: str) -> None:
-    """Adds prepared records to a Parquet sink, each (source, record, version) once, however often a batch is run. The sink is dealt by key, and a batch reads the keys of its own parts alone."""
+    """Adds prepared records to a Parquet sink, each (source, record, version) once, however often a batch is run, with the names of what was left out of their metadata. The sink is dealt by key, and a batch reads the keys of its own parts alone."""
     key = ["source", "record", "version"]
 
     def land(batch: DataFrame, _: int) -> None:
-        rows = batch.select(*key, "body", F.map_filter("meta", lambda k, v: k.isin(allowed)).alias("meta"), F.pmod(F.xxhash64(*key), F.lit(SINK_PARTS)).cast("int").alias("part"))
+        rows = batch.select(*key, "body", F.map_filter("meta", lambda k, v: k.isin(allowed)).alias("meta"), F.array_sort(F.map_keys(F.map_filter("meta", lambda k, v: ~k.isin(allowed)))).alias("trail"), F.pmod(F.xxhash64(*key), F.lit(SINK_PARTS)).cast("int").alias("part"))
         parts = [r["part"] for r in rows.select("part").distinct().collect()]  # SINK_PARTS at most
         new = rows.join(existing(batch.sparkSession, sink, rows).where(F.col("part").isin(parts)).select(*key), key, "left_anti")
         # Exploded, not filtered: a filter would be pushed below and redact each body once more.
         body = F.filter(F.array(redact(F.col("body"))), lambda b: F.char_length(F.trim(b)) >= LEAST_SUBSTANCE)
-        new.select(*key, "part", F.explode(body).alias("body"), "meta").dropDuplicates(key).write.mode("append").partitionBy("part").parquet(sink)
+        new.select(*key, "part", F.explode(body).alias("body"), "meta", "trail").dropDuplicates(key).write.mode("append").partitionBy("part").parquet(sink)
 
     stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
