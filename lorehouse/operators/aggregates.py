@@ -200,6 +200,21 @@ def observed_schema(pages: DataFrame, links: DataFrame, declared: DataFrame) ->
     return out.select("from_type", "verb", "to_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("d", F.lit(False)).alias("declared"))
 
 
+def provenance_checks(extracts: DataFrame, chunks: DataFrame, dated: DataFrame, version: int, now: Column) -> DataFrame:
+    """(check, n), a row each: extracts (body, raw) under 30 % of a raw text of more than 1,000 characters that has headings; chunks (chunker_version, chunker_mode) of another version or without a mode; pages (effective_date, effective_source, metadata_day) whose date fell back although their metadata has one, lies more than a year ahead, or before 1990."""
+    short = (F.char_length("raw") > 1_000) & F.col("raw").rlike(r"(?m)^#{1,6} ") & (F.char_length(F.coalesce("body", F.lit(""))) < 0.3 * F.char_length("raw"))
+    counts = [
+        (extracts, {"short_extract": short}),
+        (chunks, {"chunker_drift": ~F.coalesce(F.col("chunker_version") == version, F.lit(False)), "chunker_mode_missing": F.col("chunker_mode").isNull()}),
+        (dated, {"date_fallback": (F.col("effective_source") == "fallback") & F.col("metadata_day").isNotNull(), "date_far_ahead": F.col("effective_date") > F.date_add(now, 365), "date_before_1990": F.col("effective_date") < F.lit("1990-01-01").cast("date")}),
+    ]
+    out = None
+    for df, checks in counts:
+        one = df.agg(*[F.count_if(c).alias(n) for n, c in checks.items()]).select(F.explode(F.create_map(*[x for n in checks for x in (F.lit(n), F.col(n))])).alias("check", "n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def quality_checks(pages: DataFrame, chunks: DataFrame, takes: DataFrame, weights: DataFrame, now: Column) -> DataFrame:
     """(check, n): one row for each check."""
     grid = takes.agg(F.count_if(F.abs(F.col("weight") * 20 - F.round(F.col("weight") * 20)) > 1e-9).alias("n")).withColumn("check", F.lit("weight_off_grid"))

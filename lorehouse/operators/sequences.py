@@ -44,8 +44,8 @@ def founder_scorecard(points: DataFrame, flat: float = 0.01, move: float = 0.05)
     return s.select("entity_slug", "claim_metric", "points", F.round(1 - F.col("moves") / F.col("points"), 6).alias("consistency"), F.round("last", 6).alias("last_change"), direction.alias("direction"))
 
 
-#: Facts of a group that are taken at first, the first of them in order; twice as many each further turn.
-CLUSTER_BLOCK = 2_048
+#: Facts of a group that are taken at first, the first of them in order; four times as many each further turn.
+CLUSTER_BLOCK = 256
 
 
 def cluster_facts(facts: DataFrame, least: float = 0.85, by: tuple[str, ...] = ("entity_slug",)) -> DataFrame:

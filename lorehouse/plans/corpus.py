@@ -377,6 +377,20 @@ def quality_checks(v: Views):
     return A.quality_checks(v.pages(), v.chunks(), v.takes(), A.emotional_weight(v.pages(), v.tags(), v.takes(), "src3"), _day())
 
 
+@query("pages chunks", r"""with x as (select case when page_id % 2 = 0 then '# t' || chr(10) else '' end || compiled_truth as raw, string_split(compiled_truth, chr(10))[1] as body from pages),
+d as (select page_id, case when page_id % 4 = 0 then 'fallback' else 'metadata' end as effective_source, case when page_id % 3 = 0 then updated_on end as metadata_day, cast(updated_on + cast(page_id * 53 % 1200 - 600 as int) - case when page_id % 50 = 0 then 13000 else 0 end as date) as effective_date from pages)
+select 'short_extract' as "check", count(*) filter (where length(raw) > 1000 and regexp_matches(raw, '(?m)^#{1,6} ') and length(coalesce(body, '')) < 0.3 * length(raw)) as n from x union all select 'chunker_drift', count(*) filter (where page_id % 6 <> 3) from chunks union all select 'chunker_mode_missing', count(*) filter (where page_id % 5 = 0) from chunks
+union all select 'date_fallback', count(*) filter (where effective_source = 'fallback' and metadata_day is not null) from d union all select 'date_far_ahead', count(*) filter (where effective_date > date '2024-02-01' + 365) from d union all select 'date_before_1990', count(*) filter (where effective_date < date '1990-01-01') from d""")
+def provenance_checks(v: Views):
+    """Extracts are first lines; versions, modes and dates go by the ids of pages."""
+    k, p = F.col("page_id"), v.pages()
+    x = p.select(F.concat(F.when(k % 2 == 0, "# t\n").otherwise(""), "compiled_truth").alias("raw"), F.split("compiled_truth", "\n")[0].alias("body"))
+    c = v.chunks().select((k % 6).alias("chunker_version"), F.when(k % 5 != 0, "recursive").alias("chunker_mode"))
+    shift = (k * 53 % 1200 - 600).cast("int") - F.when(k % 50 == 0, 13000).otherwise(0)
+    d = p.select(F.when(k % 4 == 0, "fallback").otherwise("metadata").alias("effective_source"), F.when(k % 3 == 0, F.col("updated_on")).alias("metadata_day"), F.date_add("updated_on", shift).alias("effective_date"))
+    return A.provenance_checks(x, c, d, 3, _day())
+
+
 @query("", """select user_id, max(ts) as last_retrieved from events group by 1""")
 def last_retrieved(v: Views):
     return v.raw("events").groupBy("user_id").agg(F.max("ts").alias("last_retrieved"))

@@ -212,13 +212,30 @@ def minimize_records(v: Views):
 
 
 @query("pages", r"""select page_id, 'no_type' as rule from pages where type is null union all select page_id, 'no_title' from pages where trim(coalesce(title, '')) = ''
-union all select page_id, 'shouting' from pages where regexp_matches(compiled_truth, '[A-Z]{3,}!!') union all select page_id, 'preamble' from pages where regexp_matches(compiled_truth, '(?i)^\s*(sure|certainly|here is|here''s)\b')
+union all select page_id, 'preamble' from pages where regexp_matches(compiled_truth, '(?i)^\s*(sure|certainly|here is|here''s)\b')
 union all select page_id, 'placeholder_date' from pages where regexp_matches(compiled_truth, '(YYYY-MM-DD|XX-XX|\bTBD\b)') union all select page_id, 'broken_citation' from pages where regexp_matches(compiled_truth, '\[[^\]\n]*\]\(\s*\)')
 union all select page_id, 'empty_section' from pages where regexp_matches(compiled_truth, '(?m)^#+ [^\n]*\n\s*(#|\z)') union all select page_id, 'fence_wrap' from pages where regexp_matches(compiled_truth, '(?s)^\s*```.*```\s*$')""")
 def lint_corpus(v: Views):
     return T.lint(v.pages())
 
 
+@query("pages", r"""with f as (select page_id, case page_id % 4 when 3 then '' else '---' || chr(10) || case when page_id % 5 <> 0 then 'title: t' || chr(10) else '' end || case when page_id % 3 <> 0 then 'type: note' || chr(10) else 'type: ' || chr(10) end || case when page_id % 7 <> 0 then 'created: 2024-01-01' || chr(10) else '' end || case page_id % 4 when 2 then '' else '---' || chr(10) end end || compiled_truth as text from pages),
+h as (select page_id, text, starts_with(text, '---' || chr(10)) as begins, regexp_matches(text, '(?s)^---
+(.*?
+)?---(?:
+|\z)') as closed, regexp_extract(text, '(?s)^---
+(.*?
+)?---(?:
+|\z)', 1) as header from f)
+select page_id, 'no_frontmatter' as rule from h where not begins union all select page_id, 'unclosed_frontmatter' from h where begins and not closed union all select page_id, 'missing_title' from h where closed and not regexp_matches(header, '(?m)^title:[ 	]*[^\s]')
+union all select page_id, 'missing_type' from h where closed and not regexp_matches(header, '(?m)^type:[ 	]*[^\s]') union all select page_id, 'missing_created' from h where closed and not regexp_matches(header, '(?m)^created:[ 	]*[^\s]')""")
+def lint_headers(v: Views):
+    """All texts as files; a fourth has no header, another one that never ends, and fields are missing from the rest."""
+    k, e = F.col("page_id"), F.lit("")
+    header = F.concat(F.lit("---\n"), F.when(k % 5 != 0, "title: t\n").otherwise(e), F.when(k % 3 != 0, "type: note\n").otherwise("type: \n"), F.when(k % 7 != 0, "created: 2024-01-01\n").otherwise(e), F.when(k % 4 == 2, e).otherwise("---\n"))
+    return T.lint_headers(v.pages().select("page_id", F.concat(F.when(k % 4 == 3, e).otherwise(header), "compiled_truth").alias("text")), "page_id", "text")
+
+
 @query("chunks", r"""with l as (select chunk_id, text, chunk_index from (select chunk_id, chunk_index, chunk_text || case when chunk_index % 5 = 0 then ' see https://x.example/a' when chunk_index % 5 = 1 then ' he Tweeted' else '' end as text from chunks))
 select chunk_id, 0 as n, case when chunk_index % 5 = 0 then 'external_link' else 'uncited_post' end as issue from l where chunk_index % 5 < 2""")
 def integrity_scan(v: Views):

@@ -46,9 +46,10 @@ class Views:
         )
 
     def chunks(self) -> DataFrame:
+        """The lines of all texts; ids are unique up to ten million lines a text."""
         lines = self.raw("documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "chunk_text"))
         return lines.where(F.trim("chunk_text") != "").select(
-            (F.col("page_id") * 10000 + F.col("chunk_index")).alias("chunk_id"), "page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text",
+            (F.col("page_id") * 10_000_000 + F.col("chunk_index")).alias("chunk_id"), "page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text",
             F.when(F.col("chunk_index") == 0, "compiled_truth").otherwise("timeline").alias("chunk_source"), ((F.col("page_id") * 31 + F.col("chunk_index")) % self.n_vectors()).alias("vec_id"),
         )
 
@@ -121,7 +122,7 @@ SQL = {
   from documents d left join labels l on l.doc_id = d.doc_id""",
     "tags": """select doc_id as page_id, lang as tag from documents union all select doc_id, 'src:' || source from documents
   union all select doc_id, 'loss' from labels where toxic = 1""",
-    "chunks": """select page_id * 10000 + chunk_index as chunk_id, page_id, chunk_index, chunk_text,
+    "chunks": """select page_id * 10000000 + chunk_index as chunk_id, page_id, chunk_index, chunk_text,
        case when chunk_index = 0 then 'compiled_truth' else 'timeline' end as chunk_source, (page_id * 31 + chunk_index) % (select count(*) from embeddings) as vec_id
   from (select doc_id as page_id, generate_subscripts(parts, 1) - 1 as chunk_index, unnest(parts) as chunk_text
         from (select doc_id, string_split(text, chr(10)) as parts from documents)) where trim(chunk_text) <> ''""",
