@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import rubrics as B
 from ..operators import text as T
 from .registry import query
 from .views import NOW, Views
@@ -255,6 +256,35 @@ def completeness_score(v: Views):
     return T.completeness(v.pages(), RUBRICS, _day())
 
 
+_KINDS = ["person", "company", "project", "deal", "concept", "source", "media", "other"]
+
+
+def _rubric_sql() -> str:
+    says = lambda keys: "case when " + " or ".join(f"coalesce(trim(fm['{k}']), '') <> ''" for k in keys) + " then 1.0 else 0.0 end"
+    sums = {k: " + ".join(f"{w}::double * {d if isinstance(d, str) else says(d)}" for d, w in parts) for k, parts in B.RUBRICS.items()}
+    return "case rubric " + " ".join(f"when '{k}' then {s}" for k, s in sums.items()) + " end"
+
+
+@query("pages", rf"""with p as (select page_id, {_KINDS}[page_id % 8 + 1] as type, case when page_id % 6 = 0 then ' ' else title end as title, case when page_id % 11 = 0 then '' else compiled_truth || case page_id % 5 when 0 then ' [Source: x] see https://x.example/a' when 1 then ' [a](https://x.example/b) [b](https://x.example/c)' when 2 then chr(10) || '- one' || chr(10) || '2. two [c](d.md)' else '' end end as t,
+ case page_id % 3 when 0 then '- 2024-01-01 met' when 1 then 'met' end as tl, case page_id % 4 when 0 then map {{'role': 'x', 'url': 'u', 'date': '2024', 'founder': 'f'}} when 1 then map {{'company': 'c', 'amount': '5', 'status': ' ', 'last_verified': '2023-06-01'}} when 2 then map {{'owner': 'o', 'author': 'a', 'type': 'v'}} end as fm, updated_on from pages),
+a as (select *, datediff('day', coalesce(cast(fm['last_verified'] as date), updated_on), date '{NOW}') as age, len(regexp_extract_all(t, 'https?://[^\s)\]]+')) as u, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') as ls from p),
+d as (select page_id, fm, case when type = 'other' then 'default' else type end as rubric, case when u >= 2 then 1.0 when u = 1 then 0.6 else 0.0 end as urls, case page_id % 3 when 0 then 1.0 when 1 then 0.5 else 0.0 end as timeline,
+ least((len(regexp_extract_all(t, '\[Source:[^\]]*\]')) + len(regexp_extract_all(t, '\]\(https?://[^)]+\)'))) / 3.0, 1.0) as citations, least(len(regexp_extract_all(t, '\[[^\]]+\]\([^)]*\.md\)')) / 3.0, 1.0) as links, least(len(regexp_extract_all(t, '(?m)^\s*(?:[-*]|\d+\.)\s')) / 2.0, 1.0) as examples,
+ case when age <= 90 then 1.0 when age <= 180 then 0.7 when age <= 365 then 0.4 else 0.1 end as recency, case when length(t) < 200 then 0.5 when len(ls) = 0 then 0.0 else len(list_distinct(ls)) / len(ls) end as non_redundancy, case when trim(coalesce(title, '')) <> '' then 1.0 else 0.0 end as title, case when trim(t) <> '' then 1.0 else 0.0 end as body from a)
+select page_id, rubric, round({_rubric_sql()} + 1e-9, 3) as score from d""")
+def rubric_score(v: Views):
+    """All pages, dealt to the types by their id, with links, headers and timelines of several kinds."""
+    k, e = F.col("page_id"), F.lit("")
+    made = lambda **fields: F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])
+    fm = F.when(k % 4 == 0, made(role="x", url="u", date="2024", founder="f")).when(k % 4 == 1, made(company="c", amount="5", status=" ", last_verified="2023-06-01")).when(k % 4 == 2, made(owner="o", author="a", type="v"))
+    more = F.when(k % 5 == 0, " [Source: x] see https://x.example/a").when(k % 5 == 1, " [a](https://x.example/b) [b](https://x.example/c)").when(k % 5 == 2, "\n- one\n2. two [c](d.md)").otherwise(e)
+    p = v.pages().select(
+        "page_id", F.element_at(F.array(*map(F.lit, _KINDS)), (k % 8 + 1).cast("int")).alias("type"), F.when(k % 6 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(k % 11 == 0, "").otherwise(F.concat("compiled_truth", more)).alias("compiled_truth"),
+        F.when(k % 3 == 0, "- 2024-01-01 met").when(k % 3 == 1, "met").alias("timeline"), fm.alias("frontmatter"), "updated_on",
+    )
+    return B.rubric_score(p, _day())
+
+
 @query("pages chunks", r"""select chunk_id, md5(coalesce('[' || trim(regexp_replace(title, '[\s<>]+', ' ', 'g')) || '] ' || trim(regexp_replace(regexp_extract(compiled_truth, '^([^.!?\n]*[.!?]?)', 1), '[\s<>]+', ' ', 'g')) || chr(10), '') || chunk_text) as h from chunks left join pages using (page_id)""")
 def contextual_prefix(v: Views):
     return T.contextual_prefix(v.chunks(), v.pages()).select("chunk_id", F.md5("embedded_text").alias("h"))
