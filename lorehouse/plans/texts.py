@@ -145,6 +145,21 @@ def extract_claim_rows(v: Views):
     return T.claim_rows(v.pages().select("page_id", t.alias("t")), "page_id", "t")
 
 
+@query("pages", """with k as (select page_id, page_id % 7 = 0 as twice, page_id % 3 as m, page_id % 5 as f from pages)
+select page_id, 1 as row, 'a | ' || page_id as claim, case when m = 0 then 'fact' when m = 1 then 'event' else 'rumour' end as kind, case when f = 0 then null else cast(f as double) / 4 end as confidence, true as active, cast(null as int) as superseded_by, false as forgotten, case when m = 2 then 'unknown_kind' when f = 0 then 'no_confidence' end as issue from k
+union all select page_id, case when twice then 1 else 2 end, 'b', 'belief', 0.5, false, case when f % 2 = 0 then 1 end, f % 2 = 1, case when twice then 'number_again' end from k union all select page_id, 3, 'short', 'fact', 0.9, true, null, false, 'too_few_cells' from k""")
+def fact_rows(v: Views):
+    """A table of facts before each text; kinds, numbers, strikes and cells vary with the page."""
+    k = F.col("page_id")
+    cell = lambda c: c.cast("string")
+    t = F.concat(
+        F.lit("<!--- x:facts:begin -->\n| # | claim | kind | confidence | visibility | notability | valid_from | valid_until | source | context |\n|---|---|---|---|---|---|---|---|---|---|\n| 1 | a \\| "), cell(k), F.lit(" | "),
+        F.when(k % 3 == 0, "Fact").when(k % 3 == 1, "event").otherwise("rumour"), F.lit(" | "), F.when(k % 5 == 0, "high").otherwise(cell((k % 5).cast("double") / 4)), F.lit(" | world | high | 2024-01-01 | | s | |\n| "), F.when(k % 7 == 0, "1").otherwise("2"),
+        F.lit(" | ~~b~~ | belief | 0.5 | private | low | | | s | "), F.when(k % 5 % 2 == 0, "superseded by #1").otherwise("forgotten: asked to"), F.lit(" |\n| 3 | short | fact | 0.9 | world |\n<!--- x:facts:end -->\n"), "compiled_truth",
+    )
+    return T.fact_rows(v.pages().select("page_id", t.alias("t")), "page_id", "t").select("page_id", "row", "claim", "kind", "confidence", "active", "superseded_by", "forgotten", "issue")
+
+
 @query("pages", """select page_id, 'revenue' as field, cast(1000 + page_id as double) as value from pages union all select page_id, 'staff', cast(page_id % 50 as double) from pages where page_id % 2 = 0""")
 def metric_fields(v: Views):
     k = F.col("page_id")
