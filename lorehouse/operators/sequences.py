@@ -134,25 +134,50 @@ def corpus_sample(pages: DataFrame, n: int, seed: int, by: str = "page_id") -> D
 CLOSE_BLOCK = 4_096
 
 
-def far_set(candidates: DataFrame, close: DataFrame, m: int | None = None, seed: int = 0) -> DataFrame:
-    """(id, stratum, distance): of candidates (id, stratum, v, rank) outside the strata of the close set (id, stratum, v), the one of least rank and id of each stratum, and of these m strata drawn by a seed; the distance is (1 - cos) / 2 to the nearest close one, and 0.5 where there is none or a vector is missing.
+def _outside(candidates: DataFrame, close: DataFrame) -> DataFrame:
+    """The candidates whose stratum is none of the close set's. Strata that fit one block go to all tasks, so that vectors are not dealt by stratum."""
+    strata = close.select("stratum").distinct()
+    few = strata.limit(CLOSE_BLOCK + 1).count() <= CLOSE_BLOCK
+    return candidates.join(F.broadcast(strata) if few else strata, "stratum", "left_anti")
 
-    The close set goes to the tasks in blocks of CLOSE_BLOCK.
-    """
-    out = candidates.join(close.select("stratum").distinct(), "stratum", "left_anti")
-    one = out.withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy("rank", "id"))).where(F.col("_n") == 1).drop("_n")
-    one = one if m is None else corpus_sample(one, m, seed, "stratum")
-    one = cut(one.select("id", "stratum", F.col("v").cast("array<double>").alias("v")))
-    held = close.where(F.col("v").isNotNull()).select("id", "v")
-    blocks = max(1, -(-held.count() // CLOSE_BLOCK))
-    sims = None
+
+def far_pages(candidates: DataFrame, close: DataFrame, m: int | None = None, seed: int = 0) -> DataFrame:
+    """Of candidates (id, stratum, rank) outside the strata of the close set, the one of least rank and id of each stratum; of these m strata drawn by a seed, or all."""
+    one = _outside(candidates, close).withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy("rank", "id"))).where(F.col("_n") == 1).drop("_n")
+    return one if m is None else corpus_sample(one, m, seed, "stratum")
+
+
+def _nearest(rows: DataFrame, close: DataFrame, sim: Column) -> DataFrame:
+    """(id, stratum, s): the greatest `sim` of v, of rows (id, stratum, v), and w, of the close set (id, v), which goes to the tasks in blocks of CLOSE_BLOCK. Each id of a stratum once."""
+    blocks = max(1, -(-close.count() // CLOSE_BLOCK))
+    rows = rows if blocks == 1 else cut(rows)  # read once a block
+    found = None
     for block in range(blocks):
-        some = held.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select(F.col("v").alias("w"))  # about CLOSE_BLOCK rows
-        part = one.where(F.col("v").isNotNull()).join(F.broadcast(some)).groupBy("id").agg(F.max(C.cosine(F.col("v"), F.col("w"))).alias("s"))
-        sims = part if sims is None else sims.unionByName(part)
-    best = sims.groupBy("id").agg(F.max("s").alias("s"))
-    distance = F.round(F.greatest(F.least((1 - F.col("s")) / 2, F.lit(1.0)), F.lit(0.0)), 6)
-    return one.join(best, "id", "left").select("id", "stratum", F.when(F.col("s").isNull(), 0.5).otherwise(distance).alias("distance"))
+        some = close.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select(F.col("v").alias("w"))  # about CLOSE_BLOCK rows
+        part = rows.join(F.broadcast(some)).groupBy("id", "stratum").agg(F.max(sim).alias("s"))
+        found = part if found is None else found.unionByName(part)
+    return found if blocks == 1 else found.groupBy("id", "stratum").agg(F.max("s").alias("s"))
+
+
+def _distance(s: Column) -> Column:
+    return F.round(F.greatest(F.least((1 - s) / 2, F.lit(1.0)), F.lit(0.0)), 6)
+
+
+def far_distances(candidates: DataFrame, close: DataFrame) -> DataFrame:
+    """(id, stratum, distance) of every one of candidates (id, stratum, v) outside the strata of the close set (id, stratum, v), each once: (1 - cos) / 2 to the nearest close one.
+
+    It is 1 where a vector is missing, or where one of a pair has no length; without
+    a close set there are no rows.
+    """
+    angle = F.when(F.col("v").isNotNull() & F.col("w").isNotNull(), F.coalesce(C.cosine(F.col("v"), F.col("w")), F.lit(float("nan"))))  # max takes NaN for the greatest, least for greater than 1
+    return _nearest(_outside(candidates, close).select("id", "stratum", "v"), close, angle).select("id", "stratum", _distance(F.col("s")).alias("distance"))
+
+
+def far_set(candidates: DataFrame, close: DataFrame, m: int | None = None, seed: int = 0) -> DataFrame:
+    """(id, stratum, distance) of far_pages(candidates, close, m, seed), candidates with their vectors v: the distance is (1 - cos) / 2 to the nearest of the close set (id, stratum, v), and 0.5 where there is none or a vector is missing."""
+    one = cut(far_pages(candidates, close, m, seed).select("id", "stratum", F.col("v").cast("array<double>").alias("v")))
+    best = _nearest(one.where(F.col("v").isNotNull()), close.where(F.col("v").isNotNull()), C.cosine(F.col("v"), F.col("w")))
+    return one.join(best.groupBy("id").agg(F.max("s").alias("s")), "id", "left").select("id", "stratum", F.when(F.col("s").isNull(), 0.5).otherwise(_distance(F.col("s"))).alias("distance"))
 
 
 def red_flags(points: DataFrame, takes: DataFrame, drift: DataFrame, least: float = 0.5) -> DataFrame:
