@@ -43,3 +43,20 @@ def test_far_distances_in_blocks(spark, monkeypatch, block):
     close = spark.createDataFrame([(1, "a", [1.0, 0.0]), (9, "a", [0.0, -2.0])], "id long, stratum string, v array<double>")
     assert {r["id"]: r["distance"] for r in W.far_distances(c, close).collect()} == {2: 0.5, 3: 0.5, 4: 1.0, 5: 0.0}
     assert W.far_distances(c, close.where(F.lit(False))).count() == 0
+
+
+def test_lint_corpus_has_all_rules(spark, tmp_path):
+    wanted = {
+        "STOP!! it": {"shouting"}, "aAB!! AB!!": set(), "A" * 300_000 + "!": set(), "A" * 300_000 + "!!": {"shouting"}, "Sure, so": {"preamble"}, "\vSure, so": set(), "ſure": {"preamble"}, "Sureé": {"preamble"}, "Surete": set(), "surely": set(), "Here'ſ x": set(),
+        "YYYY-MM-DD": {"placeholder_date"}, "éTBDé": {"placeholder_date"}, "xTBD": set(), " ```\na\n``` \n": {"fence_wrap"}, "```a```\u0085": set(), "a [b]( \n)": {"broken_citation"}, "a [b]\n[c[d]()": {"broken_citation"}, "b]() ]()": set(), "[b\n]()": set(), "[" * 300_000: set(), "[b](\v)": set(),
+        "# a\n\n# b": {"empty_section"}, "x\r# a\n# b": set(), "x\n## a\n": {"empty_section"}, "# a\n\v#": set(), "": {"no_title"}, " 　 ": {"no_title"}, "\t": set(), " " * 40 + "x": {"no_title"},
+    }
+    texts = list(wanted)
+    docs = spark.createDataFrame([*enumerate(texts), (len(texts), None), (None, "STOP!!")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text")})
+    labels = spark.createDataFrame([*[(i, i % 2, 0) for i in range(len(texts))], (0, 1, 0), (1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = both(spark, "lint_corpus", tmp_path, documents=docs, labels=labels)
+    of = {}
+    for k, rule in got[got["rule"] != "no_type"].dropna().itertuples(index=False):
+        of.setdefault(texts[int(k)] if k < len(texts) else None, set()).add(rule)
+    assert of == {t: r for t, r in wanted.items() if r} | {None: {"no_title"}}
+    assert len(got[(got["page_id"] == 0) & (got["rule"] == "shouting")]) == 2  # two labels, two pages
