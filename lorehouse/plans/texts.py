@@ -202,7 +202,7 @@ def redacted_sql(column: str) -> str:
 
 @query("", f"select doc_id, {redacted_sql('text')} as text from documents")
 def redact_corpus(v: Views):
-    return v.raw("documents").select("doc_id", T.redact(F.col("text")).alias("text"))
+    return v.raw("documents").select("doc_id", T.redact(F.col("text"), apart=True).alias("text"))
 
 
 @query("", f"""select doc_id, regexp_replace(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '{T.SSN}', '[SSN]', 'g') as text from documents""")
