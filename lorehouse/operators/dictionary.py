@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import cut
@@ -71,24 +71,45 @@ def neighbourhoods(names: DataFrame, most: int = 3) -> DataFrame:
     """(name, key): the 64-bit hashes of all that is left of each name (name) with up to `most` characters taken out: two names within `most` edits share one."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, of = [], []
         for batch in batches:
             for name in batch["name"]:
                 left = sorted(_without(name, most))
-                for a in range(0, len(left), 100_000):
-                    some = left[a : a + 100_000]
-                    yield pd.DataFrame({"name": name, "key": pd.util.hash_array(pd.array(some, dtype=object).to_numpy(), categorize=False).view("int64")})
+                for a in range(0, len(left), KEYS):
+                    held += left[a : a + KEYS]
+                    of += [name] * (len(held) - len(of))
+                    if len(held) >= KEYS:
+                        yield told(of, held)
+                        held, of = [], []
+        if held:
+            yield told(of, held)
 
-    return names.where(F.col("name").isNotNull()).select("name").distinct().mapInPandas(keyed, "name string, key bigint").distinct()
+    told = lambda of, held: pd.DataFrame({"name": of, "key": pd.util.hash_array(pd.array(held, dtype=object).to_numpy(), categorize=False).view("int64")})
+    # Dealt out by number: the names of many keys are few bytes, which Spark would put into one task.
+    dealt = names.where(F.col("name").isNotNull()).select("name").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism, "name")
+    return dealt.mapInPandas(keyed, "name string, key bigint").distinct()
+
+
+#: Keys that a task holds at a time, about.
+KEYS = 100_000
 
 
 def nearest_names(asked: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
     """(word, name, edits): for each of asked (word) the name of names (name) of fewest insertions, deletions and substitutions, `most` at most, ties to the first in order. Case counts.
 
-    Both sides are indexed by deletions; only what shares a key is compared, exactly. Keys grow with the
+    Both sides are indexed by deletions; only what shares a key is compared, exactly. First by none, then by one
+    more deletion each turn, and only words that have no name yet: few keys find most. Keys grow with the
     power `most` of a word's length: it is meant for names, not for texts.
     """
-    a = neighbourhoods(asked.select(F.col("word").alias("name")), most).withColumnRenamed("name", "word")
-    met = a.join(neighbourhoods(names, most), "key").select("word", "name").distinct()
-    near = met.withColumn("edits", F.levenshtein("word", "name")).where(F.col("edits") <= most)
-    first = Window.partitionBy("word").orderBy("edits", "name")
-    return near.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    open_, known = (cut(df.select(c).where(F.col(c).isNotNull()).distinct()) for df, c in ((asked, "word"), (names, "name")))
+    out = None
+    for edits in range(most + 1):
+        a = neighbourhoods(open_.select(F.col("word").alias("name")), edits).withColumnRenamed("name", "word")
+        # Spark takes the keys for as few bytes as the names, and would broadcast them.
+        near = a.join(neighbourhoods(known, edits).hint("merge"), "key").withColumn("edits", F.levenshtein("word", "name")).where(F.col("edits") <= edits)
+        one = cut(near.groupBy("word").agg(F.min(F.struct("edits", "name")).alias("_b")).select("word", "_b.name", "_b.edits"))
+        out = one if out is None else out.unionByName(one)
+        open_ = cut(open_.join(one.select("word"), "word", "left_anti"))
+        if not open_.limit(1).count():
+            break
+    return out
